@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from costloom.llm import exact_dedup, language, mixing, pieces, pii
+from costloom.llm import exact_dedup, language, mixing, pieces, pii, substring, suffix_index
 from costloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,12 +19,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), pieces.model_bytes(VOCABULARY))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.drop_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -37,11 +45,13 @@ def queries() -> dict:
     return {
         "op1_pii": op1_pii,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op6_language_id": op6_language_id,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op7_substring_dedup": substring.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
