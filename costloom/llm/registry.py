@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from costloom.llm import exact_dedup, language, mixing, pieces, pii, substring, suffix_index
+from costloom.llm import exact_dedup, language, mixing, ngram_join, pieces, pii, substring, suffix_index
 from costloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.drop_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
@@ -46,6 +50,7 @@ def queries() -> dict:
         "op1_pii": op1_pii,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_ngram_join": op5_ngram_join,
         "op6_language_id": op6_language_id,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_exact_dedup": op8_exact_dedup,

@@ -183,8 +183,8 @@ WITH split AS (
   SELECT doc_id, list(place) AS places, count(*) AS n_removed FROM covered GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
-       CAST(len(list_filter(coalesce(places, []), p -> NOT list_contains(places, p - 1))) AS BIGINT) AS n_spans,
+       CAST(len(list_filter(coalesce(places, []), lambda p: NOT list_contains(places, p - 1))) AS BIGINT) AS n_spans,
        sha256(array_to_string(list_transform(list_filter(list_zip(words, generate_series(1, len(words))),
-              p -> NOT list_contains(coalesce(places, []), p[2])), p -> p[1]), ' ')) AS kept_sha256
+              lambda p: NOT list_contains(coalesce(places, []), p[2])), lambda p: p[1]), ' ')) AS kept_sha256
 FROM split LEFT JOIN gone USING (doc_id)
 """
