@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm import exact_dedup, language, mixing, ngram_join, pieces, pii, substring, suffix_index
+from costloom.llm import exact_dedup, html_text, language, mixing, neighbours, ngram_join, pieces, pii, substring, suffix_index
 from costloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -15,6 +15,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), pieces.model_bytes(VOCABULARY))
 
@@ -45,9 +49,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), share=0.5, epochs=2, weights={"lang": {"en": 2.0}})
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.train(pages), keep=["page_id", "url"])
+
+
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
+        "op2_neighbours": op2_neighbours,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_ngram_join": op5_ngram_join,
@@ -55,6 +65,7 @@ def queries() -> dict:
         "op7_substring_dedup": op7_substring_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
+        "op10_html": op10_html,
     }
 
 
