@@ -9,7 +9,8 @@ any order two linked sets share an element of their prefixes (the first n - ceil
 Grouping. Equal sets are one node. Nodes of equal prefix and size are one group, and only groups go
 through the join on prefix elements. Each element's list names a hub, the group where it stands first;
 groups pair with hubs, pairs that size or place rule out go, and the rest expand to members, whose whole sets
-are compared. What that links are components; a list whose nodes are all in one component holds no further
+are compared. A 1,024-bit parity map of each set rules out most pairs before that (maps never differ in
+more bits than sets do in elements). What that links are components; a list whose nodes are all in one component holds no further
 news. In the other lists every pair of nodes of different components is compared, unless size or place
 rules it out. So all components are exact, while a group of a million near copies costs about one
 comparison each, not one for each pair.
@@ -40,6 +41,7 @@ from costloom.llm.hashing import U, mix, prefix_sums, spans_hash, word_windows,
 SHINGLE = 3
 SHARE = (90, 100)
 BUCKET_BITS = 18
+MAP_BITS = 10
 SALTS = 32
 
 
@@ -87,13 +89,13 @@ def bucket_classes(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
 
 
 def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
-    """id, n, h1, h2 (hashes of the set), g (of prefix and size), prefix."""
+    """id, n, h1, h2 (hashes of the set), g (of prefix and size), prefix, map (parities of hash ranges)."""
     shared = docs.sparkSession.sparkContext.broadcast(bucket_classes(docs, text_col, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
         for b in _slices(batches):
-            n, h1, h2, g, lengths, prefixes = [], [], [], [], [], []
+            n, h1, h2, g, lengths, prefixes, maps = [], [], [], [], [], [], []
             for s in shingle_sets([t or b"" for t in b.column(1).to_pylist()], width):
                 k = len(s)
                 length = k + -(-share[0] * k // share[1]) * -1 + 1 if k else 0
@@ -105,13 +107,17 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share:
                 g.append(mix(mix(prefix).sum(dtype=U) + U(k)))
                 lengths.append(length)
                 prefixes.append(prefix)
+                odd = np.bincount((s >> U(64 - MAP_BITS)).astype(np.int64), minlength=1 << MAP_BITS) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             tokens = np.concatenate(prefixes).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), pa.array(tokens))
             longs = [pa.array(np.array(x, U).view(np.int64)) for x in (h1, h2, g)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *longs, lists], ["id", "n", "h1", "h2", "g", "prefix"])
+            width_of = len(maps[0])
+            kept = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * width_of), pa.array(np.concatenate(maps)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *longs, lists, kept], ["id", "n", "h1", "h2", "g", "prefix", "map"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(
-        run, "id long, n long, h1 long, h2 long, g long, prefix array<long>"
+        run, "id long, n long, h1 long, h2 long, g long, prefix array<long>, map array<long>"
     )
 
 
@@ -123,6 +129,16 @@ def may_link(n1: str, pos1: str, n2: str, pos2: str, share: tuple[int, int]) ->
     return (most >= need) & (F.least(n1, n2) * b >= F.greatest(n1, n2) * a)
 
 
+def plausible(pairs: DataFrame, maps: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """pairs: a, b -> those whose parity maps (maps: node, n, map) differ in no more bits than the sets of a link may."""
+    x, y = (maps.select(*[F.col(c).alias(k + c) for c in ("node", "n", "map")]) for k in "ab")
+    both = pairs.join(x, F.col("a") == F.col("anode")).join(y, F.col("b") == F.col("bnode"))
+    size = F.col("an") + F.col("bn")
+    most = size - 2 * F.ceil(size * share[0] / (share[0] + share[1]) - 1e-9)
+    apart = F.aggregate(F.zip_with("amap", "bmap", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, k: t + k)
+    return both.filter(apart <= most).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """pairs: a, b -> those whose whole sets link. texts: id, z."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
@@ -180,7 +196,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ahead = lists.filter(may_link("n", "pos", "hub_n", "hub_pos", share)).select("hub", "g").distinct()
     pairs = ahead.join(members, "g").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     pairs = pairs.unionByName(heads.join(members, "g").select(F.col("gid").alias("a"), F.col("node").alias("b"))).filter("a != b").distinct()
-    links = verified(pairs, texts, width, share).checkpoint()
+    maps = full.select(F.col("id").alias("node"), "n", "map").join(members.select("node"), "node", "left_semi").checkpoint()
+    links = verified(plausible(pairs, maps, share).checkpoint(), texts, width, share).checkpoint()
     found = _with_component(members, components(links))
     # lists that still hold several components
     entries = lists.select("token", "g", "pos").join(found, "g")
@@ -193,7 +210,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         y, (F.col("component1") != F.col("component2")) & may_link("n1", "pos1", "n2", "pos2", share) & (x["token"] == y["token"])
     )
     rest = across.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
-    links = links.unionByName(verified(rest, texts, width, share)).checkpoint()
+    links = links.unionByName(verified(plausible(rest, maps, share).checkpoint(), texts, width, share)).checkpoint()
     by_set = _with_component(nodes, components(links)).select("h1", "h2", "n", "component")
     out = sets.join(by_set, ["h1", "h2", "n"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")))
