@@ -9,8 +9,9 @@ bins. How many bins to visit is calibrated: for a bounded sample of queries the
 an exact scan, visits widen until the bins that were visited hold at least `recall` of them, and every query
 then visits that many.
 
-Jobs. Bins are cut into salted parts of bounded size and meet blocks of the queries that visit them, so
-neither a bin with a third of all vectors nor a bin that all queries visit is met whole. Scores are exact
+Jobs. Neighbouring bins are put together into slabs of bounded size, and a larger bin is dealt over several
+slabs; a slab meets blocks of the queries that visit its bins. So neither a bin with a third of all vectors nor
+one that all queries visit is met whole, and a task sends on k rows for each query. Scores are exact
 cosines of the original vectors in double precision, computed row by row so that equal vectors score
 equally; ties go to the smaller id.
 
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from costloom.llm.common import written
+from costloom.llm.common import small, written
 
 K = 5
 SAMPLE = 20_000
@@ -38,7 +39,7 @@ BIN_ROWS = 400
 MOST_BINS = 4096
 RECALL = 0.97
 CALIBRATION = 100
-PART_ROWS = 4000  # vectors in a salted part of a bin
+SLAB_ROWS = 20_000  # vectors in a slab
 BLOCK = 500  # queries in a block
 
 
@@ -126,10 +127,11 @@ class Tree:
         return out
 
 
-def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
+def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, allowed: np.ndarray | None = None):
     """(query id, id, score) of each query's k nearest among the rows, the query's own id left out.
 
-    A matrix product finds who may be among them; those are scored again in a fixed order of additions.
+    allowed: which rows each query looks at. A matrix product finds who may be among the nearest; those are
+    scored again in a fixed order of additions.
     """
     out = []
     if not len(ids):
@@ -138,8 +140,9 @@ def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     rough = uq @ ux.T
     lengths = np.sqrt((x * x).sum(1))
     for i, query_id in enumerate(query_ids):
-        near = np.where(ids == query_id, -np.inf, rough[i])
-        n = min(k, int((ids != query_id).sum()))
+        open_rows = ids != query_id if allowed is None else (ids != query_id) & allowed[i]
+        near = np.where(open_rows, rough[i], -np.inf)
+        n = min(k, int(open_rows.sum()))
         if n:
             least = np.partition(near, len(near) - n)[len(near) - n]
             rows = np.flatnonzero(near >= least - 1e-9)
@@ -168,6 +171,22 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def slabs(counts: list, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """First slab and number of slabs of each bin: bins in tree order share slabs of SLAB_ROWS vectors."""
+    size = np.zeros(bins, np.int64)
+    for r in counts:
+        size[r["bin"]] = r["count"]
+    first, parts, slab, held = np.zeros(bins, np.int64), np.ones(bins, np.int64), 0, 0
+    for b in range(bins):
+        if held and held + size[b] > SLAB_ROWS:
+            slab, held = slab + 1, 0
+        first[b], parts[b] = slab, max(1, -(-size[b] // SLAB_ROWS))
+        held += size[b]
+        if parts[b] > 1:
+            slab, held = slab + parts[b], 0
+    return first, parts
+
+
 def exact_neighbours(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
     """Exact scan for a bounded number of queries: each task keeps its k best."""
     shared = rows.sparkSession.sparkContext.broadcast(queries)
@@ -217,26 +236,37 @@ def nearest(vectors: DataFrame, query_filter, k: int = K, recall: float = RECALL
             bins = shared.value.bin_of(unit(matrix(b.column(1)))) if b.num_rows else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(bins), b.column(0), b.column(1)], ["bin", "id", "v"])
 
+    placed = written(rows.mapInArrow(place, "bin int, id long, v array<double>"))
+    first, parts = slabs(placed.groupBy("bin").count().collect(), tree.bins)  # a row per bin, MOST_BINS at most
+    where = F.broadcast(spark.createDataFrame([(b, int(first[b]), int(parts[b])) for b in range(tree.bins)], "bin int, first int, parts int"))
+    left = placed.join(where, "bin").withColumn("slab", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.visits(q, visits) for q in unit(matrix(b.column(1)))] if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "bins"])
-
-    placed = written(rows.mapInArrow(place, "bin int, id long, v array<double>"))
-    # a row per bin (MOST_BINS at most): into how many parts it is cut
-    cuts = F.broadcast(placed.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")))
-    left = placed.join(cuts, "bin").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    asked = queries.mapInArrow(walk, "id long, v array<double>, bins array<int>").select("id", "v", F.explode("bins").alias("bin"))
-    loads = asked.select("bin").groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = asked.join(F.broadcast(loads), "bin").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    asked = asked.join(cuts, "bin").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.join(F.broadcast(loads), "bin").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            ids, qs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            out = {"slab": [], "id": [], "v": [], "bins": []}
+            for i, v, q in zip(ids, qs, unit(matrix(b.column(1))) if ids else []):
+                met: dict[int, list[int]] = {}
+                for number in shared.value.visits(q, visits):
+                    for slab in range(first[number], first[number] + parts[number]):
+                        met.setdefault(int(slab), []).append(number)
+                for slab, bins in met.items():
+                    for key, value in zip(out, (slab, i, v, bins)):
+                        out[key].append(value)
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds)], list(out))
+
+    asked = written(queries.mapInArrow(walk, "slab int, id long, v array<double>, bins array<int>"))
+    loads = asked.groupBy("slab").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    asked = asked.join(small(loads), "slab").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    left = left.join(small(loads), "slab").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return _best_table([])
-        return _best_table(best_of(a.column("id").to_numpy(), matrix(a.column("v")), b.column("id").to_numpy(), matrix(b.column("v")), k))
+        own = a.column("bin").to_numpy()
+        allowed = np.stack([np.isin(own, bins) for bins in b.column("bins").to_pylist()])
+        return _best_table(best_of(a.column("id").to_numpy(), matrix(a.column("v")), b.column("id").to_numpy(), matrix(b.column("v")), k, allowed))
 
-    key = ["bin", "part", "block"]
-    found = left.select(*key, "id", "v").groupBy(*key).cogroup(asked.select(*key, "id", "v").groupBy(*key)).applyInArrow(score, _BEST)
+    found = left.select("slab", "block", "bin", "id", "v").groupBy("slab", "block").cogroup(asked.select("slab", "block", "bins", "id", "v").groupBy("slab", "block")).applyInArrow(score, _BEST)
     return ranked(found, k).select("query_id", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ def brute(rows, queries, k=5):
 
 
 def test_recall_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART_ROWS", 60)
+    monkeypatch.setattr(neighbours, "SLAB_ROWS", 60)
     monkeypatch.setattr(neighbours, "BLOCK", 7)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
@@ -40,7 +40,8 @@ def test_recall_and_scores(spark, monkeypatch):
             assert s == pytest.approx(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), abs=1e-12)
 
 
-def test_hot_vector_and_ties(spark):
+def test_hot_vector_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SLAB_ROWS", 90)
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(400)] + [(1000 + i, [float(i), 1.0, 0.0]) for i in range(100)]
     got = neighbours.nearest(frame(spark, rows), F.col("id") % 50 == 0, bin_rows=40).collect()
     ties = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == 50)
