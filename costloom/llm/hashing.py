@@ -85,13 +85,17 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(start, bounds))
 
 
-def word_windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of `width` words inside one text, and each text's number of windows."""
-    all_windows = windows_hash(prefix_sums(hashes), width)
+def window_starts(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word places at which windows inside one text start, and each text's number of windows."""
     n = np.maximum(counts - width + 1, 0)
     first = np.cumsum(counts) - counts
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return all_windows[at], n
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+
+def word_windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of `width` words inside one text, and each text's number of windows."""
+    at, n = window_starts(counts, width)
+    return windows_hash(prefix_sums(hashes), width)[at], n
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 A document's set: its distinct word 3-grams (as 64-bit hashes). Two link if 100 * shared >= 90 * union.
 
-Order. Elements are ordered by how often their hash bucket occurs (a table of a fixed 2**18 counts over all
-documents, in steps of powers of two), then by hash; the order only has to be the same everywhere. In
-any order two linked sets share an element of their prefixes (the first n - ceil(0.9 n) + 1).
+Order. Elements go by how often they should occur, in steps, then by hash; the order only has to be the same
+everywhere. The estimate is the larger of two: the words' frequencies multiplied, and the count of the element's
+own hash bucket where that stands out. Both come from tables of a fixed 2**18 counts over all documents. In any
+order two linked sets share an element of their prefixes (the first n - ceil(0.9 n) + 1).
 
 Grouping. Equal sets are one node. Nodes of equal prefix and size are one group, and only groups go
 through the join on prefix elements. Each element's list names a hub, the group where it stands first;
@@ -31,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from costloom.llm.common import written
+from costloom.llm.common import small, written
 from costloom.llm.components import components
-from costloom.llm.hashing import U, mix, prefix_sums, spans_hash, word_windows, words_of
+from costloom.llm.hashing import U, mix, prefix_sums, spans_hash, window_starts, windows_hash, word_windows, words_of
 
 SHINGLE = 3
 SHARE = (90, 100)
@@ -62,45 +64,81 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about `size` bytes in a binary column (a larger value is a part of its own)."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False) + 1)
+        at = 0
+        while at < b.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            stop = max(at + 1, stop)
+            yield b.slice(at, stop - at)
+            at = stop
 
 
-def bucket_classes(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """How frequent each hash bucket is, in steps of powers of two over the median; counts are of documents."""
+def frequencies(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """By hash bucket, in eighths: log2 of a word's share of all words; log2 of an element's count where it is over twice the usual."""
+    size = 1 << BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << BUCKET_BITS, np.int64)
-        for b in _slices(batches):
-            sets = shingle_sets([t or b"" for t in b.column(0).to_pylist()], width)
-            n += np.bincount((np.concatenate(sets) >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(n))
+        n = np.zeros(2 * size, np.int64)
+        for b in _slices(batches, 0):
+            texts = [t or b"" for t in b.column(0).to_pylist()]
+            words, _ = words_of([t.lower() for t in texts])
+            n[:size] += np.bincount(_bucket(words), minlength=size)
+            n[size:] += np.bincount(_bucket(np.concatenate(shingle_sets(texts, width))), minlength=size)
         at = np.flatnonzero(n)
         for s in range(0, len(at), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 20_000].astype(np.int32)), pa.array(n[at[s : s + 20_000]])], ["bucket", "n"])
 
     rows = docs.select(F.col(text_col).cast("binary")).mapInArrow(count, "bucket int, n long")
-    counted = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**18 rows at most
-    n = np.zeros(1 << BUCKET_BITS)
+    counted = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**19 rows at most
+    n = np.zeros(2 * size)
     n[counted["bucket"]] = counted["n"]
-    usual = max(1.0, float(np.median(n)))
-    return np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / usual))).astype(np.uint8)
+    words, elements = n[:size], n[size:]
+    usual = max(1.0, float(np.median(elements)))
+    share = np.log2(np.maximum(words, 1) / max(1.0, words.sum()))
+    stands_out = np.where(elements > 2 * usual, np.log2(np.maximum(elements, 1)), 0)
+    # whole eighths, so that sums are exact and an element gets one place in the order wherever it stands
+    return np.round(8 * share).astype(np.int32), np.round(8 * stands_out).astype(np.int32)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def ordered_sets(texts: list[bytes], width: int, tables: tuple[np.ndarray, np.ndarray], total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's set, sorted by hash, and the order of its elements from rare to frequent. total: log2 of all words, in eighths."""
+    share, counts_of = tables
+    hashes, counts = words_of([t.lower() for t in texts])
+    starts, n = window_starts(counts, width)
+    windows = windows_hash(prefix_sums(hashes), width)[starts]
+    sums = np.concatenate(([0], np.cumsum(share[_bucket(hashes)], dtype=np.int64)))
+    expected = sums[starts + width] - sums[starts] + total
+    short, at = shingle_sets(texts, width) if (n == 0).any() else None, 0
+    for i, k in enumerate(n.tolist()):
+        if not k:
+            yield short[i], np.arange(len(short[i]))
+            continue
+        s, first = np.unique(windows[at : at + k], return_index=True)
+        step = np.clip(np.maximum(expected[at : at + k][first], counts_of[_bucket(s)]), 0, 1000) // 4
+        yield s, np.argsort(step.astype(np.uint8), kind="stable")
+        at += k
 
 
 def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
     """id, n, h1, h2 (hashes of the set), g (of prefix and size), prefix, map (parities of hash ranges)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bucket_classes(docs, text_col, width))
+    tables = frequencies(docs, text_col, width)
+    total = int(-tables[0].min())  # a word that occurs once: its share is one over all
+    shared = docs.sparkSession.sparkContext.broadcast((tables, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
-        for b in _slices(batches):
+        for b in _slices(batches, 1):
             n, h1, h2, g, lengths, prefixes, maps = [], [], [], [], [], [], []
-            for s in shingle_sets([t or b"" for t in b.column(1).to_pylist()], width):
+            for s, order in ordered_sets([t or b"" for t in b.column(1).to_pylist()], width, *shared.value):
                 k = len(s)
                 length = k + -(-share[0] * k // share[1]) * -1 + 1 if k else 0
-                order = np.argsort(classes[s >> U(64 - BUCKET_BITS)], kind="stable")[:length]
-                prefix = s[order]
+                prefix = s[order[:length]]
                 n.append(k)
                 h1.append(mix(s).sum(dtype=U))
                 h2.append(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
@@ -112,8 +150,7 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share:
             tokens = np.concatenate(prefixes).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), pa.array(tokens))
             longs = [pa.array(np.array(x, U).view(np.int64)) for x in (h1, h2, g)]
-            width_of = len(maps[0])
-            kept = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * width_of), pa.array(np.concatenate(maps)))
+            kept = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * len(maps[0])), pa.array(np.concatenate(maps)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *longs, lists, kept], ["id", "n", "h1", "h2", "g", "prefix", "map"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(
@@ -156,7 +193,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, i
                 known.popitem(last=False)
             return out
 
-        for b in _slices(batches, 200):
+        for b in _slices(batches, 3, 300_000):
             za, zb = sets(b.column(2).to_pylist()), sets(b.column(3).to_pylist())
             hit = []
             for x, y in zip(za, zb):
@@ -170,33 +207,42 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, i
 def compressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in _slices(batches, 1000):
+        for b in _slices(batches, 1):
             data = pa.array([z.compress((t or b"").lower()) for t in b.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), data], ["id", "z"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "id long, z binary")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, z of the documents with these ids; where they are few, no other text is compressed or shuffled."""
+    few = small(ids)
+    if few is not ids:
+        return compressed(docs.join(few.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col).dropDuplicates()
+    return compressed(docs, id_col, text_col).join(ids, "id", "left_semi").dropDuplicates()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """id, n_shingles, component_id of each row."""
     sets = written(prefix_table(docs, id_col, text_col, width, share))
     full = sets.filter("n > 0 and id is not null")
-    # distinct sets; one group for those of equal prefix and size
+    # distinct sets; one group for those of equal prefix and size, named by its least id
     nodes = written(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.first("g").alias("g")))
-    heads = nodes.groupBy("g").agg(F.min("node").alias("gid"), (F.count(F.lit(1)) > 1).alias("many"))
-    groups = heads.join(full.select(F.col("id").alias("gid"), "g", "n", "prefix"), ["gid", "g"]).dropDuplicates(["gid", "g"])
-    postings = groups.select("gid", "g", "n", "many", F.posexplode("prefix").alias("pos", "token"))
-    hubs = postings.groupBy("token").agg(
-        F.min_by("gid", "pos").alias("hub"), F.min("pos").alias("hub_pos"), F.min_by("n", "pos").alias("hub_n"),
-        F.count(F.lit(1)).alias("groups"), F.max("many").alias("shared"),
-    ).filter("groups > 1 or shared")
-    lists = written(postings.select("token", "gid", "g", "n", "pos").join(hubs, "token"))
+    heads = nodes.groupBy("g").agg(F.min("node").alias("gid"), (F.count(F.lit(1)) > 1).alias("many"), F.first("n").alias("n"))
+    others = full.select("id", "g").join(heads.select("g", "gid"), "g").filter("id != gid").select("id", "g").distinct().checkpoint()
+    groups = full.select("id", "g", "n", "prefix").join(small(others), ["id", "g"], "left_anti")
+    postings = groups.select(F.col("id").alias("gid"), "g", "n", F.posexplode("prefix").alias("pos", "token"))
+    # an element that only one group has says nothing; counting first keeps the rest of the row out of one shuffle
+    shared = postings.groupBy("token").count().filter("count > 1").select("token")
+    inside = heads.filter("many").select(F.col("g").alias("token"), "gid", "g", "n", F.lit(0).alias("pos"))
+    lists = written(postings.join(shared, "token").select("token", "gid", "g", "n", "pos").unionByName(inside))
+    hubs = lists.groupBy("token").agg(F.min_by("gid", "pos").alias("hub"), F.min("pos").alias("hub_pos"), F.min_by("n", "pos").alias("hub_n"))
     members = nodes.join(lists.select("g").distinct(), "g", "left_semi").select("node", "g", "n")
-    texts = written(compressed(docs, id_col, text_col).join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates())
-    ahead = lists.filter(may_link("n", "pos", "hub_n", "hub_pos", share)).select("hub", "g").distinct()
+    texts = written(_texts_of(docs, members.select(F.col("node").alias("id")).distinct().checkpoint(), id_col, text_col))
+    maps = full.select(F.col("id").alias("node"), "n", "map").join(members.select("node"), "node", "left_semi").checkpoint()
+    ahead = lists.join(hubs, "token").filter(may_link("n", "pos", "hub_n", "hub_pos", share)).select("hub", "g").distinct()
     pairs = ahead.join(members, "g").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     pairs = pairs.unionByName(heads.join(members, "g").select(F.col("gid").alias("a"), F.col("node").alias("b"))).filter("a != b").distinct()
-    maps = full.select(F.col("id").alias("node"), "n", "map").join(members.select("node"), "node", "left_semi").checkpoint()
     links = verified(plausible(pairs, maps, share).checkpoint(), texts, width, share).checkpoint()
     found = _with_component(members, components(links))
     # lists that still hold several components
