@@ -71,17 +71,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The winner is matched by its id and digest; where several rows carry both (repeated rows), one stays.
     """
-    winners = _winners(_keyed(docs, id_col, text_col, salts)).select(
-        F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest")
-    )
+    name = F.coalesce(F.col("__id").cast("string"), F.lit(""))
+    winners = _winners(_keyed(docs, id_col, text_col, salts)).select(F.col("keep_id").alias("__id"), F.col("digest").alias("__digest"))
+    winners = winners.select(name.alias("__name"), "__digest")
     sealed = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
-    sealed = sealed.withColumn("__digest", F.unhex(F.sha2("__text", 256))).drop("__text")
-    kept = sealed.alias("d").join(
-        winners.alias("w"),
-        (F.col("d.__digest") == F.col("w.__digest")) & F.col("d.__id").eqNullSafe(F.col("w.__keep")),
-        "left_semi",
-    )
-    return kept.groupBy("__id", "__digest").agg(F.first("__row").alias("__row")).select("__row.*")
+    sealed = sealed.select("__row", name.alias("__name"), F.unhex(F.sha2("__text", 256)).alias("__digest"))
+    kept = sealed.join(winners, ["__name", "__digest"], "left_semi")
+    return kept.groupBy("__name", "__digest").agg(F.first("__row").alias("__row")).select("__row.*")
 
 
 ORACLE_SQL = """
