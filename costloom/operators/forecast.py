@@ -14,6 +14,7 @@ OVER, UNDER, RUN, RECENT = 1.5, 0.5, 3, 5
 
 def members(choice: DataFrame) -> DataFrame:
     """Adds each member's forecast per step (null where it does not run), burn state and residual sums."""
+    choice = choice.persist()  # a row per project; every member reads it
     x = choice
     s = smoothing.ses(choice).select("project_id", F.col("level").alias("ses_level"), "sse", "sae")
     t = smoothing.damped_trend(choice).select("project_id", "phi", F.col("level").alias("trend_level"), "trend")

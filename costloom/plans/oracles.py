@@ -69,7 +69,7 @@ proj AS MATERIALIZED (SELECT *, baseline_daily_cost * baseline_total_days AS bas
 
 HISTORY = """weeks AS (SELECT project_id, date_trunc('week', "timestamp") AS week, sum(cost_usd) AS cost FROM uu GROUP BY ALL),
 hist0 AS (SELECT project_id, CAST(row_number() OVER w AS INTEGER) AS iteration, sum(cost) OVER w AS run FROM weeks WINDOW w AS (PARTITION BY project_id ORDER BY week)),
-hist AS (SELECT project_id, iteration, run / iteration * 30 / 7 AS projected_total FROM hist0)"""
+hist AS (SELECT project_id, iteration, run / iteration * 4.2857143::DOUBLE AS projected_total FROM hist0)"""
 UP = USERS + ", " + projects_of("uu")
 
 SERIES = f"""daily AS ({DAILY.format("uu")}),
@@ -249,7 +249,7 @@ SELECT model, input, output, provider, tier, CASE WHEN tier = 'Unknown' THEN '?'
     "token_estimate": "SELECT doc_id AS prompt_id, CAST(greatest(1, length(coalesce(text, '')) // 4) AS BIGINT) AS tokens FROM documents",
     "calc_matrix": f"{MATRIX} SELECT prompt_id, model, CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens, round(cost_per_call, 9) AS cost_per_call, round(cost_per_call * 10, 9) AS cost_total, tier FROM matrix",
     "calc_extremes": f"{MATRIX} SELECT prompt_id, arg_min(model, (cost_per_call, model)) AS cheapest, arg_min(model, (-cost_per_call, model)) AS dearest, round(max(cost_per_call) / min(cost_per_call), 6) AS ratio FROM matrix GROUP BY prompt_id HAVING count(*) >= 2 AND max(cost_per_call) > 0",
-    "daily_costs": f"{USAGE} SELECT project_id, day, round(cost, 6) AS cost, total_tokens FROM ({DAILY.format('usage')})",
+    "daily_costs": f"{USAGE} SELECT project_id, CAST(day AS VARCHAR) AS day, round(cost, 6) AS cost, total_tokens FROM ({DAILY.format('usage')})",
     **{
         name: f"{USAGE} SELECT project_id, {bucket('\"timestamp\"', k)} AS bucket, round(sum(cost_usd), 6) AS cost, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens FROM usage GROUP BY ALL"
         for name, k in (("bucketed_costs", 15), ("bucketed_costs_7", 7))
@@ -261,19 +261,19 @@ SELECT model, input, output, provider, tier, CASE WHEN tier = 'Unknown' THEN '?'
     "model_profile": f"{USAGE}, {PROFILE} SELECT project_id, model, calls, {r('total_cost avg_in avg_out')} FROM profile",
     "short_outputs": f"{USAGE}, {PROFILE} SELECT project_id, model, short_calls, round(short_cost, 6) AS short_cost FROM profile",
     "session_summary": f"{USAGE} SELECT project_id, model, round(sum(cost_usd), 6) AS cost, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS tokens, count(*) AS calls FROM usage GROUP BY GROUPING SETS ((project_id), (project_id, model))",
-    "active_series": f"{USERS} SELECT project_id, day, round(cost, 6) AS cost, total_tokens FROM ({DAILY.format('uu')}) WHERE cost > 0",
+    "active_series": f"{USERS} SELECT project_id, CAST(day AS VARCHAR) AS day, round(cost, 6) AS cost, total_tokens FROM ({DAILY.format('uu')}) WHERE cost > 0",
     "recent_usage": f'{USAGE} SELECT project_id, id, "timestamp", model, tokens_in, tokens_out, round(cost_usd, 6) AS cost_usd, CAST(row_number() OVER w AS INTEGER) AS rank FROM usage WINDOW w AS (PARTITION BY project_id ORDER BY "timestamp" DESC, id DESC) QUALIFY row_number() OVER w <= 20',
     "recent_five": f'{USAGE} SELECT project_id, id, tokens_in + tokens_out AS tokens, CAST(row_number() OVER w AS INTEGER) AS rank FROM usage WINDOW w AS (PARTITION BY project_id ORDER BY "timestamp" DESC, id DESC) QUALIFY row_number() OVER w <= 5',
-    "last_14_days": f"{USAGE}, d AS ({DAILY.format('usage')}), x AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY day DESC) AS k, max(cost) OVER (PARTITION BY project_id) AS top FROM d) SELECT project_id, day, round(cost, 6) AS cost, CAST(k AS INTEGER) AS rank, round(CASE WHEN top > 0 THEN cost / top ELSE 0 END, 6) AS ratio FROM x WHERE k <= 14",
+    "last_14_days": f"{USAGE}, d AS ({DAILY.format('usage')}), x AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY day DESC) AS k, max(cost) OVER (PARTITION BY project_id) AS top FROM d) SELECT project_id, CAST(day AS VARCHAR) AS day, round(cost, 6) AS cost, CAST(k AS INTEGER) AS rank, round(CASE WHEN top > 0 THEN cost / top ELSE 0 END, 6) AS ratio FROM x WHERE k <= 14",
     "forecast_history": f"{USERS}, {HISTORY} SELECT project_id, iteration, round(projected_total, 6) AS projected_total FROM hist",
     "forecast_tail": f"{USERS}, {HISTORY} SELECT project_id, iteration, round(projected_total, 6) AS projected_total, CAST(row_number() OVER (PARTITION BY project_id ORDER BY iteration DESC) AS INTEGER) AS rank FROM hist QUALIFY rank <= 10",
     "convergence": f"{USERS}, {HISTORY}, x AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY iteration DESC) <= 5), y AS (SELECT *, max(projected_total) OVER p AS top, count(*) OVER p AS k FROM x WINDOW p AS (PARTITION BY project_id)) SELECT project_id, iteration, round(projected_total, 6) AS projected_total, round(CASE WHEN top > 0 THEN projected_total / top ELSE 0 END, 6) AS ratio FROM y WHERE k >= 2",
     "export_usage": f'{USAGE} SELECT project_id, "timestamp", model, provider, tokens_in, tokens_out, round(cost_usd, 6) AS cost_usd FROM usage QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY "timestamp" DESC, id DESC) <= 1000',
     "purge_usage": f"{USAGE} SELECT project_id, count(*) AS calls, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS spend FROM usage WHERE project_id % 2 <> 0 GROUP BY ALL",
-    "project_lookup": f"{USAGE}, {projects_of('usage')} SELECT project_id, path, name, CASE WHEN project_id % 5 <> 0 THEN 'agent' END AS project_type, CASE WHEN project_id % 5 <> 0 THEN project_id % 7 * 10 END AS calls_per_day, CASE WHEN project_id % 5 <> 0 THEN CAST(project_id % 5 AS DOUBLE) END AS budget FROM proj",
+    "project_lookup": f"{USAGE}, {projects_of('usage')} SELECT project_id, path, name, CASE WHEN project_id % 5 <> 0 THEN 'agent' END AS project_type, CASE WHEN project_id % 5 <> 0 THEN project_id % 7 * 10 ELSE 0 END AS calls_per_day, CASE WHEN project_id % 5 <> 0 THEN CAST(project_id % 5 AS DOUBLE) END AS budget FROM proj",
     "ingest_usage": f"{RAW}, tracked AS (SELECT * FROM stat WHERE status = 'tracked'), {resolved('tracked')} {priced('tracked')}",
     "ingest_lenient": f"{RAW}{_LENIENT}, kept AS (SELECT * FROM lenient WHERE tokens_in IS NOT NULL AND tokens_out IS NOT NULL), {resolved('kept')} {priced('kept')}",
-    "ingest_stats": f"{RAW} SELECT project_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("tracked", "skipped_streaming", "ignored", "error")) + " FROM stat GROUP BY ALL",
+    "ingest_stats": f"{RAW} SELECT coalesce(project_id, 0) AS project_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("tracked", "skipped_streaming", "ignored", "error")) + " FROM stat GROUP BY ALL",
     "adaptive_buckets": f"{CHOICE} SELECT project_id, minutes, bucket, round(cost, 6) AS cost, total_tokens FROM adaptive",
     "series_choice": f"{CHOICE} SELECT project_id, use_buckets, n, active_days, remaining_days, horizon, round(buckets_per_day, 6) AS buckets_per_day, data_granularity, round(actual_spend, 6) AS actual_spend, total_tokens FROM choice",
     "ema_forecast": f"{CHOICE}, x AS (SELECT *, {EMA} AS ratio FROM choice) SELECT project_id, round(ratio, 6) AS ratio, round(greatest(0, ratio * base), 6) AS daily_forecast, remaining_days FROM x",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DateType, DoubleType
 
 from costloom.functions import pricing
 from costloom.operators import aggregates as agg, forecast as fc, optimize, reports, scope, series, smoothing
@@ -17,7 +17,13 @@ CUTS = [5, 10, 20]
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Sums of doubles differ in their last digits between engines."""
-    return df.select(*[F.round(f.name, places).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields])
+
+    def shown(f):
+        if isinstance(f.dataType, DoubleType):
+            return F.round(f.name, places).alias(f.name)
+        return F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, DateType) else F.col(f.name)
+
+    return df.select(*map(shown, df.schema.fields))
 
 
 def _usage(f: Callable[[DataFrame], DataFrame]):
@@ -91,7 +97,7 @@ def _purged(spark, d):
 
 def _lookup(spark, d):
     found = tables.project_lookup(views.projects(views.usage(spark, d)))
-    return found.select("project_id", "path", "name", F.col("metadata.project_type").alias("project_type"), F.col("metadata.calls_per_day").alias("calls_per_day"), F.col("metadata.budget").alias("budget"))
+    return found.select("project_id", "path", "name", F.col("metadata.project_type").alias("project_type"), F.coalesce("metadata.calls_per_day", F.lit(0)).alias("calls_per_day"), F.col("metadata.budget").alias("budget"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -130,7 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # ingest
     "ingest_usage": _ingested(ingest.ingest),
     "ingest_lenient": _ingested(ingest.ingest_lenient),
-    "ingest_stats": lambda s, d: ingest.ingest_stats(views.raw(s, d)),
+    "ingest_stats": lambda s, d: ingest.ingest_stats(views.raw(s, d)).fillna(0, ["project_id"]),
     # forecast
     "adaptive_buckets": _users(lambda u, p, h: series.adaptive_buckets(u)),
     "series_choice": _choice(lambda c: c.select("project_id", "use_buckets", "n", "active_days", "remaining_days", "horizon", "buckets_per_day", "data_granularity", "actual_spend", "total_tokens")),

@@ -53,7 +53,7 @@ def history(usage: DataFrame) -> DataFrame:
     weeks = usage.groupBy("project_id", F.date_trunc("week", "timestamp").alias("week")).agg(F.sum("cost_usd").alias("cost"))
     w = W.partitionBy("project_id").orderBy("week")
     x = weeks.withColumn("iteration", F.row_number().over(w)).withColumn("run", F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return x.select("project_id", "iteration", (F.col("run") / F.col("iteration") * 30 / 7).alias("projected_total"))
+    return x.select("project_id", "iteration", (F.col("run") / F.col("iteration") * 4.2857143).alias("projected_total"))
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,29 +30,48 @@ def _text(v: Column, path: str) -> Column:
     return F.when(_kind(x) == "STRING", F.try_variant_get(v, path, "string"))
 
 
+def _fields(body: Column) -> Column:
+    """All that is read from a body, in one struct: the text is parsed once and each field tested once.
+
+    The transform keeps the tests out of generated code, which would outgrow a Java method.
+    """
+    parsed = F.try_parse_json(F.when(body != "", body))
+
+    def read(v: Column) -> Column:
+        has = lambda key: _at(v, f"$.usage.{key}").isNotNull()
+        whole = lambda key: _whole(_at(v, f"$.usage.{key}"))
+        keys = ("prompt_tokens", "completion_tokens", "input_tokens", "output_tokens")
+        choices = F.coalesce(F.try_variant_get(v, "$.choices", "array<variant>"), F.array().cast("array<variant>"))
+        named = F.filter(F.transform(choices, lambda c: F.try_variant_get(c, "$.message.model", "string")), lambda m: m.isNotNull())
+        return F.struct(
+            v.isNotNull().alias("read"), _kind(v).alias("root"), _kind(_at(v, "$.usage")).alias("usage"),
+            *[has(k).alias(f"has_{k}") for k in keys], *[whole(k).alias(k) for k in keys],
+            _text(v, "$.model").alias("model"), _text(v, "$.id").alias("id"), F.get(named, F.lit(0)).alias("choice"),
+            F.try_variant_get(v, "$.model", "string").alias("any_model"), F.try_variant_get(v, "$.id", "string").alias("any_id"),
+        )
+
+    return F.get(F.transform(F.array(parsed), read), F.lit(0))
+
+
 def classify(raw: DataFrame, skip_streaming: bool = True) -> DataFrame:
     """Adds status (tracked, skipped_streaming, ignored, error), model, tokens_in, tokens_out."""
-    v = F.col("__v")
-    x = raw.withColumn("__v", F.try_parse_json(F.when(F.col("body") != "", F.col("body"))))
-    usage = _at(v, "$.usage")
-    pair = lambda a, b: _at(v, f"$.usage.{a}").isNotNull() & _at(v, f"$.usage.{b}").isNotNull()
-    first, second = pair("prompt_tokens", "completion_tokens"), pair("input_tokens", "output_tokens")
-    pick = lambda a, b: F.when(first, _whole(_at(v, f"$.usage.{a}"))).when(second, _whole(_at(v, f"$.usage.{b}")))
-    x = x.withColumn("tokens_in", pick("prompt_tokens", "input_tokens")).withColumn("tokens_out", pick("completion_tokens", "output_tokens"))
-    choices = F.try_variant_get(v, "$.choices", "array<variant>")
-    named = F.transform(F.coalesce(choices, F.array().cast("array<variant>")), lambda c: F.try_variant_get(c, "$.message.model", "string"))
-    x = x.withColumn("model", F.coalesce(_text(v, "$.model"), _text(v, "$.id"), F.get(F.filter(named, lambda m: m.isNotNull()), F.lit(0)), F.lit("unknown")))
+    f = lambda name: F.col(f"__f.{name}")
+    x = raw.withColumn("__f", _fields(F.col("body")))
+    first, second = f("has_prompt_tokens") & f("has_completion_tokens"), f("has_input_tokens") & f("has_output_tokens")
+    x = x.withColumn("tokens_in", F.when(first, f("prompt_tokens")).when(second, f("input_tokens")))
+    x = x.withColumn("tokens_out", F.when(first, f("completion_tokens")).when(second, f("output_tokens")))
+    x = x.withColumn("model", F.coalesce(f("model"), f("id"), f("choice"), F.lit("unknown")))
     streaming = F.coalesce(F.col("content_type"), F.lit("")).startswith("text/event-stream")
     status = F.when(streaming, "skipped_streaming") if skip_streaming else F.when(F.lit(False), "")
     status = (
-        status.when(v.isNull(), "ignored")
-        .when(_kind(v) != "OBJECT", "error")
-        .when(usage.isNull() | (_kind(usage) != "OBJECT") | ~(first | second), "ignored")
+        status.when(~f("read"), "ignored")
+        .when(f("root") != "OBJECT", "error")
+        .when(f("usage").isNull() | (f("usage") != "OBJECT") | ~(first | second), "ignored")
         .when(F.col("tokens_in").isNull() | F.col("tokens_out").isNull(), "error")
         .when(F.col("project_id").isNull(), "ignored")
         .otherwise("tracked")
     )
-    return x.withColumn("status", status).drop("__v")
+    return x.withColumn("status", status).drop("__f")
 
 
 def priced(calls: DataFrame) -> DataFrame:
@@ -76,13 +95,11 @@ def ingest(raw: DataFrame, skip_streaming: bool = True) -> DataFrame:
 
 def ingest_lenient(raw: DataFrame) -> DataFrame:
     """Each field falls back on its own: prompt_tokens, input_tokens, 0; model, id, unknown. No content-type test."""
-    v = F.col("__v")
-    x = raw.withColumn("__v", F.try_parse_json(F.when(F.col("body") != "", F.col("body"))))
-    x = x.filter((_kind(v) == "OBJECT") & (_kind(_at(v, "$.usage")) == "OBJECT") & F.col("project_id").isNotNull())
-    either = lambda a, b: F.when(_at(v, f"$.usage.{a}").isNotNull(), _whole(_at(v, f"$.usage.{a}"))).when(_at(v, f"$.usage.{b}").isNotNull(), _whole(_at(v, f"$.usage.{b}"))).otherwise(0)
+    f = lambda name: F.col(f"__f.{name}")
+    x = raw.withColumn("__f", _fields(F.col("body"))).filter((f("root") == "OBJECT") & (f("usage") == "OBJECT") & F.col("project_id").isNotNull())
+    either = lambda a, b: F.when(f(f"has_{a}"), f(a)).when(f(f"has_{b}"), f(b)).otherwise(0)
     x = x.withColumn("tokens_in", either("prompt_tokens", "input_tokens")).withColumn("tokens_out", either("completion_tokens", "output_tokens"))
-    name = F.coalesce(F.try_variant_get(v, "$.model", "string"), F.try_variant_get(v, "$.id", "string"), F.lit("unknown"))
-    x = x.withColumn("model", name).filter("tokens_in is not null and tokens_out is not null").drop("__v")
+    x = x.withColumn("model", F.coalesce(f("any_model"), f("any_id"), F.lit("unknown"))).filter("tokens_in is not null and tokens_out is not null").drop("__f")
     return priced(x.withColumn("timestamp", F.col("received_at")))
 
 
