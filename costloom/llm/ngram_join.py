@@ -10,8 +10,8 @@ order two linked sets share an element of their prefixes (the first n - ceil(0.9
 Grouping. Equal sets are one node. Nodes of equal prefix and size are one group, and only groups go
 through the join on prefix elements. Each element's list names a hub, the group where it stands first;
 groups pair with hubs, pairs that size or place rule out go, and the rest expand to members, whose whole sets
-are compared. A 1,024-bit parity map of each set rules out most pairs before that (maps never differ in
-more bits than sets do in elements). What that links are components; a list whose nodes are all in one component holds no further
+are compared. A parity map of each set, of a bit or two for each element, rules out most pairs before
+that (maps never differ in more bits than sets do in elements). What that links are components; a list whose nodes are all in one component holds no further
 news. In the other lists every pair of nodes of different components is compared, unless size or place
 rules it out. So all components are exact, while a group of a million near copies costs about one
 comparison each, not one for each pair.
@@ -145,12 +145,13 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share:
                 g.append(mix(mix(prefix).sum(dtype=U) + U(k)))
                 lengths.append(length)
                 prefixes.append(prefix)
-                odd = np.bincount((s >> U(64 - MAP_BITS)).astype(np.int64), minlength=1 << MAP_BITS) & 1
+                bits = 1 << max(MAP_BITS, int(k - 1).bit_length() if k else 0)
+                odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
                 maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             tokens = np.concatenate(prefixes).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), pa.array(tokens))
             longs = [pa.array(np.array(x, U).view(np.int64)) for x in (h1, h2, g)]
-            kept = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * len(maps[0])), pa.array(np.concatenate(maps)))
+            kept = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, maps)]).astype(np.int32)), pa.array(np.concatenate(maps)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *longs, lists, kept], ["id", "n", "h1", "h2", "g", "prefix", "map"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(
@@ -172,12 +173,20 @@ def plausible(pairs: DataFrame, maps: DataFrame, share: tuple[int, int]) -> Data
     both = pairs.join(x, F.col("a") == F.col("anode")).join(y, F.col("b") == F.col("bnode"))
     size = F.col("an") + F.col("bn")
     most = size - 2 * F.ceil(size * share[0] / (share[0] + share[1]) - 1e-9)
-    apart = F.aggregate(F.zip_with("amap", "bmap", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, k: t + k)
+    half = lambda m: (F.size(m) / 2).cast("int")
+    folded = lambda m: F.zip_with(F.slice(m, F.lit(1), half(m)), F.slice(m, half(m) + 1, half(m)), lambda u, v: u.bitwiseXOR(v))
+    # sets that may link differ in size by less than 2, so their maps by one halving at most
+    left = F.when(F.size("amap") > F.size("bmap"), folded(F.col("amap"))).otherwise(F.col("amap"))
+    right = F.when(F.size("bmap") > F.size("amap"), folded(F.col("bmap"))).otherwise(F.col("bmap"))
+    both = both.filter(F.least("an", "bn") * share[1] >= F.greatest("an", "bn") * share[0])
+    apart = F.aggregate(F.zip_with(left, right, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, k: t + k)
     return both.filter(apart <= most).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """pairs: a, b -> those whose whole sets link. texts: id, z."""
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
+    """pairs: a, b -> those whose whole sets link."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint()
+    texts = written(_texts_of(docs, ids, id_col, text_col))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     left = salted.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
     heads = salted.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
@@ -224,6 +233,8 @@ def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """id, n_shingles, component_id of each row."""
+    if 2 * share[0] < share[1]:
+        raise ValueError("a share of one half at least is needed")
     sets = written(prefix_table(docs, id_col, text_col, width, share))
     full = sets.filter("n > 0 and id is not null")
     # distinct sets; one group for those of equal prefix and size, named by its least id
@@ -238,12 +249,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = written(postings.join(shared, "token").select("token", "gid", "g", "n", "pos").unionByName(inside))
     hubs = lists.groupBy("token").agg(F.min_by("gid", "pos").alias("hub"), F.min("pos").alias("hub_pos"), F.min_by("n", "pos").alias("hub_n"))
     members = nodes.join(lists.select("g").distinct(), "g", "left_semi").select("node", "g", "n")
-    texts = written(_texts_of(docs, members.select(F.col("node").alias("id")).distinct().checkpoint(), id_col, text_col))
     maps = full.select(F.col("id").alias("node"), "n", "map").join(members.select("node"), "node", "left_semi").checkpoint()
     ahead = lists.join(hubs, "token").filter(may_link("n", "pos", "hub_n", "hub_pos", share)).select("hub", "g").distinct()
     pairs = ahead.join(members, "g").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     pairs = pairs.unionByName(heads.join(members, "g").select(F.col("gid").alias("a"), F.col("node").alias("b"))).filter("a != b").distinct()
-    links = verified(plausible(pairs, maps, share).checkpoint(), texts, width, share).checkpoint()
+    links = verified(plausible(pairs, maps, share).checkpoint(), docs, id_col, text_col, width, share).checkpoint()
     found = _with_component(members, components(links))
     # lists that still hold several components
     entries = lists.select("token", "g", "pos").join(found, "g")
@@ -256,7 +266,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         y, (F.col("component1") != F.col("component2")) & may_link("n1", "pos1", "n2", "pos2", share) & (x["token"] == y["token"])
     )
     rest = across.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
-    links = links.unionByName(verified(plausible(rest, maps, share).checkpoint(), texts, width, share)).checkpoint()
+    links = links.unionByName(verified(plausible(rest, maps, share).checkpoint(), docs, id_col, text_col, width, share)).checkpoint()
     by_set = _with_component(nodes, components(links)).select("h1", "h2", "n", "component")
     out = sets.join(by_set, ["h1", "h2", "n"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")))
