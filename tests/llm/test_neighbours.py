@@ -65,3 +65,12 @@ def test_tree_order():
     assert sorted(order) == list(range(tree.bins)) and tree.bins >= 10
     assert order[0] == tree.bin_of(x[:1])[0]
     assert neighbours.Tree(np.tile(x[:1], (50, 1)), 10).bins == 1
+
+
+def test_recall_on_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
+    want = brute(rows, [i for i, _ in rows if i % 50 == 0])
+    got = neighbours.nearest(df, F.col("id") % 50 == 0, bin_rows=50).collect()
+    hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
+    assert len(got) == 5 * len(want) and hits / len(got) >= 0.9
