@@ -1 +1,8 @@
 """Spark-native LLM-usage cost analytics: ingest, price, aggregate, forecast."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
