@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
-import costloom
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Task functions travel with the job, so executors need no copy of this repository.
-cloudpickle.register_pickle_by_value(sys.modules[costloom.__name__])
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(where)
     return where
 
 

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from costloom.llm.common import shared_dir
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long) -> node, component (the least node that can be reached) of every node in an edge."""
+    shared_dir(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct().checkpoint()
     f = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("p")).checkpoint()
     while True:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from costloom.llm.common import small, text_or_empty
+from costloom.llm.common import shared_dir, small, text_or_empty
 
 SALTS = 16
 
@@ -41,6 +41,7 @@ def _winners(keyed: DataFrame) -> DataFrame:
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """A row per input row: id, keep_id, group_size, kept, text_sha256."""
+    shared_dir(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col, salts)
     winners = _winners(keyed)
     classes = winners.select("digest", "keep_id", "group_size").checkpoint()

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from costloom.llm.common import shared_dir
+
 SAMPLE = 300
 TREES, DEPTH, STEP = 14, 4, 0.3
 # Kinds of tags and words in class, id and role that tell what an element is for.
@@ -317,6 +319,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
+    shared_dir(pages.sparkSession)
     nodes = training_nodes(pages, id_col, html_col, sample).select(array_to_vector("x").alias("features"), "label").checkpoint()
     if nodes.select("label").distinct().count() < 2:
         return None
