@@ -30,7 +30,7 @@ ORDER = 3
 PER_LANGUAGE = 400
 MOST_LANGUAGES = 1000
 REJECT_BITS = 7.5  # a byte; text of the learned languages takes about three
-PIECE = 1 << 20
+PIECE = 1 << 18
 _TO_BLANK = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-TABLE_CHUNKS = 400_000  # chunks kept between batches; a bound of memory, not of what is encoded
+TABLE_CHUNKS = 100_000  # chunks kept between batches; a bound of memory, not of what is encoded
 
 
 def model_bytes(path: str) -> bytes:
@@ -81,8 +81,8 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
         sp = processor(model)
         chunks = ChunkTable(sp)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
                 all_ids = chunks.encode([t or "" for t in part.column(1).to_pylist()])
                 out = {
                     "n_tokens": pa.array([len(i) for i in all_ids], pa.int64()),
