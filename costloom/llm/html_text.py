@@ -12,7 +12,9 @@ tag that gave the label: with the tag renamed, with tag and token features blank
 (notices, comments, adverts, asides, forms) made of the page's own prose put between its paragraphs.
 
 Text. Markup, scripts, styles, form controls and comments go when a page is read; character references
-are decoded; white space (and br) in a block is one space; blocks are joined by two line feeds.
+are decoded; white space (and br) in a block is one space; blocks are joined by two line feeds. Controls and
+embedded content go up to their own end tag; where that is missing, up to the next block tag, the end of what they
+stand in or the next tag that HTML ends them at. Only script, style, textarea, title and comments run to the page's end.
 
 Defined cases: null or empty html, or no main text: an empty string; unclosed and misnested tags are closed
 where HTML closes them; without labelled pages a page's blocks outside navigation, headers, footers, asides,
@@ -37,26 +39,79 @@ SAMPLE = 300
 TREES, DEPTH, STEP = 14, 4, 0.3
 # Kinds of tags and words in class, id and role that tell what an element is for.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr picture source".split())
-DROPPED = "script|style|title|textarea|noscript|template|svg|iframe|object|select|button|option|canvas|audio|video"
+RAW = "script|style|title|textarea"
+DROPPED = set("noscript template svg iframe object select button option canvas audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 KINDS = {"article": 0, "main": 0, "nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "form": 5, "fieldset": 5, "dialog": 5, "p": 6, "blockquote": 6, "pre": 6, "ul": 8, "ol": 8, "li": 8, "dl": 8} | {f"h{i}": 7 for i in range(1, 7)}
 NEGATIVE = set("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice alert popup promo promoted related recommended reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget pagination pager".split())
 POSITIVE = set("article articlebody body content entry main maincontent page post story text".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+RESTARTS = {"button": "button", "option": "option", "optgroup": "option", "select": "select"}  # tags that end an open element
+BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 WIDTH = 29
 ANCESTRY, TAGS = [0, 11, 13, 14], [0, 1, 2, 3, 4, 5, 10, 11, 12, 13, 14, 15, 28]
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{DROPPED})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|(?P<start><(?P<raw>{RAW})(?=[\s/>])[^>]*>).*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+_DROPPED = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
 _NAMED = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
+def dropped_spans(source: str) -> dict[int, int]:
+    """Where each dropped element ends, by the place of its start tag."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int, int]] = []  # tag, its place, block tags before it
+    count = dict.fromkeys(["svg", "foreignobject"], 0)
+    blocks: list[int] = []
+    place = 0
+
+    def pop(tag: str, at: int, own_end: int | None = None) -> None:
+        """Ends the innermost such element, and what is open in it, at a tag (its own end tag: after it)."""
+        while True:
+            name, start, before = stack.pop()
+            count[name] -= 1
+            if name in DROPPED:
+                own = name == tag and own_end is not None
+                ends[start] = own_end if own else min([at, *blocks[before : before + 1]])
+            if name == tag:
+                return
+
+    while m := _TOKEN.search(source, place):
+        at, place = m.start(), m.end()
+        if m["raw"] and count["svg"] and m["start"].endswith("/>"):
+            place = m.end("start")
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if not tag or tag == "head":
+            continue
+        in_svg = count["svg"] > count["foreignobject"]
+        if m["end"] or m["end2"]:
+            if tag in BLOCKS:
+                blocks.append(at)
+            if count.get(tag):
+                pop(tag, at, m.end())
+            continue
+        if tag in BLOCKS:
+            blocks.append(at)
+            if in_svg:  # HTML ends drawings there
+                pop("svg", at)
+        if count.get(RESTARTS.get(tag)):
+            pop(RESTARTS[tag], at)
+        if m[0].endswith("/>") and (in_svg or tag == "svg"):
+            ends[at] = m.end()
+        elif tag not in VOID and tag not in INLINE:
+            stack.append((tag, at, len(blocks)))
+            count[tag] = count.get(tag, 0) + 1
+    while stack:
+        pop(stack[-1][0], len(source))
+    return ends
+
+
 class Page:
     """The nodes of a page in page order, as columns; node 0 is the page."""
 
@@ -72,15 +127,19 @@ class Page:
                 self._add(stack[-1], "#text", "", block, min(link_chars, len(block)))
             run, link_chars = [], 0
 
-        for m in _TOKEN.finditer(source):
+        dropped = dropped_spans(source) if _DROPPED.search(source) else {}
+        while m := _TOKEN.search(source, at):
             if m.start() > at:
                 run.append(source[at : m.start()])
                 link_chars += (m.start() - at) * in_link
             at = m.end()
             tag = (m["tag"] or m["tag2"] or "").lower()
-            if not tag:
+            if not tag or tag == "head":
                 continue
             closing = bool(m["end"] or m["end2"])
+            if tag in DROPPED:
+                at = at if closing else dropped.get(m.start(), at)
+                continue
             if tag == "br":
                 run.append(" ")
             elif tag in INLINE:

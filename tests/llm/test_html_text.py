@@ -79,3 +79,28 @@ def test_no_holder_under_a_node_that_holds_none():
     p = np.array([0.9, 0.9, 0.01, 0.6, 0.6])
     assert page.decode(p) == []
     assert page.decode(np.array([0.9, 0.9, 0.4, 0.9, 0.9])) == ["x"]
+
+
+def test_dropped_elements_end_where_html_ends_them():
+    def texts(source):
+        return [t for t in html_text.Page(source).text if t]
+
+    assert texts("<p>A<svg-icon name=x></svg-icon></p><p>B</p>") == ["A", "B"]
+    for tag in ("video-player", "button-group", "title-card", "option-x", "head-line"):
+        assert texts(f"<{tag}><p>A</p></{tag}><p>B</p>") == ["A", "B"], tag
+    assert texts("<p>A<svg viewBox='0 0 1 1'/>b</p><p>C</p>") == ["Ab", "C"]
+    assert texts("<svg><title/><style/><path d=x /></svg><p>A</p>") == ["A"]
+    assert texts("<p>A<svg><text>no</text><svg>no</svg>no</svg>b</p><p>C</p>") == ["Ab", "C"]
+    assert texts("<svg><path d=x><p>A</p><footer>B</footer></svg>") == ["A", "B"]
+    assert texts("<svg><foreignObject><p>no</p></foreignObject></svg><p>A</p>") == ["A"]
+    assert texts("<datalist><option>x<option value=1>y</datalist><p>A</p>") == ["A"]
+    for tag in html_text.DROPPED - {"svg"}:
+        assert texts(f"<body><div><{tag}>no</div><p>A</p></body>") == ["A"], tag
+        assert texts(f"<body><{tag}>no<article><p>A</p></article></body>") == ["A"], tag
+        assert texts(f"<{tag}>no<p>A</p><{tag}>no</{tag}><p>B") == ["A", "B"], tag
+        assert texts(f"<{tag} a='>'>no<div>no</div><!-- </{tag}> --></{tag}><p>A") == ["A"], tag
+    assert texts("<head><title>t</title><p>A") == ["A"]
+    assert texts("<html><head><meta charset=x><title>t</title><script>a<b</script></head><body><p>A") == ["A"]
+    assert texts("<!--><p>A</p><!---><p>B</p><!-- no --!><p>C</p><!-- no -->") == ["A", "B", "C"]
+    assert texts("<p>A</p><script>no") == ["A"]
+    assert len(texts("<video>no<p>A" * 20_000)) == 20_000
