@@ -7,7 +7,7 @@ spherical k-means into `branch` children, down to bins whose expected share of a
 Search. A query walks the tree with a priority queue of branches, nearest centre first, which orders the
 bins. How many bins to visit is calibrated: for a bounded sample of queries the true neighbours are found by
 an exact scan, visits widen until the bins that were visited hold at least `recall` of them, and every query
-then visits that many.
+then visits that many, and goes on until the bins it visited hold k vectors of other ids.
 
 Jobs. Neighbouring bins are put together into slabs of bounded size, and a larger bin is dealt over several
 slabs; a slab meets blocks of the queries that visit its bins. So neither a bin with a third of all vectors nor
@@ -112,15 +112,16 @@ class Tree:
                     todo.append((number, part))
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` bins for a unit query, best first."""
+    def visits(self, q: np.ndarray, most: int, size: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first `most` bins for a unit query, best first; more until they hold `least` vectors (size: of bins)."""
         if not self.centres:
             return [0][:most]
-        queue, out = [(0.0, 0, False, 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(0.0, 0, False, 0)], [], 0
+        while queue and (len(out) < most or held < least):
             _, _, is_bin, number = heapq.heappop(queue)
             if is_bin:
                 out.append(number)
+                held += 0 if size is None else int(size[number])
                 continue
             for near, (child_bin, child) in zip(self.centres[number] @ q, self.children[number]):
                 heapq.heappush(queue, (-float(near), child, child_bin, child))
@@ -171,11 +172,9 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def slabs(counts: list, bins: int) -> tuple[np.ndarray, np.ndarray]:
+def slabs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First slab and number of slabs of each bin: bins in tree order share slabs of SLAB_ROWS vectors."""
-    size = np.zeros(bins, np.int64)
-    for r in counts:
-        size[r["bin"]] = r["count"]
+    bins = len(size)
     first, parts, slab, held = np.zeros(bins, np.int64), np.ones(bins, np.int64), 0, 0
     for b in range(bins):
         if held and held + size[b] > SLAB_ROWS:
@@ -237,17 +236,20 @@ def nearest(vectors: DataFrame, query_filter, k: int = K, recall: float = RECALL
             yield pa.RecordBatch.from_arrays([pa.array(bins), b.column(0), b.column(1)], ["bin", "id", "v"])
 
     placed = written(rows.mapInArrow(place, "bin int, id long, v array<double>"))
-    first, parts = slabs(placed.groupBy("bin").count().collect(), tree.bins)  # a row per bin, MOST_BINS at most
+    size = np.zeros(tree.bins, np.int64)
+    for r in placed.groupBy("bin").count().collect():  # a row per bin, MOST_BINS at most
+        size[r["bin"]] = r["count"]
+    first, parts = slabs(size)
     where = F.broadcast(spark.createDataFrame([(b, int(first[b]), int(parts[b])) for b in range(tree.bins)], "bin int, first int, parts int"))
     left = placed.join(where, "bin").withColumn("slab", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, qs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, qs, own = (b.column(c).to_pylist() for c in range(3))
             out = {"slab": [], "id": [], "v": [], "bins": []}
-            for i, v, q in zip(ids, qs, unit(matrix(b.column(1))) if ids else []):
+            for i, v, n, q in zip(ids, qs, own, unit(matrix(b.column(1))) if ids else []):
                 met: dict[int, list[int]] = {}
-                for number in shared.value.visits(q, visits):
+                for number in shared.value.visits(q, visits, size, k + n):
                     for slab in range(first[number], first[number] + parts[number]):
                         met.setdefault(int(slab), []).append(number)
                 for slab, bins in met.items():
@@ -256,7 +258,8 @@ def nearest(vectors: DataFrame, query_filter, k: int = K, recall: float = RECALL
             kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds)], list(out))
 
-    asked = written(queries.mapInArrow(walk, "slab int, id long, v array<double>, bins array<int>"))
+    repeats = queries.groupBy("id").agg(F.count(F.lit(1)).alias("own"))  # rows of an id, never each other's neighbours
+    asked = written(queries.join(repeats, "id").select("id", "v", "own").mapInArrow(walk, "slab int, id long, v array<double>, bins array<int>"))
     loads = asked.groupBy("slab").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     asked = asked.join(small(loads), "slab").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     left = left.join(small(loads), "slab").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

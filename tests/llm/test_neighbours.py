@@ -74,3 +74,27 @@ def test_recall_on_given_vectors(spark):
     got = neighbours.nearest(df, F.col("id") % 50 == 0, bin_rows=50).collect()
     hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
     assert len(got) == 5 * len(want) and hits / len(got) >= 0.9
+
+
+def test_outliers_get_k_neighbours(spark):
+    """Clusters of copies fill a bin each, so that one visit is enough for nearly all; outliers have bins of their own."""
+    rng = np.random.default_rng(3)
+    centres = neighbours.unit(rng.normal(size=(180, 16)))
+    rows = [(i, centres[i % 180].tolist()) for i in range(8100)]
+    rows += [(50 * (200 + i), (centres[i] + 0.05 * rng.normal(size=16)).tolist()) for i in range(3)]
+    got = neighbours.nearest(frame(spark, rows), F.col("id") % 50 == 0, bin_rows=40).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r.rank)
+    assert set(found) == {i for i, _ in rows if i % 50 == 0}
+    assert all(sorted(f) == [1, 2, 3, 4, 5] for f in found.values())
+
+
+def test_visits_go_on_until_they_hold_enough():
+    x = neighbours.unit(np.random.default_rng(2).normal(size=(500, 8)))
+    tree = neighbours.Tree(x, 20)
+    size = np.bincount(tree.bin_of(x), minlength=tree.bins)
+    for q in x[:20]:
+        visited = tree.visits(q, 1, size, 60)
+        assert size[visited].sum() >= 60 > size[visited[:-1]].sum()
+    assert sorted(tree.visits(x[0], 1, size, 501)) == list(range(tree.bins))
