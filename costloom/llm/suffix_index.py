@@ -26,7 +26,6 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +59,17 @@ def runs_of(data: np.ndarray, width: int, gram: int):
         yield grams[at], spans_hash(sums, lo, hi + width) ^ mix((at - lo).astype(U)), lo + base, hi + base
 
 
+def checksum(text: bytes) -> int:
+    """64 bits of a text that tell rows that share an id (or have none) apart."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def numbered(left: pa.Table, groups: int) -> dict[tuple[int, int], int]:
+    """A number for each distinct (id, sum) of a group's texts; modulo groups it is the group."""
+    found = {(NO_ID if i is None else i, s) for i, s in zip(left.column("id").to_pylist(), left.column("sum").to_pylist())}
+    return {key: left.column("grp")[0].as_py() + groups * n for n, key in enumerate(sorted(found))}
+
+
 def runs(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> DataFrame:
     """id, sum (of the text, to tell rows that share an id apart), gram, ctx, lo, hi of every run."""
 
@@ -73,7 +83,7 @@ def runs(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) ->
                         for r in runs_of(np.frombuffer(t, np.uint8), width, gram):
                             found.append(r)
                             owner.append(np.full(len(r[0]), NO_ID if i is None else i, np.int64))
-                            sums.append(np.full(len(r[0]), zlib.crc32(t), np.int64))
+                            sums.append(np.full(len(r[0]), checksum(t), np.int64))
                 if found:
                     g, c, lo, hi = (np.concatenate(x) for x in zip(*found))
                     cols = [np.concatenate(owner), np.concatenate(sums), g.view(np.int64), c.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)]
@@ -124,15 +134,15 @@ def strings_of(text: bytes, lo: np.ndarray, hi: np.ndarray, width: int) -> np.nd
 
 
 def repeated_strings(texts: DataFrame, picked: DataFrame, size: int, groups: int, width: int) -> DataFrame:
-    """Marks (id, hash) of the strings of the picked runs (grp, id, lo, hi) that two or more runs have."""
+    """Marks (text's number, hash) of the strings of the picked runs (grp, id, sum, lo, hi) that two or more runs have."""
     bits = packed.bits_for(size / 16)
 
     def entries(left: pa.Table, right: pa.Table) -> pa.Table:
         z, rows, held, owner, n = zstandard.ZstdDecompressor(), [], [], [], 0
-        frame = right.select(["id", "lo", "hi"]).to_pandas().sort_values(["id", "lo"])
-        where: dict = {}
-        for i, t in zip(left.column("id").to_pylist(), left.column("z").to_pylist()):
-            where.setdefault(NO_ID if i is None else i, []).append(t)
+        frame = right.select(["id", "sum", "lo", "hi"]).to_pandas().sort_values(["id", "sum", "lo"])
+        numbers = numbered(left, groups)
+        columns = (left.column(c).to_pylist() for c in ("id", "sum", "z"))
+        where = {(NO_ID if i is None else i, s): t for i, s, t in zip(*columns)}  # equal texts of an id are one
 
         def flush():
             hashes, ids = np.concatenate(held), np.concatenate(owner)
@@ -146,19 +156,13 @@ def repeated_strings(texts: DataFrame, picked: DataFrame, size: int, groups: int
             rows.extend(packed.pack(hashes[first], ids[first], bits))
             rows.extend({"bucket": -1 - m["grp"], "n": 0, "base": 0, "subs": b"", "low": m["hashes"], "ids": m["ids"]} for m in mark_rows(ids[more], hashes[more], groups))
 
-        for i, part in frame.groupby("id", sort=False):
-            lo, hi = part["lo"].to_numpy(), part["hi"].to_numpy()
-            for sealed_text in where.get(i, []):
-                text = z.decompress(sealed_text)
-                fits = hi + width <= len(text)
-                if not fits.any():
-                    continue
-                held.append(strings_of(text, lo[fits], hi[fits], width))
-                owner.append(np.full(len(held[-1]), i, np.int64))
-                n += len(held[-1])
-                if n >= CHUNK_STRINGS:
-                    flush()
-                    held, owner, n = [], [], 0
+        for key, part in frame.groupby(["id", "sum"], sort=False):
+            held.append(strings_of(z.decompress(where[key]), part["lo"].to_numpy(), part["hi"].to_numpy(), width))
+            owner.append(np.full(len(held[-1]), numbers[key], np.int64))
+            n += len(held[-1])
+            if n >= CHUNK_STRINGS:
+                flush()
+                held, owner, n = [], [], 0
         if held:
             flush()
         return pa.Table.from_pylist(rows, packed.ARROW)
@@ -190,7 +194,7 @@ def _notes(rows: list[dict]) -> pa.Table:
 
 
 def sealed(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
-    """grp, id and the compressed text."""
+    """grp, id, the text's checksum and the compressed text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +202,12 @@ def sealed(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFram
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                data = pa.array([z.compress(t or b"") for t in part.column(2).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), data], ["grp", "id", "z"])
+                texts = [t or b"" for t in part.column(2).to_pylist()]
+                cols = [pa.array([checksum(t) for t in texts], pa.int64()), pa.array([z.compress(t) for t in texts], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["grp", "id", "sum", "z"])
 
     grp = _group(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), groups)
-    return docs.select(grp.alias("grp"), F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(run, f"grp int, id {kind}, z binary")
+    return docs.select(grp.alias("grp"), F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(run, f"grp int, id {kind}, sum long, z binary")
 
 
 def _group(column, groups: int):
@@ -223,8 +228,8 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     whole = matched.filter("n > 1").select("grp", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("hashes"), "id", "sum", "lo", "hi")
     unsure = matched.filter("contexts > 1")
-    one = unsure.filter("n > 1").groupBy("gram", "ctx").agg(F.min(F.struct("grp", "id", "lo", "hi")).alias("r")).select("r.*")
-    picked = unsure.filter("n = 1").select("grp", "id", "lo", "hi").unionByName(one)
+    one = unsure.filter("n > 1").groupBy("gram", "ctx").agg(F.min(F.struct("grp", "id", "sum", "lo", "hi")).alias("r")).select("r.*")
+    picked = unsure.filter("n = 1").select("grp", "id", "sum", "lo", "hi").unionByName(one)
     texts = sealed(docs, id_col, text_col, groups)
     notes = whole.unionByName(repeated_strings(texts, picked, size, groups, width))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -243,14 +248,15 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ids, hashes = ids[order], hashes[order]
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         raw = left.column("id").combine_chunks() if left.num_rows else pa.array([], left.schema.field("id").type)
-        for i, sealed_text in zip(raw.to_pylist(), left.column("z").to_pylist()):
-            i = NO_ID if i is None else i
+        numbers = numbered(left, groups) if left.num_rows else {}
+        for i, s, sealed_text in zip(raw.to_pylist(), left.column("sum").to_pylist(), left.column("z").to_pylist()):
+            key = (NO_ID if i is None else i, s)
             text = z.decompress(sealed_text)
             step = np.zeros(len(text) + 1, np.int32)
-            lo, hi = spans.get((i, zlib.crc32(text)), ((), ()))
+            lo, hi = spans.get(key, ((), ()))
             np.add.at(step, np.array(lo, np.int64), 1)
             np.add.at(step, np.array(hi, np.int64) + width, -1)
-            a, b = np.searchsorted(ids, i), np.searchsorted(ids, i, "right")
+            a, b = np.searchsorted(ids, numbers[key]), np.searchsorted(ids, numbers[key], "right")
             if a < b and len(text) >= width:
                 wanted = np.unique(hashes[a:b])
                 own = windows_hash(bytes_sums(np.frombuffer(text, np.uint8)), width)

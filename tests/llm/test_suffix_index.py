@@ -87,3 +87,13 @@ def test_sliding_argmin():
 
 def test_empty(docs):
     assert suffix_index.drop_repeated_bytes(docs([])).collect() == []
+
+
+def test_near_variants_under_one_id_and_under_none(docs):
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh  é") for _ in range(3000))
+    edited = lambda shift: "".join(c if (k + shift) % 300 else "#" for k, c in enumerate(base))
+    one, other = edited(0), edited(150)
+    for rows in ([(None, one), (None, other)], [(7, one), (7, other)], [(7, one), (7, other), (8, base), (8, base), (None, base[:1400]), (None, one[500:])]):
+        got = suffix_index.drop_repeated_bytes(docs(rows)).collect()
+        assert sorted(map(tuple, got), key=repr) == brute(rows)
