@@ -37,7 +37,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[^\s/@:<>\"']+(?::[^\s/@<>\"']*)?@[^\s/<>\"'?#]+")
 _IBAN = re.compile(r"[ :#.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-_ACCOUNT = re.compile(r"(?:[ :#.]|number|nummer|no|nr){0,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
+_ACCOUNT = re.compile(r"(?:[ :#.]|(?i:number|nummer|no|nr)){0,6}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
+IBAN_LENGTHS = {c: n for n, names in {  # fixed values: lengths by country
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in names.split()}
 _MASKED = re.compile(r" ?([A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+)")
 
 
@@ -74,6 +79,16 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+def iban_size(run: str) -> int:
+    """Characters of the run's IBAN: as long as its country has it, else the longest valid start; 0 if none."""
+    ends = [i + 1 for i, c in enumerate(run) if c != " "]
+    known = IBAN_LENGTHS.get(run[:2])
+    for n in [known] if known else range(len(ends), 14, -1):
+        if n <= len(ends) and mod97(run[: ends[n - 1]].replace(" ", "")):
+            return ends[n - 1]
+    return 0
+
+
 def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -124,10 +139,8 @@ def spans_of(text: str, machine) -> list[tuple[int, int, str, int]]:
                 ends["login"] = m.end()
                 keep("login", start, m.end())
         elif what == "iban":
-            if m := _IBAN.match(text, last + 1):
-                whole = m[1].replace(" ", "")
-                if mod97(whole):
-                    keep("iban", m.start(1), m.end(1))
+            if (m := _IBAN.match(text, last + 1)) and (size := iban_size(m[1])):
+                keep("iban", m.start(1), m.start(1) + size)
         elif what == "account":
             if at >= ends["account"] and (m := _ACCOUNT.match(text, last + 1)):
                 ends["account"] = m.end()

@@ -78,3 +78,16 @@ def test_cases(docs, clashing, spark):
     out = pii.find_private(clashing([(1, None), (1, None), (None, ""), (2, long)])).collect()
     assert len(out) == 4 and sum(r.n_email for r in out) == 1
     assert pii.find_private(docs([])).collect() == []
+
+
+def test_added_kinds_before_other_words():
+    m = pii.automaton()
+    kinds = lambda t: [(s[2], t[s[0] : s[3]]) for s in pii.spans_of(t, m) if s[2] in ("iban", "account")]
+    assert kinds("IBAN DE89370400440532013000 BIC COBADEFF") == [("iban", "DE89370400440532013000")]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00 Bitte") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("IBAN: NO93 8601 1117 947 5 DAYS") == [("iban", "NO93 8601 1117 947")]
+    assert kinds("IBAN GB82 WEST 1234 5698 7654 32 GBP") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert kinds("IBAN MT84 MALT 0110 0001 2345 MTLC AST0 01S") == [("iban", "MT84 MALT 0110 0001 2345 MTLC AST0 01S")]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 01 Bitte") == kinds("IBAN DE89 3704 0044 0532 0130") == []
+    for cue in ("Account Number: ", "Account No. ", "ACCOUNT NO.: ", "Kontonummer ", "KONTONUMMER: ", "Konto-Nr."[:5] + " Nr. "):
+        assert kinds(cue + "12345678") == [("account", "12345678")], cue
