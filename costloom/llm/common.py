@@ -1,11 +1,21 @@
-"""What the operators share: shared-folder tables, worker shipping and checked broadcasts."""
+"""What the operators share: shared-folder tables, worker shipping, bounded slices and checked broadcasts."""
 
 from __future__ import annotations
 
+import contextlib
+import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
+
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,27 +23,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a temporary folder; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not where:
+        where = context.getCheckpointDir()
     if not where:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
     return where
 
 
+def new_path(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/costloom-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, whole if executors are lost later."""
-    path = f"{shared_dir(df.sparkSession)}/costloom-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that operators write inside; for callers that have stored the result by the end."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            delete(spark, path)
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Marks df for broadcast if a count shows at most `rows` rows; otherwise Spark picks the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """A broadcast whose classes travel by value, so that executors need no copy of this package; see opened()."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast):
+    return pickle.loads(shared.value)
+
+
+def row_schema(fields: list[StructField], more: str) -> StructType:
+    """Fields of a given table and further ones as DDL; names of the former may be any."""
+    return StructType([*fields, *StructType.fromDDL(more).fields])
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about `size` bytes in a string or binary column (a larger value is a part of its own)."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False) + 1)
+        at = 0
+        while at < b.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            stop = max(at + 1, stop)
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -7,12 +7,12 @@ hashes on every machine; for different content a collision has a chance of about
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
+BLOCK = 1 << 20  # bytes of text whose words are hashed at once
+MOST_KEPT = 1 << 21  # powers that a process keeps
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -24,25 +24,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-@lru_cache(2)
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+
+
+class Kept(dict):
+    """What a process has computed; travels empty when a task function is sent."""
+
+    def __reduce__(self):
+        return Kept, ()
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and inverse powers up to n, n a power of two."""
-    inverse = pow(BASE, -1, 1 << 64)
-    out = []
-    for b in (BASE, inverse):
-        p = np.full(n, b, U)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_powers = Kept()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
+    """The base's powers and inverse powers up to n at least."""
+    size = 1 << max(16, int(n).bit_length())
+    if len(_powers.get("p", ((),))[0]) < size:
+        out = []
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(size, b, U)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        if size > MOST_KEPT:
+            return out[0], out[1]
+        _powers["p"] = (out[0], out[1])
+    return _powers["p"]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
@@ -67,7 +74,7 @@ def windows_hash(sums: np.ndarray, width: int) -> np.ndarray:
 
 
 def bytes_sums(data: np.ndarray) -> np.ndarray:
-    return prefix_sums(_byte_values()[data])
+    return prefix_sums(BYTE_VALUES[data])
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +86,19 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and each text's number of words."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    start, end = word_spans(data)
-    hashes = spans_hash(bytes_sums(data), start, end)
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        cut = at + BLOCK
+        while cut < len(data) and not BLANK[data[cut - 1]]:  # only blanks are cut at
+            more = np.flatnonzero(BLANK[data[cut : cut + BLOCK]])
+            cut = min(len(data), cut + (int(more[0]) + 1 if len(more) else BLOCK))
+        part = data[at:cut]
+        start, end = word_spans(part)
+        hashes.append(spans_hash(bytes_sums(part), start, end))
+        starts.append(start + at)
+        at = cut
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return hashes, np.diff(np.searchsorted(start, bounds))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), bounds))
 
 
 def window_starts(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

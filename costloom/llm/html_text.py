@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from costloom.llm.common import shared_dir
+from costloom.llm.common import opened, row_schema, shared_dir, shipped
 
 SAMPLE = 300
 TREES, DEPTH, STEP = 14, 4, 0.3
@@ -388,11 +388,11 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 def main_text(pages: DataFrame, model: Boosted | None, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (the id unless said), text, n_chars of each page."""
     keep = keep or [id_col]
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # TREES trees of DEPTH levels
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    shared = shipped(pages.sparkSession, model)  # TREES trees of DEPTH levels
+    schema = row_schema([pages.schema[c] for c in keep], "text string, n_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boosted = shared.value
+        boosted = opened(shared)
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
@@ -407,4 +407,4 @@ def main_text(pages: DataFrame, model: Boosted | None, id_col: str = "page_id",
                 cols = [part.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, fields + ", text string, n_chars long")
+    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, schema)

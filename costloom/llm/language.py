@@ -8,7 +8,11 @@ for a language is its exact code length in bits over all its normalised bytes, a
 
 Training rows: text and label not null and crc32(id as text) mod 4 not 2. `per_language` bounds the
 sample: a language with more training rows is thinned by a hash of the id to that many in expectation.
-The statistics are small because the sample is; they, and nothing else, reach the driver.
+The statistics are small because the sample is; they, and nothing else, reach the driver. They grow with the
+number of labels (about half a megabyte each for pairs of bytes); there is no cap on that.
+
+The score is the weight of the shortest code among all, from the difference of mean code lengths a byte
+(times SHARPNESS), so that it tells close calls from clear ones at any length.
 
 Normalising: lower case, every ASCII byte but letters a blank, runs of blanks one blank.
 
@@ -25,10 +29,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
+
+from costloom.llm.common import opened, row_schema, shipped, slices, small
 
 ORDER = 3
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 1000
+SHARPNESS = 4.0  # bits of difference a byte and more, in the score
 REJECT_BITS = 7.5  # a byte; text of the learned languages takes about three
 PIECE = 1 << 18
 _TO_BLANK = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
@@ -50,14 +57,10 @@ def grams(data: bytes) -> np.ndarray:
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int) -> DataFrame:
     known = docs.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
-    counts = known.groupBy(F.col(label_col).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label_col) == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return known.filter(place < share).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
+    known = known.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
+    shares = known.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share"))
+    place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    return known.join(small(shares), "lang").filter(place < F.col("share")).select("lang", "text")
 
 
 class Trees:
@@ -156,9 +159,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """Counts the training sample's contexts in Spark and freezes them; None without training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            frame = b.to_pandas()
-            for lang, texts in frame.groupby("lang")["text"]:
+        for b in slices(batches, 1):
+            for lang, texts in b.to_pandas().groupby("lang")["text"]:
                 g, n = np.unique(np.concatenate([grams(normalised(t)) for t in texts]), return_counts=True)
                 if len(g):
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(g), "gram": g.astype(np.int64), "n": n.astype(np.int64)})
@@ -169,38 +171,48 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return Trees(counts) if len(counts) else None
 
 
+def judged(model: Trees | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """lang_pred, score and bits a byte of each text."""
+    plain = [normalised(t) if t and any(map(str.isalpha, t)) else b"" for t in texts]
+    if model is None:
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    bits = model.bits(plain)
+    known = np.array([bool(p) for p in plain], bool)
+    each = bits / np.maximum(1, [len(p) for p in plain])[:, None]
+    least = each.min(1)
+    score = 1 / np.exp2(np.maximum(SHARPNESS * (least[:, None] - each), -1000)).sum(1)
+    return [model.langs[i] if k else "und" for i, k in zip(bits.argmin(1), known)], np.where(known, score, 0.0), least
+
+
 def identify(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Of each row: `keep` columns (the id unless said), lang_pred, score, bits_per_byte."""
-    spark = docs.sparkSession
     keep = keep or [id_col]
-    shared = spark.sparkContext.broadcast(trees)  # its size is bounded by the training sample
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    shared = shipped(docs.sparkSession, trees)  # its size is bounded by the training sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(shared)
+        for b in slices(batches, len(keep)):
+            lang, score, bits = judged(model, b.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], schema.names)
+
+    schema = row_schema([docs.schema[c] for c in keep], "lang_pred string, score double, bits_per_byte double")
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, trees: Trees | None, text_col: str = "text", reject_bits: float = REJECT_BITS) -> DataFrame:
+    """docs without the rows that have no language: `und`, or no learned language codes them well.
+
+    A row goes through Python once, with its text as one of its columns; columns go by place, so names may be any.
+    """
+    shared = shipped(docs.sparkSession, trees)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for b in batches:
-            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
-            plain = [normalised(t) if any(map(str.isalpha, t)) else b"" for t in texts]
-            lettered = [bool(p) for p in plain]
-            if model is None:
-                bits, best = np.zeros((len(texts), 1)), np.zeros(len(texts), int)
-            else:
-                bits = model.bits(plain)
-                best = bits.argmin(1)
-            least = bits.min(1)
-            score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-            known = [x and model is not None for x in lettered]
-            cols = {c: b.column(i) for i, c in enumerate(keep)}
-            cols["lang_pred"] = pa.array([model.langs[i] if k else "und" for i, k in zip(best, known)], pa.string())
-            cols["score"] = pa.array(np.where(known, score, 0.0), pa.float64())
-            cols["bits_per_byte"] = pa.array(least / np.maximum(1, [len(p) for p in plain]), pa.float64())
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, fields + ", lang_pred string, score double, bits_per_byte double")
-
-
-def accepted(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text", reject_bits: float = REJECT_BITS) -> DataFrame:
-    """docs without the rows that have no language: `und`, or no learned language codes them well."""
-    boxed = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__body"))
-    found = identify(boxed, trees, text_col="__body", keep=["__row"])
-    return found.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= reject_bits)).select("__row.*")
+        model = opened(shared)
+        for b in slices(batches, at):
+            lang, _, bits = judged(model, b.column(at).to_pylist())
+            yield b.filter(pa.array([x != "und" and n <= reject_bits for x, n in zip(lang, bits)], pa.bool_()))
+        pa.default_memory_pool().release_unused()
+
+    plain = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    return docs.toDF(*[f.name for f in plain]).mapInArrow(run, StructType(plain)).toDF(*docs.columns)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from costloom.llm.common import small, written
+from costloom.llm.common import opened, shipped, small, written
 
 K = 5
 SAMPLE = 20_000
@@ -228,7 +228,7 @@ def nearest(vectors: DataFrame, query_filter, k: int = K, recall: float = RECALL
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = build(rows, total, sample, bin_rows)
     visits, _ = calibrate(rows, queries, tree, k, recall)
-    shared = spark.sparkContext.broadcast(tree)
+    shared = shipped(spark, tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -32,11 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from costloom.llm.common import small, written
+from costloom.llm.common import opened, shipped, slices, small, written
 from costloom.llm.components import components
 from costloom.llm.hashing import U, mix, prefix_sums, spans_hash, window_starts, windows_hash, word_windows, words_of
 
@@ -64,25 +63,13 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of batches with about `size` bytes in a binary column (a larger value is a part of its own)."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False) + 1)
-        at = 0
-        while at < b.num_rows:
-            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
-            stop = max(at + 1, stop)
-            yield b.slice(at, stop - at)
-            at = stop
-
-
 def frequencies(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """By hash bucket, in eighths: log2 of a word's share of all words; log2 of an element's count where it is over twice the usual."""
     size = 1 << BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(2 * size, np.int64)
-        for b in _slices(batches, 0):
+        for b in slices(batches, 0):
             texts = [t or b"" for t in b.column(0).to_pylist()]
             words, _ = words_of([t.lower() for t in texts])
             n[:size] += np.bincount(_bucket(words), minlength=size)
@@ -130,12 +117,13 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share:
     """id, n, h1, h2 (hashes of the set), g (of prefix and size), prefix, map (parities of hash ranges)."""
     tables = frequencies(docs, text_col, width)
     total = int(-tables[0].min())  # a word that occurs once: its share is one over all
-    shared = docs.sparkSession.sparkContext.broadcast((tables, total))
+    shared = shipped(docs.sparkSession, (tables, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 1):
+        known = opened(shared)
+        for b in slices(batches, 1):
             n, h1, h2, g, lengths, prefixes, maps = [], [], [], [], [], [], []
-            for s, order in ordered_sets([t or b"" for t in b.column(1).to_pylist()], width, *shared.value):
+            for s, order in ordered_sets([t or b"" for t in b.column(1).to_pylist()], width, *known):
                 k = len(s)
                 length = k + -(-share[0] * k // share[1]) * -1 + 1 if k else 0
                 prefix = s[order[:length]]
@@ -202,7 +190,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
                 known.popitem(last=False)
             return out
 
-        for b in _slices(batches, 3, 300_000):
+        for b in slices(batches, 3, 300_000):
             za, zb = sets(b.column(2).to_pylist()), sets(b.column(3).to_pylist())
             hit = []
             for x, y in zip(za, zb):
@@ -216,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
 def compressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in _slices(batches, 1):
+        for b in slices(batches, 1):
             data = pa.array([z.compress((t or b"").lower()) for t in b.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), data], ["id", "z"])
 

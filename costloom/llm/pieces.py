@@ -22,7 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from costloom.llm.common import row_schema, slices
+
 MARK = "▁"
+PIECE = 1 << 18  # bytes of text that are encoded at once
 TABLE_CHUNKS = 100_000  # chunks kept between batches; a bound of memory, not of what is encoded
 
 
@@ -75,12 +78,10 @@ class ChunkTable:
 def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """id, ids (if asked for), n_tokens, ids_sha256, decoded_sha256 of each row."""
     check_vocabulary(processor(model))
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         chunks = ChunkTable(sp)
-        for b in batches:
+        for b in slices(batches, 1, PIECE):
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
                 all_ids = chunks.encode([t or "" for t in part.column(1).to_pylist()])
@@ -92,5 +93,5 @@ def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
                 ids = {"ids": pa.array(all_ids, pa.list_(pa.int32()))} if with_ids else {}
                 yield pa.RecordBatch.from_pydict({id_col: part.column(0)} | ids | out)
 
-    schema = f"`{id_col}` {kind}, " + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = row_schema([docs.schema[id_col]], "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from costloom.llm.common import row_schema, slices
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "iban", "account", "masked")
 CUES = {  # fixed values: identifier cues, matched in lower, upper and title case
@@ -160,11 +162,10 @@ def joined(spans) -> str:
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
-        for b in batches:
+        for b in slices(batches, 1):
             rows = [spans_of(t, machine) if t else [] for t in b.column(1).to_pylist()]
             base = [[s for s in r if s[2] in BASE] for r in rows]
             cols = {id_col: b.column(0)}
@@ -174,5 +175,5 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols["n_added"] = pa.array([len(r) - len(s) for r, s in zip(rows, base)], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
 
-    schema = f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = row_schema([docs.schema[id_col]], "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
     return docs.select(id_col, text_col).mapInArrow(run, schema)

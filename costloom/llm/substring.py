@@ -8,7 +8,10 @@
 3. Marks meet their documents in a shuffle by id groups of a bounded size; overlapping marked windows
    merge into maximal intervals, and what they cover is removed.
 
-The number of hash ranges and id groups follows the number of bytes, so no task grows with the input.
+The numbers of hash ranges, id groups and partitions follow the number of bytes, so no task grows with the input.
+
+Windows are told apart by 64-bit hashes. Two different ones share a hash with a chance of 2**-64 a pair, so below
+about 10**9 windows (6 GB of text) a false match is improbable, at 10**13 (60 TB) some millions are to be expected.
 
 Defined cases: a null text has no words; fewer words than a window: nothing is removed; a null id
 takes no part (its text is kept whole); rows that repeat an id are one document's and don't make
@@ -18,6 +21,7 @@ each other's windows repeated; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -25,13 +29,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from costloom.llm import packed
+from costloom.llm.common import row_schema, slices
 from costloom.llm.hashing import mix, word_windows, words_of
 
 WINDOW = 13
 CHUNK = 4 << 20  # bytes of text that a task hashes at once
 GROUP = 4 << 20  # bytes of text in a group of ids
+PART = 16 << 20  # bytes of text for each partition of a shuffle
+ENTRIES = 125_000  # windows in a range of hashes: many ranges a partition, so that partitions are even
 MARKS = "grp int, ids binary, hashes binary"
 MARKS_ARROW = pa.schema([("grp", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary())])
 U = np.uint64
@@ -45,13 +53,19 @@ def groups_for(size: int) -> int:
     return max(1, size // GROUP) | 1
 
 
-def group_of(id_col: str, groups: int):
-    return F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(groups)), F.lit(0)).cast("int")
+def parts_for(size: int) -> int:
+    """Partitions of the shuffles: they follow the bytes, so that no task grows with the input."""
+    return max(4, size // PART)
+
+
+def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    """Groups of ids, by a hash: ids in strides fill all groups alike."""
+    return (mix(ids.view(U)) % U(groups)).astype(np.int64)
 
 
-def mark_rows(ids: np.ndarray, hashes: np.ndarray, groups: int) -> list[dict]:
+def mark_rows(ids: np.ndarray, hashes: np.ndarray, groups: int, of: np.ndarray | None = None) -> list[dict]:
     """Marks (id, hash), a row for each group of ids."""
-    of = np.mod(ids, groups)
+    of = group_of(ids, groups) if of is None else of
     order = np.lexsort((hashes, ids, of))
     of, ids, hashes = of[order], ids[order], hashes[order]
     cuts = np.flatnonzero(np.diff(of, prepend=-1))
@@ -70,25 +84,23 @@ def settle(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def sealed(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
-    """grp, id and the compressed text: what goes through the last shuffle."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """grp, id and the compressed text: what goes through the last shuffle. Rows without an id are dealt by their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                data = pa.array([z.compress(t or b"") for t in part.column(2).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), data], ["grp", "id", "z"])
+        for b in slices(batches, 1):
+            texts = [t or b"" for t in b.column(1).to_pylist()]
+            key = [zlib.crc32(t) if i is None else i for i, t in zip(b.column(0).cast(pa.int64()).to_pylist(), texts)]
+            grp = pa.array(group_of(np.array(key, np.int64), groups).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), grp, pa.array([z.compress(t) for t in texts], pa.binary())], ["id", "grp", "z"])
 
-    return docs.select(group_of(id_col, groups).alias("grp"), F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(
-        run, f"grp int, id {kind}, z binary"
-    )
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL("grp int, z binary").fields])
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, size: int, groups: int) -> DataFrame:
     """Marks: the windows of each document that a document of a smaller id has too."""
-    bits = packed.bits_for(size / 6)
+    bits = packed.bits_for(size / 6, ENTRIES)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in packed.chunks(batches, CHUNK):
@@ -116,7 +128,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, s
         return pa.Table.from_pylist(mark_rows(ids[later], hashes[later], groups), MARKS_ARROW)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(entries, packed.SCHEMA)
-    return rows.groupBy("bucket").applyInArrow(count, MARKS)
+    return rows.repartition(parts_for(size), "bucket").groupBy("bucket").applyInArrow(count, MARKS)
 
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -124,7 +136,6 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = total_bytes(docs, text_col)
     groups = groups_for(size)
     marks = repeated_windows(docs, id_col, text_col, window, size, groups)
-    kind = docs.schema[id_col].dataType.simpleString()
     fields = [(id_col, None), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -164,9 +175,9 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols, names = [*cols, pa.array(out["kept_text"], pa.string())], [*names, "kept_text"]
         return pa.Table.from_arrays(cols, names)
 
-    schema = f"`{id_col}` {kind}, n_words long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    texts = sealed(docs, id_col, text_col, groups)
-    return texts.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(remove, schema)
+    schema = row_schema([docs.schema[id_col]], "n_words long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    texts, marks = (x.repartition(parts_for(size), "grp").groupBy("grp") for x in (sealed(docs, id_col, text_col, groups), marks))
+    return texts.cogroup(marks).applyInArrow(remove, schema)
 
 
 ORACLE_SQL = r"""

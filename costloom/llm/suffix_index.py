@@ -154,7 +154,7 @@ def repeated_strings(texts: DataFrame, picked: DataFrame, size: int, groups: int
             more[1:] = ~first[1:]
             more[:-1] |= ~first[1:]
             rows.extend(packed.pack(hashes[first], ids[first], bits))
-            rows.extend({"bucket": -1 - m["grp"], "n": 0, "base": 0, "subs": b"", "low": m["hashes"], "ids": m["ids"]} for m in mark_rows(ids[more], hashes[more], groups))
+            rows.extend({"bucket": -1 - m["grp"], "n": 0, "base": 0, "subs": b"", "low": m["hashes"], "ids": m["ids"]} for m in mark_rows(ids[more], hashes[more], groups, np.mod(ids[more], groups)))
 
         for key, part in frame.groupby(["id", "sum"], sort=False):
             held.append(strings_of(z.decompress(where[key]), part["lo"].to_numpy(), part["hi"].to_numpy(), width))
@@ -179,7 +179,7 @@ def repeated_strings(texts: DataFrame, picked: DataFrame, size: int, groups: int
         more = np.zeros(len(hashes), bool)
         more[1:] = same
         more[:-1] |= same
-        return _notes(mark_rows(ids[more], hashes[more], groups))
+        return _notes(mark_rows(ids[more], hashes[more], groups, np.mod(ids[more], groups)))
 
     rows = texts.groupBy("grp").cogroup(picked.groupBy("grp")).applyInArrow(entries, packed.SCHEMA)
     return rows.groupBy("bucket").applyInArrow(count, NOTES)

@@ -74,7 +74,22 @@ def test_cases(docs, clashing):
     assert [r.lang_pred for r in language.identify(docs([(1, "abc")]), None).collect()] == ["und"]
 
 
-def test_too_many_languages(docs, monkeypatch):
-    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
-    with pytest.raises(ValueError):
-        language.train(docs([(1, "a b", "x"), (3, "c d", "y"), (4, "c d", "z"), (5, "c d", "w")]))
+def test_many_labels(docs):
+    """No number of labels is too many; each may have one row."""
+    rows = [(i, f"word{i} {'abc'[i % 3] * 4} text", f"l{i}") for i in range(1200)]
+    df = docs(rows)
+    found = language.identify(df.limit(20), language.train(df)).collect()
+    assert len(found) == 20 and all(r.lang_pred.startswith("l") and 0 <= r.score <= 1 for r in found)
+
+
+def test_any_column_names_and_long_texts(docs, spark):
+    rows = [(i, f"the cat {i} and the dog sat on it", "en") for i in range(8)] + [(i, f"le chat {i} et le chien sur la table", "fr") for i in range(8, 16)]
+    rows += [(20, "the dog and the cat " * 200_000, "en"), (21, None, "en"), (22, "", "fr"), (23, "12 !", None)]
+    df = docs(rows)
+    odd = df.withColumnsRenamed({"source": "my col: x", "n_chars": "a`b,c"})
+    trees = language.train(odd)
+    kept = language.accepted(odd, trees)
+    assert kept.columns == odd.columns
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {*range(16), 20}
+    found = {r[0]: r for r in language.identify(odd.withColumnRenamed("doc_id", "my id: x"), trees, id_col="my id: x").collect()}
+    assert found[20].lang_pred == "en" and found[21].lang_pred == found[22].lang_pred == found[23].lang_pred == "und"
