@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from costloom.llm import exact_dedup, language, mixing, ngram_join, pieces
-from costloom.llm.common import table, written
+from costloom.llm.common import new_path, passing, table
 from costloom.llm.registry import VOCABULARY
 
 NEAR_WORDS, NEAR_SHARE = 5, (80, 100)
@@ -53,7 +53,11 @@ ORACLE_SQL = None  # language models, components and the tokenizer have no SQL f
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        result = new_path(spark)
+        with passing(spark):  # what a stage wrote inside goes once its result is stored
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(result)
+        docs = spark.read.schema(rows.schema).parquet(result)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
