@@ -2,21 +2,25 @@
 
 Which 400-byte strings occur more than once, anywhere?
 
-Sampling. Of the suffixes of a text, those are indexed that start at an anchor: for each 400-byte
-string, the start of its least 64-byte gram by hash (the leftmost of equal ones). Equal strings have
-the same anchor at the same offset, so nothing is lost, and about one suffix in 170 is kept. Strings in
-a row that share an anchor form a run; its context is all bytes that its strings cover.
-
-Index. A batch of documents gets a sorted array of (gram, context) entries with their number; equal
-entries are one, so a passage in a third of all documents is a single entry. Arrays are levels of a
-family: before a new batch comes in, levels of equal rank are merged into one of the next rank, so n
-batches leave at most log2(n) + 1 levels and rewrite an entry log2(n) times. Scanning a batch merges it
-with all levels in the order of grams: an entry matches if its context occurs again (all its strings are
-repeated) or its gram stands in another context (some may be).
-
-Verifying. For the second kind, one run of each context hashes its 400-byte strings from the text; the
-hashes are counted over all such runs (see `packed`), so what is removed are exactly the repeated
-strings, judged on the input.
+Suffixes. Of a text's suffixes, those are indexed that start at an anchor: for each 400-byte string, the start of its
+least 64-byte gram by hash (the leftmost of equal ones). Equal strings have the same anchor at the same
+offset, so no match is lost, and about one suffix in 170 is kept. Strings in a row that share an anchor form a
+run; its context is all bytes that its strings cover, 736 at most.
+
+Family. Documents come in batches. A batch's array has a row for each distinct suffix start (16 bytes, then the
+hash of 64), in the order of these bytes, with the least and largest context hash and the number of runs. It is
+stored as a level: a table that is bucketed and sorted by the start, so that levels meet bucket by bucket
+without a shuffle. Each batch is merge-scanned against every level before it is added: a start that both have is
+a match, in one context or in several. After that, levels of equal rank merge into one of the next rank, so n
+batches leave at most log2(n) + 1 levels and rewrite a row log2(n) times. A passage in a third of all documents is one
+row of a level, combined before the shuffle.
+
+Long matches. If all runs of a matched start have one context, every string of theirs is repeated. Otherwise one
+run of each distinct context gives its bytes, contexts with the same start meet, and which of their 400-byte strings
+agree is found there. Starts with over HOT contexts are not met in one task: their strings are counted by Spark.
+
+Identity. A run counts as repeated only if hashes of its start and of its context agree, 128 bits; strings
+agree if their hash and that of their start do.
 
 Defined cases: a null text counts as empty; texts under 400 bytes are kept whole; matches never cross
 documents; rows that repeat an id are documents of their own; a null id takes part like any other; an
@@ -27,254 +31,310 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm import packed
-from costloom.llm.common import written
-from costloom.llm.hashing import U, bytes_sums, mix, sliding_argmin, spans_hash, windows_hash
-from costloom.llm.substring import groups_for, mark_rows, total_bytes
+from costloom.llm.common import delete, new_path, row_schema, slices, written
+from costloom.llm.hashing import U, bytes_sums, mix, sliding_argmin, spans_hash, window_starts, windows_hash
+from costloom.llm.substring import parts_for, total_bytes
 
 WIDTH = 400
 GRAM = 64
-BATCHES = 2
-SEGMENT = 4 << 20  # bytes of one text that are hashed at once
-CHUNK_STRINGS = 600_000
-NO_ID = -(1 << 62)  # stands for a null id inside
+HEAD = 16
+BATCH = 128 << 20  # bytes of text in a batch
+FEWEST, MOST = 4, 32  # batches
+SEGMENT = 1 << 20  # bytes that are hashed at once
+GROUP = 4 << 20  # bytes of text in a group of documents
+TOGETHER = 2000  # contexts that are compared at once
+HOT = 1000  # contexts of one start that may meet in a task
+START = ["head", "gram"]
+
+
+def batches_for(size: int) -> int:
+    return max(FEWEST, min(MOST, size // BATCH))
+
+
+def runs_of(texts: list[bytes], width: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of texts: number of the text, head, gram, context, first start, anchor, last start."""
+    parts = [(i, at, t[at : at + SEGMENT + width - 1]) for i, t in enumerate(texts) for at in range(0, len(t) - width + 1, SEGMENT)]
+    while parts:
+        size, some = 0, []
+        while parts and size < SEGMENT:
+            some.append(parts.pop())
+            size += len(some[-1][2])
+        yield _runs(some, width, gram)
+
+
+def _runs(parts: list[tuple[int, int, bytes]], width: int, gram: int) -> tuple[np.ndarray, ...]:
+    data = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
+    lengths = np.array([len(p) for _, _, p in parts])
+    first = np.cumsum(lengths) - lengths
+    sums = bytes_sums(data)
+    grams = windows_hash(sums, gram)
+    start, _ = window_starts(lengths, width)  # a start's anchor is in the same part
+    anchor = sliding_argmin(grams, width - gram + 1)[start]
+    cut = np.flatnonzero(np.diff(anchor)) + 1
+    lo, hi = start[np.concatenate(([0], cut))], start[np.concatenate((cut - 1, [len(start) - 1]))]
+    anchor = anchor[np.concatenate(([0], cut))]
+    part = np.searchsorted(first, lo, "right") - 1
+    shift = np.array([at for _, at, _ in parts]) - first
+    head = np.lib.stride_tricks.sliding_window_view(data, HEAD)[anchor]
+    context = spans_hash(sums, lo, hi + width) ^ mix((anchor - lo).astype(U))
+    return np.array([i for i, _, _ in parts])[part], head, grams[anchor], context, lo + shift[part], anchor + shift[part], hi + shift[part]
+
+
+def binary_rows(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    offsets = pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text as bytes, and k1 and k2 (hashes of id and text) that tell documents apart, those of one id or none too."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(id_col).alias("k1"), F.xxhash64(text).alias("k2"))
+
+
+def runs(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """Runs of keyed texts: k1, k2, head, gram, ctx, lo, mid (the anchor, from lo), hi."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 0):
+            k1, k2 = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for owner, head, start, context, lo, anchor, hi in runs_of(b.column(0).to_pylist(), width, gram):
+                longs = [k1[owner], k2[owner], start.view(np.int64), context.view(np.int64)]
+                ints = [x.astype(np.int32) for x in (lo, anchor - lo, hi)]
+                cols = [pa.array(longs[0]), pa.array(longs[1]), binary_rows(head), *map(pa.array, [*longs[2:], *ints])]
+                yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "head", "gram", "ctx", "lo", "mid", "hi"])
 
-def runs_of(data: np.ndarray, width: int, gram: int):
-    """Runs of a text: gram, context, first and last start of their strings."""
-    for base in range(0, max(0, len(data) - width + 1), SEGMENT):
-        part = data[base : base + SEGMENT + width - 1]
-        sums = bytes_sums(part)
-        grams = windows_hash(sums, gram)
-        at = sliding_argmin(grams, width - gram + 1)
-        cut = np.flatnonzero(np.diff(at)) + 1
-        lo, hi = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(at) - 1]))
-        at = at[lo]
-        yield grams[at], spans_hash(sums, lo, hi + width) ^ mix((at - lo).astype(U)), lo + base, hi + base
+    long_enough = texts.filter(F.octet_length("text") >= width).select("text", "k1", "k2")
+    return long_enough.mapInArrow(run, "k1 long, k2 long, head binary, gram long, ctx long, lo int, mid int, hi int")
 
 
-def checksum(text: bytes) -> int:
-    """64 bits of a text that tell rows that share an id (or have none) apart."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+class SuffixIndex:
+    """The family of arrays. Rows of a level: head, gram, lo and hi (least and largest context; hi null if equal), n."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.levels = spark, []  # (rank, table name, its folder)
+        # as many buckets as a shuffle has partitions: what an aggregation gives is dealt out already
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _stored(self, rank: int, rows: DataFrame) -> tuple[int, str, str]:
+        path = new_path(self.spark)
+        name = path.rpartition("/")[2].replace("-", "_")
+        rows.write.bucketBy(self.buckets, *START).sortBy(*START).option("path", path).saveAsTable(name)
+        return rank, name, path
+
+    def _gone(self, level: tuple[int, str, str]) -> None:
+        self.spark.sql(f"DROP TABLE {level[1]}")
+        delete(self.spark, level[2])
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """batch: runs. Stores its array, scans it against all levels, adds it and merges levels of equal rank.
+
+        Gives the matches: head, gram, lo (the only context, unless there are several), several.
+        """
+        array = batch.groupBy(*START).agg(F.min("ctx").alias("lo"), F.max("ctx").alias("top"), F.count(F.lit(1)).alias("n"))
+        new = self._stored(0, array.select(*START, "lo", F.nullif("top", "lo").alias("hi"), "n"))
+        rows = self.spark.table(new[1])
+        found = [rows.filter("n > 1").select(*START, "lo", F.col("hi").isNotNull().alias("several"))]
+        for _, name, _ in self.levels:
+            old = self.spark.table(name).select(*START, F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))
+            same = (F.col("lo") == F.col("old_lo")) & F.col("hi").isNull() & F.col("old_hi").isNull()
+            found.append(rows.join(old, START).select(*START, "lo", (~same).alias("several")))
+        matches = written(reduce(DataFrame.unionByName, found))
+        self.levels.append(new)
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._stored(a[0] + 1, self.merged(self.spark.table(a[1]), self.spark.table(b[1]))))
+            self._gone(a)
+            self._gone(b)
+        return matches
 
+    @staticmethod
+    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two arrays as one: a sort-merge of their buckets."""
+        x, y = (df.select(*START, *[F.col(c).alias(c + k) for c in ("lo", "hi", "n")]) for df, k in ((a, "1"), (b, "2")))
+        lo, top = F.least("lo1", "lo2"), F.greatest("lo1", "lo2", "hi1", "hi2")
+        n = F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))
+        return x.join(y, START, "full").select(*START, lo.alias("lo"), F.nullif(top, lo).alias("hi"), n.alias("n"))
 
-def numbered(left: pa.Table, groups: int) -> dict[tuple[int, int], int]:
-    """A number for each distinct (id, sum) of a group's texts; modulo groups it is the group."""
-    found = {(NO_ID if i is None else i, s) for i, s in zip(left.column("id").to_pylist(), left.column("sum").to_pylist())}
-    return {key: left.column("grp")[0].as_py() + groups * n for n, key in enumerate(sorted(found))}
+    def close(self) -> None:
+        while self.levels:
+            self._gone(self.levels.pop())
 
 
-def runs(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> DataFrame:
-    """id, sum (of the text, to tell rows that share an id apart), gram, ctx, lo, hi of every run."""
+def matched_runs(texts: DataFrame, size: int, batches: int, width: int, gram: int) -> DataFrame:
+    """The runs whose start occurs again, with `several`; those in one context only if it is theirs."""
+    index, found = SuffixIndex(texts.sparkSession), []
+    for k in range(batches):
+        batch = texts.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k)
+        found.append(index.add(runs(batch, width, gram)))
+    index.close()
+    starts = reduce(DataFrame.unionByName, found).groupBy(*START).agg(F.min("lo").alias("only"), F.max("several").alias("several"))
+    both = runs(texts, width, gram).drop("head").join(starts.drop("head"), "gram")
+    return written(both.filter((F.col("ctx") == F.col("only")) | F.col("several")).drop("only"))
+
+
+CONTEXT = "gram long, ctx long, n long, mid int, body binary"
+_CONTEXT = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("mid", pa.int32()), ("body", pa.binary())])
+
+
+def contexts(texts: DataFrame, picked: DataFrame, parts: int, width: int) -> DataFrame:
+    """The bytes of each picked run's context; texts and picked are dealt out by grp."""
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        z, rows = zstandard.ZstdDecompressor(), {k: [] for k in _CONTEXT.names}
+        where = dict(zip(zip(left.column("k1").to_pylist(), left.column("k2").to_pylist()), left.column("z").to_pylist()))
+        known, text = None, b""
+        for r in sorted(right.to_pylist(), key=lambda r: (r["k1"], r["k2"])):
+            if (r["k1"], r["k2"]) != known:
+                known = r["k1"], r["k2"]
+                text = z.decompress(where[known])
+            for k in ("gram", "ctx", "n", "mid"):
+                rows[k].append(r[k])
+            rows["body"].append(text[r["lo"] : r["hi"] + width])
+        return pa.Table.from_pydict(rows, _CONTEXT)
+
+    return texts.groupBy("grp").cogroup(picked.repartition(parts, "grp").groupBy("grp")).applyInArrow(cut, CONTEXT)
+
+
+def strings_of(t: pa.Table, width: int) -> tuple[np.ndarray, ...]:
+    """The strings of contexts: number of the context, place in it, and a key of content, start and place from the anchor."""
+    bodies = t.column("body").to_pylist()
+    lengths = np.array([len(x) for x in bodies])
+    first = np.cumsum(lengths) - lengths
+    at, n = window_starts(lengths, width)
+    owner = np.repeat(np.arange(len(bodies)), n)
+    place = at - first[owner]
+    hashes = windows_hash(bytes_sums(np.frombuffer(b"".join(bodies), np.uint8)), width)[at]
+    gram, mid = t.column("gram").to_numpy().view(U), t.column("mid").to_numpy().astype(np.int64)
+    return owner, place, hashes ^ mix(gram[owner] + (place - mid[owner]).astype(U))
+
+
+INTERVAL = "gram long, ctx long, lo int, hi int"
+
+
+def repeated_in(t: pa.Table, width: int) -> pa.RecordBatch:
+    """Intervals of the repeated strings of contexts, all those of a start being there."""
+    owner, place, key = strings_of(t, width)
+    gram, n = t.column("gram").to_numpy(), t.column("n").to_numpy()
+    order = np.argsort(key, kind="stable")
+    sorted_key, sorted_gram = key[order], gram[owner[order]]
+    same = (sorted_key[1:] == sorted_key[:-1]) & (sorted_gram[1:] == sorted_gram[:-1])
+    again = np.zeros(len(key), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    again |= n[owner] > 1  # a context that occurs again, with all its strings
+    edge = np.concatenate(([True], owner[1:] != owner[:-1], [True]))
+    lo = np.flatnonzero(again & (edge[:-1] | ~np.concatenate(([False], again[:-1]))))
+    hi = np.flatnonzero(again & (edge[1:] | ~np.concatenate((again[1:], [False]))))
+    cols = [gram[owner[lo]], t.column("ctx").to_numpy()[owner[lo]], place[lo].astype(np.int32), place[hi].astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "ctx", "lo", "hi"])
+
+
+def compared(rows: DataFrame, parts: int, width: int) -> DataFrame:
+    """Intervals of repeated strings: contexts of one start meet, many starts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([], _CONTEXT)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                found, owner, sums = [], [], []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if t and len(t) >= width:
-                        for r in runs_of(np.frombuffer(t, np.uint8), width, gram):
-                            found.append(r)
-                            owner.append(np.full(len(r[0]), NO_ID if i is None else i, np.int64))
-                            sums.append(np.full(len(r[0]), checksum(t), np.int64))
-                if found:
-                    g, c, lo, hi = (np.concatenate(x) for x in zip(*found))
-                    cols = [np.concatenate(owner), np.concatenate(sums), g.view(np.int64), c.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "sum", "gram", "ctx", "lo", "hi"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "id long, sum long, gram long, ctx long, lo int, hi int")
+            held = pa.concat_tables([held, pa.Table.from_batches([b]).cast(_CONTEXT)])
+            while held.num_rows > TOGETHER:
+                gram = held.column("gram").to_numpy()
+                cuts = np.flatnonzero(np.diff(gram)) + 1
+                if not len(cuts):
+                    break
+                cut = int(cuts[min(len(cuts) - 1, np.searchsorted(cuts, TOGETHER))])
+                yield repeated_in(held.slice(0, cut), width)
+                held = held.slice(cut)
+        if held.num_rows:
+            yield repeated_in(held, width)
 
+    return rows.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, INTERVAL)
 
-class SuffixIndex:
-    """The family of arrays. Entries: gram, ctx, n."""
 
-    def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
+def counted(rows: DataFrame, width: int) -> DataFrame:
+    """The same for starts of any number of contexts: a row for each string, counted by Spark."""
 
-    @staticmethod
-    def array(entries: DataFrame) -> DataFrame:
-        """Equal entries as one, sorted by gram within ranges."""
-        return entries.groupBy("gram", "ctx").agg(F.sum("n").alias("n")).sortWithinPartitions("gram", "ctx")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, TOGETHER):
+                t = pa.Table.from_batches([b.slice(at, TOGETHER)])
+                owner, place, key = strings_of(t, width)
+                cols = [t.column(c).to_numpy()[owner] for c in ("gram", "ctx", "n")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(place.astype(np.int32)), pa.array(key.view(np.int64))], ["gram", "ctx", "n", "lo", "key"])
+
+    strings = written(rows.mapInArrow(run, "gram long, ctx long, n long, lo int, key long"))
+    again = strings.groupBy("gram", "key").agg(F.sum("n").alias("total")).filter("total > 1").select("gram", "key")
+    return strings.join(again, ["gram", "key"]).select("gram", "ctx", "lo", F.col("lo").alias("hi"))
 
-    def add(self, batch: DataFrame) -> None:
-        """batch: runs. Merges equal levels first, so that the newest two may have one rank."""
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, written(self.array(a.unionByName(b)))))
-        self.levels.append((0, written(self.array(batch.select("gram", "ctx", F.lit(1).cast("long").alias("n"))))))
-
-    def matches(self, batch: DataFrame | None = None) -> DataFrame:
-        """Merge-scan of all levels (and a batch that is not added): gram, ctx, n, contexts of entries that match."""
-        arrays = [x for _, x in self.levels]
-        if batch is not None:
-            arrays.append(batch.select("gram", "ctx", F.lit(1).cast("long").alias("n")))
-        if not arrays:
-            raise ValueError("the index is empty")
-        entries = arrays[0]
-        for x in arrays[1:]:
-            entries = entries.unionByName(x)
-        entries = self.array(entries.repartition("gram"))
-        by = W.partitionBy("gram")
-        scanned = entries.withColumn("total", F.sum("n").over(by)).withColumn("contexts", F.count(F.lit(1)).over(by))
-        return scanned.filter("total > 1").select("gram", "ctx", "n", "contexts")
-
-
-def strings_of(text: bytes, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the strings of a text's runs."""
-    n = hi - lo + 1
-    start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return spans_hash(bytes_sums(np.frombuffer(text, np.uint8)), start, start + width)
-
-
-def repeated_strings(texts: DataFrame, picked: DataFrame, size: int, groups: int, width: int) -> DataFrame:
-    """Marks (text's number, hash) of the strings of the picked runs (grp, id, sum, lo, hi) that two or more runs have."""
-    bits = packed.bits_for(size / 16)
-
-    def entries(left: pa.Table, right: pa.Table) -> pa.Table:
-        z, rows, held, owner, n = zstandard.ZstdDecompressor(), [], [], [], 0
-        frame = right.select(["id", "sum", "lo", "hi"]).to_pandas().sort_values(["id", "sum", "lo"])
-        numbers = numbered(left, groups)
-        columns = (left.column(c).to_pylist() for c in ("id", "sum", "z"))
-        where = {(NO_ID if i is None else i, s): t for i, s, t in zip(*columns)}  # equal texts of an id are one
-
-        def flush():
-            hashes, ids = np.concatenate(held), np.concatenate(owner)
-            order = np.lexsort((ids, hashes))
-            hashes, ids = hashes[order], ids[order]
-            first = np.ones(len(hashes), bool)
-            first[1:] = hashes[1:] != hashes[:-1]
-            more = np.zeros(len(hashes), bool)
-            more[1:] = ~first[1:]
-            more[:-1] |= ~first[1:]
-            rows.extend(packed.pack(hashes[first], ids[first], bits))
-            rows.extend({"bucket": -1 - m["grp"], "n": 0, "base": 0, "subs": b"", "low": m["hashes"], "ids": m["ids"]} for m in mark_rows(ids[more], hashes[more], groups, np.mod(ids[more], groups)))
-
-        for key, part in frame.groupby(["id", "sum"], sort=False):
-            held.append(strings_of(z.decompress(where[key]), part["lo"].to_numpy(), part["hi"].to_numpy(), width))
-            owner.append(np.full(len(held[-1]), numbers[key], np.int64))
-            n += len(held[-1])
-            if n >= CHUNK_STRINGS:
-                flush()
-                held, owner, n = [], [], 0
-        if held:
-            flush()
-        return pa.Table.from_pylist(rows, packed.ARROW)
-
-    def count(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        if not rows or rows[0]["bucket"] < 0:
-            return _notes([{"grp": -1 - r["bucket"], "ids": r["ids"], "hashes": r["low"]} for r in rows])
-        parts = [packed.unpack(r, bits) for r in rows]
-        hashes, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(hashes, kind="stable")
-        hashes, ids = hashes[order], ids[order]
-        same = hashes[1:] == hashes[:-1]
-        more = np.zeros(len(hashes), bool)
-        more[1:] = same
-        more[:-1] |= same
-        return _notes(mark_rows(ids[more], hashes[more], groups, np.mod(ids[more], groups)))
-
-    rows = texts.groupBy("grp").cogroup(picked.groupBy("grp")).applyInArrow(entries, packed.SCHEMA)
-    return rows.groupBy("bucket").applyInArrow(count, NOTES)
-
-
-NOTES = "grp int, ids binary, hashes binary, id long, sum long, lo int, hi int"
-_NOTES = pa.schema([("grp", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary()), ("id", pa.int64()), ("sum", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-
-
-def _notes(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist(rows, _NOTES)
-
-
-def sealed(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
-    """grp, id, the text's checksum and the compressed text."""
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def sealed(texts: DataFrame, groups: int, parts: int) -> DataFrame:
+    """grp, k1, k2, id and the compressed text of each keyed text, dealt out by grp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                texts = [t or b"" for t in part.column(2).to_pylist()]
-                cols = [pa.array([checksum(t) for t in texts], pa.int64()), pa.array([z.compress(t) for t in texts], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["grp", "id", "sum", "z"])
+        for b in slices(batches, 4):
+            data = pa.array([z.compress(t) for t in b.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], data], ["id", "grp", "k1", "k2", "z"])
 
-    grp = _group(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), groups)
-    return docs.select(grp.alias("grp"), F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(run, f"grp int, id {kind}, sum long, z binary")
+    rows = texts.withColumn("grp", group_of(groups)).select("id", "grp", "k1", "k2", "text")
+    return rows.mapInArrow(run, row_schema([texts.schema["id"]], "grp int, k1 long, k2 long, z binary")).repartition(parts, "grp")
 
 
-def _group(column, groups: int):
-    return F.pmod(column, F.lit(groups)).cast("int")
+def group_of(groups: int):
+    return F.pmod(F.xxhash64("k2", "k1"), F.lit(groups)).cast("int")
 
 
-def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, with_bytes: bool = False) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int | None = None, with_bytes: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and, if asked for, the kept bytes) of each row."""
     size = total_bytes(docs, text_col)
-    groups = groups_for(size)
-    index = SuffixIndex()
-    for k in range(batches):
-        batch = docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)) == k)
-        index.add(runs(batch, id_col, text_col, width, gram))
-    matched = written(
-        runs(docs, id_col, text_col, width, gram).join(index.matches(), ["gram", "ctx"])
-        .withColumn("grp", _group(F.col("id"), groups))
-    )
-    whole = matched.filter("n > 1").select("grp", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("hashes"), "id", "sum", "lo", "hi")
-    unsure = matched.filter("contexts > 1")
-    one = unsure.filter("n > 1").groupBy("gram", "ctx").agg(F.min(F.struct("grp", "id", "sum", "lo", "hi")).alias("r")).select("r.*")
-    picked = unsure.filter("n = 1").select("grp", "id", "sum", "lo", "hi").unionByName(one)
-    texts = sealed(docs, id_col, text_col, groups)
-    notes = whole.unionByName(repeated_strings(texts, picked, size, groups, width))
-    kind = docs.schema[id_col].dataType.simpleString()
-    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    groups, parts = max(1, size // GROUP) | 1, parts_for(size)
+    keyed_texts = keyed(docs, id_col, text_col)
+    matched = matched_runs(keyed_texts, size, batches or batches_for(size), width, gram)
+    one = F.min(F.struct("k1", "k2", "lo", "mid", "hi")).alias("r")
+    picked = written(matched.filter("several").groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), one).select("gram", "ctx", "n", "r.*").withColumn("grp", group_of(groups)))
+    texts = sealed(keyed_texts.filter(F.octet_length("text") >= width), groups, parts)
+    rows = contexts(texts, picked, parts, width)
+    hot = written(picked.groupBy("gram").count().filter(F.col("count") > HOT).select("gram"))
+    if hot.isEmpty():
+        intervals = compared(rows, parts, width)
+    else:
+        rows = written(rows)
+        intervals = compared(rows.join(hot, "gram", "left_anti"), parts, width).unionByName(counted(rows.join(hot, "gram", "left_semi"), width))
+    within = intervals.select("gram", "ctx", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    some = matched.filter("several").join(within, ["gram", "ctx"]).select("k1", "k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+    spans = matched.filter("not several").select("k1", "k2", "lo", "hi").unionByName(some).withColumn("grp", group_of(groups))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
-        spans, marked = right.filter(right.column("id").is_valid()), right.filter(right.column("ids").is_valid())
-        spans = spans.select(["id", "sum", "lo", "hi"]).to_pandas()
-        spans = {k: (p["lo"].to_numpy(), p["hi"].to_numpy()) for k, p in spans.groupby(["id", "sum"])}
-        ids = [packed.from_planes(x).view(np.int64) for x in marked.column("ids").to_pylist()]
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        hashes = [np.frombuffer(x, "<u8") for x in marked.column("hashes").to_pylist()]
-        hashes = np.concatenate(hashes) if hashes else np.zeros(0, U)
-        order = np.lexsort((hashes, ids))
-        ids, hashes = ids[order], hashes[order]
+        marked = right.select(["k1", "k2", "lo", "hi"]).to_pandas()
+        marked = {k: (p["lo"].to_numpy(np.int64), p["hi"].to_numpy(np.int64)) for k, p in marked.groupby(["k1", "k2"])}
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        for key, data in zip(zip(left.column("k1").to_pylist(), left.column("k2").to_pylist()), left.column("z").to_pylist()):
+            text, (lo, hi) = z.decompress(data), marked.get(key, ((), ()))
+            kept, n_spans = text, 0
+            if len(lo):
+                step = np.bincount(lo, minlength=len(text) + 1) - np.bincount(hi + width, minlength=len(text) + 1)
+                gone = np.cumsum(step)[:-1] > 0
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+            for k, v in zip(out, (len(text), len(text) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None)):
+                out[k].append(v)
+        fields = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_bytes]
         raw = left.column("id").combine_chunks() if left.num_rows else pa.array([], left.schema.field("id").type)
-        numbers = numbered(left, groups) if left.num_rows else {}
-        for i, s, sealed_text in zip(raw.to_pylist(), left.column("sum").to_pylist(), left.column("z").to_pylist()):
-            key = (NO_ID if i is None else i, s)
-            text = z.decompress(sealed_text)
-            step = np.zeros(len(text) + 1, np.int32)
-            lo, hi = spans.get(key, ((), ()))
-            np.add.at(step, np.array(lo, np.int64), 1)
-            np.add.at(step, np.array(hi, np.int64) + width, -1)
-            a, b = np.searchsorted(ids, numbers[key]), np.searchsorted(ids, numbers[key], "right")
-            if a < b and len(text) >= width:
-                wanted = np.unique(hashes[a:b])
-                own = windows_hash(bytes_sums(np.frombuffer(text, np.uint8)), width)
-                at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[at] == own)
-                np.add.at(step, hit, 1)
-                np.add.at(step, hit + width, -1)
-            gone = np.cumsum(step)[:-1] > 0
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
-            out["n_bytes"].append(len(text))
-            out["n_removed"].append(int(gone.sum()))
-            out["n_spans"].append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept if with_bytes else None)
-        cols, names = [raw] + [pa.array(out[k], t) for k, t in fields], [id_col] + [k for k, _ in fields]
-        if with_bytes:
-            cols, names = [*cols, pa.array(out["kept"], pa.binary())], [*names, "kept"]
-        return pa.Table.from_arrays(cols, names)
-
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return texts.groupBy("grp").cogroup(notes.groupBy("grp")).applyInArrow(remove, schema)
+        return pa.Table.from_arrays([raw, *[pa.array(v, t) for v, t in zip(out.values(), fields)]], ["id", *list(out)[: len(fields)]])
+
+    schema = row_schema([keyed_texts.schema["id"]], "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+    whole = texts.groupBy("grp").cogroup(spans.repartition(parts, "grp").groupBy("grp")).applyInArrow(remove, schema)
+    # texts that are too short for a match need no shuffle, however many there are of them
+    zero = F.lit(0).cast("long")
+    short = keyed_texts.filter(F.octet_length("text") < width).select(
+        "id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * with_bytes
+    )
+    return whole.unionByName(short).withColumnRenamed("id", id_col)

@@ -1,8 +1,11 @@
+import glob
 import hashlib
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from costloom.llm import hashing, suffix_index
@@ -30,14 +33,18 @@ def mutated(rng, t, n):
     return t
 
 
-def test_equals_brute_force(clashing, monkeypatch):
-    monkeypatch.setattr(suffix_index, "CHUNK_STRINGS", 700)
+@pytest.mark.parametrize("hot", [3, 1000])
+def test_equals_brute_force(clashing, monkeypatch, hot):
+    """Also where over three contexts of a start count as too many for a task."""
+    monkeypatch.setattr(suffix_index, "TOGETHER", 7)
+    monkeypatch.setattr(suffix_index, "HOT", hot)
     rng = random.Random(2)
     prose = lambda n: "".join(rng.choice("abcdefgh  é") for _ in range(n))
     base = prose(1500)
     rows = [(i, mutated(rng, base, rng.randrange(6))) for i in range(25)]
     rows += [(100 + i, prose(rng.randrange(300)) + base[200 : 200 + rng.choice([398, 399, 400, 401, 700])] + prose(rng.randrange(300))) for i in range(15)]
     rows += [(200, base), (201, base), (202, None), (203, ""), (204, "a" * 399), (205, "a" * 400), (206, "b" * 401), (207, "ab" * 700), (208, prose(40) * 40)]
+    rows += [(None, None), (None, ""), (None, ""), (300, prose(100) + "é" * 3000)]
     rows += [(200, base), (200, prose(900)), (None, base[:900]), (None, base[100:800]), (209, "x" * 2000 + base[:500])]
     got = suffix_index.drop_repeated_bytes(clashing(rows)).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
@@ -49,35 +56,51 @@ def test_equals_brute_force_on_a_table(sample):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
-def test_levels(docs):
-    """Four batches leave levels of ranks 1, 0, 0; any number of batches matches alike."""
+def test_levels(docs, spark):
+    """Every batch is scanned against all before it; levels of equal rank merge; any number of batches gives the same."""
     rng = random.Random(4)
     base = "".join(rng.choice("abcdef ") for _ in range(900))
-    df = docs([(i, mutated(rng, base, 1)) for i in range(12)])
-    index, results = suffix_index.SuffixIndex(), []
-    for k in range(4):
-        index.add(suffix_index.runs(df.filter(F.col("doc_id") % 4 == k), "doc_id", "text", 400, 64))
-    assert [rank for rank, _ in index.levels] == [1, 0, 0]
-    for n in (1, 3, 4):
-        results.append(sorted(map(tuple, suffix_index.drop_repeated_bytes(df, batches=n).collect()), key=repr))
+    df = docs([(i, mutated(rng, base, 1)) for i in range(14)])
+    texts = suffix_index.keyed(df, "doc_id", "text").withColumn("k", F.col("id") % 7)
+    index, ranks, found = suffix_index.SuffixIndex(spark), [], []
+    for k in range(7):
+        found += index.add(suffix_index.runs(texts.filter(F.col("k") == k).drop("k"))).select("head", "gram").collect()
+        ranks.append([rank for rank, _, _ in index.levels])
+    assert ranks == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0]]
+    rows = [r for _, name, _ in index.levels for r in spark.table(name).collect()]
+    runs = suffix_index.runs(texts.drop("k")).collect()
+    assert sum(r.n for r in rows) == len(runs)
+    times = Counter((bytes(r["head"]), r.gram) for r in runs)
+    assert {(bytes(r["head"]), r.gram) for r in found} == {k for k, n in times.items() if n > 1}
+    for _, name, path in index.levels:  # each bucket's file is in the order of the suffixes
+        for file in glob.glob(path.removeprefix("file:") + "/*.parquet"):
+            heads = pq.read_table(file, columns=["head"]).column("head").to_pylist()
+            assert heads == sorted(heads)
+    index.close()
+    results = [sorted(map(tuple, suffix_index.drop_repeated_bytes(df, batches=n).collect()), key=repr) for n in (1, 3, 8)]
     assert results[0] == results[1] == results[2] == brute([(r.doc_id, r.text) for r in df.collect()])
 
 
-def test_scan_of_a_batch(docs):
-    df = docs([(1, "abcdefg " * 60), (2, "abcdefg " * 60)])
-    runs = lambda k: suffix_index.runs(df.filter(F.col("doc_id") == k), "doc_id", "text", 400, 64)
-    index = suffix_index.SuffixIndex()
-    index.add(runs(1))
-    assert index.matches(runs(2)).count() > 0
+def test_batches_follow_the_bytes():
+    assert [suffix_index.batches_for(n << 20) for n in (0, 600, 1280, 1 << 20)] == [4, 4, 10, 32]
+
+
+def test_levels_meet_without_a_shuffle(spark, docs):
+    df = suffix_index.keyed(docs([(i, "abcdefg " * 60 + f"{i}" * 400) for i in range(6)]), "doc_id", "text")
+    index = suffix_index.SuffixIndex(spark)
+    index.add(suffix_index.runs(df.filter("id < 3")))
+    other = index._stored(5, spark.table(index.levels[0][1]))
+    x, y = spark.table(index.levels[0][1]), spark.table(other[1])
+    plan = index.merged(x, y)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 def test_segments(monkeypatch):
-    data = np.frombuffer(random.Random(1).randbytes(5000), np.uint8)
-    one = list(suffix_index.runs_of(data, 400, 64))
+    texts = [random.Random(k).randbytes(n) for k, n in ((1, 5000), (2, 400), (3, 0), (4, 399), (5, 1300))]
+    covered = lambda: sorted((i, p) for o, _, _, _, lo, _, hi in suffix_index.runs_of(texts, 400, 64) for i, a, b in zip(o, lo, hi) for p in range(a, b + 1))
+    one = covered()
     monkeypatch.setattr(suffix_index, "SEGMENT", 700)
-    many = list(suffix_index.runs_of(data, 400, 64))
-    covered = lambda rs: sorted(p for _, _, lo, hi in rs for a, b in zip(lo, hi) for p in range(a, b + 1))
-    assert covered(one) == covered(many) == list(range(4601))
+    assert covered() == one == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 399)]
 
 
 def test_sliding_argmin():
