@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from costloom.functions import dims
 
+# The date suffix, the default models; below, the providers by name.
 DATE_SUFFIX = r"-\d{4}(-\d{2}-\d{2}|\d{4})?$"
 DEFAULT_MODELS = ["gpt-4o", "gpt-4o-mini", "claude-3-5-sonnet-latest", "claude-3-5-haiku-latest", "gemini-2.5-pro", "gemini-2.5-flash"]
 
@@ -19,9 +20,7 @@ def resolve_models(models: DataFrame) -> DataFrame:
 
     Candidates in order: the name, the name without its date, then that with one `-part` less each time.
     """
-    parts = F.split(stripped(F.col("model")), "-")
-    shorter = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.concat_ws("-", F.slice(parts, F.lit(1), k)))
-    tried = models.select("model", F.posexplode(F.concat(F.array("model"), shorter)).alias("pos", "price_model"))
+    tried = models.select("model", F.posexplode(F.concat(F.array("model"), shorter_names(F.col("model")))).alias("pos", "price_model"))
     found = tried.join(dims.prices(models.sparkSession), "price_model", "left").filter("input is not null")
     best = found.groupBy("model").agg(F.min_by(F.struct("price_model", "input", "output"), "pos").alias("p"))
     return models.join(best, "model", "left").select("model", F.col("p.price_model").alias("priced_as"), "p.input", "p.output")
@@ -31,12 +30,22 @@ def cost_of(tokens_in: Column, tokens_out: Column, price_in: Column, price_out:
     return tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out
 
 
+def shorter_names(model: Column) -> Column:
+    """The name without its date, then that with one `-part` less each time."""
+    parts = F.split(stripped(model), "-")
+    return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.concat_ws("-", F.slice(parts, F.lit(1), k)))
+
+
+def price_of(model: Column) -> Column:
+    """array<input, output> of a name, the default where none resolves: no join, and listed names take one lookup."""
+    book = F.create_map(*[x for m, i, o in dims.PRICE_ROWS for x in (F.lit(m), F.array(F.lit(float(i)), F.lit(float(o))))])
+    found = F.filter(F.transform(shorter_names(model), lambda m: F.try_element_at(book, m)), lambda p: p.isNotNull())
+    return F.coalesce(F.try_element_at(book, model), F.get(found, F.lit(0)), F.array(*[F.lit(float(d)) for d in dims.DEFAULT_PRICE]))
+
+
 def with_cost(calls: DataFrame, name: str = "cost_usd") -> DataFrame:
-    """Adds the cost; names that don't resolve cost the default price. Names are few: resolved once each."""
-    resolved = resolve_models(calls.select("model").distinct()).select("model", "input", "output")
-    price = [F.coalesce(F.col(c), F.lit(d)) for c, d in zip(("input", "output"), dims.DEFAULT_PRICE)]
-    out = calls.join(resolved, "model", "left")
-    return out.withColumn(name, cost_of(F.col("tokens_in"), F.col("tokens_out"), *price)).select(*calls.columns, name)
+    """Adds the cost; names that don't resolve cost the default price. An expression: no join, no shuffle."""
+    return calls.withColumn("__p", price_of(F.col("model"))).withColumn(name, cost_of(F.col("tokens_in"), F.col("tokens_out"), F.col("__p")[0], F.col("__p")[1])).drop("__p")
 
 
 def unknown_models(calls: DataFrame) -> DataFrame:

@@ -59,9 +59,10 @@ def model_profile(usage: DataFrame) -> DataFrame:
 
 
 def session_summary(usage: DataFrame) -> DataFrame:
-    """Totals of each project (model null) and of each of its models."""
+    """Totals of each project (level 'project', model null) and of each of its models (level 'model', null ones too)."""
     grouped = usage.groupingSets([["project_id"], ["project_id", "model"]], "project_id", "model")
-    return grouped.agg(F.sum("cost_usd").alias("cost"), _tokens().alias("tokens"), F.count(F.lit(1)).alias("calls"))
+    level = F.when(F.grouping("model") == 1, "project").otherwise("model").alias("level")
+    return grouped.agg(level, F.sum("cost_usd").alias("cost"), _tokens().alias("tokens"), F.count(F.lit(1)).alias("calls"))
 
 
 def active(series: DataFrame) -> DataFrame:

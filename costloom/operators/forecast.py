@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from costloom.operators import smoothing
-from costloom.operators.aggregates import last_runs, model_costs
+from costloom.operators.aggregates import model_costs
 from costloom.operators.series import series_choice
 
 Z80, Z95 = 1.28, 1.96
@@ -13,14 +13,10 @@ OVER, UNDER, RUN, RECENT = 1.5, 0.5, 3, 5
 
 
 def members(choice: DataFrame) -> DataFrame:
-    """Adds each member's forecast per step (null where it does not run), burn state and residual sums."""
-    choice = choice.persist()  # a row per project; every member reads it
-    x = choice
-    s = smoothing.ses(choice).select("project_id", F.col("level").alias("ses_level"), "sse", "sae")
-    t = smoothing.damped_trend(choice).select("project_id", "phi", F.col("level").alias("trend_level"), "trend")
-    l = smoothing.linear(choice).select("project_id", "slope", "intercept")  # noqa: E741
-    for part in (s, t, l):
-        x = x.join(part, "project_id", "left")
+    """Adds each member's forecast per step (null where it does not run) and residual sums: no shuffle, no join."""
+    x = smoothing.with_ses(smoothing.fitted(choice))
+    line_fit = F.when(F.col("n") >= smoothing.LINE_POINTS, smoothing.regression(F.col("series")))
+    x = x.withColumn("__l", line_fit).withColumns({"slope": F.col("__l.slope"), "intercept": F.col("__l.intercept")}).drop("__l")
     steps = F.sequence(F.lit(1), F.col("horizon"))
     zero = F.lit(0.0)
     phi = F.col("phi")
@@ -108,23 +104,37 @@ def confidence_of(days: Column) -> Column:
 
 def stability(x: DataFrame, history: DataFrame) -> DataFrame:
     """Mean change in percent over the last five totals, this one included."""
-    runs = last_runs(history, RECENT - 1).select("project_id", "iteration", F.col("projected_total").alias("total"))
-    now = x.select("project_id", F.lit(2**31 - 1).alias("iteration"), F.col("projected_total").alias("total"))
-    w = W.partitionBy("project_id").orderBy("iteration")
-    both = runs.unionByName(now).withColumn("before", F.lag("total").over(w))
-    change = F.abs(F.col("total") - F.col("before")) / F.greatest(F.col("total"), F.lit(0.001)) * 100
-    out = both.groupBy("project_id").agg(F.avg(change).alias("stability"))
+    recent = F.when(F.col("rank") < RECENT, F.struct("iteration", "projected_total"))
+    ranked = history.withColumn("rank", F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("iteration"))))
+    runs = ranked.groupBy("project_id").agg(F.array_sort(F.collect_list(recent)).alias("__before"), F.count(F.lit(1)).alias("__runs"))
+    x = x.join(runs, "project_id", "left")
+    totals_of = F.concat(F.coalesce(F.transform("__before", lambda r: r["projected_total"]), F.array().cast("array<double>")), F.array("projected_total"))
+    x = x.withColumn("__totals", totals_of)
+    n = F.size("__totals")
+    change = lambda a, b: F.abs(b - a) / F.greatest(b, F.lit(0.001)) * 100
+    changes = F.filter(F.zip_with(F.slice("__totals", F.lit(1), n - 1), F.slice("__totals", F.lit(2), n - 1), change), lambda c: c.isNotNull())
+    x = x.withColumn("__changes", changes).withColumn("stability", F.when(F.size("__changes") > 0, _sum(F.col("__changes")) / F.size("__changes")))
     label = F.when(F.col("stability") < 5, "converged").when(F.col("stability") <= 15, "stabilizing").when(F.col("stability").isNotNull(), "adjusting")
-    counts = history.groupBy("project_id").agg(F.count(F.lit(1)).alias("__runs"))
-    x = x.join(out, "project_id", "left").withColumn("stability_label", label).join(counts, "project_id", "left")
-    return x.withColumn("iteration", (F.coalesce("__runs", F.lit(0)) + 1).cast("int")).drop("__runs")
+    x = x.withColumn("stability_label", label).withColumn("iteration", (F.coalesce("__runs", F.lit(0)) + 1).cast("int"))
+    return x.drop("__runs", "__before", "__totals", "__changes")
+
+
+MODEL_SHARE = "array<struct<model:string,spent:double,projected:double,share:double>>"
+
+
+def with_breakdown(x: DataFrame, usage: DataFrame) -> DataFrame:
+    """Adds model_breakdown: each model's part of what was spent and is projected; empty where nothing was spent."""
+    costs = model_costs(usage).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("model", "cost"))).alias("__costs"))
+    share = lambda c: c["cost"] / F.col("actual_spend")
+    each = F.transform("__costs", lambda c: F.struct(c["model"].alias("model"), c["cost"].alias("spent"), (c["cost"] + share(c) * F.col("projected_remaining")).alias("projected"), share(c).alias("share")))
+    x = x.join(costs, "project_id", "left")
+    return x.withColumn("model_breakdown", F.coalesce(F.when(F.col("actual_spend") > 0, each), F.array().cast(MODEL_SHARE))).drop("__costs")
 
 
 def model_breakdown(x: DataFrame, usage: DataFrame) -> DataFrame:
     """project_id, model, spent, share, projected; none for projects that have spent nothing."""
-    rows = model_costs(usage).join(x.select("project_id", "actual_spend", "projected_remaining").filter("actual_spend > 0"), "project_id")
-    share = F.col("cost") / F.col("actual_spend")
-    return rows.select("project_id", "model", F.col("cost").alias("spent"), share.alias("share"), (F.col("cost") + share * F.col("projected_remaining")).alias("projected"))
+    rows = with_breakdown(x, usage).select("project_id", F.explode("model_breakdown").alias("m"))
+    return rows.select("project_id", "m.model", "m.spent", "m.share", "m.projected")
 
 
 def core(usage: DataFrame, projects: DataFrame) -> DataFrame:
@@ -142,13 +152,8 @@ FIELDS = [
 
 def forecast(usage: DataFrame, projects: DataFrame, history: DataFrame) -> DataFrame:
     """The complete record. projects: project_id, name, baseline_daily_cost, baseline_total_days, baseline_total_cost."""
-    x = stability(core(usage, projects), history)
-    by_model = model_breakdown(x, usage).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("model", "spent", "projected", "share"))).alias("model_breakdown"))
-    x = x.join(by_model, "project_id", "left")
-    x = x.withColumns({
-        "project_name": F.col("name"), "data_points": F.col("n"), "total_days": F.col("baseline_total_days"), "n_models_used": F.size("models_used"),
-        "model_breakdown": F.coalesce("model_breakdown", F.array().cast("array<struct<model:string,spent:double,projected:double,share:double>>")),
-    })
+    x = with_breakdown(stability(core(usage, projects), history), usage)
+    x = x.withColumns({"project_name": F.col("name"), "data_points": F.col("n"), "total_days": F.col("baseline_total_days"), "n_models_used": F.size("models_used")})
     return x.select(*FIELDS)
 
 

@@ -17,6 +17,9 @@ README = ["README.md", "readme.md", "Readme.md", "spec.md", "CLAUDE.md", ".curso
 MANIFESTS = ["package.json", "go.mod", "Cargo.toml", "tsconfig.json", "pom.xml"]
 EXTENSIONS = [".py", ".js", ".ts", ".tsx", ".jsx"]
 SKIPPED = ["__pycache__", "node_modules", "vendor", "venv"]
+# Line breaks of any kind, for Java and for RE2.
+LINE_BREAK = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"
+LINE_BREAK_RE2 = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 DEPTH, README_CHARS, LINES, PER_EXTENSION, OVERALL = 6, 2000, 50, 50, 100
 
 
@@ -52,7 +55,7 @@ def sdks(files: DataFrame) -> DataFrame:
     first = narrow.withColumn("k", F.row_number().over(W.partitionBy("project_id", "kind").orderBy("path"))).filter(F.col("k") <= PER_EXTENSION)
     first = first.withColumn("k", F.row_number().over(W.partitionBy("project_id").orderBy("kind", "path"))).filter(F.col("k") <= OVERALL)
     read = source.join(first.select("project_id", "path"), ["project_id", "path"], "left_semi").filter(~ignored(F.col("path")))
-    head = F.array_join(F.slice(F.split("content", "\n"), 1, LINES), "\n")
+    head = F.array_join(F.slice(F.split("content", LINE_BREAK), 1, LINES), "\n")
     has = lambda name: F.coalesce(F.bool_or(F.greatest(*[head.rlike(p) for p in SDK[name]])), F.lit(False)).alias(name)
     return read.groupBy("project_id").agg(has("openai"), has("anthropic"))
 

@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from costloom.operators.aggregates import active, bucket_label, daily_costs
+from costloom.operators.aggregates import active, bucket_label
 
 SIZES = (15, 5, 1)
 LEAST_POINTS = 3
 
 
-def adaptive_buckets(usage: DataFrame) -> DataFrame:
-    """Buckets of the coarsest of 15, 5 and 1 minutes that has three active ones, else of one minute.
+def by_minute(usage: DataFrame) -> DataFrame:
+    """Calls summed by minute: days and all buckets are rolled up from it."""
+    return usage.groupBy("project_id", F.date_trunc("minute", "timestamp").alias("at")).agg(F.sum("cost_usd").alias("cost"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("total_tokens"))
 
-    Calls are summed by minute once; the coarser sizes are rolled up from that.
-    """
-    minute = F.date_trunc("minute", "timestamp")
-    fine = usage.groupBy("project_id", minute.alias("at")).agg(F.sum("cost_usd").alias("cost"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("total_tokens"))
-    sized = fine.select("*", F.explode(F.array(*map(F.lit, SIZES))).alias("minutes"))
-    rolled = sized.groupBy("project_id", "minutes", bucket_label(F.col("at"), F.col("minutes")).alias("bucket")).agg(
-        F.sum("cost").alias("cost"), F.sum("total_tokens").alias("total_tokens")
-    )
-    enough = rolled.groupBy("project_id", "minutes").agg(F.count_if(F.col("cost") > 0).alias("n"))
-    picked = enough.groupBy("project_id").agg(F.coalesce(F.max(F.when(F.col("n") >= LEAST_POINTS, F.col("minutes"))), F.lit(1)).alias("minutes"))
-    return rolled.join(picked, ["project_id", "minutes"])
+
+def _adaptive(fine: DataFrame) -> DataFrame:
+    sized = fine.select("*", F.explode(F.array(*map(F.lit, SIZES))).alias("size"))
+    rolled = sized.groupBy("project_id", "size", bucket_label(F.col("at"), F.col("size")).alias("bucket")).agg(F.sum("cost").alias("cost"), F.sum("total_tokens").alias("total_tokens"))
+    enough = F.count_if(F.col("cost") > 0).over(W.partitionBy("project_id", "size")) >= LEAST_POINTS
+    best = F.coalesce(F.max(F.when(F.col("enough"), F.col("size"))).over(W.partitionBy("project_id")), F.lit(1))
+    # one shuffle by project serves both windows
+    marked = rolled.repartition("project_id").withColumn("enough", enough).withColumn("minutes", best)
+    return marked.filter("size = minutes").select("project_id", "minutes", "bucket", "cost", "total_tokens")
+
+
+def adaptive_buckets(usage: DataFrame) -> DataFrame:
+    """Buckets of the coarsest of 15, 5 and 1 minutes that has three active ones, else of one minute."""
+    return _adaptive(by_minute(usage))
 
 
 def series_choice(usage: DataFrame, projects: DataFrame) -> DataFrame:
@@ -31,12 +35,13 @@ def series_choice(usage: DataFrame, projects: DataFrame) -> DataFrame:
 
     A project's array is bounded by the calendar, not by its calls. Projects without usage have empty series.
     """
-    daily = daily_costs(usage)
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(c, "cost"))), lambda s: s["cost"])
-    days = daily.groupBy("project_id").agg(F.sum("total_tokens").alias("total_tokens"))
-    day_points = active(daily).groupBy("project_id").agg(ordered("day").alias("daily"), F.sum("cost").alias("actual_spend"))
-    buckets = active(adaptive_buckets(usage)).groupBy("project_id").agg(ordered("bucket").alias("buckets"), F.max("minutes").alias("minutes"))
-    x = projects.join(days, "project_id", "left").join(day_points, "project_id", "left").join(buckets, "project_id", "left")
+    fine = by_minute(usage)
+    daily = fine.groupBy("project_id", F.to_date("at").alias("day")).agg(F.sum("cost").alias("cost"), F.sum("total_tokens").alias("total_tokens"))
+    ordered = lambda points: F.transform(F.array_sort(F.collect_list(points)), lambda s: s["cost"])
+    paid = F.when(F.col("cost") > 0, F.struct("day", "cost"))
+    days = daily.groupBy("project_id").agg(F.sum("total_tokens").alias("total_tokens"), ordered(paid).alias("daily"), F.sum(F.when(F.col("cost") > 0, F.col("cost"))).alias("actual_spend"))
+    buckets = active(_adaptive(fine)).groupBy("project_id").agg(ordered(F.struct("bucket", "cost")).alias("buckets"), F.max("minutes").alias("minutes"))
+    x = projects.join(days, "project_id", "left").join(buckets, "project_id", "left")
     empty = F.array().cast("array<double>")
     x = x.withColumn("daily", F.coalesce("daily", empty)).withColumn("buckets", F.coalesce("buckets", empty))
     x = x.withColumn("actual_spend", F.coalesce("actual_spend", F.lit(0.0))).withColumn("total_tokens", F.coalesce("total_tokens", F.lit(0)))
@@ -50,6 +55,3 @@ def series_choice(usage: DataFrame, projects: DataFrame) -> DataFrame:
     x = x.withColumn("base", F.when(F.col("baseline_daily_cost") > 0, F.col("baseline_daily_cost")).otherwise(1.0))
     return x.drop("buckets", "minutes")
 
-
-def with_lag(series: DataFrame, order: str) -> DataFrame:
-    return series.withColumn("before", F.lag("cost").over(W.partitionBy("project_id").orderBy(order)))

@@ -2,35 +2,25 @@
 
 Exponential smoothing is linear in its start level, so for a fixed smoothing factor the best start is a
 quotient of sums; factors are searched on a grid, coarse then fine. The damped trend is linear in level
-and trend, so each grid point is a 2 x 2 system; only that fit runs in pandas, a group for each project.
+and trend, so each grid point is a 2 x 2 system. Both grids run in numpy over Arrow batches, TOGETHER series at a
+time; all else are Catalyst expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 SES_POINTS, TREND_POINTS, LINE_POINTS = 2, 10, 3
 FIXED_ALPHA = 0.3
 ALPHAS = [round(0.05 + 0.1 * i, 2) for i in range(10)]
 BETA_SHARES = [0.0, 0.1, 0.3, 0.6, 1.0]
 PHIS = [0.80, 0.86, 0.92, 0.98]
-_STATE = "struct<a:double,w:double,dd:double,dw:double,ww:double>"
-
-
-def _fold(series: Column, alpha: Column) -> Column:
-    """Sums from which the best start level and its squared error follow."""
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("w"), F.lit(0.0).alias("dd"), F.lit(0.0).alias("dw"), F.lit(0.0).alias("ww")).cast(_STATE)
-
-    def step(s, c):
-        d = c - s["a"]
-        return F.struct(
-            ((1 - alpha) * s["a"] + alpha * c).alias("a"), ((1 - alpha) * s["w"]).alias("w"), (s["dd"] + d * d).alias("dd"),
-            (s["dw"] + d * s["w"]).alias("dw"), (s["ww"] + s["w"] * s["w"]).alias("ww"),
-        ).cast(_STATE)
-
-    return F.aggregate(series, start, step)
+TOGETHER = 256
 
 
 def regression(series: Column) -> Column:
@@ -67,64 +57,133 @@ def ses_fixed(df: DataFrame, alpha: float = FIXED_ALPHA) -> DataFrame:
     return _ses_out(x.withColumn("level0", F.col("__l.intercept") - F.col("__l.slope")))
 
 
-def ses_optimal(df: DataFrame, least: int = TREND_POINTS) -> DataFrame:
-    """Least squares over factors 0.01 ... 0.99, then thousandths around the best; ties to the smaller."""
+def trend_grid() -> np.ndarray:
+    """Rows (alpha, beta, phi), in the order in which ties are decided."""
+    return np.array([(a, round(a * b, 4), p) for a in ALPHAS for b in BETA_SHARES for p in PHIS])
 
-    def best(x: DataFrame, grid: Column) -> DataFrame:
-        tried = x.select("project_id", "series", F.explode(grid).alias("alpha"))
-        s = tried.withColumn("s", _fold(F.col("series"), F.col("alpha")))
-        sse = F.round(F.col("s.dd") - F.col("s.dw") * F.col("s.dw") / F.col("s.ww"), 9)
-        return s.groupBy("project_id").agg(F.min(F.struct(sse.alias("sse"), "alpha", (F.col("s.dw") / F.col("s.ww")).alias("level0"))).alias("b"))
 
-    x = df.filter(F.col("n") >= least).select("project_id", "series")
-    coarse = best(x, F.transform(F.sequence(F.lit(1), F.lit(99)), lambda i: i / 100.0)).select("project_id", F.col("b.alpha").alias("near"))
-    around = F.filter(F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda i: F.round(F.col("near") + i / 1000.0, 3)), lambda a: (a > 0) & (a < 1))
-    fine = x.join(coarse, "project_id")
-    fine = best(fine.withColumn("grid", around), F.col("grid")).select("project_id", "b.alpha", "b.level0")
-    return _ses_out(x.join(fine, "project_id"))
+def _columns(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Series of falling length as a matrix, and how many of them are as long as each step."""
+    lengths = np.array([len(y) for y in series])
+    y = np.zeros((len(series), lengths[0]))
+    for i, x in enumerate(series):
+        y[i, : len(x)] = x
+    return y, (lengths[:, None] > np.arange(lengths[0])).sum(0)
+
+
+def _best_ses(y: np.ndarray, live: np.ndarray, alphas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each series the factor of least squared error (alphas: a row each, ascending) and its best start level."""
+    a, dd, dw, ww = (np.zeros(alphas.shape) for _ in range(4))
+    w = np.ones(alphas.shape)
+    for t, k in enumerate(live):
+        d = y[:k, t, None] - a[:k]
+        a[:k] = (1 - alphas[:k]) * a[:k] + alphas[:k] * y[:k, t, None]
+        dd[:k] += d * d
+        dw[:k] += d * w[:k]
+        ww[:k] += w[:k] * w[:k]
+        w[:k] *= 1 - alphas[:k]
+    at = np.arange(len(y)), np.round(dd - dw * dw / ww, 9).argmin(1)
+    return alphas[at], (dw / ww)[at]
+
+
+def _fit_ses(y: np.ndarray, live: np.ndarray) -> list[np.ndarray]:
+    """alpha, level0, level, sse, sae: hundredths first, then thousandths around the best; ties to the smaller."""
+    near, _ = _best_ses(y, live, np.tile(np.arange(1, 100) / 100.0, (len(y), 1)))
+    around = np.clip(np.round(near[:, None] + np.arange(-10, 11) / 1000.0, 3), 0.001, 0.999)
+    alpha, level0 = _best_ses(y, live, around)
+    level, sq, ab = level0.copy(), np.zeros(len(y)), np.zeros(len(y))
+    for t, k in enumerate(live):
+        e = y[:k, t] - level[:k]
+        level[:k] += alpha[:k] * e
+        sq[:k] += e * e
+        ab[:k] += np.abs(e)
+    return [alpha, level0, level, sq, ab]
+
+
+def _fit_trend(y: np.ndarray, live: np.ndarray) -> list[np.ndarray]:
+    """phi, level, trend, sse, alpha, beta of the best grid point; ties to the smaller parameters.
 
+    Three recursions side by side: the series from zero, and no series from a level or a trend of one; the
+    latter two are the same for all series.
+    """
+    alpha, beta, phi = trend_grid().T
+    g, rows = len(alpha), len(y)
+    level, trend = np.zeros((rows, g)), np.zeros((rows, g))
+    unit_level, unit_trend = np.stack([np.ones(g), np.zeros(g)]), np.stack([np.zeros(g), np.ones(g)])
+    s00, s01, s02 = (np.zeros((rows, g)) for _ in range(3))
+    s11, s12, s22 = (np.zeros((rows, g)) for _ in range(3))
+    ends = np.zeros((4, rows, g))  # levels and trends of the two at the end of each series
+    for t, k in enumerate(live):
+        e = y[:k, t, None] - level[:k] - phi * trend[:k]
+        level[:k], trend[:k] = level[:k] + phi * trend[:k] + alpha * e, phi * trend[:k] + beta * e
+        u = -unit_level - phi * unit_trend
+        unit_level, unit_trend = unit_level + phi * unit_trend + alpha * u, phi * unit_trend + beta * u
+        s00[:k] += e * e
+        s01[:k] += e * u[0]
+        s02[:k] += e * u[1]
+        s11[:k] += u[0] * u[0]
+        s12[:k] += u[0] * u[1]
+        s22[:k] += u[1] * u[1]
+        ends[:, :k] = np.stack([*unit_level, *unit_trend])[:, None, :]
+    det = s11 * s22 - s12**2
+    sound = np.abs(det) > 1e-12
+    safe = np.where(sound, det, 1.0)
+    l0 = np.where(sound, (-s01 * s22 + s02 * s12) / safe, 0.0)
+    b0 = np.where(sound, (-s02 * s11 + s01 * s12) / safe, 0.0)
+    sse = s00 + 2 * l0 * s01 + 2 * b0 * s02 + l0 * l0 * s11 + 2 * l0 * b0 * s12 + b0 * b0 * s22
+    best = np.round(sse, 6).argmin(1)
+    at = np.arange(rows), best
+    return [phi[best], (level + l0 * ends[0] + b0 * ends[1])[at], (trend + l0 * ends[2] + b0 * ends[3])[at], sse[at], alpha[best], beta[best]]
+
+
+SES_FIT = "fit_alpha double, fit_level0 double, fit_level double, fit_sse double, fit_sae double"
+TREND_FIT = "phi double, trend_level double, trend double, trend_sse double, trend_alpha double, trend_beta double"
+
+
+def fitted(df: DataFrame, ses_least: int = TREND_POINTS) -> DataFrame:
+    """df with the columns of both searched fits (null for shorter series): many series at a time, no shuffle."""
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"{SES_FIT}, {TREND_FIT}").fields])
+    at, width = df.columns.index("series"), len(schema) - len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(start, TOGETHER)
+                series = [np.asarray(s, float) for s in b.column(at).to_pylist()]
+                out = np.full((width, b.num_rows), np.nan)
+                for fit, least, rows in ((_fit_ses, ses_least, slice(0, 5)), (_fit_trend, TREND_POINTS, slice(5, width))):
+                    picked = sorted((i for i, s in enumerate(series) if len(s) >= least), key=lambda i: -len(series[i]))
+                    if picked:
+                        out[rows, picked] = np.stack(fit(*_columns([series[i] for i in picked])))
+                cols = [pa.array(x, from_pandas=True) for x in out]  # NaN: null
+                yield pa.RecordBatch.from_arrays([*b.columns, *cols], schema.names)
+
+    return df.mapInArrow(run, schema)
 
-def ses(df: DataFrame) -> DataFrame:
-    return ses_fixed(df.filter(F.col("n") < TREND_POINTS)).unionByName(ses_optimal(df))
 
+def ses_optimal(df: DataFrame, least: int = TREND_POINTS) -> DataFrame:
+    """Least squares over factors 0.01 ... 0.99, then thousandths around the best; ties to the smaller."""
+    x = fitted(df.filter(F.col("n") >= least).select("project_id", "series"), least)
+    return x.select("project_id", *[F.col(f"fit_{c}").alias(c) for c in ("alpha", "level0", "level", "sse", "sae")])
 
-def trend_grid() -> np.ndarray:
-    """Rows (alpha, beta, phi)."""
-    return np.array([(a, round(a * b, 4), p) for a in ALPHAS for b in BETA_SHARES for p in PHIS])
 
+def ses(df: DataFrame) -> DataFrame:
+    """The searched fit, or the fixed factor for short series."""
+    return ses_fixed(df.filter(F.col("n") < TREND_POINTS)).unionByName(ses_optimal(df))
 
-def _fit_trend(y: np.ndarray) -> tuple[float, ...]:
-    """phi, level, trend, sse, alpha, beta of the best grid point; ties to the smaller parameters.
 
-    Three recursions side by side: the series from zero, and no series from a level or a trend of one.
-    """
-    alpha, beta, phi = trend_grid().T
-    zero, one = np.zeros_like(alpha), np.ones_like(alpha)
-    level, trend = np.stack([zero, one, zero]), np.stack([zero, zero, one])
-    sums = np.zeros((3, 3, len(alpha)))
-    for value in y:
-        e = -level - phi * trend
-        e[0] += value
-        level, trend = level + phi * trend + alpha * e, phi * trend + beta * e
-        sums += e[:, None] * e[None, :]
-    det = sums[1, 1] * sums[2, 2] - sums[1, 2] ** 2
-    safe = np.where(np.abs(det) > 1e-12, det, 1.0)
-    l0 = np.where(np.abs(det) > 1e-12, (-sums[0, 1] * sums[2, 2] + sums[0, 2] * sums[1, 2]) / safe, 0.0)
-    b0 = np.where(np.abs(det) > 1e-12, (-sums[0, 2] * sums[1, 1] + sums[0, 1] * sums[1, 2]) / safe, 0.0)
-    sse = sums[0, 0] + 2 * l0 * sums[0, 1] + 2 * b0 * sums[0, 2] + l0 * l0 * sums[1, 1] + 2 * l0 * b0 * sums[1, 2] + b0 * b0 * sums[2, 2]
-    k = np.lexsort((phi, beta, alpha, np.round(sse, 6)))[0]
-    return phi[k], (level[0] + l0 * level[1] + b0 * level[2])[k], (trend[0] + l0 * trend[1] + b0 * trend[2])[k], sse[k], alpha[k], beta[k]
+def with_ses(x: DataFrame) -> DataFrame:
+    """Adds ses_level, sse and sae to fitted rows: the searched fit, or the fixed factor for short series."""
+    line = regression(F.col("series"))
+    short = _errors(F.col("series"), F.lit(FIXED_ALPHA), line["intercept"] - line["slope"])
+    x = x.withColumn("__e", F.when((F.col("n") >= SES_POINTS) & F.col("fit_level").isNull(), short))
+    return x.withColumns({to: F.coalesce(f"fit_{c}", f"__e.{e}") for to, c, e in (("ses_level", "level", "level"), ("sse", "sse", "sq"), ("sae", "sae", "ab"))}).drop("__e")
 
 
 def damped_trend(df: DataFrame) -> DataFrame:
     """project_id, phi, level, trend, sse, alpha, beta for series of ten points or more."""
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        rows = [(i, *_fit_trend(np.asarray(s, float))) for i, s in zip(part["project_id"], part["series"])]
-        return pd.DataFrame(rows, columns=["project_id", "phi", "level", "trend", "sse", "alpha", "beta"])
-
-    schema = "project_id long, phi double, level double, trend double, sse double, alpha double, beta double"
-    return df.filter(F.col("n") >= TREND_POINTS).select("project_id", "series").groupBy("project_id").applyInPandas(fit, schema)
+    x = fitted(df.filter(F.col("n") >= TREND_POINTS).select("project_id", "series"))
+    return x.select("project_id", "phi", F.col("trend_level").alias("level"), "trend", *[F.col(f"trend_{c}").alias(c) for c in ("sse", "alpha", "beta")])
 
 
 def linear(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from costloom.functions import dims
 from costloom.operators import scope, smoothing
-from costloom.plans.views import MODEL_OF
+from costloom.plans.views import MODEL_ROWS
 
 
 def _values(rows) -> str:
@@ -38,9 +38,10 @@ resolved AS (SELECT model, arg_min(price_model, pos) AS priced_as, arg_min(pin,
   FROM cands JOIN prices ON c = price_model GROUP BY model)"""
 
 
-CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MODEL_OF.items())
-CALLS = f"""{PRICES}, calls AS (SELECT event_id AS id, user_id % 5 + 1 AS project_id, user_id, ts AS "timestamp", CASE event_type {CASE} END AS model,
-  CAST(json_extract_string(props, '$.k') AS BIGINT) * 100 AS tokens_in, CAST(floor(value * 10) AS BIGINT) AS tokens_out FROM events)"""
+USES = f"""uses AS (SELECT * FROM {_values(MODEL_ROWS)} t(event_type, k3, model, in_unit, out_unit))"""
+CALLS = f"""{PRICES}, {USES}, calls AS (SELECT event_id AS id, user_id % 5 + 1 AS project_id, user_id, ts AS "timestamp", model,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) * in_unit AS tokens_in, CAST(floor(value * out_unit) AS BIGINT) AS tokens_out
+  FROM events e LEFT JOIN uses u ON e.event_type = u.event_type AND event_id % 3 = k3)"""
 COST = "tokens_in / 1e6 * coalesce(input, 5.0::DOUBLE) + tokens_out / 1e6 * coalesce(output, 15.0::DOUBLE)"
 USAGE = f"""WITH {CALLS}, {resolved("calls")}, usage AS MATERIALIZED (
   SELECT c.*, {COST} AS cost_usd, {provider("c.model")} AS provider FROM calls c LEFT JOIN resolved USING (model))"""
@@ -152,8 +153,8 @@ SHARES = """mc AS (SELECT project_id, model, sum(cost_usd) AS spent FROM uu GROU
 shares AS (SELECT project_id, model, spent, spent / actual_spend AS share, spent + spent / actual_spend * projected_remaining AS projected FROM mc JOIN fin USING (project_id) WHERE actual_spend > 0)"""
 RECORD = f"{FULL}, {STABLE}, {SHARES}"
 
-RAW = f"""WITH {PRICES}, typed AS (SELECT event_id % 13 AS k, event_id % 17 AS p17, user_id % 5 + 1 AS pid, ts, CASE event_type {CASE} END AS m,
-  CAST(json_extract_string(props, '$.k') AS BIGINT) * 100 AS i, CAST(floor(value * 10) AS BIGINT) AS o FROM events),
+SKIP = "starts_with(ct, 'text/event-stream')"
+RAW = f"""WITH {CALLS}, typed AS (SELECT id % 13 AS k, id % 17 AS p17, project_id AS pid, "timestamp" AS ts, model AS m, tokens_in AS i, tokens_out AS o FROM calls),
 raw AS (SELECT CASE WHEN p17 <> 0 THEN pid END AS project_id, ts AS "timestamp", CASE WHEN k = 12 THEN 'text/event-stream; charset=utf-8' ELSE 'application/json' END AS ct,
   CASE WHEN k < 3 THEN '{{"model":"' || m || '","usage":{{"prompt_tokens":' || i || ',"completion_tokens":' || o || '}}}}'
   WHEN k = 3 THEN '{{"model":"' || m || '","usage":{{"input_tokens":' || i || ',"output_tokens":' || o || '}}}}'
@@ -171,7 +172,7 @@ fields AS (SELECT *, json_type(j) AS root, json_type(j, '$.usage') AS ut, json_e
     list_filter(json_extract_string(j, '$.choices[*].message.model'), lambda x: x IS NOT NULL)[1], 'unknown') AS model FROM js),
 toks AS (SELECT *, TRY_CAST(CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN a1 WHEN b1 IS NOT NULL AND b2 IS NOT NULL THEN b1 END AS BIGINT) AS tokens_in,
   TRY_CAST(CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN a2 WHEN b1 IS NOT NULL AND b2 IS NOT NULL THEN b2 END AS BIGINT) AS tokens_out FROM fields),
-stat AS (SELECT *, CASE WHEN starts_with(ct, 'text/event-stream') THEN 'skipped_streaming' WHEN j IS NULL THEN 'ignored' WHEN root <> 'OBJECT' THEN 'error'
+stat AS (SELECT *, CASE WHEN {SKIP} THEN 'skipped_streaming' WHEN j IS NULL THEN 'ignored' WHEN root <> 'OBJECT' THEN 'error'
   WHEN ut IS NULL OR ut <> 'OBJECT' OR NOT ((a1 IS NOT NULL AND a2 IS NOT NULL) OR (b1 IS NOT NULL AND b2 IS NOT NULL)) THEN 'ignored'
   WHEN tokens_in IS NULL OR tokens_out IS NULL THEN 'error' WHEN project_id IS NULL THEN 'ignored' ELSE 'tracked' END AS status FROM toks)"""
 _LENIENT = """, lenient AS (SELECT project_id, "timestamp", coalesce(json_extract_string(j, '$.model'), json_extract_string(j, '$.id'), 'unknown') AS model,
@@ -212,7 +213,7 @@ def _parameters() -> str:
 BASELINE = f"""{FILES}, {PRICES}, readme AS (SELECT project_id, lower(left(arg_min(content, {_order}), {scope.README_CHARS})) AS readme FROM files WHERE {_order} IS NOT NULL GROUP BY ALL),
 code AS (SELECT *, {_ext} AS kind FROM seen WHERE {_ext} IS NOT NULL), capped AS (SELECT * FROM code QUALIFY row_number() OVER (PARTITION BY project_id, kind ORDER BY path) <= {scope.PER_EXTENSION}),
 capped2 AS (SELECT * FROM capped QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY kind, path) <= {scope.OVERALL}),
-heads AS (SELECT project_id, array_to_string(string_split(content, chr(10))[1:{scope.LINES}], chr(10)) AS head FROM capped2 WHERE NOT ignored),
+heads AS (SELECT project_id, array_to_string(regexp_split_to_array(content, '{scope.LINE_BREAK_RE2}')[1:{scope.LINES}], chr(10)) AS head FROM capped2 WHERE NOT ignored),
 sdk AS (SELECT project_id, bool_or({_hit}) AS anthropic FROM heads GROUP BY ALL),
 facts AS (SELECT i.project_id, coalesce(c.files, 0) AS files, coalesce(readme, '') AS readme, coalesce(anthropic, false) AS anthropic FROM (SELECT DISTINCT project_id FROM files) i
   LEFT JOIN (SELECT project_id, sum(files) AS files FROM counts GROUP BY ALL) c USING (project_id) LEFT JOIN readme USING (project_id) LEFT JOIN sdk USING (project_id)),
@@ -236,6 +237,13 @@ pcts AS (SELECT a.*, CASE branch WHEN 'always' THEN always_pct WHEN 'short' THEN
 found AS (SELECT project_id, model, alternative, task, CASE branch WHEN 'always' THEN 'Newer/cheaper model (' || calls || ' calls)' WHEN 'light' THEN 'Short outputs (avg ' || CAST(round_even(avg_out, 0) AS BIGINT) || ' tok) safe for Tier 2'
   WHEN 'lateral' THEN 'Lateral Tier 1 move (' || calls || ' heavy calls)' ELSE short_calls || '/' || calls || ' calls have short outputs' END AS reason,
   CASE WHEN branch = 'short' THEN short_cost ELSE total_cost END * greatest(0, pct) AS savings FROM pcts WHERE (branch <> 'lateral' OR pct > 0.1) AND (branch <> 'short' OR short_calls > 0))"""
+BACKTEST = USERS.replace("uu AS MATERIALIZED", "uu_all AS MATERIALIZED") + ", " + projects_of("uu_all").replace("proj AS MATERIALIZED", "proj_all AS MATERIALIZED") + f""",
+cuts AS (SELECT unnest([5, 10, 20]) AS cut), each_day AS (SELECT project_id AS pid, CAST("timestamp" AS DATE) AS day, sum(cost_usd) AS cost FROM uu_all GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY day) AS rk FROM each_day WHERE cost > 0),
+uu AS MATERIALIZED (SELECT pid * 1000 + cut AS project_id, CAST(day AS TIMESTAMP) AS "timestamp", 0 AS tokens_in, 0 AS tokens_out, cost AS cost_usd FROM ranked, cuts WHERE rk <= cut),
+proj AS MATERIALIZED (SELECT * REPLACE (project_id * 1000 + cut AS project_id) FROM proj_all, cuts), {SERIES}, {CORE},
+spent_all AS (SELECT pid, sum(cost) AS actual_total FROM each_day GROUP BY ALL),
+tested AS (SELECT pid AS project_id, CAST(f.project_id % 1000 AS INTEGER) AS cut, projected_total, actual_total, abs(projected_total - actual_total) AS error FROM fin f JOIN spent_all ON pid = f.project_id // 1000)"""
 r = lambda cols, places=6: ", ".join(f"round({c}, {places}) AS {c}" for c in cols.split())
 
 ORACLE_SQL: dict[str, str] = {
@@ -260,7 +268,7 @@ SELECT model, input, output, provider, tier, CASE WHEN tier = 'Unknown' THEN '?'
     "model_tokens": f"{USAGE} SELECT project_id, model, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens FROM usage GROUP BY ALL",
     "model_profile": f"{USAGE}, {PROFILE} SELECT project_id, model, calls, {r('total_cost avg_in avg_out')} FROM profile",
     "short_outputs": f"{USAGE}, {PROFILE} SELECT project_id, model, short_calls, round(short_cost, 6) AS short_cost FROM profile",
-    "session_summary": f"{USAGE} SELECT project_id, model, round(sum(cost_usd), 6) AS cost, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS tokens, count(*) AS calls FROM usage GROUP BY GROUPING SETS ((project_id), (project_id, model))",
+    "session_summary": f"{USAGE} SELECT project_id, model, CASE WHEN grouping(model) = 1 THEN 'project' ELSE 'model' END AS level, round(sum(cost_usd), 6) AS cost, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS tokens, count(*) AS calls FROM usage GROUP BY GROUPING SETS ((project_id), (project_id, model))",
     "active_series": f"{USERS} SELECT project_id, CAST(day AS VARCHAR) AS day, round(cost, 6) AS cost, total_tokens FROM ({DAILY.format('uu')}) WHERE cost > 0",
     "recent_usage": f'{USAGE} SELECT project_id, id, "timestamp", model, tokens_in, tokens_out, round(cost_usd, 6) AS cost_usd, CAST(row_number() OVER w AS INTEGER) AS rank FROM usage WINDOW w AS (PARTITION BY project_id ORDER BY "timestamp" DESC, id DESC) QUALIFY row_number() OVER w <= 20',
     "recent_five": f'{USAGE} SELECT project_id, id, tokens_in + tokens_out AS tokens, CAST(row_number() OVER w AS INTEGER) AS rank FROM usage WINDOW w AS (PARTITION BY project_id ORDER BY "timestamp" DESC, id DESC) QUALIFY row_number() OVER w <= 5',
@@ -272,6 +280,8 @@ SELECT model, input, output, provider, tier, CASE WHEN tier = 'Unknown' THEN '?'
     "purge_usage": f"{USAGE} SELECT project_id, count(*) AS calls, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS spend FROM usage WHERE project_id % 2 <> 0 GROUP BY ALL",
     "project_lookup": f"{USAGE}, {projects_of('usage')} SELECT project_id, path, name, CASE WHEN project_id % 5 <> 0 THEN 'agent' END AS project_type, CASE WHEN project_id % 5 <> 0 THEN project_id % 7 * 10 ELSE 0 END AS calls_per_day, CASE WHEN project_id % 5 <> 0 THEN CAST(project_id % 5 AS DOUBLE) END AS budget FROM proj",
     "ingest_usage": f"{RAW}, tracked AS (SELECT * FROM stat WHERE status = 'tracked'), {resolved('tracked')} {priced('tracked')}",
+    "ingest_stream": f"{RAW.replace(SKIP, 'false')}, tracked AS (SELECT * FROM stat WHERE status = 'tracked'), {resolved('tracked')} {priced('tracked')}",
+    "manual_calls": f"""{USAGE} SELECT project_id, "timestamp", model, provider, tokens_in, tokens_out, round(cost_usd, 6) AS cost_usd, CASE WHEN id % 3 = 0 THEN '{{"tag":"t' || id % 7 || '"}}' END AS metadata, 'api' AS source FROM usage""",
     "ingest_lenient": f"{RAW}{_LENIENT}, kept AS (SELECT * FROM lenient WHERE tokens_in IS NOT NULL AND tokens_out IS NOT NULL), {resolved('kept')} {priced('kept')}",
     "ingest_stats": f"{RAW} SELECT coalesce(project_id, 0) AS project_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("tracked", "skipped_streaming", "ignored", "error")) + " FROM stat GROUP BY ALL",
     "adaptive_buckets": f"{CHOICE} SELECT project_id, minutes, bucket, round(cost, 6) AS cost, total_tokens FROM adaptive",
@@ -298,6 +308,11 @@ SELECT project_id, metric, round(value, 4) AS value FROM (UNPIVOT wide ON COLUMN
     "status": f"""{RECORD} SELECT project_id, name AS project_name, total_tokens AS tokens, round(actual_spend, 6) AS spent, round(projected_total, 6) AS projected, active_days AS day, baseline_total_days AS total_days, drift_status AS drift,
   round(CASE WHEN projected_total > 0 THEN actual_spend / projected_total * 100 ELSE 0 END, 6) AS progress, actual_spend = 0 AND total_tokens > 0 AS subscription,
   list_position(['low', 'medium-low', 'medium', 'high', 'very-high'], confidence) AS confidence_level FROM fin""",
+    "status_brief": f"""{RECORD} SELECT project_id, name AS project_name, round(actual_spend, 6) AS spent, round(projected_total, 6) AS projected, active_days AS day, baseline_total_days AS total_days, drift_status AS drift,
+  round(CASE WHEN projected_total > 0 THEN actual_spend / projected_total * 100 ELSE 0 END, 6) AS progress, actual_spend = 0 AND total_tokens > 0 AS subscription,
+  list_position(['low', 'medium-low', 'medium', 'high', 'very-high'], confidence) AS confidence_level FROM fin""",
+    "forecast_json": f"{RECORD} SELECT project_id, name AS project_name, {r('actual_spend projected_total smoothed_burn_ratio mase')}, drift_status, models_used, coalesce(k, 0) AS breakdown_models, 26 AS fields FROM fin LEFT JOIN (SELECT project_id, count(*) AS k FROM shares GROUP BY ALL) USING (project_id)",
+    "backtest": f"{BACKTEST} SELECT project_id, cut, {r('projected_total actual_total error')}, round(error / nullif(actual_total, 0) * 100, 6) AS error_pct FROM tested",
     "project_status": f'{UP}, d AS (SELECT project_id, count(DISTINCT CAST("timestamp" AS DATE)) AS active_days, sum(cost_usd) AS actual_spend FROM uu GROUP BY ALL) SELECT project_id, name, round(baseline_daily_cost, 6) AS baseline_daily_cost, baseline_total_days, round(baseline_total_cost, 6) AS baseline_total_cost, active_days, round(actual_spend, 6) AS actual_spend FROM proj LEFT JOIN d USING (project_id)',
     "budget_status": f"{FULL} SELECT project_id, round(budget, 6) AS budget, CASE WHEN budget IS NULL THEN 0 WHEN actual_spend > budget THEN 2 WHEN projected_total > budget THEN 1 ELSE 0 END AS code FROM fin",
     "task_class": f"{USAGE}, {PROFILE} SELECT project_id, model, {TASK} AS task FROM profile",

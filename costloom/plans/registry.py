@@ -62,6 +62,14 @@ def flat(record: DataFrame) -> DataFrame:
     return out.drop("prediction_interval_80", "prediction_interval_95", "model_breakdown")
 
 
+def _document(record: DataFrame, projects: DataFrame) -> DataFrame:
+    """JSON records, read back."""
+    field = lambda name: F.get_json_object("document", f"$.{name}")
+    texts, numbers = ("project_name", "drift_status"), ("actual_spend", "projected_total", "smoothed_burn_ratio", "mase")
+    lists = {"models_used": F.array_join(F.from_json(field("models_used"), "array<string>"), ","), "breakdown_models": F.json_array_length(field("model_breakdown"))}
+    return reports.as_json(record).select("project_id", *[field(c).alias(c) for c in texts], *[field(c).cast("double").alias(c) for c in numbers], *[v.alias(k) for k, v in lists.items()], F.size(F.json_object_keys("document")).alias("fields"))
+
+
 def _price_catalog(spark, d):
     listed = pricing.catalog(spark)
     used = views.usage(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("calls"))
@@ -135,6 +143,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "project_lookup": _lookup,
     # ingest
     "ingest_usage": _ingested(ingest.ingest),
+    "ingest_stream": _ingested(lambda raw: ingest.ingest(raw, skip_streaming=False)),
+    "manual_calls": lambda s, d: rounded(ingest.manual_calls(views.logged(s, d)), 6),
     "ingest_lenient": _ingested(ingest.ingest_lenient),
     "ingest_stats": lambda s, d: ingest.ingest_stats(views.raw(s, d)).fillna(0, ["project_id"]),
     # forecast
@@ -158,6 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "backtest": _users(lambda u, p, h: fc.backtest(u, p, CUTS)),
     # reports
     "status": _record(lambda r, p: reports.status(r)),
+    "status_brief": _record(lambda r, p: reports.status(r, brief=True)),
+    "forecast_json": _record(_document),
     "project_status": _users(lambda u, p, h: reports.project_status(u, p)),
     "budget_status": _record(reports.budget_status),
     # suggestions

@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from costloom.functions import pricing
 
-MODEL_OF = {"view": "gpt-4o", "click": "gpt-4o-mini", "purchase": "claude-3-opus-latest", "signup": "gpt-4o-2024-99-99", "error": "unknown-model-xyz"}
+NORMAL, HEAVY, LIGHT = (100, 10), (100, 30), (50, 1)  # tokens in for each k, tokens out for each unit of value
+MODEL_OF = {  # by event type and number modulo 3: listed, dated, shortened and unknown names of all tiers, in heavy and light use
+    "view": [("gpt-4o", NORMAL), ("o1-preview", HEAVY), ("gpt-4.5-preview", LIGHT)],
+    "click": [("gpt-4o-mini", NORMAL), ("gemini-2.5-pro-preview-05-06", NORMAL), ("claude-3-5-sonnet-20240620", HEAVY)],
+    "purchase": [("claude-3-opus-latest", NORMAL), ("gpt-4-turbo-2024-04-09", NORMAL), ("o3", LIGHT)],
+    "signup": [("gpt-4o-2024-99-99", NORMAL), ("claude-sonnet-4-20250514", LIGHT), ("grok-3", HEAVY)],
+    "error": [("unknown-model-xyz", NORMAL), ("mistral-large-latest-eu-2024-07-01", HEAVY), ("text-embedding-004", LIGHT)],
+}
+MODEL_ROWS = [(kind, k, model, *units) for kind, models in MODEL_OF.items() for k, (model, units) in enumerate(models)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as calls that have no cost yet."""
     e = table(spark, sf_dir, "events")
-    model = F.create_map(*[F.lit(x) for kv in MODEL_OF.items() for x in kv])[F.col("event_type")]
+    key = lambda kind, k: F.concat(kind, F.lit(":"), k)
+    uses = F.create_map(*[x for kind, k, m, i, o in MODEL_ROWS for x in (F.lit(f"{kind}:{k}"), F.struct(F.lit(m).alias("model"), F.lit(i).alias("i"), F.lit(o).alias("o")))])
+    e = e.withColumn("use", F.try_element_at(uses, key(F.col("event_type"), (F.col("event_id") % 3).cast("string"))))
     return e.select(
-        F.col("event_id").alias("id"), (F.col("user_id") % 5 + 1).alias("project_id"), "user_id", F.col("ts").cast("timestamp").alias("timestamp"), model.alias("model"),
-        (F.get_json_object("props", "$.k").cast("long") * 100).alias("tokens_in"), F.floor(F.col("value") * 10).cast("long").alias("tokens_out"),
+        F.col("event_id").alias("id"), (F.col("user_id") % 5 + 1).alias("project_id"), "user_id", F.col("ts").cast("timestamp").alias("timestamp"), F.col("use.model").alias("model"),
+        (F.get_json_object("props", "$.k").cast("long") * F.col("use.i")).alias("tokens_in"), F.floor(F.col("value") * F.col("use.o")).cast("long").alias("tokens_out"),
     )
 
 
@@ -82,6 +92,13 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls as logged by hand: a provider that is ignored, metadata that is often empty."""
+    c = calls(spark, sf_dir)
+    tag = F.create_map(F.lit("tag"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")))
+    return c.select("project_id", "timestamp", "model", "tokens_in", "tokens_out", F.lit("someone").alias("provider"), F.when(F.col("id") % 3 == 0, tag).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"))
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
 

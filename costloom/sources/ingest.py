@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from costloom.functions import dims, pricing
+from costloom.functions import pricing
 
 OUT = ["project_id", "timestamp", "model", "provider", "tokens_in", "tokens_out", "cost_usd", "metadata", "source"]
 
@@ -18,45 +18,51 @@ def _at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
-def _whole(v: Column) -> Column:
-    """A number as a whole one (cut, not rounded), a string of digits as that number, else null."""
-    number = F.when(_kind(v).isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get(v, "$", "double").cast("long"))
+def _whole(v: Column, kind: Column) -> Column:
+    """A number as a whole one (cut, not rounded), a string of digits as that number, else null. kind: of v."""
     text = F.try_variant_get(v, "$", "string")
-    return F.coalesce(number, F.when((_kind(v) == "STRING") & text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).cast("long")), F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long")))
+    return (
+        F.when(kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get(v, "$", "double").cast("long"))
+        .when((kind == "STRING") & text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).cast("long"))
+        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long"))
+    )
 
 
-def _text(v: Column, path: str) -> Column:
-    x = _at(v, path)
-    return F.when(_kind(x) == "STRING", F.try_variant_get(v, path, "string"))
+KEYS = ("prompt_tokens", "completion_tokens", "input_tokens", "output_tokens")
 
 
-def _fields(body: Column) -> Column:
-    """All that is read from a body, in one struct: the text is parsed once and each field tested once.
+def with_fields(raw: DataFrame) -> DataFrame:
+    """Adds __f: all that is read from a body, in one struct.
 
-    The transform keeps the tests out of generated code, which would outgrow a Java method.
+    Each step is a generator of one element: no later filter or projection goes below it, so the text is parsed once
+    a row and each value is read and tested once, whatever refers to it.
     """
-    parsed = F.try_parse_json(F.when(body != "", body))
-
-    def read(v: Column) -> Column:
-        has = lambda key: _at(v, f"$.usage.{key}").isNotNull()
-        whole = lambda key: _whole(_at(v, f"$.usage.{key}"))
-        keys = ("prompt_tokens", "completion_tokens", "input_tokens", "output_tokens")
-        choices = F.coalesce(F.try_variant_get(v, "$.choices", "array<variant>"), F.array().cast("array<variant>"))
-        named = F.filter(F.transform(choices, lambda c: F.try_variant_get(c, "$.message.model", "string")), lambda m: m.isNotNull())
-        return F.struct(
-            v.isNotNull().alias("read"), _kind(v).alias("root"), _kind(_at(v, "$.usage")).alias("usage"),
-            *[has(k).alias(f"has_{k}") for k in keys], *[whole(k).alias(k) for k in keys],
-            _text(v, "$.model").alias("model"), _text(v, "$.id").alias("id"), F.get(named, F.lit(0)).alias("choice"),
-            F.try_variant_get(v, "$.model", "string").alias("any_model"), F.try_variant_get(v, "$.id", "string").alias("any_id"),
-        )
 
-    return F.get(F.transform(F.array(parsed), read), F.lit(0))
+    def step(df: DataFrame, made: Column, name: str) -> DataFrame:
+        return df.select(*raw.columns, F.explode(F.array(made)).alias(name))
+
+    v, r = F.col("__v"), lambda name: F.col(f"__r.{name}")
+    values = {"usage": _at(v, "$.usage")} | {k: _at(v, f"$.usage.{k}") for k in KEYS} | {k: _at(v, f"$.{k}") for k in ("model", "id")}
+    choices = F.try_variant_get(v, "$.choices", "array<variant>")
+    named = F.filter(F.transform(choices, lambda c: F.try_variant_get(c, "$.message.model", "string")), lambda m: m.isNotNull())
+    read = F.struct(
+        v.isNotNull().alias("read"), _kind(v).alias("root"), F.get(named, F.lit(0)).alias("choice"),
+        *[x.alias(k) for k, x in values.items()], *[_kind(x).alias(f"kind_{k}") for k, x in values.items()],
+    )
+    text = lambda k: F.try_variant_get(r(k), "$", "string")
+    fields = F.struct(
+        r("read").alias("read"), r("root").alias("root"), r("kind_usage").alias("usage"), r("choice").alias("choice"),
+        *[r(k).isNotNull().alias(f"has_{k}") for k in KEYS], *[_whole(r(k), r(f"kind_{k}")).alias(k) for k in KEYS],
+        *[F.when(r(f"kind_{k}") == "STRING", text(k)).alias(k) for k in ("model", "id")], *[text(k).alias(f"any_{k}") for k in ("model", "id")],
+    )
+    parsed = step(raw, F.try_parse_json(F.when(F.col("body") != "", F.col("body"))), "__v")
+    return step(step(parsed, read, "__r"), fields, "__f")
 
 
 def classify(raw: DataFrame, skip_streaming: bool = True) -> DataFrame:
     """Adds status (tracked, skipped_streaming, ignored, error), model, tokens_in, tokens_out."""
     f = lambda name: F.col(f"__f.{name}")
-    x = raw.withColumn("__f", _fields(F.col("body")))
+    x = with_fields(raw)
     first, second = f("has_prompt_tokens") & f("has_completion_tokens"), f("has_input_tokens") & f("has_output_tokens")
     x = x.withColumn("tokens_in", F.when(first, f("prompt_tokens")).when(second, f("input_tokens")))
     x = x.withColumn("tokens_out", F.when(first, f("completion_tokens")).when(second, f("output_tokens")))
@@ -76,17 +82,10 @@ def classify(raw: DataFrame, skip_streaming: bool = True) -> DataFrame:
 
 def priced(calls: DataFrame) -> DataFrame:
     """project_id, timestamp, model, tokens_in, tokens_out -> usage rows. Keeps to expressions that streams allow."""
-    spark = calls.sparkSession
-    parts = F.split(pricing.stripped(F.col("model")), "-")
-    shorter = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.concat_ws("-", F.slice(parts, F.lit(1), k)))
-    book = F.create_map(*[F.lit(x) for m, i, o in dims.PRICE_ROWS for x in (m, f"{i} {o}")])
-    found = F.filter(F.transform(F.concat(F.array("model"), shorter), lambda m: F.try_element_at(F.col("__book"), m)), lambda p: p.isNotNull())
-    price = F.split(F.coalesce(F.get(found, F.lit(0)), F.lit("{} {}".format(*dims.DEFAULT_PRICE))), " ")
     keep = [c if c in calls.columns else F.lit(None).cast("string").alias(c) for c in ("metadata",)]
-    out = calls.withColumn("__book", book).withColumn("__p", price)
-    cost = pricing.cost_of(F.col("tokens_in"), F.col("tokens_out"), F.col("__p")[0].cast("double"), F.col("__p")[1].cast("double"))
+    out = pricing.with_cost(calls)
     source = F.coalesce(F.col("source"), F.lit("api")) if "source" in calls.columns else F.lit("api")
-    return out.select("project_id", "timestamp", "model", pricing.provider_of(F.col("model")).alias("provider"), "tokens_in", "tokens_out", cost.alias("cost_usd"), *keep, source.alias("source")).select(*OUT)
+    return out.select("project_id", "timestamp", "model", pricing.provider_of(F.col("model")).alias("provider"), "tokens_in", "tokens_out", "cost_usd", *keep, source.alias("source")).select(*OUT)
 
 
 def ingest(raw: DataFrame, skip_streaming: bool = True) -> DataFrame:
@@ -96,7 +95,7 @@ def ingest(raw: DataFrame, skip_streaming: bool = True) -> DataFrame:
 def ingest_lenient(raw: DataFrame) -> DataFrame:
     """Each field falls back on its own: prompt_tokens, input_tokens, 0; model, id, unknown. No content-type test."""
     f = lambda name: F.col(f"__f.{name}")
-    x = raw.withColumn("__f", _fields(F.col("body"))).filter((f("root") == "OBJECT") & (f("usage") == "OBJECT") & F.col("project_id").isNotNull())
+    x = with_fields(raw).filter((f("root") == "OBJECT") & (f("usage") == "OBJECT") & F.col("project_id").isNotNull())
     either = lambda a, b: F.when(f(f"has_{a}"), f(a)).when(f(f"has_{b}"), f(b)).otherwise(0)
     x = x.withColumn("tokens_in", either("prompt_tokens", "input_tokens")).withColumn("tokens_out", either("completion_tokens", "output_tokens"))
     x = x.withColumn("model", F.coalesce(f("any_model"), f("any_id"), F.lit("unknown"))).filter("tokens_in is not null and tokens_out is not null").drop("__f")

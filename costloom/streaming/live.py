@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from costloom.operators.aggregates import bucket_label
 from costloom.sources import ingest, schemas
 
 log = logging.getLogger(__name__)
@@ -50,12 +51,16 @@ def live_totals(usage: DataFrame) -> DataFrame:
 
 
 def live_buckets(usage: DataFrame, minutes: int = 15, lateness: str = "10 minutes") -> DataFrame:
-    """Tumbling buckets; calls later than `lateness` are left out, and a bucket comes when it is closed."""
-    w = F.window("timestamp", f"{minutes} minutes")
-    out = usage.withWatermark("timestamp", lateness).groupBy("project_id", w).agg(
+    """Buckets anchored at the hour, as in bucketed_costs; calls later than `lateness` are left out.
+
+    A bucket comes when it is closed; sizes that don't divide an hour come when their hour is.
+    """
+    w = F.window("timestamp", f"{minutes} minutes" if 60 % minutes == 0 else "1 hour")
+    bucket = bucket_label(F.col("timestamp"), minutes).alias("bucket")
+    out = usage.withWatermark("timestamp", lateness).groupBy("project_id", w, bucket).agg(
         F.sum("cost_usd").alias("cost"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("total_tokens")
     )
-    return out.select("project_id", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("bucket"), "cost", "total_tokens")
+    return out.select("project_id", "bucket", "cost", "total_tokens")
 
 
 def start_table(df: DataFrame, name: str, checkpoint: str, mode: str = "update", once: bool = False) -> StreamingQuery:
