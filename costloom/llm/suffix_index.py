@@ -17,7 +17,8 @@ row of a level, combined before the shuffle.
 
 Long matches. If all runs of a matched start have one context, every string of theirs is repeated. Otherwise one
 run of each distinct context gives its bytes, contexts with the same start meet, and which of their 400-byte strings
-agree is found there. Starts with over HOT contexts are not met in one task: their strings are counted by Spark.
+agree is found there. Starts with over HOT contexts are not met in one task: contexts are cut into pieces by what
+their strings share, finer where that is still too common, down to strings that Spark counts.
 
 Identity. A run counts as repeated only if hashes of its start and of its context agree, 128 bits; strings
 agree if their hash and that of their start do.
@@ -38,7 +39,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm.common import delete, new_path, row_schema, slices, written
+from costloom.llm.common import delete, new_path, row_schema, slices, small, written
 from costloom.llm.hashing import U, bytes_sums, mix, sliding_argmin, spans_hash, window_starts, windows_hash
 from costloom.llm.substring import parts_for, total_bytes
 
@@ -48,9 +49,10 @@ HEAD = 16
 BATCH = 128 << 20  # bytes of text in a batch
 FEWEST, MOST = 4, 32  # batches
 SEGMENT = 1 << 20  # bytes that are hashed at once
-GROUP = 4 << 20  # bytes of text in a group of documents
+GROUP = 1 << 20  # bytes of text in a group of documents
 TOGETHER = 2000  # contexts that are compared at once
-HOT = 1000  # contexts of one start that may meet in a task
+HOT = 1000  # contexts of one key that may meet in a task
+STEPS = (42, 6)  # places of strings in a piece, where there are more
 START = ["head", "gram"]
 
 
@@ -180,12 +182,12 @@ def matched_runs(texts: DataFrame, size: int, batches: int, width: int, gram: in
     return written(both.filter((F.col("ctx") == F.col("only")) | F.col("several")).drop("only"))
 
 
-CONTEXT = "gram long, ctx long, n long, mid int, body binary"
-_CONTEXT = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("mid", pa.int32()), ("body", pa.binary())])
+CONTEXT = "key long, gram long, ctx long, n long, mid int, shift int, body binary"
+_CONTEXT = pa.schema([(k, t) for k, t in (("key", pa.int64()), ("gram", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("mid", pa.int32()), ("shift", pa.int32()), ("body", pa.binary()))])
 
 
 def contexts(texts: DataFrame, picked: DataFrame, parts: int, width: int) -> DataFrame:
-    """The bytes of each picked run's context; texts and picked are dealt out by grp."""
+    """The bytes of each picked run's context, its start as key; texts and picked are dealt out by grp."""
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         z, rows = zstandard.ZstdDecompressor(), {k: [] for k in _CONTEXT.names}
@@ -195,16 +197,41 @@ def contexts(texts: DataFrame, picked: DataFrame, parts: int, width: int) -> Dat
             if (r["k1"], r["k2"]) != known:
                 known = r["k1"], r["k2"]
                 text = z.decompress(where[known])
-            for k in ("gram", "ctx", "n", "mid"):
-                rows[k].append(r[k])
-            rows["body"].append(text[r["lo"] : r["hi"] + width])
+            for k, v in zip(rows, (r["gram"], r["gram"], r["ctx"], r["n"], r["mid"], 0, text[r["lo"] : r["hi"] + width])):
+                rows[k].append(v)
         return pa.Table.from_pydict(rows, _CONTEXT)
 
     return texts.groupBy("grp").cogroup(picked.repartition(parts, "grp").groupBy("grp")).applyInArrow(cut, CONTEXT)
 
 
+def split(rows: DataFrame, step: int, width: int) -> DataFrame:
+    """Contexts in pieces of `step` places of strings, counted from the anchor; the key becomes what all strings of a piece share.
+
+    Strings that agree are in pieces of the same place and core, so a start with very many contexts falls apart
+    into keys by what is around it; at a step of 1 the core is the string.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, TOGETHER):
+                out = {k: [] for k in _CONTEXT.names}
+                for r in b.slice(at, TOGETHER).to_pylist():
+                    body, mid = r["body"], r["mid"]
+                    for k in range((0 - mid) // step, (len(body) - width - mid) // step + 1):  # places k * step ... from the anchor
+                        first, last = k * step + mid, (k + 1) * step - 1 + mid
+                        core = hashlib.blake2b(body[max(last, 0) : first + width] if step > 1 else body[first : first + width], digest_size=8)
+                        core.update(b"%d %d %d" % (r["key"], k, step))
+                        lo, hi = max(first, 0), min(last, len(body) - width)
+                        row = (int.from_bytes(core.digest(), "little", signed=True), r["gram"], r["ctx"], r["n"], mid - lo, r["shift"] + lo, body[lo : hi + width])
+                        for name, v in zip(out, row):
+                            out[name].append(v)
+                yield pa.RecordBatch.from_pydict(out, _CONTEXT)
+
+    return rows.mapInArrow(run, CONTEXT)
+
+
 def strings_of(t: pa.Table, width: int) -> tuple[np.ndarray, ...]:
-    """The strings of contexts: number of the context, place in it, and a key of content, start and place from the anchor."""
+    """The strings of contexts: number of the context, place in it, and a mark of content, key and place from the anchor."""
     bodies = t.column("body").to_pylist()
     lengths = np.array([len(x) for x in bodies])
     first = np.cumsum(lengths) - lengths
@@ -212,41 +239,41 @@ def strings_of(t: pa.Table, width: int) -> tuple[np.ndarray, ...]:
     owner = np.repeat(np.arange(len(bodies)), n)
     place = at - first[owner]
     hashes = windows_hash(bytes_sums(np.frombuffer(b"".join(bodies), np.uint8)), width)[at]
-    gram, mid = t.column("gram").to_numpy().view(U), t.column("mid").to_numpy().astype(np.int64)
-    return owner, place, hashes ^ mix(gram[owner] + (place - mid[owner]).astype(U))
+    key, mid = t.column("key").to_numpy().view(U), t.column("mid").to_numpy().astype(np.int64)
+    return owner, place, hashes ^ mix(key[owner] + (place - mid[owner]).astype(U))
 
 
 INTERVAL = "gram long, ctx long, lo int, hi int"
 
 
 def repeated_in(t: pa.Table, width: int) -> pa.RecordBatch:
-    """Intervals of the repeated strings of contexts, all those of a start being there."""
-    owner, place, key = strings_of(t, width)
-    gram, n = t.column("gram").to_numpy(), t.column("n").to_numpy()
-    order = np.argsort(key, kind="stable")
-    sorted_key, sorted_gram = key[order], gram[owner[order]]
-    same = (sorted_key[1:] == sorted_key[:-1]) & (sorted_gram[1:] == sorted_gram[:-1])
-    again = np.zeros(len(key), bool)
+    """Intervals of the repeated strings of contexts, all those of a key being there."""
+    owner, place, mark = strings_of(t, width)
+    key, n = t.column("key").to_numpy(), t.column("n").to_numpy()
+    order = np.argsort(mark, kind="stable")
+    sorted_mark, sorted_key = mark[order], key[owner[order]]
+    same = (sorted_mark[1:] == sorted_mark[:-1]) & (sorted_key[1:] == sorted_key[:-1])
+    again = np.zeros(len(mark), bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
     again |= n[owner] > 1  # a context that occurs again, with all its strings
     edge = np.concatenate(([True], owner[1:] != owner[:-1], [True]))
     lo = np.flatnonzero(again & (edge[:-1] | ~np.concatenate(([False], again[:-1]))))
     hi = np.flatnonzero(again & (edge[1:] | ~np.concatenate((again[1:], [False]))))
-    cols = [gram[owner[lo]], t.column("ctx").to_numpy()[owner[lo]], place[lo].astype(np.int32), place[hi].astype(np.int32)]
+    gram, ctx, shift = (t.column(c).to_numpy()[owner[lo]] for c in ("gram", "ctx", "shift"))
+    cols = [gram, ctx, (place[lo] + shift).astype(np.int32), (place[hi] + shift).astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "ctx", "lo", "hi"])
 
 
 def compared(rows: DataFrame, parts: int, width: int) -> DataFrame:
-    """Intervals of repeated strings: contexts of one start meet, many starts at a time."""
+    """Intervals of repeated strings: contexts of one key meet, many keys at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches([], _CONTEXT)
         for b in batches:
             held = pa.concat_tables([held, pa.Table.from_batches([b]).cast(_CONTEXT)])
             while held.num_rows > TOGETHER:
-                gram = held.column("gram").to_numpy()
-                cuts = np.flatnonzero(np.diff(gram)) + 1
+                cuts = np.flatnonzero(np.diff(held.column("key").to_numpy())) + 1
                 if not len(cuts):
                     break
                 cut = int(cuts[min(len(cuts) - 1, np.searchsorted(cuts, TOGETHER))])
@@ -255,23 +282,37 @@ def compared(rows: DataFrame, parts: int, width: int) -> DataFrame:
         if held.num_rows:
             yield repeated_in(held, width)
 
-    return rows.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(run, INTERVAL)
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, INTERVAL)
 
 
-def counted(rows: DataFrame, width: int) -> DataFrame:
-    """The same for starts of any number of contexts: a row for each string, counted by Spark."""
+def counted(strings: DataFrame) -> DataFrame:
+    """The same for single strings, of which a key may have any number: Spark counts them."""
+    strings = written(strings.select("key", "gram", "ctx", "n", "shift"))
+    again = strings.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1").select("key")
+    return strings.join(again, "key").select("gram", "ctx", F.col("shift").alias("lo"), F.col("shift").alias("hi"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, TOGETHER):
-                t = pa.Table.from_batches([b.slice(at, TOGETHER)])
-                owner, place, key = strings_of(t, width)
-                cols = [t.column(c).to_numpy()[owner] for c in ("gram", "ctx", "n")]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(place.astype(np.int32)), pa.array(key.view(np.int64))], ["gram", "ctx", "n", "lo", "key"])
 
-    strings = written(rows.mapInArrow(run, "gram long, ctx long, n long, lo int, key long"))
-    again = strings.groupBy("gram", "key").agg(F.sum("n").alias("total")).filter("total > 1").select("gram", "key")
-    return strings.join(again, ["gram", "key"]).select("gram", "ctx", "lo", F.col("lo").alias("hi"))
+def repeated_strings(rows: DataFrame, hot: DataFrame, parts: int, width: int) -> DataFrame:
+    """Intervals of repeated strings of contexts; keys in `hot` are split until they fit into a task, strings at last."""
+    if hot.isEmpty():
+        return compared(rows, parts, width)
+    rows, out = written(rows), []
+    for step in (*STEPS, 1):
+        out.append(compared(rows.join(small(hot), "key", "left_anti"), parts, width))
+        pieces = split(rows.join(small(hot), "key", "left_semi"), step, width)
+        if step == 1:
+            out.append(counted(pieces))
+            break
+        rows = written(pieces)
+        hot = too_many(rows, "key")
+        if hot.isEmpty():
+            out.append(compared(rows, parts, width))
+            break
+    return reduce(DataFrame.unionByName, out)
+
+
+def too_many(rows: DataFrame, key: str) -> DataFrame:
+    return written(rows.groupBy(F.col(key).alias("key")).count().filter(F.col("count") > HOT).select("key"))
 
 
 def sealed(texts: DataFrame, groups: int, parts: int) -> DataFrame:
@@ -301,12 +342,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     picked = written(matched.filter("several").groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), one).select("gram", "ctx", "n", "r.*").withColumn("grp", group_of(groups)))
     texts = sealed(keyed_texts.filter(F.octet_length("text") >= width), groups, parts)
     rows = contexts(texts, picked, parts, width)
-    hot = written(picked.groupBy("gram").count().filter(F.col("count") > HOT).select("gram"))
-    if hot.isEmpty():
-        intervals = compared(rows, parts, width)
-    else:
-        rows = written(rows)
-        intervals = compared(rows.join(hot, "gram", "left_anti"), parts, width).unionByName(counted(rows.join(hot, "gram", "left_semi"), width))
+    intervals = repeated_strings(rows, too_many(picked, "gram"), parts, width)
     within = intervals.select("gram", "ctx", F.col("lo").alias("a"), F.col("hi").alias("b"))
     some = matched.filter("several").join(within, ["gram", "ctx"]).select("k1", "k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
     spans = matched.filter("not several").select("k1", "k2", "lo", "hi").unionByName(some).withColumn("grp", group_of(groups))

@@ -33,9 +33,9 @@ def mutated(rng, t, n):
     return t
 
 
-@pytest.mark.parametrize("hot", [3, 1000])
+@pytest.mark.parametrize("hot", [1, 3, 1000])
 def test_equals_brute_force(clashing, monkeypatch, hot):
-    """Also where over three contexts of a start count as too many for a task."""
+    """Also where over one or three contexts of a key count as too many for a task."""
     monkeypatch.setattr(suffix_index, "TOGETHER", 7)
     monkeypatch.setattr(suffix_index, "HOT", hot)
     rng = random.Random(2)
