@@ -76,6 +76,23 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], by: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """rows joined with a lookup of one row a key, where a key may be that of very many rows.
+
+    Such keys are dealt over parts by a hash of the column `by`, and their row of the lookup goes to each part. A key
+    is hot if it has over 1,000 rows and over one in 100,000 of all, so there are at most 100,000 hot ones and their
+    table can be broadcast. sizes: a table with the keys of the rows, where counting in that is cheaper.
+    """
+    sizes = rows if sizes is None else sizes
+    most = max(1000, sizes.count() // 100_000)
+    counts = sizes.groupBy(*keys).count().filter(F.col("count") > most)
+    hot = F.broadcast(counts.select(*keys, F.ceil(F.col("count") / most).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    spread = lookup.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(spread, [*keys, "__salt"], how).drop("__salt")
+
+
 def shipped(spark: SparkSession, value) -> Broadcast:
     """A broadcast whose classes travel by value, so that executors need no copy of this package; see opened()."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -1,14 +1,15 @@
 """Connected components of an edge table by hooking and shortcutting (FastSV), as joins and minima.
 
-Every step is an aggregation with map-side combining or a join that Spark may split, so a node with
-very many edges is no bottleneck. Rounds grow with the logarithm of the longest path.
+Every step is an aggregation with map-side combining or a join that deals hot keys over parts, so neither a node
+with very many edges nor the root of a very large component is met in one task. Rounds grow with the logarithm of
+the longest path.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from costloom.llm.common import shared_dir
+from costloom.llm.common import shared_dir, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,8 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     f = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("p")).checkpoint()
     while True:
         up = f.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        g = f.join(up, "p").select("node", "p", "pp")
-        least = both.join(g.select(F.col("node").alias("b"), "pp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("pp").alias("m"))
+        g = spread_join(f, up, ["p"], "node").select("node", "p", "pp").checkpoint()
+        least = spread_join(both, g.select(F.col("node").alias("b"), "pp"), ["b"], "a").groupBy(F.col("a").alias("node")).agg(F.min("pp").alias("m"))
         g = g.join(least, "node", "left").withColumn("m", F.least("pp", F.coalesce("m", "pp"))).checkpoint()
         hooks = g.groupBy(F.col("p").alias("node")).agg(F.min("m").alias("h"))
         new = g.join(hooks, "node", "left").select("node", F.least("p", "pp", "m", F.coalesce("h", "p")).alias("q"), "p").checkpoint()

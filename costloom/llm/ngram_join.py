@@ -16,8 +16,8 @@ news. In the other lists every pair of nodes of different components is compared
 rules it out. So all components are exact, while a group of a million near copies costs about one
 comparison each, not one for each pair.
 
-Skew. Lists are never collected: hubs are minima with map-side combining, and the members of a hot hub
-are verified in salted parts. Comparisons carry compressed texts, not sets, which are several times larger.
+Skew. Lists are never collected: hubs are minima with map-side combining, and joins on a hub, a set or a component's
+root deal hot keys over parts (see common.spread_join). Comparisons carry compressed texts, not sets, which are several times larger.
 
 Defined cases: no words or no text: an empty set that links with nothing; one or two words: the whole
 sequence is the one element; a null id takes no part and has a null component; rows that repeat an id
@@ -35,7 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from costloom.llm.common import opened, shipped, slices, small, written
+from costloom.llm.common import opened, shipped, slices, small, spread_join, written
 from costloom.llm.components import components
 from costloom.llm.hashing import U, mix, prefix_sums, spans_hash, window_starts, windows_hash, word_windows, words_of
 
@@ -43,7 +43,6 @@ SHINGLE = 3
 SHARE = (90, 100)
 BUCKET_BITS = 18
 MAP_BITS = 10
-SALTS = 32
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -156,9 +155,12 @@ def may_link(n1: str, pos1: str, n2: str, pos2: str, share: tuple[int, int]) ->
 
 
 def plausible(pairs: DataFrame, maps: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """pairs: a, b -> those whose parity maps (maps: node, n, map) differ in no more bits than the sets of a link may."""
+    """pairs: a, b -> those whose parity maps (maps: node, n, map) differ in no more bits than the sets of a link may.
+
+    The first of a pair may be that of very many, the second is not.
+    """
     x, y = (maps.select(*[F.col(c).alias(k + c) for c in ("node", "n", "map")]) for k in "ab")
-    both = pairs.join(x, F.col("a") == F.col("anode")).join(y, F.col("b") == F.col("bnode"))
+    both = spread_join(pairs, x.withColumnRenamed("anode", "a"), ["a"], "b").join(y.withColumnRenamed("bnode", "b"), "b")
     size = F.col("an") + F.col("bn")
     most = size - 2 * F.ceil(size * share[0] / (share[0] + share[1]) - 1e-9)
     half = lambda m: (F.size(m) / 2).cast("int")
@@ -175,9 +177,8 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     """pairs: a, b -> those whose whole sets link."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint()
     texts = written(_texts_of(docs, ids, id_col, text_col))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    left = salted.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-    heads = salted.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+    both = spread_join(left, texts.select(F.col("id").alias("a"), F.col("z").alias("za")), ["a"], "b", sizes=pairs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, known = zstandard.ZstdDecompressor(), OrderedDict()
@@ -198,7 +199,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
                 hit.append(share[1] * both >= share[0] * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return left.join(heads, ["a", "salt"]).select("a", "b", "za", "zb").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "za", "zb").mapInArrow(compare, "a long, b long")
 
 
 def compressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -228,7 +229,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # distinct sets; one group for those of equal prefix and size, named by its least id
     nodes = written(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.first("g").alias("g")))
     heads = nodes.groupBy("g").agg(F.min("node").alias("gid"), (F.count(F.lit(1)) > 1).alias("many"), F.first("n").alias("n"))
-    others = full.select("id", "g").join(heads.select("g", "gid"), "g").filter("id != gid").select("id", "g").distinct().checkpoint()
+    others = full.select("id", "g").join(heads.select(F.col("gid").alias("id"), "g"), ["id", "g"], "left_anti").distinct().checkpoint()
     groups = full.select("id", "g", "n", "prefix").join(small(others), ["id", "g"], "left_anti")
     postings = groups.select(F.col("id").alias("gid"), "g", "n", F.posexplode("prefix").alias("pos", "token"))
     # an element that only one group has says nothing; counting first keeps the rest of the row out of one shuffle
@@ -240,7 +241,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maps = full.select(F.col("id").alias("node"), "n", "map").join(members.select("node"), "node", "left_semi").checkpoint()
     ahead = lists.join(hubs, "token").filter(may_link("n", "pos", "hub_n", "hub_pos", share)).select("hub", "g").distinct()
     pairs = ahead.join(members, "g").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = pairs.unionByName(heads.join(members, "g").select(F.col("gid").alias("a"), F.col("node").alias("b"))).filter("a != b").distinct()
+    pairs = pairs.unionByName(heads.join(members, "g").select(F.col("gid").alias("a"), F.col("node").alias("b"))).filter("a != b").distinct().checkpoint()
     links = verified(plausible(pairs, maps, share).checkpoint(), docs, id_col, text_col, width, share).checkpoint()
     found = _with_component(members, components(links))
     # lists that still hold several components
@@ -253,10 +254,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across = x.filter("component1 != main1").join(
         y, (F.col("component1") != F.col("component2")) & may_link("n1", "pos1", "n2", "pos2", share) & (x["token"] == y["token"])
     )
-    rest = across.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
+    rest = across.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct().checkpoint()
     links = links.unionByName(verified(plausible(rest, maps, share).checkpoint(), docs, id_col, text_col, width, share)).checkpoint()
     by_set = _with_component(nodes, components(links)).select("h1", "h2", "n", "component")
-    out = sets.join(by_set, ["h1", "h2", "n"], "left")
+    out = spread_join(sets.select("id", "n", "h1", "h2"), by_set, ["h1", "h2", "n"], "id", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -51,7 +51,7 @@ FEWEST, MOST = 4, 32  # batches
 SEGMENT = 1 << 20  # bytes that are hashed at once
 GROUP = 1 << 20  # bytes of text in a group of documents
 TOGETHER = 2000  # contexts that are compared at once
-HOT = 1000  # contexts of one key that may meet in a task
+HOT = 250  # contexts of one key that may meet in a task
 STEPS = (42, 6)  # places of strings in a piece, where there are more
 START = ["head", "gram"]
 
