@@ -373,8 +373,8 @@ def training_nodes(pages: DataFrame, id_col: str, html_col: str, sample: int) ->
     return picked.mapInArrow(run, "x array<double>, label double")
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Boosted | None:
-    """Fits the trees in Spark; None where no page is labelled or labels don't differ."""
+def fitted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE):
+    """Fits the trees in Spark: its model; None where no page is labelled or labels don't differ."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -382,7 +382,12 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     nodes = training_nodes(pages, id_col, html_col, sample).select(array_to_vector("x").alias("features"), "label").checkpoint()
     if nodes.select("label").distinct().count() < 2:
         return None
-    return Boosted.of(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32).fit(nodes))
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32).fit(nodes)
+
+
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Boosted | None:
+    model = fitted(pages, id_col, html_col, sample)
+    return Boosted.of(model) if model else None
 
 
 def main_text(pages: DataFrame, model: Boosted | None, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ validates it, so that no pattern is tried where no anchor stands. Reading is map
 Base kinds (email, ip, card, phone): the leftmost non-overlapping matches of the stated patterns, a
 kind at a time; matches that fail their check are dropped without a retry. Added kinds: `login`
 (a URL that carries user information), `iban` (checked by mod 97), `account` (a number after an
-account cue) and `masked` (an address written with (at) or [at]).
+account cue), `masked` (an address written with (at) or [at]) and `secret` (what a token, password or key
+cue is set to: eight characters or more, with a digit and a letter).
 
 Defined cases: a null or empty text has no spans, and base_sha256 is that of the empty string; offsets
 are code points, ends exclusive; repeated rows each give a row; an empty table gives an empty result.
@@ -25,11 +26,12 @@ from pyspark.sql import DataFrame
 from costloom.llm.common import row_schema, slices
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "iban", "account", "masked")
+KINDS = (*BASE, "login", "iban", "account", "masked", "secret")
 CUES = {  # fixed values: identifier cues, matched in lower, upper and title case
     "iban": "iban",
     "account": "account", "acct": "account", "konto": "account", "cuenta": "account", "compte": "account",
     "(at)": "masked", "[at]": "masked",
+    "token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "apikey": "secret", "api_key": "secret", "api-key": "secret",
 }
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -45,6 +47,7 @@ IBAN_LENGTHS = {c: n for n, names in {  # fixed values: lengths by country
     22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
     26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }.items() for c in names.split()}
+_SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_./+=~-]{8,})")
 _MASKED = re.compile(r" ?([A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+)")
 
 
@@ -147,6 +150,11 @@ def spans_of(text: str, machine) -> list[tuple[int, int, str, int]]:
             if at >= ends["account"] and (m := _ACCOUNT.match(text, last + 1)):
                 ends["account"] = m.end()
                 keep("account", m.start(1), m.end(1))
+        elif what == "secret":
+            m = _SECRET.match(text, last + 1) if at >= ends["secret"] else None
+            if m and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+                ends["secret"] = m.end()
+                keep("secret", m.start(1), m.end(1))
         else:
             before = at - (at > 0 and text[at - 1] == " ")
             start = left_run(before, ends["masked"])

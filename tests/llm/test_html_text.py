@@ -1,6 +1,10 @@
+import itertools
+import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 
 from costloom.llm import html_text
 
@@ -11,8 +15,13 @@ def pages(spark):
 
 
 @pytest.fixture(scope="module")
-def model(pages):
-    return html_text.train(pages)
+def fitted(pages):
+    return html_text.fitted(pages)
+
+
+@pytest.fixture(scope="module")
+def model(fitted):
+    return html_text.Boosted.of(fitted)
 
 
 def text_of(model, source):
@@ -104,3 +113,72 @@ def test_dropped_elements_end_where_html_ends_them():
     assert texts("<!--><p>A</p><!---><p>B</p><!-- no --!><p>C</p><!-- no -->") == ["A", "B", "C"]
     assert texts("<p>A</p><script>no") == ["A"]
     assert len(texts("<video>no<p>A" * 20_000)) == 20_000
+
+
+SHAPES = [
+    "<body><nav><a href=x>Home</a></nav><div class=post><p>One two three, four.</p><p>Five six.</p></div><footer>f</footer></body>",
+    "<div id=main><h1>Title</h1><p>A b c d e f g, h.</p><div class=comments><p>Nice!</p></div></div>",
+    "<p>only</p>",
+    "<table><tr><td class=sidebar>s</td><td><p>Text of the page, long enough to count.</p></td></tr></table>",
+]
+
+
+def spark_probabilities(spark, fitted, pages):
+    """Of each page's nodes, by Spark's own model."""
+    rows = [(k, i, Vectors.dense(x.astype(float))) for k, p in enumerate(pages) for i, x in enumerate(p.features())]
+    found = fitted.transform(spark.createDataFrame(rows, ["k", "i", "features"])).collect()
+    return [np.array([r.probability[1] for r in sorted((r for r in found if r.k == k), key=lambda r: r.i)]) for k in range(len(pages))]
+
+
+def test_trees_give_what_spark_gives(spark, fitted, model, pages):
+    forms = [html_text.Page(s) for s in SHAPES] + [html_text.Page(r.html) for r in pages.limit(5).collect()]
+    for page, want in zip(forms, spark_probabilities(spark, fitted, forms)):
+        assert np.allclose(model.probability(page.features()), want, atol=1e-9)
+
+
+def brute_decode(page, p):
+    """The likeliest of all labellings in which a node that holds has a parent that does."""
+    n, best = len(page.parent), None
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    for bits in itertools.product((False, True), repeat=n - 1):
+        held = (True, *bits)
+        if all(held[page.parent[i]] or not held[i] for i in range(1, n)):
+            score = sum(np.log(p[i]) if held[i] else np.log(1 - p[i]) for i in range(n))
+            if best is None or score > best[0] + 1e-9:
+                best = score, held
+    return [t for t, h in zip(page.text, best[1]) if t and h]
+
+
+def test_decode_equals_all_labellings():
+    rng = random.Random(3)
+    for _ in range(60):
+        page = html_text.Page("")
+        for i in range(1, rng.randrange(2, 11)):
+            page.parent.append(rng.randrange(i))
+            page.text.append(f"t{i}" if rng.random() < 0.7 else "")
+        p = np.array([rng.random() for _ in page.parent])
+        assert page.decode(p) == brute_decode(page, p)
+
+
+def test_query_equals_brute_force(spark, fitted, model):
+    """The operator on a table of small pages against Spark's model and all labellings."""
+    rows = [(i, f"u{i}", s) for i, s in enumerate(SHAPES)] + [(9, "u9", None), (10, "u10", "")]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), model, keep=["page_id", "url"]).collect()}
+    forms = [html_text.Page(s or "") for _, _, s in rows]
+    for (i, url, _), page, p in zip(rows, forms, spark_probabilities(spark, fitted, forms)):
+        want = "\n\n".join(brute_decode(page, p))
+        assert (got[i].url, got[i].text, got[i].n_chars) == (url, want, len(want))
+
+
+def test_any_column_names(spark, model):
+    df = spark.createDataFrame([(1, "u", "<p>a b</p>")], "`page id: x` long, `u,rl` string, html string")
+    out = html_text.main_text(df, model, id_col="page id: x", keep=["page id: x", "u,rl"])
+    assert out.columns == ["page id: x", "u,rl", "text", "n_chars"] and out.count() == 1
+
+
+def test_unclosed_and_custom_elements(model):
+    article = "<article><p>" + "The body of the page has words, and they go on for a while. " * 3 + "</p></article>"
+    want = " ".join(("The body of the page has words, and they go on for a while. " * 3).split())
+    for before in ("<video-js id=x></video-js>", "<datalist><option>A<option>B</datalist>", "<button-group></button-group>", "<!-->", "<select><option>x<option>y</select>"):
+        assert want in text_of(model, before + article)
+    assert text_of(model, "<article><p>a<svg-icon></svg-icon>b</p><p>tail</p></article>").endswith("tail")

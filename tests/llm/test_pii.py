@@ -91,3 +91,12 @@ def test_added_kinds_before_other_words():
     assert kinds("IBAN DE89 3704 0044 0532 0130 01 Bitte") == kinds("IBAN DE89 3704 0044 0532 0130") == []
     for cue in ("Account Number: ", "Account No. ", "ACCOUNT NO.: ", "Kontonummer ", "KONTONUMMER: ", "Konto-Nr."[:5] + " Nr. "):
         assert kinds(cue + "12345678") == [("account", "12345678")], cue
+
+
+def test_secrets():
+    machine = pii.automaton()
+    found = lambda t: [(k, t[a:b]) for a, _, k, b in pii.spans_of(t, machine) if k == "secret"]
+    h = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert found(f'x token = "{h}"### y') == found(f"Token: {h}") == found(f"API_KEY='{h}'") == [("secret", h)]
+    assert found(f'"password":"{h[:12]}"') == [("secret", h[:12])]
+    assert found("the token is new; secret = everything; password: 12345678; token = ab1") == []
