@@ -13,8 +13,10 @@ groups pair with hubs, pairs that size or place rule out go, and the rest expand
 are compared. A parity map of each set, of a bit or two for each element, rules out most pairs before
 that (maps never differ in more bits than sets do in elements). What that links are components; a list whose nodes are all in one component holds no further
 news. In the other lists every pair of nodes of different components is compared, unless size or place
-rules it out. So all components are exact, while a group of a million near copies costs about one
-comparison each, not one for each pair.
+rules it out. Where that could be over MOST_PAIRS pairs of a list (texts that share a rare element and little
+else), lists of two elements take its place, again with hubs first. So all components are exact, while a
+group of a million near copies costs about one comparison each, not one for each pair. Only texts that share two
+elements of their prefixes, stay below the share and are no part of one component are compared pair by pair.
 
 Skew. Lists are never collected: hubs are minima with map-side combining, and joins on a hub, a set or a component's
 root deal hot keys over parts (see common.spread_join). Comparisons carry compressed texts, not sets, which are several times larger.
@@ -43,6 +45,8 @@ SHINGLE = 3
 SHARE = (90, 100)
 BUCKET_BITS = 18
 MAP_BITS = 10
+MOST_PAIRS = 10_000
+LEAST = 4  # elements of sets that share two if they link, at any share of one half or more
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -113,7 +117,7 @@ def ordered_sets(texts: list[bytes], width: int, tables: tuple[np.ndarray, np.nd
 
 
 def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
-    """id, n, h1, h2 (hashes of the set), g (of prefix and size), prefix, map (parities of hash ranges)."""
+    """id, n, h1, h2 (hashes of the set), g (of prefix and size), prefix, map (parities of hash ranges), more (the element after the prefix)."""
     tables = frequencies(docs, text_col, width)
     total = int(-tables[0].min())  # a word that occurs once: its share is one over all
     shared = shipped(docs.sparkSession, (tables, total))
@@ -121,7 +125,7 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = opened(shared)
         for b in slices(batches, 1):
-            n, h1, h2, g, lengths, prefixes, maps = [], [], [], [], [], [], []
+            n, h1, h2, g, lengths, prefixes, maps, more = [], [], [], [], [], [], [], []
             for s, order in ordered_sets([t or b"" for t in b.column(1).to_pylist()], width, *known):
                 k = len(s)
                 length = k + -(-share[0] * k // share[1]) * -1 + 1 if k else 0
@@ -130,6 +134,7 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share:
                 h1.append(mix(s).sum(dtype=U))
                 h2.append(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
                 g.append(mix(mix(prefix).sum(dtype=U) + U(k)))
+                more.append(s[order[length : length + 1]])
                 lengths.append(length)
                 prefixes.append(prefix)
                 bits = 1 << max(MAP_BITS, int(k - 1).bit_length() if k else 0)
@@ -139,10 +144,11 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), pa.array(tokens))
             longs = [pa.array(np.array(x, U).view(np.int64)) for x in (h1, h2, g)]
             kept = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, maps)]).astype(np.int32)), pa.array(np.concatenate(maps)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *longs, lists, kept], ["id", "n", "h1", "h2", "g", "prefix", "map"])
+            next_one = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, more)]).astype(np.int32)), pa.array(np.concatenate(more).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *longs, lists, kept, next_one], ["id", "n", "h1", "h2", "g", "prefix", "map", "more"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(
-        run, "id long, n long, h1 long, h2 long, g long, prefix array<long>, map array<long>"
+        run, "id long, n long, h1 long, h2 long, g long, prefix array<long>, map array<long>, more array<long>"
     )
 
 
@@ -244,17 +250,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = pairs.unionByName(heads.join(members, "g").select(F.col("gid").alias("a"), F.col("node").alias("b"))).filter("a != b").distinct().checkpoint()
     links = verified(plausible(pairs, maps, share).checkpoint(), docs, id_col, text_col, width, share).checkpoint()
     found = _with_component(members, components(links))
-    # lists that still hold several components
-    entries = lists.select("token", "g", "pos").join(found, "g")
-    parts = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = parts.groupBy("token").agg(F.max_by("component", "k").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_lists = written(entries.join(largest.drop("parts"), "token"))
-    x, y = (open_lists.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "pos", "component", "main")]) for s in "12")
-    # every pair of different components has a side outside the largest one
-    across = x.filter("component1 != main1").join(
-        y, (F.col("component1") != F.col("component2")) & may_link("n1", "pos1", "n2", "pos2", share) & (x["token"] == y["token"])
-    )
-    rest = across.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct().checkpoint()
+    entries = open_lists(lists.select("token", "g", "pos").join(found, "g").select("token", "node", "n", "pos", "component"))
+    rest = across(entries.filter(F.col("weight") <= MOST_PAIRS), share)
+    crowded = entries.filter(F.col("weight") > MOST_PAIRS)
+    if not crowded.isEmpty():
+        tiny = across(crowded.filter(F.col("n") < 2 * LEAST), share, F.least("n1", "n2") < LEAST)
+        finer = two_elements(crowded.filter(F.col("n") >= LEAST), full)
+        links = links.unionByName(verified(plausible(hub_pairs(finer, share).checkpoint(), maps, share).checkpoint(), docs, id_col, text_col, width, share)).checkpoint()
+        now = _with_component(finer.drop("component", "main", "weight"), components(links))
+        rest = rest.unionByName(tiny).unionByName(across(open_lists(now), share)).distinct()
+    rest = rest.checkpoint()
     links = links.unionByName(verified(plausible(rest, maps, share).checkpoint(), docs, id_col, text_col, width, share)).checkpoint()
     by_set = _with_component(nodes, components(links)).select("h1", "h2", "n", "component")
     out = spread_join(sets.select("id", "n", "h1", "h2"), by_set, ["h1", "h2", "n"], "id", "left")
@@ -262,6 +267,41 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def open_lists(entries: DataFrame) -> DataFrame:
+    """Entries (token, node, n, pos, component) of lists that hold several components, with the largest one and a bound of the pairs."""
+    parts = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    k = F.sum("k")
+    lists = parts.groupBy("token").agg(F.max_by("component", "k").alias("main"), F.count(F.lit(1)).alias("parts"), ((k - F.max("k")) * k).alias("weight"))
+    return written(entries.join(lists.filter("parts > 1").drop("parts"), "token"))
+
+
+def across(entries: DataFrame, share: tuple[int, int], more: Column | None = None) -> DataFrame:
+    """a, b: every pair of nodes of different components in an open list that sizes and places don't rule out."""
+    x, y = (entries.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "pos", "component", "main")]) for s in "12")
+    # every pair of different components has a side outside the largest one
+    at = (F.col("component1") != F.col("component2")) & may_link("n1", "pos1", "n2", "pos2", share) & (x["token"] == y["token"])
+    both = x.filter("component1 != main1").join(y, at if more is None else at & more)
+    return both.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
+
+
+def two_elements(entries: DataFrame, full: DataFrame) -> DataFrame:
+    """Open lists of two elements in place of crowded lists of one.
+
+    Linked sets of LEAST elements or more have two elements or more in common among one more than their prefixes, so a
+    pair that is in a list by one element has another there, too.
+    """
+    wide = full.select(F.col("id").alias("node"), "n", F.array_union("prefix", "more").alias("wide"))
+    both = entries.drop("main", "weight").join(wide, ["node", "n"]).select("*", F.explode("wide").alias("other")).filter("other != token").drop("wide")
+    return open_lists(both.withColumn("token", F.xxhash64("token", "other")).drop("other").distinct())
+
+
+def hub_pairs(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a, b: each list's first node with those of other components: one comparison a member."""
+    hubs = entries.groupBy("token").agg(F.min(F.struct("pos", "node", "n", "component")).alias("h")).select("token", "h.*").toDF("token", "hub_pos", "hub", "hub_n", "hub_component")
+    ahead = spread_join(entries, hubs, ["token"], "node").filter((F.col("component") != F.col("hub_component")) & may_link("n", "pos", "hub_n", "hub_pos", share))
+    return ahead.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+
+
 def _with_component(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from costloom.llm import components, ngram_join
 
@@ -38,7 +39,10 @@ def edit(rng, words, n):
     return words
 
 
-def test_equals_brute_force(clashing, monkeypatch):
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_equals_brute_force(clashing, monkeypatch, most):
+    """Also where every open list counts as crowded."""
+    monkeypatch.setattr(ngram_join, "MOST_PAIRS", most)
     rng = random.Random(6)
     rows = []
     for family in range(12):
@@ -53,13 +57,18 @@ def test_equals_brute_force(clashing, monkeypatch):
     assert got == brute(rows)
 
 
-def test_chains_and_hubs_are_exact(docs):
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_chains_and_hubs_are_exact(docs, monkeypatch, most):
     """Near copies of near copies: ends of a chain don't link, but are in one component."""
+    monkeypatch.setattr(ngram_join, "MOST_PAIRS", most)
     rng = random.Random(8)
     rows, words = [], [f"a{i}" for i in range(100)]
     for i in range(25):
         rows.append((i, " ".join(words)))
         words[rng.randrange(100)] = f"b{i}"
+    rare = "one rare line that many texts share".split()  # and little else: a crowded list
+    rows += [(500 + i, " ".join([*rare, *(f"r{i}s{k}" for k in range(25))])) for i in range(20)]
+    rows += [(600 + i, " ".join([*rare, *(f"t{i // 2}s{k}" for k in range(25)), *["end"] * (i % 2)])) for i in range(12)]
     hub = [f"c{i}" for i in range(60)]
     rows += [(100 + i, " ".join(edit(rng, hub, rng.choice([0, 1, 1, 2])))) for i in range(40)]
     rng.shuffle(rows)
