@@ -2,8 +2,9 @@
 
 Rows are first combined within their own task, then per (digest, salt, whole text), and the salt
 winners per (digest, whole text). No stage trusts a digest: the whole text is part of every
-grouping key, so equal digests of different texts stay apart. A group that holds a third of all
-rows is cut into `salts` parts before it meets, and each part is already one row per map task.
+grouping key, so equal digests of different texts stay apart. A task's rows have one salt, so a group that
+holds a third of all rows meets as one row a task, in `salts` parts. The winner goes back to the rows of a large
+group in parts, too, by the group's size.
 
 Defined cases: a null text counts as empty; a null id loses to any other; rows that repeat an id and
 a text are each reported, with equal results; an empty table gives an empty result; other columns,
@@ -14,9 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from costloom.llm.common import shared_dir, small, text_or_empty
+from costloom.llm.common import shared_dir, small, spread_join, text_or_empty
 
-SALTS = 16
+SALTS = 64
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
@@ -27,7 +28,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame
         "id",
         "content",
         F.unhex(F.sha2("content", 256)).alias("digest"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"),
+        (F.spark_partition_id() % salts).alias("salt"),
     )
 
 
@@ -49,12 +50,9 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clashing = classes.groupBy("digest").count().filter("count > 1").select("digest").checkpoint()
     clash = not clashing.isEmpty()
     plain = classes.join(clashing, "digest", "left_anti") if clash else classes
-    salt_list = F.when(F.col("group_size") == 1, F.array(F.pmod(F.xxhash64("keep_id"), F.lit(salts)))).otherwise(
-        F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    )
-    # The winner goes back to each of its group's salts, so that the hot group is not met whole here either.
-    back = plain.withColumn("salt", F.explode(salt_list))
-    found = keyed.select("id", "digest", "salt").join(back, ["digest", "salt"]).drop("salt")
+    # in parts, so that the hot group is not met whole here either
+    rows = keyed.select("id", "digest")
+    found = spread_join(rows, plain, ["digest"], "id", counted=plain.select("digest", F.col("group_size").alias("count"))).select("id", "digest", "keep_id", "group_size")
     if clash:
         odd = keyed.join(small(clashing), "digest", "left_semi").select("id", "digest", "content")
         found = found.unionByName(odd.join(winners, ["digest", "content"]).select(found.columns))

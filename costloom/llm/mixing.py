@@ -11,6 +11,9 @@ The prefix needs no sort of a leaf: tokens are summed by 4,096 ranges of the ord
 the budget runs out is found from the sums, and only that range is ordered. So a source with
 a third of all rows is never met in one task. Tables by leaf are broadcast only after a count.
 
+The tree itself is filled by windows over the children of one node: all domains, then the languages of a domain and
+the sources of a language. It may have as many leaves as a task can sort (millions), whatever they hold.
+
 Defined cases: null domains, languages, sources count as ''; a null or empty text has no tokens and
 takes the place its id gives it; rows repeating an id share its place; a document in
 which the budget runs out is taken whole; an empty table gives an empty result; a budget over what all
