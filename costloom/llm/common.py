@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import pickle
 import tempfile
@@ -41,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
+    if not _written:
+        atexit.register(_clear, spark)
     path = f"{shared_dir(spark)}/costloom-{uuid.uuid4().hex}"
     _written.append(path)
     return path
@@ -60,6 +63,13 @@ def delete(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
+def _clear(spark: SparkSession) -> None:
+    """At the end of the driver's program, tables that are still there go."""
+    with contextlib.suppress(Exception):  # the session may have ended before
+        for path in list(_written):
+            delete(spark, path)
+
+
 @contextlib.contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that operators write inside; for callers that have stored the result by the end."""

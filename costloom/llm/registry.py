@@ -70,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_substring_dedup": substring.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_ngram_join": ngram_join.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
