@@ -244,6 +244,16 @@ uu AS MATERIALIZED (SELECT pid * 1000 + cut AS project_id, CAST(day AS TIMESTAMP
 proj AS MATERIALIZED (SELECT * REPLACE (project_id * 1000 + cut AS project_id) FROM proj_all, cuts), {SERIES}, {CORE},
 spent_all AS (SELECT pid, sum(cost) AS actual_total FROM each_day GROUP BY ALL),
 tested AS (SELECT pid AS project_id, CAST(f.project_id % 1000 AS INTEGER) AS cut, projected_total, actual_total, abs(projected_total - actual_total) AS error FROM fin f JOIN spent_all ON pid = f.project_id // 1000)"""
+TRACKED = f"{RAW}, tracked AS (SELECT * FROM stat WHERE status = 'tracked'), {resolved('tracked')}"
+STREAMED = f"{TRACKED}, su AS (SELECT t.*, {COST} AS cost_usd FROM tracked t LEFT JOIN resolved USING (model)), closed AS (SELECT max(\"timestamp\") - INTERVAL 10 MINUTE AS watermark FROM su)"
+
+
+def closed_buckets(minutes: int, window: str) -> str:
+    """Buckets of windows that have ended by the watermark."""
+    return f"""{STREAMED} SELECT project_id, {bucket('"timestamp"', minutes)} AS bucket, round(sum(cost_usd), 6) AS cost, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens
+  FROM su, closed WHERE time_bucket(INTERVAL '{window}', "timestamp") + INTERVAL '{window}' <= watermark GROUP BY ALL"""
+
+
 r = lambda cols, places=6: ", ".join(f"round({c}, {places}) AS {c}" for c in cols.split())
 
 ORACLE_SQL: dict[str, str] = {
@@ -280,6 +290,10 @@ SELECT model, input, output, provider, tier, CASE WHEN tier = 'Unknown' THEN '?'
     "purge_usage": f"{USAGE} SELECT project_id, count(*) AS calls, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS spend FROM usage WHERE project_id % 2 <> 0 GROUP BY ALL",
     "project_lookup": f"{USAGE}, {projects_of('usage')} SELECT project_id, path, name, CASE WHEN project_id % 5 <> 0 THEN 'agent' END AS project_type, CASE WHEN project_id % 5 <> 0 THEN project_id % 7 * 10 ELSE 0 END AS calls_per_day, CASE WHEN project_id % 5 <> 0 THEN CAST(project_id % 5 AS DOUBLE) END AS budget FROM proj",
     "ingest_usage": f"{RAW}, tracked AS (SELECT * FROM stat WHERE status = 'tracked'), {resolved('tracked')} {priced('tracked')}",
+    "stream_ingest": f"{TRACKED} {priced('tracked')}",
+    "stream_totals": f"{STREAMED} SELECT project_id, count(*) AS calls, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS spend FROM su GROUP BY ALL",
+    "stream_buckets": closed_buckets(15, "15 minutes"),
+    "stream_buckets_7": closed_buckets(7, "1 hour"),
     "ingest_stream": f"{RAW.replace(SKIP, 'false')}, tracked AS (SELECT * FROM stat WHERE status = 'tracked'), {resolved('tracked')} {priced('tracked')}",
     "manual_calls": f"""{USAGE} SELECT project_id, "timestamp", model, provider, tokens_in, tokens_out, round(cost_usd, 6) AS cost_usd, CASE WHEN id % 3 = 0 THEN '{{"tag":"t' || id % 7 || '"}}' END AS metadata, 'api' AS source FROM usage""",
     "ingest_lenient": f"{RAW}{_LENIENT}, kept AS (SELECT * FROM lenient WHERE tokens_in IS NOT NULL AND tokens_out IS NOT NULL), {resolved('kept')} {priced('kept')}",

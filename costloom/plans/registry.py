@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,9 @@ from pyspark.sql.types import DateType, DoubleType
 from costloom.functions import pricing
 from costloom.operators import aggregates as agg, forecast as fc, optimize, reports, scope, series, smoothing
 from costloom.plans import oracles, views
+from costloom.session import shared_dir
 from costloom.sources import ingest, tables
+from costloom.streaming import live
 
 CUTS = [5, 10, 20]
 
@@ -88,6 +91,31 @@ def _ingested(f: Callable[[DataFrame], DataFrame]):
     return lambda spark, d: rounded(f(views.raw(spark, d)).drop("metadata"), 6)
 
 
+def _streamed(spark: SparkSession, d: str) -> tuple[str, str]:
+    """Where a stream of all responses has put its usage rows, and a folder for further streams' checkpoints."""
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    live.start_ingest(views.raw_stream(spark, d), f"{place}/usage", f"{place}/state", once=True).awaitTermination()
+    return f"{place}/usage", place
+
+
+def _stream_ingest(spark, d):
+    usage, _ = _streamed(spark, d)
+    return rounded(spark.read.parquet(usage).drop("metadata"), 6)
+
+
+def _live(spark: SparkSession, d: str, f: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """f of the usage rows as a stream, once through, kept as a table of files."""
+    usage, place = _streamed(spark, d)
+    rows = f(spark.readStream.schema(spark.read.parquet(usage).schema).parquet(usage))
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/live")
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{place}/out")
+    else:
+        writer = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/out"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema(rows.schema).parquet(f"{place}/out"), 6)
+
+
 def _matrix(spark, d):
     return pricing.calc(views.prompts(spark, d), calls=10)
 
@@ -146,6 +174,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_stream": _ingested(lambda raw: ingest.ingest(raw, skip_streaming=False)),
     "manual_calls": lambda s, d: rounded(ingest.manual_calls(views.logged(s, d)), 6),
     "ingest_lenient": _ingested(ingest.ingest_lenient),
+    "stream_ingest": _stream_ingest,
+    "stream_totals": lambda s, d: _live(s, d, live.live_totals, "complete"),
+    "stream_buckets": lambda s, d: _live(s, d, lambda u: live.live_buckets(u, 15), "append"),
+    "stream_buckets_7": lambda s, d: _live(s, d, lambda u: live.live_buckets(u, 7), "append"),
     "ingest_stats": lambda s, d: ingest.ingest_stats(views.raw(s, d)).fillna(0, ["project_id"]),
     # forecast
     "adaptive_buckets": _users(lambda u, p, h: series.adaptive_buckets(u)),

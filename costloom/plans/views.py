@@ -23,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as calls that have no cost yet."""
-    e = table(spark, sf_dir, "events")
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(e: DataFrame) -> DataFrame:
     key = lambda kind, k: F.concat(kind, F.lit(":"), k)
     uses = F.create_map(*[x for kind, k, m, i, o in MODEL_ROWS for x in (F.lit(f"{kind}:{k}"), F.struct(F.lit(m).alias("model"), F.lit(i).alias("i"), F.lit(o).alias("o")))])
     e = e.withColumn("use", F.try_element_at(uses, key(F.col("event_type"), (F.col("event_id") % 3).cast("string"))))
@@ -68,7 +71,17 @@ def history(usage: DataFrame) -> DataFrame:
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response bodies in every dialect, well and badly formed, from events."""
-    c = calls(spark, sf_dir)
+    return raw_of(calls(spark, sf_dir))
+
+
+def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of the table's files."""
+    schema = table(spark, sf_dir, "events").schema
+    # a pattern, since a plain path has to be a folder
+    return raw_of(calls_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")))
+
+
+def raw_of(c: DataFrame) -> DataFrame:
     i, o, m = F.col("tokens_in").cast("string"), F.col("tokens_out").cast("string"), F.col("model")
     t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     first = t('"usage":{"prompt_tokens":', i, ',"completion_tokens":', o, "}}")
