@@ -45,7 +45,7 @@ SHINGLE = 3
 SHARE = (90, 100)
 BUCKET_BITS = 18
 MAP_BITS = 10
-MOST_PAIRS = 10_000
+MOST_PAIRS = 1_000_000  # below that, pairs cost no more than the longer lists
 LEAST = 4  # elements of sets that share two if they link, at any share of one half or more
 
 
