@@ -69,20 +69,24 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], by: str, how: str = "inner", sizes: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, count: str | None = None) -> DataFrame:
+    """keys and __parts of the keys that very many rows have, for a broadcast.
+
+    A key is hot if it has over 1,000 rows and over one in 100,000 of all, so there are at most 100,000 hot ones.
+    total: the number of rows; count: a column that has it for each key; where these are known.
+    """
+    if total is None:
+        total = (rows.agg(F.sum(count).alias("n")).first()["n"] or 0) if count else rows.count()
+    most = max(1000, total // 100_000)
+    counted = rows.select(*keys, F.col(count).alias("count")) if count else rows.groupBy(*keys).count()
+    return F.broadcast(counted.filter(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("__parts")))
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
     """rows joined with a lookup of one row a key, where a key may be that of very many rows.
 
-    Such keys are dealt over parts by a hash of the column `by`, and their row of the lookup goes to each part. A key
-    is hot if it has over 1,000 rows and over one in 100,000 of all, so there are at most 100,000 hot ones and their
-    table can be broadcast. sizes: a table with the keys of the rows, where counting in that is cheaper; counted:
-    keys and `count`, where that is known.
+    Hot keys are dealt over parts by a hash of the column `by`, and their row of the lookup goes to each part.
     """
-    if counted is None:
-        counted = (rows if sizes is None else sizes).groupBy(*keys).count()
-        most = max(1000, (rows if sizes is None else sizes).count() // 100_000)
-    else:
-        most = max(1000, (counted.agg(F.sum("count").alias("n")).first()["n"] or 0) // 100_000)
-    hot = F.broadcast(counted.filter(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
     dealt = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
     spread = lookup.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")

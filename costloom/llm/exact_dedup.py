@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from costloom.llm.common import shared_dir, small, spread_join, text_or_empty
+from costloom.llm.common import hot_keys, shared_dir, small, spread_join, text_or_empty
 
 SALTS = 64
 
@@ -52,7 +52,7 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = classes.join(clashing, "digest", "left_anti") if clash else classes
     # in parts, so that the hot group is not met whole here either
     rows = keyed.select("id", "digest")
-    found = spread_join(rows, plain, ["digest"], "id", counted=plain.select("digest", F.col("group_size").alias("count"))).select("id", "digest", "keep_id", "group_size")
+    found = spread_join(rows, plain, ["digest"], "id", hot_keys(plain, ["digest"], count="group_size")).select("id", "digest", "keep_id", "group_size")
     if clash:
         odd = keyed.join(small(clashing), "digest", "left_semi").select("id", "digest", "content")
         found = found.unionByName(odd.join(winners, ["digest", "content"]).select(found.columns))

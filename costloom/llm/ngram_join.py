@@ -37,7 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from costloom.llm.common import opened, shipped, slices, small, spread_join, written
+from costloom.llm.common import hot_keys, opened, shipped, slices, small, spread_join, written
 from costloom.llm.components import components
 from costloom.llm.hashing import U, mix, prefix_sums, spans_hash, window_starts, windows_hash, word_windows, words_of
 
@@ -166,7 +166,7 @@ def plausible(pairs: DataFrame, maps: DataFrame, share: tuple[int, int]) -> Data
     The first of a pair may be that of very many, the second is not.
     """
     x, y = (maps.select(*[F.col(c).alias(k + c) for c in ("node", "n", "map")]) for k in "ab")
-    both = spread_join(pairs, x.withColumnRenamed("anode", "a"), ["a"], "b").join(y.withColumnRenamed("bnode", "b"), "b")
+    both = spread_join(pairs, x.withColumnRenamed("anode", "a"), ["a"], "b", hot_keys(pairs, ["a"])).join(y.withColumnRenamed("bnode", "b"), "b")
     size = F.col("an") + F.col("bn")
     most = size - 2 * F.ceil(size * share[0] / (share[0] + share[1]) - 1e-9)
     half = lambda m: (F.size(m) / 2).cast("int")
@@ -181,10 +181,10 @@ def plausible(pairs: DataFrame, maps: DataFrame, share: tuple[int, int]) -> Data
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
     """pairs: a, b -> those whose whole sets link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = written(_texts_of(docs, ids, id_col, text_col))
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-    both = spread_join(left, texts.select(F.col("id").alias("a"), F.col("z").alias("za")), ["a"], "b", sizes=pairs)
+    both = spread_join(left, texts.select(F.col("id").alias("a"), F.col("z").alias("za")), ["a"], "b", hot_keys(pairs, ["a"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, known = zstandard.ZstdDecompressor(), OrderedDict()
@@ -235,7 +235,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # distinct sets; one group for those of equal prefix and size, named by its least id
     nodes = written(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.first("g").alias("g")))
     heads = nodes.groupBy("g").agg(F.min("node").alias("gid"), (F.count(F.lit(1)) > 1).alias("many"), F.first("n").alias("n"))
-    others = full.select("id", "g").join(heads.select(F.col("gid").alias("id"), "g"), ["id", "g"], "left_anti").distinct().checkpoint()
+    others = written(full.select("id", "g").join(heads.select(F.col("gid").alias("id"), "g"), ["id", "g"], "left_anti").distinct())
     groups = full.select("id", "g", "n", "prefix").join(small(others), ["id", "g"], "left_anti")
     postings = groups.select(F.col("id").alias("gid"), "g", "n", F.posexplode("prefix").alias("pos", "token"))
     # an element that only one group has says nothing; counting first keeps the rest of the row out of one shuffle
@@ -244,25 +244,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = written(postings.join(shared, "token").select("token", "gid", "g", "n", "pos").unionByName(inside))
     hubs = lists.groupBy("token").agg(F.min_by("gid", "pos").alias("hub"), F.min("pos").alias("hub_pos"), F.min_by("n", "pos").alias("hub_n"))
     members = nodes.join(lists.select("g").distinct(), "g", "left_semi").select("node", "g", "n")
-    maps = full.select(F.col("id").alias("node"), "n", "map").join(members.select("node"), "node", "left_semi").checkpoint()
+    maps = written(full.select(F.col("id").alias("node"), "n", "map").join(members.select("node"), "node", "left_semi"))
     ahead = lists.join(hubs, "token").filter(may_link("n", "pos", "hub_n", "hub_pos", share)).select("hub", "g").distinct()
     pairs = ahead.join(members, "g").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = pairs.unionByName(heads.join(members, "g").select(F.col("gid").alias("a"), F.col("node").alias("b"))).filter("a != b").distinct().checkpoint()
-    links = verified(plausible(pairs, maps, share).checkpoint(), docs, id_col, text_col, width, share).checkpoint()
-    found = _with_component(members, components(links))
+    pairs = pairs.unionByName(heads.join(members, "g").select(F.col("gid").alias("a"), F.col("node").alias("b"))).filter("a != b").distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return written(verified(written(plausible(written(pairs), maps, share)), docs, id_col, text_col, width, share))
+
+    links = linked(pairs)
+    joined = components(links)
+    found = _with_component(members, joined)
     entries = open_lists(lists.select("token", "g", "pos").join(found, "g").select("token", "node", "n", "pos", "component"))
     rest = across(entries.filter(F.col("weight") <= MOST_PAIRS), share)
     crowded = entries.filter(F.col("weight") > MOST_PAIRS)
     if not crowded.isEmpty():
         tiny = across(crowded.filter(F.col("n") < 2 * LEAST), share, F.least("n1", "n2") < LEAST)
         finer = two_elements(crowded.filter(F.col("n") >= LEAST), full)
-        links = links.unionByName(verified(plausible(hub_pairs(finer, share).checkpoint(), maps, share).checkpoint(), docs, id_col, text_col, width, share)).checkpoint()
-        now = _with_component(finer.drop("component", "main", "weight"), components(links))
+        links = links.unionByName(linked(hub_pairs(finer, share)))
+        joined = components(links)
+        now = _with_component(finer.drop("component", "main", "weight"), joined)
         rest = rest.unionByName(tiny).unionByName(across(open_lists(now), share)).distinct()
-    rest = rest.checkpoint()
-    links = links.unionByName(verified(plausible(rest, maps, share).checkpoint(), docs, id_col, text_col, width, share)).checkpoint()
-    by_set = _with_component(nodes, components(links)).select("h1", "h2", "n", "component")
-    out = spread_join(sets.select("id", "n", "h1", "h2"), by_set, ["h1", "h2", "n"], "id", "left")
+    new = linked(rest)
+    if not new.isEmpty():
+        joined = components(links.unionByName(new))
+    by_set = _with_component(nodes, joined).select("h1", "h2", "n", "component")
+    out = spread_join(sets.select("id", "n", "h1", "h2"), by_set, ["h1", "h2", "n"], "id", hot_keys(sets, ["h1", "h2", "n"]), "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -298,7 +305,7 @@ def two_elements(entries: DataFrame, full: DataFrame) -> DataFrame:
 def hub_pairs(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
     """a, b: each list's first node with those of other components: one comparison a member."""
     hubs = entries.groupBy("token").agg(F.min(F.struct("pos", "node", "n", "component")).alias("h")).select("token", "h.*").toDF("token", "hub_pos", "hub", "hub_n", "hub_component")
-    ahead = spread_join(entries, hubs, ["token"], "node").filter((F.col("component") != F.col("hub_component")) & may_link("n", "pos", "hub_n", "hub_pos", share))
+    ahead = spread_join(entries, hubs, ["token"], "node", hot_keys(entries, ["token"])).filter((F.col("component") != F.col("hub_component")) & may_link("n", "pos", "hub_n", "hub_pos", share))
     return ahead.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
