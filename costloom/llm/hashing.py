@@ -19,8 +19,9 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+    with np.errstate(over="ignore"):  # wraps around, as it should
+        h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
     return h ^ (h >> U(31))
 
 

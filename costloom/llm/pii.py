@@ -169,7 +169,7 @@ def joined(spans) -> str:
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of each row."""
+    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans (all kinds) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
@@ -181,7 +181,8 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols["base_sha256"] = pa.array([hashlib.sha256(joined(r).encode()).hexdigest() for r in base], pa.string())
             cols["spans"] = pa.array([joined(r) for r in rows], pa.string())
             cols["n_added"] = pa.array([len(r) - len(s) for r, s in zip(rows, base)], pa.int64())
+            cols["n_spans"] = pa.array([len(r) for r in rows], pa.int64())
             yield pa.RecordBatch.from_pydict(cols)
 
-    schema = row_schema([docs.schema[id_col]], "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    schema = row_schema([docs.schema[id_col]], "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
     return docs.select(id_col, text_col).mapInArrow(run, schema)
