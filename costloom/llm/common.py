@@ -93,6 +93,13 @@ def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], by: str, ho
     return dealt.join(spread, [*keys, "__salt"], how).drop("__salt")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on, tasks of this session get Arrow batches of at most so many rows: whole texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shipped(spark: SparkSession, value) -> Broadcast:
     """A broadcast whose classes travel by value, so that executors need no copy of this package; see opened()."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

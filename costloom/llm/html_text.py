@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from costloom.llm.common import opened, row_schema, shared_dir, shipped
+from costloom.llm.common import opened, row_schema, shared_dir, shipped, text_batches
 
 SAMPLE = 300
 TREES, DEPTH, STEP = 14, 4, 0.3
@@ -392,6 +392,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 
 def main_text(pages: DataFrame, model: Boosted | None, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (the id unless said), text, n_chars of each page."""
+    text_batches(pages.sparkSession)
     keep = keep or [id_col]
     shared = shipped(pages.sparkSession, model)  # TREES trees of DEPTH levels
     schema = row_schema([pages.schema[c] for c in keep], "text string, n_chars long")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from costloom.llm.common import opened, row_schema, shipped, slices, small
+from costloom.llm.common import opened, row_schema, shipped, slices, small, text_batches
 
 ORDER = 3
 PER_LANGUAGE = 400
@@ -157,6 +157,7 @@ class Trees:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> Trees | None:
     """Counts the training sample's contexts in Spark and freezes them; None without training rows."""
+    text_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
@@ -167,7 +168,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
     sample = training_rows(docs, id_col, text_col, label_col, per_language)
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counted.toPandas()
+    counts = counted.toArrow().to_pandas()
     return Trees(counts) if len(counts) else None
 
 
@@ -186,6 +187,7 @@ def judged(model: Trees | None, texts: list[str | None]) -> tuple[list[str], np.
 
 def identify(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Of each row: `keep` columns (the id unless said), lang_pred, score, bits_per_byte."""
+    text_batches(docs.sparkSession)
     keep = keep or [id_col]
     shared = shipped(docs.sparkSession, trees)  # its size is bounded by the training sample
 
@@ -204,6 +206,7 @@ def accepted(docs: DataFrame, trees: Trees | None, text_col: str = "text", rejec
 
     A row goes through Python once, with its text as one of its columns; columns go by place, so names may be any.
     """
+    text_batches(docs.sparkSession)
     shared = shipped(docs.sparkSession, trees)
     at = docs.columns.index(text_col)
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from costloom.llm.common import hot_keys, opened, shipped, slices, small, spread_join, written
+from costloom.llm.common import hot_keys, opened, shipped, slices, small, spread_join, text_batches, written
 from costloom.llm.components import components
 from costloom.llm.hashing import U, mix, prefix_sums, spans_hash, window_starts, windows_hash, word_windows, words_of
 
@@ -82,9 +82,9 @@ def frequencies(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 20_000].astype(np.int32)), pa.array(n[at[s : s + 20_000]])], ["bucket", "n"])
 
     rows = docs.select(F.col(text_col).cast("binary")).mapInArrow(count, "bucket int, n long")
-    counted = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**19 rows at most
+    counted = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**19 rows at most
     n = np.zeros(2 * size)
-    n[counted["bucket"]] = counted["n"]
+    n[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     words, elements = n[:size], n[size:]
     usual = max(1.0, float(np.median(elements)))
     share = np.log2(np.maximum(words, 1) / max(1.0, words.sum()))
@@ -228,6 +228,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """id, n_shingles, component_id of each row."""
+    text_batches(docs.sparkSession)
     if 2 * share[0] < share[1]:
         raise ValueError("a share of one half at least is needed")
     sets = written(prefix_table(docs, id_col, text_col, width, share))

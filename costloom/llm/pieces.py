@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from costloom.llm.common import row_schema, slices
+from costloom.llm.common import row_schema, slices, text_batches
 
 MARK = "▁"
 PIECE = 1 << 18  # bytes of text that are encoded at once
@@ -77,6 +77,7 @@ class ChunkTable:
 
 def encode_decode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """id, ids (if asked for), n_tokens, ids_sha256, decoded_sha256 of each row."""
+    text_batches(docs.sparkSession)
     check_vocabulary(processor(model))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from costloom.llm.common import row_schema, slices
+from costloom.llm.common import row_schema, slices, text_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "iban", "account", "masked", "secret")
@@ -170,6 +170,7 @@ def joined(spans) -> str:
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans (all kinds) of each row."""
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()

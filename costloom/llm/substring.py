@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from costloom.llm import packed
-from costloom.llm.common import row_schema, slices
+from costloom.llm.common import row_schema, slices, text_batches
 from costloom.llm.hashing import mix, word_windows, words_of
 
 WINDOW = 13
@@ -133,6 +133,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, s
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """id, n_words, n_removed, n_spans, kept_sha256 (and, if asked for, the kept text) of each row."""
+    text_batches(docs.sparkSession)
     size = total_bytes(docs, text_col)
     groups = groups_for(size)
     marks = repeated_windows(docs, id_col, text_col, window, size, groups)

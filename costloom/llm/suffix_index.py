@@ -39,7 +39,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm.common import delete, new_path, row_schema, slices, small, written
+from costloom.llm.common import delete, new_path, row_schema, slices, small, text_batches, written
 from costloom.llm.hashing import U, bytes_sums, mix, sliding_argmin, spans_hash, window_starts, windows_hash
 from costloom.llm.substring import parts_for, total_bytes
 
@@ -334,6 +334,7 @@ def group_of(groups: int):
 
 def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int | None = None, with_bytes: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and, if asked for, the kept bytes) of each row."""
+    text_batches(docs.sparkSession)
     size = total_bytes(docs, text_col)
     groups, parts = max(1, size // GROUP) | 1, parts_for(size)
     keyed_texts = keyed(docs, id_col, text_col)
