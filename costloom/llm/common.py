@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,5 +126,42 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20)
             at = stop
 
 
+def stream_past(index: DataFrame, queries: DataFrame, shards: int, start: Callable, schema: str) -> DataFrame:
+    """Queries searched in the index of their shard, a task for each of `shards` shards.
+
+    Both frames have an int column `shard` (from 0); columns that one of them lacks are null. In a task the index rows come
+    first and are held: start(table of them) gives a search. Queries stream past it a batch at a time, in any number:
+    search(batch) yields batches of `schema`. A shard without index rows finds nothing.
+    """
+    both = index.withColumn("side", F.lit(0)).unionByName(queries.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "side")
+    shard_at, side_at = both.columns.index("shard"), both.columns.index("side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, search = None, [], None
+        for b in batches:
+            shard, side = (b.column(c).to_numpy().astype(np.int64) for c in (shard_at, side_at))
+            cuts = np.flatnonzero(np.diff(shard * 2 + side)) + 1 if b.num_rows else []
+            for s, e in zip([0, *cuts], [*cuts, b.num_rows]):
+                if s == e:
+                    continue
+                if shard[s] != at:
+                    at, held, search = shard[s], [], None
+                if side[s] == 0:
+                    held.append(b.slice(s, e - s))
+                    continue
+                if search is None and held:
+                    search, held = start(pa.Table.from_batches(held)), []
+                if search is not None:
+                    yield from search(b.slice(s, e - s))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def shards_for(spark: SparkSession, size: int, most: int, least: int) -> int:
+    """Shards such that one has about `most` bytes at most, and as many as there are cores where each has `least`."""
+    return max(1, -(-size // most), min(spark.sparkContext.defaultParallelism, size // least))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

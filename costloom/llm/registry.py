@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm import exact_dedup, html_text, language, mixing, neighbours, ngram_join, pieces, pii, substring, suffix_index
+from costloom.llm import ball_search, exact_dedup, html_text, language, mixing, neighbours, ngram_join, pieces, pii, substring, suffix_index
 from costloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -54,6 +54,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(pages, html_text.train(pages), keep=["page_id", "url"])
 
 
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_pii": op1_pii,
@@ -66,8 +70,14 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_html": op10_html,
+        "op13_exact_topk": op13_exact_topk,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_ngram_join": ngram_join.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op5_ngram_join": ngram_join.ORACLE_SQL,
+        "op7_substring_dedup": substring.ORACLE_SQL,
+        "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op13_exact_topk": ball_search.ORACLE_SQL,
+    }
