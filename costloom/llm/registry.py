@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm import ball_search, exact_dedup, html_text, language, lexical, mixing, neighbours, ngram_join, pieces, pii, substring, suffix_index
+from costloom.llm import ball_search, exact_dedup, html_text, language, lexical, mixing, neighbours, ngram_join, pieces, pii, spelling, substring, suffix_index
 from costloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -54,6 +54,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(pages, html_text.train(pages), keep=["page_id", "url"])
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +78,7 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_mixing": op9_mixing,
         "op10_html": op10_html,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_lexical_search": op12_lexical_search,
         "op13_exact_topk": op13_exact_topk,
     }
@@ -84,6 +89,7 @@ def oracle_sql() -> dict:
         "op5_ngram_join": ngram_join.ORACLE_SQL,
         "op7_substring_dedup": substring.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_spelling_variants": spelling.ORACLE_SQL,
         "op12_lexical_search": lexical.ORACLE_SQL,
         "op13_exact_topk": ball_search.ORACLE_SQL,
     }
