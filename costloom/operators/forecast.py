@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from costloom.operators import smoothing
 from costloom.operators.aggregates import model_costs
@@ -12,9 +17,12 @@ Z80, Z95 = 1.28, 1.96
 OVER, UNDER, RUN, RECENT = 1.5, 0.5, 3, 5
 
 
-def members(choice: DataFrame) -> DataFrame:
-    """Adds each member's forecast per step (null where it does not run) and residual sums: no shuffle, no join."""
-    x = smoothing.with_ses(smoothing.fitted(choice))
+def members(choice: DataFrame, ses_min_points: int = smoothing.SES_POINTS) -> DataFrame:
+    """Adds each member's forecast per step (null where it does not run) and residual sums: no shuffle, no join.
+
+    ses_min_points: exponential smoothing stays out below so many points, and with it intervals and accuracy, which are about it.
+    """
+    x = smoothing.with_ses(smoothing.fitted(choice, max(ses_min_points, smoothing.TREND_POINTS)), ses_min_points)
     line_fit = F.when(F.col("n") >= smoothing.LINE_POINTS, smoothing.regression(F.col("series")))
     x = x.withColumn("__l", line_fit).withColumns({"slope": F.col("__l.slope"), "intercept": F.col("__l.intercept")}).drop("__l")
     steps = F.sequence(F.lit(1), F.col("horizon"))
@@ -137,9 +145,9 @@ def model_breakdown(x: DataFrame, usage: DataFrame) -> DataFrame:
     return rows.select("project_id", "m.model", "m.spent", "m.share", "m.projected")
 
 
-def core(usage: DataFrame, projects: DataFrame) -> DataFrame:
+def core(usage: DataFrame, projects: DataFrame, ses_min_points: int = smoothing.SES_POINTS) -> DataFrame:
     """Everything that needs neither the history nor the models."""
-    x = drift(accuracy(intervals(totals(ensemble(members(series_choice(usage, projects)))))))
+    x = drift(accuracy(intervals(totals(ensemble(members(series_choice(usage, projects), ses_min_points))))))
     return x.withColumn("confidence", confidence_of(F.col("active_days")))
 
 
@@ -150,9 +158,9 @@ FIELDS = [
 ]
 
 
-def forecast(usage: DataFrame, projects: DataFrame, history: DataFrame) -> DataFrame:
+def forecast(usage: DataFrame, projects: DataFrame, history: DataFrame, ses_min_points: int = smoothing.SES_POINTS) -> DataFrame:
     """The complete record. projects: project_id, name, baseline_daily_cost, baseline_total_days, baseline_total_cost."""
-    x = with_breakdown(stability(core(usage, projects), history), usage)
+    x = with_breakdown(stability(core(usage, projects, ses_min_points), history), usage)
     x = x.withColumns({"project_name": F.col("name"), "data_points": F.col("n"), "total_days": F.col("baseline_total_days"), "n_models_used": F.size("models_used")})
     return x.select(*FIELDS)
 
@@ -182,20 +190,67 @@ def run(usage: DataFrame, projects: DataFrame, history: DataFrame, save_to: str
     return record
 
 
+def _at_cuts(y: np.ndarray, cuts: list[int], base: float, days: int) -> list[float]:
+    """What is projected in all after the first so many active days, for each cut: prefixes share one pass over the series."""
+    sizes = sorted({min(c, len(y)) for c in cuts})
+    long = [n for n in sizes if n >= smoothing.TREND_POINTS]
+    levels = smoothing.prefix_levels(y, long) if long else {}
+    trends = smoothing.prefix_trends(y, long) if long else {}
+    x = np.arange(len(y))
+    sum_y, sum_xy, spent = (np.concatenate(([0.0], np.cumsum(v))) for v in (y, x * y, y))
+    out = {}
+    for n in sizes:
+        left = max(1, days - n)
+        steps = []
+        sx, sxx = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
+        slope = (n * sum_xy[n] - sx * sum_y[n]) / (n * sxx - sx * sx) if n >= smoothing.SES_POINTS else 0.0
+        start = (sum_y[n] - slope * sx) / n if n else 0.0
+        if n in levels:
+            steps.append(np.full(left, levels[n]))
+        elif n >= smoothing.SES_POINTS:
+            level = start - slope
+            for c in y[:n]:  # below TREND_POINTS points
+                level += smoothing.FIXED_ALPHA * (c - level)
+            steps.append(np.full(left, level))
+        h = np.arange(1, left + 1)
+        if n in trends:
+            level, trend, phi = trends[n]
+            steps.append(level + trend * phi * (1 - phi**h) / (1 - phi))
+        if n >= smoothing.LINE_POINTS:
+            steps.append(start + slope * (n + h - 1))
+        if steps:
+            remaining = np.maximum(np.stack(steps), 0).mean(0).sum()
+        else:
+            ratio = 1.0  # as smoothing.ema_state, of one day at most
+            for c in y[:n]:
+                ratio += min(0.6, 0.15 + 0.03 * n) * (c / base - ratio)
+            remaining = max(0.0, ratio * base) * left
+        out[n] = float(spent[n] + remaining)
+    return [out[min(c, len(y))] for c in cuts]
+
+
 def backtest(usage: DataFrame, projects: DataFrame, cuts: list[int]) -> DataFrame:
-    """The forecast after each number of active days, against what was spent in all: one job for all cuts."""
+    """The forecast after each number of active days, against what was spent in all: one job for all cuts.
+
+    A project is one row with its days in order (bounded by the calendar). Its prefixes are not copied: one pass keeps
+    the states of smoothing, trend and regression at every cut.
+    """
     days = usage.groupBy("project_id", F.to_date("timestamp").alias("day")).agg(F.sum("cost_usd").alias("cost"))
-    ranked = days.filter("cost > 0").withColumn("rank", F.row_number().over(W.partitionBy("project_id").orderBy("day")))
-    spent = days.groupBy("project_id").agg(F.sum("cost").alias("actual_total"))
-    each = F.explode(F.array(*map(F.lit, cuts))).alias("cut")
-    seen = ranked.select("*", each).filter("rank <= cut")
-    # a cut of a project is a project of its own; days are the points
-    as_usage = seen.select(
-        F.struct("project_id", "cut").alias("key"), F.col("day").cast("timestamp").alias("timestamp"), F.lit(0).alias("tokens_in"), F.lit(0).alias("tokens_out"), F.col("cost").alias("cost_usd")
-    )
-    keyed = projects.select("*", each).select(F.struct("project_id", "cut").alias("key"), "name", "baseline_daily_cost", "baseline_total_days", "baseline_total_cost")
-    ids = keyed.select("key", (F.col("key.project_id") * 1000 + F.col("key.cut")).alias("project_id"))
-    x = core(as_usage.join(ids, "key").drop("key"), keyed.join(ids, "key").drop("key"))
-    x = x.join(ids, "project_id").select(F.col("key.project_id").alias("project_id"), F.col("key.cut").alias("cut"), "projected_total")
+    paid = F.when(F.col("cost") > 0, F.struct("day", "cost"))
+    series = days.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(paid)), lambda s: s["cost"]).alias("daily"), F.sum("cost").alias("actual_total"))
+    base = F.when(F.col("baseline_daily_cost") > 0, F.col("baseline_daily_cost")).otherwise(1.0).alias("base")
+    rows = projects.select("project_id", base, "baseline_total_days").join(series, "project_id").select("project_id", "daily", "actual_total", "base", F.coalesce("baseline_total_days", F.lit(0)).alias("days"))
+    kept = StructType(rows.schema.fields[:1] + rows.schema.fields[2:3])
+    schema = StructType([*kept.fields, *StructType.fromDDL("cut int, projected_total double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = [t for y, base, days in zip(*(b.column(c).to_pylist() for c in ("daily", "base", "days"))) for t in _at_cuts(np.asarray(y, float), cuts, base, days)]
+            each = pa.array(np.repeat(np.arange(b.num_rows), len(cuts)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("project_id").take(each), b.column("actual_total").take(each), pa.array(cuts * b.num_rows, pa.int32()), pa.array(total, pa.float64())], schema.names
+            )
+
+    x = rows.mapInArrow(run, schema).select("project_id", "cut", "projected_total", "actual_total")
     error = F.abs(F.col("projected_total") - F.col("actual_total"))
-    return x.join(spent, "project_id").withColumn("error", error).withColumn("error_pct", F.try_divide("error", "actual_total") * 100)
+    return x.withColumn("error", error).withColumn("error_pct", F.try_divide("error", "actual_total") * 100)

@@ -2,12 +2,13 @@
 
 Exponential smoothing is linear in its start level, so for a fixed smoothing factor the best start is a
 quotient of sums; factors are searched on a grid, coarse then fine. The damped trend is linear in level
-and trend, so each grid point is a 2 x 2 system. Both grids run in numpy over Arrow batches, TOGETHER series at a
-time; all else are Catalyst expressions.
+and trend, so each point is a 2 x 2 system; of a coarse grid the best point of each share of beta in alpha is refined in
+turns. Both searches run in numpy over Arrow batches, TOGETHER series at a time; all else are Catalyst expressions.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,13 @@ from pyspark.sql.types import StructType
 
 SES_POINTS, TREND_POINTS, LINE_POINTS = 2, 10, 3
 FIXED_ALPHA = 0.3
-ALPHAS = [round(0.05 + 0.1 * i, 2) for i in range(10)]
+TREND_ALPHAS = [0.0001, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.9999]
 BETA_SHARES = [0.0, 0.1, 0.3, 0.6, 1.0]
 PHIS = [0.80, 0.86, 0.92, 0.98]
-TOGETHER = 256
+TREND_TURNS = 6  # of the fine stage
+TREND_STEPS = np.array([0.05, 0.15, 0.04])
+TREND_LEAST, TREND_MOST = np.array([0.0001, 0.0, 0.80]), np.array([0.9999, 1.0, 0.98])
+TOGETHER = 64
 
 
 def regression(series: Column) -> Column:
@@ -58,8 +62,13 @@ def ses_fixed(df: DataFrame, alpha: float = FIXED_ALPHA) -> DataFrame:
 
 
 def trend_grid() -> np.ndarray:
-    """Rows (alpha, beta, phi), in the order in which ties are decided."""
-    return np.array([(a, round(a * b, 4), p) for a in ALPHAS for b in BETA_SHARES for p in PHIS])
+    """Rows (alpha, share, phi) of the coarse stage, in the order in which ties are decided; beta is alpha * share."""
+    return np.array([(a, b, p) for a in TREND_ALPHAS for b in BETA_SHARES for p in PHIS])
+
+
+def trend_moves(turn: int) -> np.ndarray:
+    """What a turn of the fine stage adds to (alpha, share, phi): a cube of three values each, half as wide each turn."""
+    return np.array(list(itertools.product((-1, 0, 1), repeat=3))) * TREND_STEPS / 2**turn
 
 
 def _columns(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,40 +109,107 @@ def _fit_ses(y: np.ndarray, live: np.ndarray) -> list[np.ndarray]:
     return [alpha, level0, level, sq, ab]
 
 
-def _fit_trend(y: np.ndarray, live: np.ndarray) -> list[np.ndarray]:
-    """phi, level, trend, sse, alpha, beta of the best grid point; ties to the smaller parameters.
+def _trend_states(y: np.ndarray, live: np.ndarray, points: np.ndarray, at: list[int] | None = None) -> list[tuple[np.ndarray, ...]]:
+    """sse, level, trend of each series for each of its points (rows x points x 3), with the best start level and trend.
 
-    Three recursions side by side: the series from zero, and no series from a level or a trend of one; the
-    latter two are the same for all series.
+    Three recursions side by side: the series from zero, and no series from a level or a trend of one. at: lengths after which
+    the states are taken, ascending; else once, each series at its end.
     """
-    alpha, beta, phi = trend_grid().T
-    g, rows = len(alpha), len(y)
-    level, trend = np.zeros((rows, g)), np.zeros((rows, g))
-    unit_level, unit_trend = np.stack([np.ones(g), np.zeros(g)]), np.stack([np.zeros(g), np.ones(g)])
-    s00, s01, s02 = (np.zeros((rows, g)) for _ in range(3))
-    s11, s12, s22 = (np.zeros((rows, g)) for _ in range(3))
-    ends = np.zeros((4, rows, g))  # levels and trends of the two at the end of each series
+    alpha, phi = points[..., 0], points[..., 2]
+    beta = alpha * points[..., 1]
+    zero, one = np.zeros(alpha.shape), np.ones(alpha.shape)
+    level, trend = np.stack([zero, one, zero]), np.stack([zero, zero, one])
+    sums = np.zeros((6, *alpha.shape))  # of products of the three errors: 00, 01, 02, 11, 12, 22
+    out = []
     for t, k in enumerate(live):
-        e = y[:k, t, None] - level[:k] - phi * trend[:k]
-        level[:k], trend[:k] = level[:k] + phi * trend[:k] + alpha * e, phi * trend[:k] + beta * e
-        u = -unit_level - phi * unit_trend
-        unit_level, unit_trend = unit_level + phi * unit_trend + alpha * u, phi * unit_trend + beta * u
-        s00[:k] += e * e
-        s01[:k] += e * u[0]
-        s02[:k] += e * u[1]
-        s11[:k] += u[0] * u[0]
-        s12[:k] += u[0] * u[1]
-        s22[:k] += u[1] * u[1]
-        ends[:, :k] = np.stack([*unit_level, *unit_trend])[:, None, :]
-    det = s11 * s22 - s12**2
-    sound = np.abs(det) > 1e-12
-    safe = np.where(sound, det, 1.0)
-    l0 = np.where(sound, (-s01 * s22 + s02 * s12) / safe, 0.0)
-    b0 = np.where(sound, (-s02 * s11 + s01 * s12) / safe, 0.0)
-    sse = s00 + 2 * l0 * s01 + 2 * b0 * s02 + l0 * l0 * s11 + 2 * l0 * b0 * s12 + b0 * b0 * s22
-    best = np.round(sse, 6).argmin(1)
-    at = np.arange(rows), best
-    return [phi[best], (level + l0 * ends[0] + b0 * ends[1])[at], (trend + l0 * ends[2] + b0 * ends[3])[at], sse[at], alpha[best], beta[best]]
+        a, b, p = alpha[:k], beta[:k], phi[:k]
+        e = -level[:, :k] - p * trend[:, :k]
+        e[0] = y[:k, t, None] - level[0, :k] - p * trend[0, :k]
+        level[:, :k], trend[:, :k] = level[:, :k] + p * trend[:, :k] + a * e, p * trend[:, :k] + b * e
+        for s, (i, j) in zip(sums, ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))):
+            s[:k] += e[i] * e[j]
+        if t + 1 == len(live) if at is None else t + 1 in at:
+            s00, s01, s02, s11, s12, s22 = sums
+            det = s11 * s22 - s12 * s12
+            sound = np.abs(det) > 1e-12
+            safe = np.where(sound, det, 1.0)
+            l0 = np.where(sound, (-s01 * s22 + s02 * s12) / safe, 0.0)
+            b0 = np.where(sound, (-s02 * s11 + s01 * s12) / safe, 0.0)
+            sse = s00 + 2 * l0 * s01 + 2 * b0 * s02 + l0 * l0 * s11 + 2 * l0 * b0 * s12 + b0 * b0 * s22
+            out.append((sse, level[0] + l0 * level[1] + b0 * level[2], trend[0] + l0 * trend[1] + b0 * trend[2]))
+    return out
+
+
+def _moved(points: np.ndarray, turn: int) -> np.ndarray:
+    """The candidates around each point, within bounds."""
+    return np.clip(points[..., None, :] + trend_moves(turn), TREND_LEAST, TREND_MOST)
+
+
+def _best_point(sse: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Place of the least error on the last axis; ties to the smaller parameters."""
+    return np.lexsort((points[..., 2], points[..., 1], points[..., 0], np.round(sse, 6)))[..., 0]
+
+
+def _fit_trend(y: np.ndarray, live: np.ndarray) -> list[np.ndarray]:
+    """phi, level, trend, sse, alpha, beta. Coarse: the best grid point of each share. Fine: each of these moves to the best
+    of a cube of candidates around it, which halves each turn; then the best of all.
+    """
+    grid, rows = trend_grid(), np.arange(len(y))[:, None]
+    sse = np.round(_trend_states(y, live, np.tile(grid, (len(y), 1, 1)))[0][0], 6)
+    at = np.stack([np.where(grid[:, 1] == share, sse, np.inf).argmin(1) for share in BETA_SHARES], 1)
+    points = grid[at]
+    for turn in range(TREND_TURNS):
+        around = _moved(points, turn)
+        found = [x.reshape(around.shape[:-1]) for x in _trend_states(y, live, around.reshape(len(y), -1, 3))[0]]
+        best = np.round(found[0], 6).argmin(2)[..., None]  # candidates come in the order of ties
+        points = np.take_along_axis(around, best[..., None], 2)[:, :, 0]
+        sse, level, trend = (np.take_along_axis(x, best, 2)[..., 0] for x in found)
+    best = _best_point(sse, points)[:, None]
+    sse, level, trend, points = (x[rows, best][:, 0] for x in (sse, level, trend, points))
+    alpha, share, phi = points.T
+    return [phi, level, trend, sse, alpha, alpha * share]
+
+
+def prefix_levels(y: np.ndarray, cuts: list[int]) -> dict[int, float]:
+    """The level of the searched exponential smoothing after each cut: one pass with a state for each thousandth."""
+    alphas = np.arange(1, 1000) / 1000.0
+    coarse = np.arange(10, 1000, 10) - 1
+    a, dd, dw, ww = (np.zeros(len(alphas)) for _ in range(4))
+    w, out = np.ones(len(alphas)), {}
+    for t, c in enumerate(y):
+        d = c - a
+        a = (1 - alphas) * a + alphas * c
+        dd, dw, ww = dd + d * d, dw + d * w, ww + w * w
+        w = w * (1 - alphas)
+        if t + 1 in cuts:
+            error = np.round(dd - dw * dw / ww, 9)
+            near = coarse[error[coarse].argmin()]
+            around = np.arange(max(0, near - 10), min(len(alphas), near + 11))
+            best = around[error[around].argmin()]
+            out[t + 1] = float(a[best] + w[best] * dw[best] / ww[best])
+    return out
+
+
+def prefix_trends(y: np.ndarray, cuts: list[int]) -> dict[int, tuple[float, float, float]]:
+    """(level, trend, phi) of the damped trend after each cut, by the stages of _fit_trend.
+
+    A candidate of any cut is run through the series once and its states are taken at all cuts, so what cuts have in common
+    (the whole coarse stage, and most candidates of neighbouring cuts) is computed once.
+    """
+    y, live, grid = y[None, : max(cuts)], np.ones(max(cuts), int), trend_grid()
+    sse = np.round(np.stack([s[0][0] for s in _trend_states(y, live, grid[None], cuts)]), 6)
+    points = grid[np.stack([np.where(grid[:, 1] == share, sse, np.inf).argmin(1) for share in BETA_SHARES], 1)]
+    row = np.arange(len(cuts))[:, None, None]
+    for turn in range(TREND_TURNS):
+        around = _moved(points, turn)
+        distinct, where = np.unique(around.reshape(-1, 3), axis=0, return_inverse=True)
+        where = where.reshape(around.shape[:-1])
+        found = [np.stack(x)[:, 0][row, where] for x in zip(*_trend_states(y, live, distinct[None], cuts))]
+        best = np.round(found[0], 6).argmin(2)[..., None]
+        points = np.take_along_axis(around, best[..., None], 2)[:, :, 0]
+        sse, level, trend = (np.take_along_axis(x, best, 2)[..., 0] for x in found)
+    best = _best_point(sse, points)
+    return {c: (float(level[i, b]), float(trend[i, b]), float(points[i, b, 2])) for i, (c, b) in enumerate(zip(cuts, best))}
 
 
 SES_FIT = "fit_alpha double, fit_level0 double, fit_level double, fit_sse double, fit_sae double"
@@ -172,11 +248,11 @@ def ses(df: DataFrame) -> DataFrame:
     return ses_fixed(df.filter(F.col("n") < TREND_POINTS)).unionByName(ses_optimal(df))
 
 
-def with_ses(x: DataFrame) -> DataFrame:
-    """Adds ses_level, sse and sae to fitted rows: the searched fit, or the fixed factor for short series."""
+def with_ses(x: DataFrame, least: int = SES_POINTS) -> DataFrame:
+    """Adds ses_level, sse and sae to fitted rows: the searched fit, or the fixed factor for short series of `least` points or more."""
     line = regression(F.col("series"))
     short = _errors(F.col("series"), F.lit(FIXED_ALPHA), line["intercept"] - line["slope"])
-    x = x.withColumn("__e", F.when((F.col("n") >= SES_POINTS) & F.col("fit_level").isNull(), short))
+    x = x.withColumn("__e", F.when((F.col("n") >= least) & F.col("fit_level").isNull(), short))
     return x.withColumns({to: F.coalesce(f"fit_{c}", f"__e.{e}") for to, c, e in (("ses_level", "level", "level"), ("sse", "sse", "sq"), ("sae", "sae", "ab"))}).drop("__e")
 
 

@@ -115,13 +115,29 @@ _e = ["c - s.l0 - phi * s.b0", "-s.l1 - phi * s.b1", "-s.l2 - phi * s.b2"]
 _pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
 _state = ", ".join([f"'l{i}': s.l{i} + phi * s.b{i} + alpha * ({_e[i]})" for i in range(3)] + [f"'b{i}': phi * s.b{i} + beta * ({_e[i]})" for i in range(3)] + [f"'s{i}{j}': s.s{i}{j} + ({_e[i]}) * ({_e[j]})" for i, j in _pairs])
 _zero = ", ".join(f"'{k}': {v}::DOUBLE" for k, v in [("l0", 0.0), ("l1", 1.0), ("l2", 0.0), ("b0", 0.0), ("b1", 0.0), ("b2", 1.0)] + [(f"s{i}{j}", 0.0) for i, j in _pairs])
-DAMPED = f"""points AS (SELECT * FROM {_values([tuple(map(float, r)) for r in smoothing.trend_grid()])} t(alpha, beta, phi)),
-runs AS MATERIALIZED (SELECT project_id, alpha, beta, phi, list_reduce(series, lambda s, c: {{{_state}}}, {{{_zero}}}) AS s FROM choice, points WHERE n >= 10),
-solved AS (SELECT *, s.s11 * s.s22 - s.s12 * s.s12 AS det FROM runs),
-starts AS (SELECT *, CASE WHEN abs(det) > 1e-12 THEN (-s.s01 * s.s22 + s.s02 * s.s12) / det ELSE 0 END AS x, CASE WHEN abs(det) > 1e-12 THEN (-s.s02 * s.s11 + s.s01 * s.s12) / det ELSE 0 END AS y FROM solved),
-scored AS (SELECT *, s.s00 + 2 * x * s.s01 + 2 * y * s.s02 + x * x * s.s11 + 2 * x * y * s.s12 + y * y * s.s22 AS sse FROM starts),
-damped AS MATERIALIZED (SELECT project_id, phi, s.l0 + x * s.l1 + y * s.l2 AS level, s.b0 + x * s.b1 + y * s.b2 AS trend, sse, alpha, beta FROM scored
-  QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY round(sse, 6), alpha, beta, phi) = 1)"""
+_order = "round(sse, 6), alpha, share, phi"
+
+
+def trend_runs(name: str, points: str) -> str:
+    """Squared error and end of each of the points (project_id, start, series, alpha, share, phi)."""
+    return f"""{name}_r AS (SELECT * EXCLUDE (series), list_reduce(series, lambda s, c: {{{_state}}}, {{{_zero}}}) AS s FROM (SELECT *, alpha * share AS beta FROM {points})),
+{name}_d AS (SELECT *, s.s11 * s.s22 - s.s12 * s.s12 AS det FROM {name}_r),
+{name}_s AS (SELECT *, CASE WHEN abs(det) > 1e-12 THEN (-s.s01 * s.s22 + s.s02 * s.s12) / det ELSE 0 END AS x, CASE WHEN abs(det) > 1e-12 THEN (-s.s02 * s.s11 + s.s01 * s.s12) / det ELSE 0 END AS y FROM {name}_d),
+{name} AS MATERIALIZED (SELECT project_id, start, alpha, beta, share, phi, s.l0 + x * s.l1 + y * s.l2 AS level, s.b0 + x * s.b1 + y * s.b2 AS trend,
+  s.s00 + 2 * x * s.s01 + 2 * y * s.s02 + x * x * s.s11 + 2 * x * y * s.s12 + y * y * s.s22 AS sse FROM {name}_s
+  QUALIFY row_number() OVER (PARTITION BY project_id, start ORDER BY {_order}) = 1)"""
+
+
+def trend_turn(k: int) -> str:
+    """A turn of the fine stage: the cube around each start's best point."""
+    within = ", ".join(f"greatest({lo}::DOUBLE, least({hi}::DOUBLE, t.{c} + m.{c})) AS {c}" for c, lo, hi in zip(("alpha", "share", "phi"), map(float, smoothing.TREND_LEAST), map(float, smoothing.TREND_MOST)))
+    moves = _values([tuple(map(float, r)) for r in smoothing.trend_moves(k)])
+    return trend_runs(f"turn{k + 1}", f"(SELECT project_id, start, series, {within} FROM turn{k} t JOIN choice USING (project_id), {moves} m(alpha, share, phi))")
+
+
+DAMPED = f"""{trend_runs("turn0", f"(SELECT project_id, share AS start, series, alpha, share, phi FROM choice, {_values([tuple(map(float, r)) for r in smoothing.trend_grid()])} t(alpha, share, phi) WHERE n >= 10)")},
+{", ".join(map(trend_turn, range(smoothing.TREND_TURNS)))},
+damped AS MATERIALIZED (SELECT project_id, phi, level, trend, sse, alpha, beta FROM turn{smoothing.TREND_TURNS} QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY {_order}) = 1)"""
 EMA = "list_reduce(daily, lambda s, c: least(0.6, 0.15 + 0.03 * active_days) * c / base + (1 - least(0.6, 0.15 + 0.03 * active_days)) * s, 1.0::DOUBLE)"
 STEP = """(CASE WHEN ses_level IS NULL THEN 0 ELSE greatest(0, ses_level) END + CASE WHEN phi IS NULL THEN 0 ELSE greatest(0, level + trend * phi * (1 - pow(phi, h)) / (1 - phi)) END
   + CASE WHEN n < 3 THEN 0 ELSE greatest(0, intercept + slope * (n + h - 1)) END) / m"""
@@ -195,7 +211,7 @@ seen AS (SELECT *, len(p) > {scope.DEPTH} OR len(list_filter(p, lambda x: x IN (
 exts AS (SELECT project_id, CASE WHEN regexp_extract(p[-1], '.(\\.[^.]+)$', 1) = '' THEN '(no ext)' ELSE regexp_extract(p[-1], '.(\\.[^.]+)$', 1) END AS ext FROM seen WHERE NOT ignored UNION ALL
   SELECT DISTINCT project_id, path FROM files WHERE path IN ({", ".join(f"'{x}'" for x in scope.MANIFESTS)})),
 counts AS (SELECT project_id, ext, count(*) AS files FROM exts GROUP BY ALL)"""
-_order = "CASE path " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(scope.README)) + " END"
+_readme = "CASE path " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(scope.README)) + " END"
 _ext = "CASE regexp_extract(path, '(\\.[^./]+)$', 1) " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(scope.EXTENSIONS)) + " END"
 _hit = " OR ".join(f"regexp_matches(head, '{_q(p)}')" for p in scope.SDK["anthropic"])
 
@@ -210,7 +226,7 @@ def _parameters() -> str:
     return " UNION ALL ".join(rows)
 
 
-BASELINE = f"""{FILES}, {PRICES}, readme AS (SELECT project_id, lower(left(arg_min(content, {_order}), {scope.README_CHARS})) AS readme FROM files WHERE {_order} IS NOT NULL GROUP BY ALL),
+BASELINE = f"""{FILES}, {PRICES}, readme AS (SELECT project_id, lower(left(arg_min(content, {_readme}), {scope.README_CHARS})) AS readme FROM files WHERE {_readme} IS NOT NULL GROUP BY ALL),
 code AS (SELECT *, {_ext} AS kind FROM seen WHERE {_ext} IS NOT NULL), capped AS (SELECT * FROM code QUALIFY row_number() OVER (PARTITION BY project_id, kind ORDER BY path) <= {scope.PER_EXTENSION}),
 capped2 AS (SELECT * FROM capped QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY kind, path) <= {scope.OVERALL}),
 heads AS (SELECT project_id, array_to_string(regexp_split_to_array(content, '{scope.LINE_BREAK_RE2}')[1:{scope.LINES}], chr(10)) AS head FROM capped2 WHERE NOT ignored),
@@ -240,10 +256,10 @@ found AS (SELECT project_id, model, alternative, task, CASE branch WHEN 'always'
 BACKTEST = USERS.replace("uu AS MATERIALIZED", "uu_all AS MATERIALIZED") + ", " + projects_of("uu_all").replace("proj AS MATERIALIZED", "proj_all AS MATERIALIZED") + f""",
 cuts AS (SELECT unnest([5, 10, 20]) AS cut), each_day AS (SELECT project_id AS pid, CAST("timestamp" AS DATE) AS day, sum(cost_usd) AS cost FROM uu_all GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY day) AS rk FROM each_day WHERE cost > 0),
-uu AS MATERIALIZED (SELECT pid * 1000 + cut AS project_id, CAST(day AS TIMESTAMP) AS "timestamp", 0 AS tokens_in, 0 AS tokens_out, cost AS cost_usd FROM ranked, cuts WHERE rk <= cut),
-proj AS MATERIALIZED (SELECT * REPLACE (project_id * 1000 + cut AS project_id) FROM proj_all, cuts), {SERIES}, {CORE},
+uu AS MATERIALIZED (SELECT {{'pid': pid, 'cut': cut}} AS project_id, CAST(day AS TIMESTAMP) AS "timestamp", 0 AS tokens_in, 0 AS tokens_out, cost AS cost_usd FROM ranked, cuts WHERE rk <= cut),
+proj AS MATERIALIZED (SELECT * REPLACE ({{'pid': project_id, 'cut': cut}} AS project_id) FROM proj_all, cuts), {SERIES}, {CORE},
 spent_all AS (SELECT pid, sum(cost) AS actual_total FROM each_day GROUP BY ALL),
-tested AS (SELECT pid AS project_id, CAST(f.project_id % 1000 AS INTEGER) AS cut, projected_total, actual_total, abs(projected_total - actual_total) AS error FROM fin f JOIN spent_all ON pid = f.project_id // 1000)"""
+tested AS (SELECT pid AS project_id, CAST(f.project_id.cut AS INTEGER) AS cut, projected_total, actual_total, abs(projected_total - actual_total) AS error FROM fin f JOIN spent_all ON pid = f.project_id.pid)"""
 TRACKED = f"{RAW}, tracked AS (SELECT * FROM stat WHERE status = 'tracked'), {resolved('tracked')}"
 STREAMED = f"{TRACKED}, su AS (SELECT t.*, {COST} AS cost_usd FROM tracked t LEFT JOIN resolved USING (model)), closed AS (SELECT max(\"timestamp\") - INTERVAL 10 MINUTE AS watermark FROM su)"
 

@@ -90,7 +90,7 @@ def test_smoothing_against_direct_search(spark):
         return total
 
     starts = [(y[0], y[1] - y[0]), (np.mean(y), 0.0), (y[0], 0.0)]
-    assert all(t.sse <= damped(*g, *s) + 1e-6 for g in smoothing.trend_grid() for s in starts)
+    assert all(t.sse <= damped(a, a * share, phi, *s) + 1e-6 for a, share, phi in smoothing.trend_grid() for s in starts)
     line = smoothing.linear(df).first()
     assert (line.slope, line.intercept) == pytest.approx(tuple(np.polyfit(range(25), y, 1)))
     ratio = 1.0
