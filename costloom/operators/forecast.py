@@ -190,43 +190,44 @@ def run(usage: DataFrame, projects: DataFrame, history: DataFrame, save_to: str
     return record
 
 
-def _at_cuts(y: np.ndarray, cuts: list[int], base: float, days: int) -> list[float]:
-    """What is projected in all after the first so many active days, for each cut: prefixes share one pass over the series."""
-    sizes = sorted({min(c, len(y)) for c in cuts})
-    long = [n for n in sizes if n >= smoothing.TREND_POINTS]
-    levels = smoothing.prefix_levels(y, long) if long else {}
-    trends = smoothing.prefix_trends(y, long) if long else {}
-    x = np.arange(len(y))
-    sum_y, sum_xy, spent = (np.concatenate(([0.0], np.cumsum(v))) for v in (y, x * y, y))
-    out = {}
-    for n in sizes:
-        left = max(1, days - n)
-        steps = []
-        sx, sxx = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
-        slope = (n * sum_xy[n] - sx * sum_y[n]) / (n * sxx - sx * sx) if n >= smoothing.SES_POINTS else 0.0
-        start = (sum_y[n] - slope * sx) / n if n else 0.0
-        if n in levels:
-            steps.append(np.full(left, levels[n]))
-        elif n >= smoothing.SES_POINTS:
-            level = start - slope
-            for c in y[:n]:  # below TREND_POINTS points
-                level += smoothing.FIXED_ALPHA * (c - level)
-            steps.append(np.full(left, level))
-        h = np.arange(1, left + 1)
-        if n in trends:
-            level, trend, phi = trends[n]
-            steps.append(level + trend * phi * (1 - phi**h) / (1 - phi))
-        if n >= smoothing.LINE_POINTS:
-            steps.append(start + slope * (n + h - 1))
-        if steps:
-            remaining = np.maximum(np.stack(steps), 0).mean(0).sum()
-        else:
-            ratio = 1.0  # as smoothing.ema_state, of one day at most
-            for c in y[:n]:
-                ratio += min(0.6, 0.15 + 0.03 * n) * (c / base - ratio)
-            remaining = max(0.0, ratio * base) * left
-        out[n] = float(spent[n] + remaining)
-    return [out[min(c, len(y))] for c in cuts]
+def _at_cuts(series: list[np.ndarray], cuts: list[int], bases: list[float], days: list[int]) -> np.ndarray:
+    """What is projected in all after the first so many active days, for each series and cut: prefixes share one pass."""
+    out = np.zeros((len(series), len(cuts)))
+    long = sorted({c for c in cuts if c >= smoothing.TREND_POINTS})
+    picked = sorted((i for i, y in enumerate(series) if len(y) >= smoothing.TREND_POINTS), key=lambda i: -len(series[i]))
+    levels, trends = {}, {}
+    if long and picked:
+        y, live = smoothing._columns([series[i] for i in picked])
+        for i, at_level, at_trend in zip(picked, smoothing.prefix_levels(y, live, long), smoothing.prefix_trends(y, live, long)):
+            levels[i], trends[i] = dict(zip(long, at_level)), dict(zip(long, at_trend))
+    for i, y in enumerate(series):
+        sum_y, sum_xy = (np.concatenate(([0.0], np.cumsum(v))) for v in (y, np.arange(len(y)) * y))
+        for j, c in enumerate(cuts):
+            n = min(c, len(y))
+            left = max(1, days[i] - n)
+            h, steps = np.arange(1, left + 1), []
+            sx, sxx = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
+            slope = (n * sum_xy[n] - sx * sum_y[n]) / (n * sxx - sx * sx) if n >= smoothing.SES_POINTS else 0.0
+            start = (sum_y[n] - slope * sx) / n if n else 0.0
+            if n >= smoothing.TREND_POINTS:
+                level, trend, phi = trends[i][c]
+                steps += [np.full(left, levels[i][c]), level + trend * phi * (1 - phi**h) / (1 - phi)]
+            elif n >= smoothing.SES_POINTS:
+                level = start - slope
+                for v in y[:n]:
+                    level += smoothing.FIXED_ALPHA * (v - level)
+                steps.append(np.full(left, level))
+            if n >= smoothing.LINE_POINTS:
+                steps.append(start + slope * (n + h - 1))
+            if steps:
+                remaining = np.maximum(np.stack(steps), 0).mean(0).sum()
+            else:
+                ratio = 1.0  # as smoothing.ema_state, of one day at most
+                for v in y[:n]:
+                    ratio += min(0.6, 0.15 + 0.03 * n) * (v / bases[i] - ratio)
+                remaining = max(0.0, ratio * bases[i]) * left
+            out[i, j] = sum_y[n] + remaining
+    return out
 
 
 def backtest(usage: DataFrame, projects: DataFrame, cuts: list[int]) -> DataFrame:
@@ -244,8 +245,9 @@ def backtest(usage: DataFrame, projects: DataFrame, cuts: list[int]) -> DataFram
     schema = StructType([*kept.fields, *StructType.fromDDL("cut int, projected_total double").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            total = [t for y, base, days in zip(*(b.column(c).to_pylist() for c in ("daily", "base", "days"))) for t in _at_cuts(np.asarray(y, float), cuts, base, days)]
+        for b in (whole.slice(s, smoothing.TOGETHER) for whole in batches for s in range(0, whole.num_rows, smoothing.TOGETHER)):
+            daily, bases, days = (b.column(c).to_pylist() for c in ("daily", "base", "days"))
+            total = _at_cuts([np.asarray(y, float) for y in daily], cuts, bases, days).ravel()
             each = pa.array(np.repeat(np.arange(b.num_rows), len(cuts)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("project_id").take(each), b.column("actual_total").take(each), pa.array(cuts * b.num_rows, pa.int32()), pa.array(total, pa.float64())], schema.names

@@ -8,6 +8,7 @@ turns. Both searches run in numpy over Arrow batches, TOGETHER series at a time;
 
 from __future__ import annotations
 
+import collections
 import itertools
 from collections.abc import Iterator
 
@@ -113,14 +114,14 @@ def _trend_states(y: np.ndarray, live: np.ndarray, points: np.ndarray, at: list[
     """sse, level, trend of each series for each of its points (rows x points x 3), with the best start level and trend.
 
     Three recursions side by side: the series from zero, and no series from a level or a trend of one. at: lengths after which
-    the states are taken, ascending; else once, each series at its end.
+    the states are taken (shorter series at their end), ascending; else once, each series at its end.
     """
     alpha, phi = points[..., 0], points[..., 2]
     beta = alpha * points[..., 1]
     zero, one = np.zeros(alpha.shape), np.ones(alpha.shape)
     level, trend = np.stack([zero, one, zero]), np.stack([zero, zero, one])
     sums = np.zeros((6, *alpha.shape))  # of products of the three errors: 00, 01, 02, 11, 12, 22
-    out = []
+    due, out = collections.Counter([len(live)] if at is None else [min(c, len(live)) for c in at]), []
     for t, k in enumerate(live):
         a, b, p = alpha[:k], beta[:k], phi[:k]
         e = -level[:, :k] - p * trend[:, :k]
@@ -128,7 +129,7 @@ def _trend_states(y: np.ndarray, live: np.ndarray, points: np.ndarray, at: list[
         level[:, :k], trend[:, :k] = level[:, :k] + p * trend[:, :k] + a * e, p * trend[:, :k] + b * e
         for s, (i, j) in zip(sums, ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))):
             s[:k] += e[i] * e[j]
-        if t + 1 == len(live) if at is None else t + 1 in at:
+        for _ in range(due[t + 1]):
             s00, s01, s02, s11, s12, s22 = sums
             det = s11 * s22 - s12 * s12
             sound = np.abs(det) > 1e-12
@@ -170,46 +171,59 @@ def _fit_trend(y: np.ndarray, live: np.ndarray) -> list[np.ndarray]:
     return [phi, level, trend, sse, alpha, alpha * share]
 
 
-def prefix_levels(y: np.ndarray, cuts: list[int]) -> dict[int, float]:
-    """The level of the searched exponential smoothing after each cut: one pass with a state for each thousandth."""
-    alphas = np.arange(1, 1000) / 1000.0
+def prefix_levels(y: np.ndarray, live: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """The level of the searched exponential smoothing of each series after each cut: one pass with a state for each thousandth."""
+    alphas, rows = np.arange(1, 1000) / 1000.0, np.arange(len(y))
     coarse = np.arange(10, 1000, 10) - 1
-    a, dd, dw, ww = (np.zeros(len(alphas)) for _ in range(4))
-    w, out = np.ones(len(alphas)), {}
-    for t, c in enumerate(y):
-        d = c - a
-        a = (1 - alphas) * a + alphas * c
-        dd, dw, ww = dd + d * d, dw + d * w, ww + w * w
-        w = w * (1 - alphas)
-        if t + 1 in cuts:
+    a, dd, dw, ww = (np.zeros((len(y), len(alphas))) for _ in range(4))
+    w, out, due = np.ones((len(y), len(alphas))), [], collections.Counter(min(c, len(live)) for c in cuts)
+    for t, k in enumerate(live):
+        d = y[:k, t, None] - a[:k]
+        a[:k] = (1 - alphas) * a[:k] + alphas * y[:k, t, None]
+        dd[:k] += d * d
+        dw[:k] += d * w[:k]
+        ww[:k] += w[:k] * w[:k]
+        w[:k] *= 1 - alphas
+        for _ in range(due[t + 1]):
             error = np.round(dd - dw * dw / ww, 9)
-            near = coarse[error[coarse].argmin()]
-            around = np.arange(max(0, near - 10), min(len(alphas), near + 11))
-            best = around[error[around].argmin()]
-            out[t + 1] = float(a[best] + w[best] * dw[best] / ww[best])
-    return out
+            near = coarse[error[:, coarse].argmin(1)]
+            around = np.clip(near[:, None] + np.arange(-10, 11), 0, len(alphas) - 1)
+            at = rows, around[rows, np.take_along_axis(error, around, 1).argmin(1)]
+            out.append(a[at] + w[at] * dw[at] / ww[at])
+    return np.stack(out, 1)
+
+
+def _distinct(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct points, filled up with its first, and where in them each point is. Points lie on a lattice."""
+    scaled = np.round((points - [0, 0, TREND_LEAST[2]]) * [1e7, 1e7, 1e5]).astype(np.int64)
+    keys = (scaled[..., 0] << 39 | scaled[..., 1] << 15 | scaled[..., 2]).reshape(len(points), -1)
+    flat, where, found = points.reshape(len(points), -1, 3), np.zeros(keys.shape, np.int64), []
+    for i, k in enumerate(keys):
+        _, first, where[i] = np.unique(k, return_index=True, return_inverse=True)
+        found.append(flat[i, first])
+    out = np.stack([np.concatenate((f, np.repeat(f[:1], max(map(len, found)) - len(f), 0))) for f in found])
+    return out, where.reshape(points.shape[:-1])
 
 
-def prefix_trends(y: np.ndarray, cuts: list[int]) -> dict[int, tuple[float, float, float]]:
-    """(level, trend, phi) of the damped trend after each cut, by the stages of _fit_trend.
+def prefix_trends(y: np.ndarray, live: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """(level, trend, phi) of the damped trend of each series after each cut, by the stages of _fit_trend.
 
     A candidate of any cut is run through the series once and its states are taken at all cuts, so what cuts have in common
     (the whole coarse stage, and most candidates of neighbouring cuts) is computed once.
     """
-    y, live, grid = y[None, : max(cuts)], np.ones(max(cuts), int), trend_grid()
-    sse = np.round(np.stack([s[0][0] for s in _trend_states(y, live, grid[None], cuts)]), 6)
-    points = grid[np.stack([np.where(grid[:, 1] == share, sse, np.inf).argmin(1) for share in BETA_SHARES], 1)]
-    row = np.arange(len(cuts))[:, None, None]
+    grid = trend_grid()
+    row, cut = np.arange(len(y))[:, None, None, None], np.arange(len(cuts))[:, None, None]
+    sse = np.round(np.stack([s[0] for s in _trend_states(y, live, np.tile(grid, (len(y), 1, 1)), cuts)], 1), 6)
+    points = grid[np.stack([np.where(grid[:, 1] == share, sse, np.inf).argmin(2) for share in BETA_SHARES], 2)]
     for turn in range(TREND_TURNS):
         around = _moved(points, turn)
-        distinct, where = np.unique(around.reshape(-1, 3), axis=0, return_inverse=True)
-        where = where.reshape(around.shape[:-1])
-        found = [np.stack(x)[:, 0][row, where] for x in zip(*_trend_states(y, live, distinct[None], cuts))]
-        best = np.round(found[0], 6).argmin(2)[..., None]
-        points = np.take_along_axis(around, best[..., None], 2)[:, :, 0]
-        sse, level, trend = (np.take_along_axis(x, best, 2)[..., 0] for x in found)
-    best = _best_point(sse, points)
-    return {c: (float(level[i, b]), float(trend[i, b]), float(points[i, b, 2])) for i, (c, b) in enumerate(zip(cuts, best))}
+        distinct, where = _distinct(around)
+        found = [np.stack(x, 1)[row, cut, where] for x in zip(*_trend_states(y, live, distinct, cuts))]
+        best = np.round(found[0], 6).argmin(3)[..., None]
+        points = np.take_along_axis(around, best[..., None], 3)[:, :, :, 0]
+        sse, level, trend = (np.take_along_axis(x, best, 3)[..., 0] for x in found)
+    best = _best_point(sse, points)[..., None]
+    return np.stack([np.take_along_axis(x, best, 2)[..., 0] for x in (level, trend, points[..., 2])], 2)
 
 
 SES_FIT = "fit_alpha double, fit_level0 double, fit_level double, fit_sse double, fit_sae double"

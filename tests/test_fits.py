@@ -51,27 +51,27 @@ def test_fit_is_that_of_its_parameters():
 
 
 def test_prefixes_equal_fits_of_cut_series():
-    for y in some_series(6, 3):
-        cuts = [10, len(y) // 2 + 6, len(y)] if len(y) > 12 else [10]
-        cuts = sorted(set(cuts))
-        levels, trends = smoothing.prefix_levels(y, cuts), smoothing.prefix_trends(y, cuts)
-        for c in cuts:
+    series, cuts = some_series(6, 3), [10, 12, 31, 1000]
+    y, live = smoothing._columns(series)
+    levels, trends = smoothing.prefix_levels(y, live, cuts), smoothing.prefix_trends(y, live, cuts)
+    for i, y in enumerate(series):
+        for j, c in enumerate(cuts):
             alone = smoothing._columns([y[:c]])
             phi, level, trend, *_ = (x[0] for x in smoothing._fit_trend(*alone))
-            assert trends[c] == pytest.approx((level, trend, phi))
-            assert levels[c] == pytest.approx(smoothing._fit_ses(*alone)[2][0])
+            assert trends[i, j] == pytest.approx((level, trend, phi))
+            assert levels[i, j] == pytest.approx(smoothing._fit_ses(*alone)[2][0])
 
 
 def test_passes_do_not_grow_with_cuts(monkeypatch):
     """Cuts share candidates: far fewer points are run through the series than one search for each cut would run."""
-    y = some_series(5, 4)[0]
+    y, live = smoothing._columns(some_series(5, 4)[:1])
     run = []
     states = smoothing._trend_states
     monkeypatch.setattr(smoothing, "_trend_states", lambda y, live, points, at=None: run.append(points.shape[-2] * len(live)) or states(y, live, points, at))
-    smoothing.prefix_trends(y, [len(y)])
-    one, cuts = sum(run), list(range(12, len(y) + 1))
+    smoothing.prefix_trends(y, live, [len(live)])
+    one, cuts = sum(run), list(range(12, len(live) + 1))
     run.clear()
-    smoothing.prefix_trends(y, cuts)
+    smoothing.prefix_trends(y, live, cuts)
     assert sum(run) < one * len(cuts) / 3
 
 
