@@ -1,8 +1,11 @@
-"""Price, tier and switch dimensions as small DataFrames (fixed sizes, broadcast in joins)."""
+"""Price, tier and switch dimensions: rows, literal maps for expressions, and the price list as a small DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterable
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # List prices in USD per million tokens (model, input, output).
 PRICES = """
@@ -115,13 +118,27 @@ PRICE_ROWS = [(m, float(i), float(o)) for m, i, o in (x.split() for x in PRICES.
 TIER_ROWS = [(tier, m, k) for tier, models in TIERS.items() for k, m in enumerate(models.split())]
 
 
-def prices(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(PRICE_ROWS, "price_model string, input double, output double"))
+BOOK = [(m, (i, o)) for m, i, o in PRICE_ROWS]
+OUTPUT_PRICE = {m: o for m, _, o in PRICE_ROWS}
+TIER_OF = [(m, tier) for tier, m, _ in TIER_ROWS]
+
+
+@cache
+def _sql(rows: tuple) -> str:
+    """A map as SQL text, made once: parsing it is one call, and the optimizer folds it into a literal."""
 
+    def shown(v) -> str:
+        if isinstance(v, tuple):
+            return f"array({', '.join(map(shown, v))})"
+        return f"{v}D" if isinstance(v, float) else "'" + v.replace("'", "\\'") + "'"
 
-def tiers(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(TIER_ROWS, "tier string, tier_model string, ordinal int"))
+    return f"map({', '.join(f'{shown(k)}, {shown(v)}' for k, v in rows)})"
 
 
-def switches(spark: SparkSession, rows: list) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, "switch_model string, alternative string, pct double"))
+def lookup(rows: Iterable[tuple], key: Column) -> Column:
+    """The value of a key in (key, value) rows, null where there is none: generated code, no join. Values: text, double or tuples of them."""
+    return F.try_element_at(F.expr(_sql(tuple(rows))), key)
+
+
+def prices(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(PRICE_ROWS, "price_model string, input double, output double"))

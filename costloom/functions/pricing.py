@@ -1,7 +1,11 @@
-"""Model resolution, cost, tier, provider and token estimates as column expressions and broadcast joins."""
+"""Model resolution, cost, tier, provider and token estimates as column expressions."""
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costloom.functions import dims
@@ -9,38 +13,46 @@ from costloom.functions import dims
 # The date suffix, the default models; below, the providers by name.
 DATE_SUFFIX = r"-\d{4}(-\d{2}-\d{2}|\d{4})?$"
 DEFAULT_MODELS = ["gpt-4o", "gpt-4o-mini", "claude-3-5-sonnet-latest", "claude-3-5-haiku-latest", "gemini-2.5-pro", "gemini-2.5-flash"]
+PROVIDERS = [  # provider, what its models' names start with, what they contain; the first that applies
+    ("google", (), ("text-embedding-004",)),
+    ("openai", ("gpt-", "o1", "o3"), ("text-embedding",)),
+    ("anthropic", ("claude",), ()),
+    ("google", ("gemini",), ()),
+    ("mistral", ("mistral", "codestral", "open-mistral"), ()),
+    ("deepseek", ("deepseek",), ()),
+    ("xai", ("grok",), ()),
+    ("meta", ("llama",), ()),
+    ("cohere", ("command",), ()),
+]
 
 
 def stripped(model: Column) -> Column:
     return F.regexp_replace(model, DATE_SUFFIX, "")
 
 
+def listed_part(model: Column) -> Column:
+    """The longest listed name that the name without its date is, or begins with up to a `-`; empty where there is none."""
+    names = sorted((re.escape(m) for m, *_ in dims.PRICE_ROWS), key=len, reverse=True)
+    return F.regexp_extract(stripped(model), f"^({'|'.join(names)})(?=-|$)", 1)
+
+
 def resolve_models(models: DataFrame) -> DataFrame:
-    """models: distinct `model` -> model, priced_as, input, output (null where none resolves).
+    """models: `model` -> model, priced_as, input, output (null where none resolves).
 
     Candidates in order: the name, the name without its date, then that with one `-part` less each time.
     """
-    tried = models.select("model", F.posexplode(F.concat(F.array("model"), shorter_names(F.col("model")))).alias("pos", "price_model"))
-    found = tried.join(dims.prices(models.sparkSession), "price_model", "left").filter("input is not null")
-    best = found.groupBy("model").agg(F.min_by(F.struct("price_model", "input", "output"), "pos").alias("p"))
-    return models.join(best, "model", "left").select("model", F.col("p.price_model").alias("priced_as"), "p.input", "p.output")
+    listed = dims.lookup(dims.BOOK, F.col("model")).isNotNull()
+    x = models.select("model", F.when(listed, F.col("model")).otherwise(F.nullif(listed_part(F.col("model")), F.lit(""))).alias("priced_as"))
+    return x.withColumn("__p", dims.lookup(dims.BOOK, F.col("priced_as"))).select("model", "priced_as", F.col("__p")[0].alias("input"), F.col("__p")[1].alias("output"))
 
 
 def cost_of(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     return tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out
 
 
-def shorter_names(model: Column) -> Column:
-    """The name without its date, then that with one `-part` less each time."""
-    parts = F.split(stripped(model), "-")
-    return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.concat_ws("-", F.slice(parts, F.lit(1), k)))
-
-
 def price_of(model: Column) -> Column:
-    """array<input, output> of a name, the default where none resolves: no join, and listed names take one lookup."""
-    book = F.create_map(*[x for m, i, o in dims.PRICE_ROWS for x in (F.lit(m), F.array(F.lit(float(i)), F.lit(float(o))))])
-    found = F.filter(F.transform(shorter_names(model), lambda m: F.try_element_at(book, m)), lambda p: p.isNotNull())
-    return F.coalesce(F.try_element_at(book, model), F.get(found, F.lit(0)), F.array(*[F.lit(float(d)) for d in dims.DEFAULT_PRICE]))
+    """array<input, output> of a name, the default where none resolves: generated code, listed names take one lookup."""
+    return F.coalesce(dims.lookup(dims.BOOK, model), dims.lookup(dims.BOOK, listed_part(model)), F.array(*[F.lit(float(d)) for d in dims.DEFAULT_PRICE]))
 
 
 def with_cost(calls: DataFrame, name: str = "cost_usd") -> DataFrame:
@@ -50,17 +62,17 @@ def with_cost(calls: DataFrame, name: str = "cost_usd") -> DataFrame:
 
 def unknown_models(calls: DataFrame) -> DataFrame:
     counts = calls.groupBy("model").agg(F.count(F.lit(1)).alias("calls"))
-    missing = resolve_models(counts.select("model")).filter("priced_as is null").select("model")
-    return counts.join(missing, "model")
+    unknown = dims.lookup(dims.BOOK, F.col("model")).isNull() & (listed_part(F.col("model")) == "")
+    return counts.filter(unknown)
+
+
+def tier_of(model: Column) -> Column:
+    """By name, then by the name without its date, else Unknown (no shorter names are tried)."""
+    return F.coalesce(dims.lookup(dims.TIER_OF, model), dims.lookup(dims.TIER_OF, stripped(model)), F.lit("Unknown"))
 
 
 def with_tier(df: DataFrame, model: str = "model") -> DataFrame:
-    """Adds tier: by name, then by the name without its date, else Unknown (no shorter names are tried)."""
-    spark = df.sparkSession
-    exact = dims.tiers(spark).select(F.col("tier_model").alias("__m"), F.col("tier").alias("__exact"))
-    loose = dims.tiers(spark).select(F.col("tier_model").alias("__s"), F.col("tier").alias("__loose"))
-    out = df.join(exact, F.col(model) == F.col("__m"), "left").join(loose, stripped(F.col(model)) == F.col("__s"), "left")
-    return out.withColumn("tier", F.coalesce("__exact", "__loose", F.lit("Unknown"))).select(*df.columns, "tier")
+    return df.withColumn("tier", tier_of(F.col(model)))
 
 
 def tier_number(tier: Column) -> Column:
@@ -69,19 +81,16 @@ def tier_number(tier: Column) -> Column:
 
 def provider_of(model: Column) -> Column:
     m = F.lower(model)
-    starts = lambda *p: F.greatest(*[m.startswith(x) for x in p]) if len(p) > 1 else m.startswith(p[0])
-    return (
-        F.when(m.contains("text-embedding-004"), "google")
-        .when(starts("gpt-", "o1", "o3") | m.contains("text-embedding"), "openai")
-        .when(starts("claude"), "anthropic")
-        .when(starts("gemini"), "google")
-        .when(starts("mistral", "codestral", "open-mistral"), "mistral")
-        .when(starts("deepseek"), "deepseek")
-        .when(starts("grok"), "xai")
-        .when(starts("llama"), "meta")
-        .when(starts("command"), "cohere")
-        .otherwise("unknown")
-    )
+    out = F.when(F.lit(False), "")
+    for provider, starts, parts in PROVIDERS:
+        out = out.when(reduce(or_, [m.startswith(x) for x in starts] + [m.contains(x) for x in parts]), provider)
+    return out.otherwise("unknown")
+
+
+def provider_name(model: str) -> str:
+    """provider_of for a name at hand."""
+    m = model.lower()
+    return next((p for p, starts, parts in PROVIDERS if m.startswith(starts) or any(x in m for x in parts)), "unknown")
 
 
 def token_estimate(text: Column) -> Column:

@@ -18,39 +18,33 @@ def task_class(avg_in: Column, avg_out: Column) -> Column:
     return F.when((avg_in > 20000) | (avg_out > 800), "Heavy").when((avg_in < 5000) & (avg_out < 200), "Light").otherwise("Standard")
 
 
-def _output_price(spark, name: str) -> DataFrame:
-    return dims.prices(spark).select(F.col("price_model").alias(name), F.col("output").alias(f"{name}_out"))
-
-
-def _alternatives(spark) -> tuple[DataFrame, DataFrame]:
-    """First Tier 2 model of each provider; Tier 1 models with their output price. Both are dimension-sized."""
-    t = dims.tiers(spark)
-    second = t.filter(F.col("tier") == LIGHT).groupBy(pricing.provider_of(F.col("tier_model")).alias("provider")).agg(F.min_by("tier_model", "ordinal").alias("light_alt"))
-    first = t.filter(F.col("tier") == HEAVY).join(_output_price(spark, "tier_model"), "tier_model").select(F.col("tier_model").alias("lateral"), "ordinal", F.col("tier_model_out").alias("lateral_out"))
-    return F.broadcast(second), F.broadcast(first)
+def _alternatives() -> tuple[dict, tuple]:
+    """First Tier 2 model of each provider; the Tier 1 model of least output price (the first of equal ones) as (price, model)."""
+    second: dict[str, str] = {}
+    for m in dims.TIERS[LIGHT].split():
+        second.setdefault(pricing.provider_name(m), m)
+    return second, min(((dims.OUTPUT_PRICE[m], m) for m in dims.TIERS[HEAVY].split() if m in dims.OUTPUT_PRICE), key=lambda x: x[0])
 
 
 def suggestions(usage: DataFrame) -> DataFrame:
-    spark = usage.sparkSession
+    """One aggregate; the dimensions are literal maps."""
+    m = F.col("model")
     x = pricing.with_tier(model_profile(usage)).withColumn("task", task_class(F.col("avg_in"), F.col("avg_out")))
-    second, first = _alternatives(spark)
-    always = dims.switches(spark, dims.ALWAYS_SWITCH).toDF("model", "always_alt", "always_pct")
-    short = dims.switches(spark, dims.SHORT_OUTPUT_SWITCH).toDF("model", "short_alt", "short_pct")
-    x = x.join(F.broadcast(always), "model", "left").join(F.broadcast(short), "model", "left")
-    x = x.withColumn("provider", pricing.provider_of(F.col("model"))).join(second, "provider", "left").join(_output_price(spark, "model"), "model", "left")
+    second, (cheapest_out, cheapest) = _alternatives()
+    for name, rows in (("always", dims.ALWAYS_SWITCH), ("short", dims.SHORT_OUTPUT_SWITCH)):
+        x = x.withColumns({f"{name}_alt": dims.lookup([(k, alt) for k, alt, _ in rows], m), f"{name}_pct": dims.lookup([(k, pct) for k, _, pct in rows], m)})
+    x = x.withColumn("light_alt", dims.lookup(second.items(), pricing.provider_of(m))).withColumn("model_out", dims.lookup(dims.OUTPUT_PRICE.items(), m))
+    # the cheapest one is no alternative to itself, and then no other costs less
+    x = x.withColumn("lateral_alt", F.when((m != cheapest) & (F.lit(cheapest_out) < F.coalesce("model_out", F.lit(float("inf")))), cheapest))
     heavy = F.col("tier") == HEAVY
     branch = (
         F.when(F.col("always_alt").isNotNull(), "always").when((F.col("task") == "Light") & heavy, "light")
         .when((F.col("task") == "Heavy") & heavy, "lateral").when(F.col("short_alt").isNotNull(), "short")
     )
     x = x.withColumn("branch", branch).filter("branch is not null")
-    cheaper = (F.col("model") != F.col("lateral")) & (F.col("lateral_out") < F.coalesce("model_out", F.lit(float("inf"))))
-    pairs = x.filter("branch = 'lateral'").select("model", "model_out").distinct().join(first, cheaper)
-    best = pairs.groupBy("model").agg(F.min_by("lateral", F.struct("lateral_out", "ordinal")).alias("lateral_alt"))
-    x = x.join(best, "model", "left")
     alt = F.when(F.col("branch") == "always", F.col("always_alt")).when(F.col("branch") == "light", F.col("light_alt"))
     alt = alt.when(F.col("branch") == "lateral", F.col("lateral_alt")).otherwise(F.col("short_alt"))
-    x = x.withColumn("alternative", alt).filter("alternative is not null").join(_output_price(spark, "alternative"), "alternative", "left")
+    x = x.withColumn("alternative", alt).filter("alternative is not null").withColumn("alternative_out", dims.lookup(dims.OUTPUT_PRICE.items(), F.col("alternative")))
     by_price = F.when(F.col("model_out") > 0, 1 - F.coalesce("alternative_out", F.lit(0.0)) / F.col("model_out")).otherwise(0.0)
     pct = F.when(F.col("branch") == "always", F.col("always_pct")).when(F.col("branch") == "short", F.col("short_pct")).otherwise(by_price)
     x = x.withColumn("pct", pct).filter("(branch != 'lateral' or pct > 0.1) and (branch != 'short' or short_calls > 0)")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, DoubleType
 
-from costloom.functions import pricing
+from costloom.functions import dims, pricing
 from costloom.operators import aggregates as agg, forecast as fc, optimize, reports, scope, series, smoothing
 from costloom.plans import oracles, views
 from costloom.session import shared_dir
@@ -75,8 +75,9 @@ def _document(record: DataFrame, projects: DataFrame) -> DataFrame:
 
 def _price_catalog(spark, d):
     listed = pricing.catalog(spark)
-    used = views.usage(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("calls"))
-    return listed.join(F.broadcast(used.filter(F.col("model").isNotNull())), "model", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
+    names = [m for m, *_ in dims.PRICE_ROWS]
+    used = views.usage(spark, d).filter(F.col("model").isin(names)).groupBy("model").agg(F.count(F.lit(1)).alias("calls"))  # a row a listed name at most
+    return listed.join(F.broadcast(used), "model", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
 
 
 def _models(f: Callable[[DataFrame], DataFrame]):

@@ -16,6 +16,8 @@ MODEL_OF = {  # by event type and number modulo 3: listed, dated, shortened and
 }
 MODEL_ROWS = [(kind, k, model, *units) for kind, models in MODEL_OF.items() for k, (model, units) in enumerate(models)]
 
+USES = "map(" + ", ".join(f"'{kind}:{k}', named_struct('model', '{m}', 'i', {i}, 'o', {o})" for kind, k, m, i, o in MODEL_ROWS) + ")"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,8 +30,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls_of(e: DataFrame) -> DataFrame:
     key = lambda kind, k: F.concat(kind, F.lit(":"), k)
-    uses = F.create_map(*[x for kind, k, m, i, o in MODEL_ROWS for x in (F.lit(f"{kind}:{k}"), F.struct(F.lit(m).alias("model"), F.lit(i).alias("i"), F.lit(o).alias("o")))])
-    e = e.withColumn("use", F.try_element_at(uses, key(F.col("event_type"), (F.col("event_id") % 3).cast("string"))))
+    e = e.withColumn("use", F.try_element_at(F.expr(USES), key(F.col("event_type"), (F.col("event_id") % 3).cast("string"))))
     return e.select(
         F.col("event_id").alias("id"), (F.col("user_id") % 5 + 1).alias("project_id"), "user_id", F.col("ts").cast("timestamp").alias("timestamp"), F.col("use.model").alias("model"),
         (F.get_json_object("props", "$.k").cast("long") * F.col("use.i")).alias("tokens_in"), F.floor(F.col("value") * F.col("use.o")).cast("long").alias("tokens_out"),
