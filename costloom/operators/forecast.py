@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 from costloom.operators import smoothing
 from costloom.operators.aggregates import model_costs
 from costloom.operators.series import series_choice
+from costloom.session import stored
+from costloom.sources import tables
 
 Z80, Z95 = 1.28, 1.96
 OVER, UNDER, RUN, RECENT = 1.5, 0.5, 3, 5
@@ -165,13 +167,14 @@ def forecast(usage: DataFrame, projects: DataFrame, history: DataFrame, ses_min_
     return x.select(*FIELDS)
 
 
-def for_projects(usage: DataFrame, projects: DataFrame, history: DataFrame, ids: list[int]) -> DataFrame:
-    """forecast() of the named projects; an error if one is not known."""
-    found = {r["project_id"] for r in projects.filter(F.col("project_id").isin(ids)).select("project_id").collect()}
-    if missing := sorted(set(ids) - found):
-        raise ValueError(f"project {missing[0]} not found")
-    pick = lambda df: df.filter(F.col("project_id").isin(ids))
-    return forecast(pick(usage), pick(projects), pick(history))
+def for_projects(usage: DataFrame, projects: DataFrame, history: DataFrame, ids: DataFrame) -> DataFrame:
+    """forecast() of the named projects (ids: project_id); whatever reads or writes it fails if one is not known."""
+    wanted = ids.select("project_id").distinct()
+    found = wanted.join(projects.withColumn("__known", F.lit(True)), "project_id", "left")
+    message = F.concat(F.lit("project "), F.col("project_id").cast("string"), F.lit(" not found"))
+    known = tables.checked(found, F.col("__known").isNull(), message).drop("__known")
+    pick = lambda df: df.join(wanted, "project_id", "left_semi")
+    return forecast(pick(usage), known, pick(history))
 
 
 def as_history(record: DataFrame) -> DataFrame:
@@ -183,9 +186,10 @@ def as_history(record: DataFrame) -> DataFrame:
 
 
 def run(usage: DataFrame, projects: DataFrame, history: DataFrame, save_to: str | None = None) -> DataFrame:
-    """The plain report: the record, appended to the history if save_to is given."""
+    """The plain report. With save_to the record is computed once, kept, and appended to the history from there."""
     record = forecast(usage, projects, history)
     if save_to:
+        record = stored(record)
         as_history(record).withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(save_to)
     return record
 

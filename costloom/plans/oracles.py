@@ -12,6 +12,7 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows) + ")"
 
 
+PERIOD = ("2024-01-05T18:00:00", "2024-01-12T06:30:00")  # of usage_period
 SUFFIX = r"-\d{4}(-\d{2}-\d{2}|\d{4})?$"
 
 
@@ -264,9 +265,9 @@ TRACKED = f"{RAW}, tracked AS (SELECT * FROM stat WHERE status = 'tracked'), {re
 STREAMED = f"{TRACKED}, su AS (SELECT t.*, {COST} AS cost_usd FROM tracked t LEFT JOIN resolved USING (model)), closed AS (SELECT max(\"timestamp\") - INTERVAL 10 MINUTE AS watermark FROM su)"
 
 
-def closed_buckets(minutes: int, window: str) -> str:
-    """Buckets of windows that have ended by the watermark."""
-    return f"""{STREAMED} SELECT project_id, {bucket('"timestamp"', minutes)} AS bucket, round(sum(cost_usd), 6) AS cost, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens
+def closed_buckets(minutes: int, window: str, shown: int | None = None) -> str:
+    """Buckets of windows that have ended by the watermark; their size as a column if it is to be shown."""
+    return f"""{STREAMED} SELECT project_id, {f"{shown} AS minutes, " if shown else ""}{bucket('"timestamp"', minutes)} AS bucket, round(sum(cost_usd), 6) AS cost, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens
   FROM su, closed WHERE time_bucket(INTERVAL '{window}', "timestamp") + INTERVAL '{window}' <= watermark GROUP BY ALL"""
 
 
@@ -305,6 +306,14 @@ SELECT model, input, output, provider, tier, CASE WHEN tier = 'Unknown' THEN '?'
     "export_usage": f'{USAGE} SELECT project_id, "timestamp", model, provider, tokens_in, tokens_out, round(cost_usd, 6) AS cost_usd FROM usage QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY "timestamp" DESC, id DESC) <= 1000',
     "purge_usage": f"{USAGE} SELECT project_id, count(*) AS calls, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS spend FROM usage WHERE project_id % 2 <> 0 GROUP BY ALL",
     "project_lookup": f"{USAGE}, {projects_of('usage')} SELECT project_id, path, name, CASE WHEN project_id % 5 <> 0 THEN 'agent' END AS project_type, CASE WHEN project_id % 5 <> 0 THEN project_id % 7 * 10 ELSE 0 END AS calls_per_day, CASE WHEN project_id % 5 <> 0 THEN CAST(project_id % 5 AS DOUBLE) END AS budget FROM proj",
+    "purge_stored": f"{USAGE} SELECT project_id, count(*) AS calls, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS spend FROM usage WHERE project_id % 2 <> 0 GROUP BY ALL",
+    "usage_period": f"""{USAGE} SELECT id, project_id, "timestamp", model, provider, tokens_in, tokens_out, round(cost_usd, 6) AS cost_usd, 'api' AS source FROM usage
+  WHERE "timestamp" >= TIMESTAMP '{PERIOD[0]}' AND "timestamp" < TIMESTAMP '{PERIOD[1]}'""",
+    "old_usage": f"{USAGE} SELECT project_id, 'api' AS source, count(*) AS calls, round(sum(cost_usd), 6) AS spend FROM usage GROUP BY ALL",
+    "export_json": f'{USAGE} SELECT id, project_id, "timestamp", model, provider, tokens_in, tokens_out, round(cost_usd, 6) AS cost_usd FROM usage QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY "timestamp" DESC, id DESC) <= 1000',
+    "add_projects": f"{USAGE}, {projects_of('usage')} SELECT project_id, name, path, round(baseline_daily_cost, 6) AS baseline_daily_cost FROM proj WHERE project_id % 2 <> 0",
+    "ingest_counts": f"{RAW} SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("tracked", "skipped_streaming", "ignored", "error")) + ", count(*) FILTER (status = 'tracked') AS stored FROM stat",
+    "stream_sizes": " UNION ALL ".join(f"SELECT * FROM ({closed_buckets(k, '15 minutes', k)})" for k in (15, 5, 1)),
     "ingest_usage": f"{RAW}, tracked AS (SELECT * FROM stat WHERE status = 'tracked'), {resolved('tracked')} {priced('tracked')}",
     "stream_ingest": f"{TRACKED} {priced('tracked')}",
     "stream_totals": f"{STREAMED} SELECT project_id, count(*) AS calls, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS spend FROM su GROUP BY ALL",
@@ -332,6 +341,8 @@ SELECT model, input, output, provider, tier, CASE WHEN tier = 'Unknown' THEN '?'
   total_tokens, remaining_days, active_days, n AS data_points, data_granularity, baseline_total_days AS total_days, drift_status, confidence, stability_label, iteration, models_used,
   greatest(m, 1) AS n_models_used, coalesce(k, 0) AS breakdown_models FROM fin JOIN stab USING (project_id) LEFT JOIN (SELECT project_id, count(*) AS k FROM shares GROUP BY ALL) USING (project_id)""",
     "forecast_rows": f"{RECORD} SELECT project_id, iteration, remaining_days AS projected_remaining_days, {r('projected_total smoothed_burn_ratio mase', 6)}, confidence, active_days AS active_days_count FROM fin JOIN stab USING (project_id)",
+    "forecast_selected": f"{RECORD} SELECT project_id, iteration, remaining_days AS projected_remaining_days, {r('projected_total smoothed_burn_ratio mase', 6)}, confidence, active_days AS active_days_count FROM fin JOIN stab USING (project_id) WHERE project_id % 3 = 0",
+    "forecast_saved": f"{RECORD} SELECT project_id, iteration, remaining_days AS projected_remaining_days, {r('projected_total smoothed_burn_ratio mase', 6)}, confidence, active_days AS active_days_count FROM fin JOIN stab USING (project_id)",
     "forecast_long": f"""{RECORD}, wide AS (SELECT project_id, actual_spend::DOUBLE AS actual_spend, projected_total::DOUBLE AS projected_total, projected_remaining::DOUBLE AS projected_remaining, remaining_days::DOUBLE AS remaining_days,
   active_days::DOUBLE AS active_days, baseline_total_days::DOUBLE AS total_days, smoothed_burn_ratio::DOUBLE AS smoothed_burn_ratio FROM fin)
 SELECT project_id, metric, round(value, 4) AS value FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE project_id) INTO NAME metric VALUE value) UNION ALL SELECT project_id, 'model:' || model, round(projected, 4) FROM shares""",

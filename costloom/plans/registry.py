@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,11 +11,12 @@ from pyspark.sql.types import DateType, DoubleType
 from costloom.functions import dims, pricing
 from costloom.operators import aggregates as agg, forecast as fc, optimize, reports, scope, series, smoothing
 from costloom.plans import oracles, views
-from costloom.session import shared_dir
-from costloom.sources import ingest, tables
+from costloom.session import new_dir
+from costloom.sources import ingest, schemas, tables
 from costloom.streaming import live
 
 CUTS = [5, 10, 20]
+PERIOD = tuple(map(dt.datetime.fromisoformat, oracles.PERIOD))
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -94,29 +95,87 @@ def _ingested(f: Callable[[DataFrame], DataFrame]):
 
 def _streamed(spark: SparkSession, d: str) -> tuple[str, str]:
     """Where a stream of all responses has put its usage rows, and a folder for further streams' checkpoints."""
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = new_dir(spark)
     live.start_ingest(views.raw_stream(spark, d), f"{place}/usage", f"{place}/state", once=True).awaitTermination()
     return f"{place}/usage", place
 
 
 def _stream_ingest(spark, d):
     usage, _ = _streamed(spark, d)
-    return rounded(spark.read.parquet(usage).drop("metadata"), 6)
+    return rounded(spark.read.parquet(usage).drop("metadata", "day", "batch"), 6)
 
 
-def _live(spark: SparkSession, d: str, f: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+def _usage_stream(spark: SparkSession, usage: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(usage).schema).parquet(usage)
+
+
+def _live(spark: SparkSession, d: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """f of the usage rows as a stream, once through, kept as a table of files."""
     usage, place = _streamed(spark, d)
-    rows = f(spark.readStream.schema(spark.read.parquet(usage).schema).parquet(usage))
-    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/live")
-    if mode == "append":
-        writer = writer.format("parquet").option("path", f"{place}/out")
-    else:
-        writer = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/out"))
+    rows = f(_usage_stream(spark, usage))
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", f"{place}/live").format("parquet").option("path", f"{place}/out")
     writer.trigger(availableNow=True).start().awaitTermination()
     return rounded(spark.read.schema(rows.schema).parquet(f"{place}/out"), 6)
 
 
+def _stream_totals(spark, d):
+    usage, place = _streamed(spark, d)
+    live.start_totals(_usage_stream(spark, usage), f"{place}/totals", f"{place}/live", once=True).awaitTermination()
+    return rounded(live.read_totals(spark, f"{place}/totals"), 6)
+
+
+def _ingest_counts(spark, d):
+    """Counts by status from the job that appends the usage rows, and the rows that are there."""
+    place = new_dir(spark)
+    counts = ingest.append_ingested(views.raw(spark, d), place)
+    stored_rows = tables.read_usage(spark, place).agg(F.count(F.lit(1)).alias("stored"))
+    return stored_rows.select(*[F.lit(counts[s]).cast("long").alias(s) for s in ingest.STATUSES], "stored")
+
+
+def _appended(spark: SparkSession, d: str) -> str:
+    place = new_dir(spark)
+    tables.append_usage(views.usage(spark, d).select(*schemas.USAGE.names), place)
+    return place
+
+
+def _usage_period(spark, d):
+    rows = tables.read_usage(spark, _appended(spark, d), *PERIOD)
+    return rounded(rows.drop("metadata"), 6)
+
+
+def _purge_stored(spark, d):
+    place = _appended(spark, d)
+    rows = tables.read_usage(spark, place)
+    tables.purge_stored(spark, place, rows.filter(F.col("project_id") % 2 == 0).select("project_id").distinct())
+    return agg.project_totals(tables.read_usage(spark, place)).transform(rounded)
+
+
+def _old_usage(spark, d):
+    """Rows that were stored before they had a source."""
+    place = new_dir(spark)
+    views.usage(spark, d).select(*schemas.USAGE.names).drop("source").write.parquet(place)
+    return rounded(tables.read_usage(spark, place).groupBy("project_id", "source").agg(F.count(F.lit(1)).alias("calls"), F.sum("cost_usd").alias("spend")))
+
+
+def _export_json(spark, d):
+    place = new_dir(spark)
+    rows = tables.newest(views.usage(spark, d), 1000, "project_id").select(*schemas.JSON_COLUMNS)
+    tables.write_json(rows, place)
+    return rounded(spark.read.schema(rows.schema).json(place).drop("metadata"), 6)
+
+
+def _add_projects(spark, d):
+    p = views.projects(views.usage(spark, d))
+    known = F.col("project_id") % 2 == 0
+    return rounded(tables.add_projects(p.filter(~known), p.filter(known)).select("project_id", "name", "path", "baseline_daily_cost"))
+
+
+def _save_run(u, p, h):
+    place = new_dir(u.sparkSession)
+    fc.run(u, p, h, place)
+    return u.sparkSession.read.parquet(place).drop("created_at")
+
+
 def _matrix(spark, d):
     return pricing.calc(views.prompts(spark, d), calls=10)
 
@@ -169,6 +228,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "convergence": _users(lambda u, p, h: agg.convergence(h)),
     "export_usage": _usage(tables.export_usage),
     "purge_usage": _purged,
+    "purge_stored": _purge_stored,
+    "usage_period": _usage_period,
+    "old_usage": _old_usage,
+    "export_json": _export_json,
+    "add_projects": _add_projects,
     "project_lookup": _lookup,
     # ingest
     "ingest_usage": _ingested(ingest.ingest),
@@ -176,10 +240,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manual_calls": lambda s, d: rounded(ingest.manual_calls(views.logged(s, d)), 6),
     "ingest_lenient": _ingested(ingest.ingest_lenient),
     "stream_ingest": _stream_ingest,
-    "stream_totals": lambda s, d: _live(s, d, live.live_totals, "complete"),
-    "stream_buckets": lambda s, d: _live(s, d, lambda u: live.live_buckets(u, 15), "append"),
-    "stream_buckets_7": lambda s, d: _live(s, d, lambda u: live.live_buckets(u, 7), "append"),
+    "stream_totals": _stream_totals,
+    "stream_buckets": lambda s, d: _live(s, d, lambda u: live.live_buckets(u, 15)),
+    "stream_buckets_7": lambda s, d: _live(s, d, lambda u: live.live_buckets(u, 7)),
+    "stream_sizes": lambda s, d: _live(s, d, live.live_sizes),
     "ingest_stats": lambda s, d: ingest.ingest_stats(views.raw(s, d)).fillna(0, ["project_id"]),
+    "ingest_counts": _ingest_counts,
     # forecast
     "adaptive_buckets": _users(lambda u, p, h: series.adaptive_buckets(u)),
     "series_choice": _choice(lambda c: c.select("project_id", "use_buckets", "n", "active_days", "remaining_days", "horizon", "buckets_per_day", "data_granularity", "actual_spend", "total_tokens")),
@@ -197,6 +263,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stability": _users(lambda u, p, h: fc.stability(fc.core(u, p), h).select("project_id", "stability", "stability_label", "iteration")),
     "forecast": _record(lambda r, p: flat(r)),
     "forecast_rows": _record(lambda r, p: fc.as_history(r)),
+    "forecast_selected": _users(lambda u, p, h: fc.as_history(fc.for_projects(u, p, h, p.filter(F.col("project_id") % 3 == 0).select("project_id")))),
+    "forecast_saved": _users(_save_run),
     "forecast_long": _record(lambda r, p: reports.forecast_long(r)),
     "backtest": _users(lambda u, p, h: fc.backtest(u, p, CUTS)),
     # reports

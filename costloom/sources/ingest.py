@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from costloom.functions import pricing
+from costloom.sources import tables
 
 OUT = ["project_id", "timestamp", "model", "provider", "tokens_in", "tokens_out", "cost_usd", "metadata", "source"]
+STATUSES = ("tracked", "skipped_streaming", "ignored", "error")
 
 
 def _kind(v: Column) -> Column:
@@ -88,8 +90,19 @@ def priced(calls: DataFrame) -> DataFrame:
     return out.select("project_id", "timestamp", "model", pricing.provider_of(F.col("model")).alias("provider"), "tokens_in", "tokens_out", "cost_usd", *keep, source.alias("source")).select(*OUT)
 
 
-def ingest(raw: DataFrame, skip_streaming: bool = True) -> DataFrame:
-    return priced(classify(raw, skip_streaming).filter("status = 'tracked'").withColumn("timestamp", F.col("received_at")))
+def ingest(raw: DataFrame, skip_streaming: bool = True, observation: Observation | str | None = None) -> DataFrame:
+    """Usage rows of the tracked responses. An observation counts all responses by status as they pass, whatever job reads the rows."""
+    x = classify(raw, skip_streaming)
+    if observation is not None:
+        x = x.observe(observation, *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+    return priced(x.filter("status = 'tracked'").withColumn("timestamp", F.col("received_at")))
+
+
+def append_ingested(raw: DataFrame, path: str, skip_streaming: bool = True) -> dict[str, int]:
+    """Appends the usage rows to a table and returns the counts by status: one job, each body is parsed once."""
+    observation = Observation()
+    tables.append_usage(ingest(raw, skip_streaming, observation).withColumn("id", F.lit(None).cast("long")), path)
+    return observation.get
 
 
 def ingest_lenient(raw: DataFrame) -> DataFrame:
@@ -110,4 +123,4 @@ def manual_calls(calls: DataFrame) -> DataFrame:
 
 def ingest_stats(raw: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return classify(raw).groupBy("project_id").agg(*[count(s) for s in ("tracked", "skipped_streaming", "ignored", "error")])
+    return classify(raw).groupBy("project_id").agg(*map(count, STATUSES))

@@ -116,11 +116,34 @@ def test_reports(run, spark, tmp_path):
     long = {(x.project_id, x.metric): x.value for x in reports.forecast_long(rec).collect()}
     assert long[1, "actual_spend"] == 5 and (1, "model:gpt-4o") in long
     assert '"mase":null' in reports.as_json(rec).filter("project_id = 3").first().document
-    fc.run(u, p, h, str(tmp_path / "h"))
-    assert spark.read.parquet(str(tmp_path / "h")).count() == 4
-    with pytest.raises(ValueError, match="project 9 not found"):
-        fc.for_projects(u, p, h, [1, 9])
-    assert [x.project_id for x in fc.for_projects(u, p, h, [2]).collect()] == [2]
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "project_id long")
+    assert [x.project_id for x in fc.for_projects(u, p, h, ids(2, 2)).collect()] == [2]
+    with pytest.raises(Exception, match="project 99999 not found"):
+        many = spark.range(1, 5).union(spark.range(99999, 100000)).toDF("project_id")
+        fc.as_history(fc.for_projects(u, p, h, many)).write.parquet(str(tmp_path / "no"))
+    assert not list((tmp_path / "no").glob("part*"))
+
+
+def test_a_saved_run_is_computed_once(run, spark, tmp_path):
+    u, p, h, _ = run({1: ([1.0] * 5, 1, 10), 2: (noisy(12), 10, 14)})
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = u.count()
+    watched = u.mapInArrow(count, u.schema)
+    fc.forecast(watched, p, h).collect()
+    once = seen.value
+    record = fc.run(watched, p, h, str(tmp_path / "h"))
+    got = {r.project_id: r for r in record.collect()}
+    assert seen.value == 2 * once and once >= rows
+    stored = {r.project_id: r for r in spark.read.parquet(str(tmp_path / "h")).collect()}
+    assert {(i, r.iteration, r.projected_total) for i, r in stored.items()} == {(i, r.iteration, r.projected_total) for i, r in got.items()}
+    fc.run(u, p, spark.read.parquet(str(tmp_path / "h")), str(tmp_path / "h"))
+    assert sorted(r.iteration for r in spark.read.parquet(str(tmp_path / "h")).collect()) == [1, 1, 2, 2]
 
 
 def test_suggestions(spark):
