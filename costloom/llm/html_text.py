@@ -6,10 +6,12 @@ among siblings and the siblings' sizes. Spark ML's GBTClassifier learns which no
 then picks the labelling of the whole tree that is likeliest under the rule that a node can only hold main text
 if its parent does, so that no ancestor contradicts a descendant.
 
-Labels. Pages that mark their article (article or main) are their own labels. A bounded sample of them
-(`sample` pages of least hash, a parameter) is used in several guises, so that the trees can't lean on the one
-tag that gave the label: with the tag renamed, with tag and token features blanked, and with boilerplate
-(notices, comments, adverts, asides, forms) made of the page's own prose put between its paragraphs.
+Labels. Pages that mark their article (article or main) are their own labels: what stands in it is main text but for navigation,
+footers, asides and forms there. Names (class, id, role) are features and never labels. A bounded sample of the pages
+(`sample` of least hash, a parameter) is used in several guises, so that the trees can't lean on the one
+tag that gave the label: with the tag renamed, with unnamed divisions for all tags, with tag and name features blanked, with
+boilerplate (notices, comments, adverts, link lists, asides, forms) made of the page's own prose put into it, and with whatever
+an article may hold: linked paragraphs and lists, bare lines, quotes, tables, sections whose names hold a telling word among others.
 
 Text. Markup, scripts, styles, form controls and comments go when a page is read; character references
 are decoded; white space (and br) in a block is one space; blocks are joined by two line feeds. Controls and
@@ -33,10 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from costloom.llm.common import opened, row_schema, shared_dir, shipped, text_batches
+from costloom.llm.common import opened, row_schema, shared_dir, shipped, slices, text_batches
 
 SAMPLE = 300
-TREES, DEPTH, STEP = 14, 4, 0.3
+TREES, DEPTH, STEP = 20, 5, 0.3
 # Kinds of tags and words in class, id and role that tell what an element is for.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr picture source".split())
 RAW = "script|style|title|textarea"
@@ -45,10 +47,12 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 KINDS = {"article": 0, "main": 0, "nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "form": 5, "fieldset": 5, "dialog": 5, "p": 6, "blockquote": 6, "pre": 6, "ul": 8, "ol": 8, "li": 8, "dl": 8} | {f"h{i}": 7 for i in range(1, 7)}
 NEGATIVE = set("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice alert popup promo promoted related recommended reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget pagination pager".split())
 POSITIVE = set("article articlebody body content entry main maincontent page post story text".split())
+FILLERS = set("bar block body bottom box center col column container content area desktop div foot footer group head header inner item items left link links list main mobile outer page panel primary right row secondary section site small text the top unit view wrap wrapper".split())  # say nothing beside the others
+LEGAL = set("copyright rights reserved imprint impressum privacy terms disclaimer datenschutz agb mentions confidentialité privacidad aviso cookies sitemap contact kontakt".split())  # in a page's last lines
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 RESTARTS = {"button": "button", "option": "option", "optgroup": "option", "select": "select"}  # tags that end an open element
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-WIDTH = 29
+WIDTH = 34
 ANCESTRY, TAGS = [0, 11, 13, 14], [0, 1, 2, 3, 4, 5, 10, 11, 12, 13, 14, 15, 28]
 
 _TOKEN = re.compile(
@@ -59,7 +63,8 @@ _TOKEN = re.compile(
 )
 _DROPPED = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
 _NAMED = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
@@ -112,6 +117,18 @@ def dropped_spans(source: str) -> dict[int, int]:
     return ends
 
 
+def told(attrs: str) -> tuple[int, int]:
+    """How many names in class, id and role speak against main text, and for it. A name does so as a whole: `share` and `share-box`, not `market-share`."""
+    against = of = 0
+    for m in _NAMED.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = set(_PART.findall(name))
+            if parts and parts <= NEGATIVE | POSITIVE | FILLERS:
+                against += bool(parts & NEGATIVE)
+                of += bool(parts & POSITIVE) and not parts & NEGATIVE
+    return against, of
+
+
 class Page:
     """The nodes of a page in page order, as columns; node 0 is the page."""
 
@@ -171,14 +188,12 @@ class Page:
                 return
 
     def _add(self, parent: int, tag: str, attrs: str, text: str, linked: int) -> int:
-        words = set()
-        for m in _NAMED.finditer(attrs):
-            words.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+        against, of = told(attrs) if attrs else (0, 0)
         self.parent.append(parent)
         self.tags.append(tag)
         self.kind.append(KINDS.get(tag, 9))
-        self.neg.append(len(words & NEGATIVE))
-        self.pos.append(len(words & POSITIVE))
+        self.neg.append(against)
+        self.pos.append(of)
         self.text.append(text)
         self.linked.append(linked)
         self.mark.append("keep" if 'data-x="keep"' in attrs else "drop" if 'data-x="drop"' in attrs else "")
@@ -192,13 +207,14 @@ class Page:
         links, leaves = np.array(self.linked, float), (chars > 0).astype(float)
         words = np.array([t.count(" ") + 1 if t else 0 for t in self.text], float)
         points = np.array([len(_PUNCTUATION.findall(t)) if t else 0 for t in self.text], float)
+        legal = np.array([len(LEGAL.intersection(_LETTERS.findall(t.lower()))) + ("©" in t) if 0 < len(t) < 400 else 0 for t in self.text], float)
         depth, in_neg, in_pos, in_article, in_tag = (np.zeros(n) for _ in range(5))
         inside = np.zeros(n)
         size, place, last = np.zeros(n), np.zeros(n), np.full(n, -1)
         before, after = np.zeros(n), np.zeros(n)
         for i in range(n - 1, 0, -1):
             p = parent[i]
-            for a in (chars, links, leaves, words, points):
+            for a in (chars, links, leaves, words, points, legal):
                 a[p] += a[i]
         for i in range(1, n):
             p = parent[i]
@@ -227,6 +243,9 @@ class Page:
         f[:, 25], f[:, 26] = np.log1p(before), np.log1p(after)
         f[:, 27] = np.log1p(leaves)
         f[:, 28] = inside
+        f[:, 29] = legal / np.maximum(leaves, 1)
+        f[:, 30], f[:, 31], f[:, 32] = f[parent, 17], f[parent, 18], f[parent, 24]
+        f[:, 33] = (place == size[parent] - 1) & (size[parent] > 1)
         return f
 
     def plain(self, features: np.ndarray) -> np.ndarray:
@@ -240,7 +259,7 @@ class Page:
         for i in range(1, n):
             p, k = self.parent[i], self.kind[i]
             keep[i] = keep[p] or self.mark[i] == "keep"
-            drop[i] = drop[p] or self.mark[i] == "drop" or k in (1, 3, 4, 5) or self.neg[i] > 0
+            drop[i] = drop[p] or self.mark[i] == "drop" or k in (1, 3, 4, 5)
             held[i] = keep[i] and not drop[i] and bool(self.text[i])
         if not held.any():
             return None
@@ -312,36 +331,78 @@ _END = re.compile(r"</(article|main)\s*>", re.I)
 _BOILERPLATE = [
     '<div class="{}" data-x="drop">{}</div>', '<section id="{}" data-x="drop"><h3>{}</h3><p>{}</p><p>{}</p></section>', '<aside data-x="drop"><p>{}</p></aside>',
     '<form data-x="drop"><p>{}</p><label>{}</label></form>', '<div id="{}" data-x="drop"><ul><li>{}</li><li>{}</li></ul></div>', '<div class="{}" data-x="drop"><p>{}</p><p>{}</p></div>',
+    '<div class="{}" data-x="drop"><ul><li><a href="/">{}</a></li><li><a href="/">{}</a></li></ul></div>', '<ul class="{}" data-x="drop"><li><a href="/">{}</a></li><li><a href="/">{}</a></li></ul>',
+    '<nav class="{}"><a href="/">{}</a> <a href="/">{}</a></nav>', '<nav><a href="/">{}</a></nav>', '<nav><ul><li><a href="/">{}</a></li><li><a href="/">{}</a></li></ul></nav>', "<footer>{}</footer>", "<aside>{}</aside>",
+    '<div class="{}" data-x="drop"><div class="author">{}</div><div>{}</div></div>',
+]
+# what may stand in an article, whatever it looks like
+_KEPT = [
+    '<p><a href="/">{}</a></p>', '<p><a href="/">{}</a> {}</p>', '<ul><li><a href="/">{}</a></li><li><a href="/">{}</a></li></ul>', '<ol><li><a href="/">{}</a></li></ol>', " {} ", " {} <p>{}</p>", "<div>{}</div>",
+    '<div class="{name}"><p>{}</p><p>{}</p></div>', '<section id="{name}"><p>{}</p><p>{}</p></section>', '<section id="{name}"><h2>{}</h2><p>{}</p></section>', '<div class="{name}">{}</div>', '<ul class="{name}"><li>{}</li><li>{}</li></ul>',
+    "<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li><li>{}</li></ul>", "<h2>{}</h2>", "<h3>{}</h3><p>{}</p>", "<p>{}</p>", "<table><tr><td>{}</td><td>{}</td></tr></table>",
+    "<figure><img src=i><figcaption>{}</figcaption></figure>", "<pre>{}</pre>", "<dl><dt>{}</dt><dd>{}</dd></dl>", "<div><div><p>{}</p></div></div>", "<header><h2>{}</h2></header>",
 ]
+_LAST = ["All rights reserved. Imprint", "&copy; 2023 {}", "Copyright {} - Privacy - Terms", "Imprint | Privacy", "Impressum Datenschutz AGB", "<a href=/>Contact</a> <a href=/>Terms</a>", "{} All rights reserved.", "Privacy. {}"]
+_FIRST = ["{}", "<a href=/>{}</a> <a href=/>{}</a> <a href=/>{}</a>", "<ul><li><a href=/>{}</a></li><li><a href=/>{}</a></li><li><a href=/>{}</a></li></ul>"]
+_STRUCTURE = re.compile(r"<(/?)(?:nav|header|footer|aside|section|form|div|article|main)\b([^>]*)>", re.I)
 
 
 def guises(source: str, rng: random.Random) -> list[str]:
-    """A labelled page in the forms it is learned in."""
+    """A labelled page in the forms it is learned in. Labels come from where things stand, never from what they are called."""
     marked = _ARTICLE.sub(r'<\1 data-x="keep"\2>', source)
     if marked == source:
         return []
-    cut = re.split(r"(?=<p\b)", marked)
-    prose = [re.sub(r"<[^>]*>", " ", x)[:400] for x in cut[1:]] or ["."]
-    tokens = sorted(NEGATIVE)
+    prose = [re.sub(r"<[^>]*>", " ", x)[:400] for x in re.split(r"(?=<p\b)", marked)[1:]] or ["."]
+    tokens, others = sorted(NEGATIVE), sorted({w for x in prose for w in re.findall("[a-z]{3,9}", x.lower())} - NEGATIVE - POSITIVE - FILLERS) or ["x"]
+
+    def words() -> str:
+        text = rng.choice(prose)
+        return text if rng.random() < 0.5 else " ".join(text.split()[: rng.randrange(2, 9)])
+
+    def named() -> str:
+        """A name that may hold a telling word, but isn't one."""
+        pair = [rng.choice(tokens), rng.choice(others)]
+        rng.shuffle(pair)
+        return "-".join(pair) if rng.random() < 0.7 else rng.choice(others)
 
-    def filled() -> str:
-        shape = rng.choice(_BOILERPLATE)
-        parts = [rng.choice(prose) for _ in range(shape.count("{}"))]
+    def filled(shape: str) -> str:
+        parts = [words() for _ in range(shape.count("{}"))]
         if '="{}"' in shape:
             parts[0] = rng.choice(tokens)
-        return shape.format(*parts)
+        return shape.replace("{name}", named()).format(*parts)
 
     def dressed(text: str) -> str:
-        pieces = re.split(r"(?=<p\b)", text)
-        for _ in range(rng.randrange(1, 4)):
+        """With boilerplate anywhere, and with all sorts of blocks in the article."""
+        start, end = _ARTICLE.search(text), None
+        for end in _END.finditer(text):
+            pass
+        last = end.start() if end else len(text)
+        pieces = re.split(r"(?=<p\b)", text[start.end() : last])
+        for _ in range(rng.randrange(1, 5)):
             k = rng.randrange(len(pieces))
-            pieces[k] = pieces[k] + filled() if k else pieces[k]
-        return "".join(pieces) + filled()
+            pieces[k] += filled(rng.choice(_KEPT))
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.randrange(len(pieces))
+            pieces[k] += filled(rng.choice(_BOILERPLATE))
+        rest = text[last:].replace("</body>", filled(rng.choice(_BOILERPLATE)) + "</body>") if rng.random() < 0.7 else text[last:]
+        return text[: start.end()] + "".join(pieces) + rest
+
+    def renamed(text: str) -> str:
+        name = rng.choice(['<div class="post-content" data-x="keep">', '<div id="main" data-x="keep">', '<div data-x="keep">', '<section data-x="keep">', '<td data-x="keep">'])
+        return _END.sub("</" + name[1:].split(" ")[0] + ">", _ARTICLE.sub(name, text))
 
-    name = rng.choice(['<div class="post-content" data-x="keep">', '<div id="main" data-x="keep">', '<div data-x="keep">', '<section data-x="keep">', '<td data-x="keep">'])
-    end = "</" + name[1:].split(" ")[0] + ">"
-    renamed = _END.sub(end, _ARTICLE.sub(name, marked))
-    return [marked, dressed(marked), renamed, dressed(renamed)]
+    def bare(text: str, flat: bool) -> str:
+        """Divisions that aren't named, between first and last lines of a page; flat: each paragraph is one, and nothing holds them."""
+        text = text[text.lower().find("<body") :] if "<body" in text.lower() else text
+        inner = _STRUCTURE.sub(lambda m: f"<{m[1]}div{' data-x=' + chr(34) + k + chr(34) if (k := 'keep' if 'keep' in m[2] else 'drop' if 'data-x' in m[2] else '') else ''}>", text)
+        if flat:
+            first, last = inner.find('<div data-x="keep">'), inner.rfind("</div>", 0, max(inner.rfind("<div>"), 1))
+            body = inner[first + 19 : last] if 0 <= first < last else inner[first + 19 :]
+            inner = inner[:first] + re.sub(r"<(p|h\d)\b[^>]*>", '<div data-x="keep">', re.sub(r"</(p|h\d)\s*>", "</div>", body)) + (inner[last + 6 :] if 0 <= first < last else "")
+        top = "".join(f'<div data-x="drop">{filled(rng.choice(_FIRST)[:200])}</div>' for _ in range(rng.randrange(2)))
+        return top + inner + f'<div data-x="drop">{rng.choice(_LAST).replace("{}", words()[:60])}</div>'
+
+    return [marked, dressed(marked), dressed(marked), renamed(marked), renamed(dressed(marked)), bare(marked, False), bare(dressed(marked), False), bare(marked, True)]
 
 
 def training_nodes(pages: DataFrame, id_col: str, html_col: str, sample: int) -> DataFrame:
@@ -399,7 +460,7 @@ def main_text(pages: DataFrame, model: Boosted | None, id_col: str = "page_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boosted = opened(shared)
-        for b in batches:
+        for b in slices(batches, len(keep), 4 << 20):
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
                 forms = [Page(s or "") for s in part.column(len(keep)).to_pylist()]

@@ -68,6 +68,61 @@ def test_other_shapes(model):
     assert text_of(model, f"<body>{junk[0]}{inside}{junk[3]}</body>") == want
 
 
+LL = LONG.strip()
+KEPT = {  # what may stand between two paragraphs of an article, and its text
+    f'<p><a href="/x">{LONG}</a></p>': [LL],
+    '<p><a href="/x">See the report</a></p>': ["See the report"],
+    '<ul><li><a href="/1">First source used</a></li><li><a href="/2">Second source used</a></li></ul>': ["First source used", "Second source used"],
+    "Bare text of the article here.": ["Bare text of the article here."],
+    f'<div class="market-share"><p>{LONG}</p><p>{LONG}</p></div>': [LL, LL],
+    f'<section id="login-flow"><p>{LONG}</p></section>': [LL],
+    f'<div class="ad-hoc networks"><p>{LONG}</p></div>': [LL],
+    f'<section class="social-history"><h2>Then</h2><p>{LONG}</p></section>': ["Then", LL],
+    f'<p class="tag-line">{LONG}</p>': [LL],
+    "<blockquote>Short quote.</blockquote>": ["Short quote."],
+    "<h2>Part two</h2>": ["Part two"],
+    "<table><tr><td>12</td><td>34</td></tr></table>": ["12", "34"],
+    "<figure><img src=a><figcaption>A caption.</figcaption></figure>": ["A caption."],
+    "<ul><li>One thing</li><li>Another thing</li></ul>": ["One thing", "Another thing"],
+    "<div>Plain line</div>": ["Plain line"],
+    "<pre>code x</pre>": ["code x"],
+    "<dl><dt>Term</dt><dd>Meaning of it</dd></dl>": ["Term", "Meaning of it"],
+}
+LEFT_OUT = [
+    f'<section id="comments"><h2>Comments</h2><div class="comment"><p>{LONG}</p></div></section>', '<div class="ad">Buy now</div>', '<div id="ad-top">Buy now</div>', f"<aside><p>{LONG}</p></aside>",
+    '<div class="related"><ul><li><a href="/1">Other story</a></li><li><a href="/2">More of it</a></li></ul></div>', "<form><p>Subscribe now</p><label>Mail</label></form>",
+    '<ul class="share-links"><li><a href="/1">Post it</a></li><li><a href="/2">Send it</a></li></ul>', f'<div class="newsletter-box"><p>{LONG}</p></div>', '<div class="cookie-notice">We use cookies.</div>',
+    '<nav><a href="/">Back</a></nav>', "<nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two more</a></li></ul></nav>", "<footer><p>Posted in News</p></footer>", '<div id="respond"><p>Leave a reply</p></div>',
+    '<section class="promo sticky"><h3>Deal</h3><p>Now cheap</p></section>',
+]
+
+
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>', "<article><div>{}</div></article>"])
+def test_what_stands_in_an_article(model, shell):
+    def found(inner):
+        body = shell.format(f"<h1>Title of it</h1><p>{LONG}</p>{inner}<p>{LONG}</p>")
+        return text_of(model, f'<html><body><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>{body}<footer>&copy; 2024 Someone</footer></body></html>')
+
+    for inner, want in KEPT.items():
+        assert found(inner) == "\n\n".join(["Title of it", LL, *want, LL]), inner
+    for inner in LEFT_OUT:
+        assert found(inner) == "\n\n".join(["Title of it", LL, LL]), inner
+
+
+def test_unnamed_divisions(model):
+    p = f"<div>{LONG}</div>"
+    assert text_of(model, f"<body><div><a href=/>Home</a> <a href=/>News</a></div><div><h1>Title of it</h1>{p}{p}</div><div>All rights reserved. Imprint</div></body>") == "\n\n".join(["Title of it", LL, LL])
+    assert text_of(model, f"<body>{p}{p}{p}<div>All rights reserved. Imprint</div></body>") == "\n\n".join([LL] * 3)
+    assert text_of(model, f"<body><div>{p}{p}</div><div>&copy; 2024 Example Inc. Privacy</div></body>") == "\n\n".join([LL] * 2)
+
+
+def test_names_count_as_a_whole():
+    assert html_text.told('class="market-share" id=login-flow') == (0, 0)
+    assert html_text.told('class="share-box post-content"') == (1, 1)
+    assert html_text.told("role=navigation id='cookie_notice'") == (2, 0)
+    assert html_text.told("class='top-story ad-2'") == (1, 1)
+
+
 def test_cases(spark, model):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p"), (None, "u", "<nav>x</nav>"), (4, "u", "<article><p>a<p>b"), (4, "u", "<article><p>a<p>b"), (5, "u", "<article><p>" + "word. " * 100_000)]
     df = spark.createDataFrame([(*r, r[0], r[0]) for r in rows], "page_id long, url string, html string, text long, n_chars long")
