@@ -39,7 +39,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm.common import delete, new_path, row_schema, slices, small, text_batches, written
+from costloom.llm.common import delete, hot_keys, new_path, row_schema, slices, small, spread_join, text_batches, written
 from costloom.llm.hashing import U, bytes_sums, mix, sliding_argmin, spans_hash, window_starts, windows_hash
 from costloom.llm.substring import parts_for, total_bytes
 
@@ -121,7 +121,7 @@ class SuffixIndex:
     """The family of arrays. Rows of a level: head, gram, lo and hi (least and largest context; hi null if equal), n."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.levels = spark, []  # (rank, table name, its folder)
+        self.spark, self.levels, self.live = spark, [], []  # (rank, table name, its folder)
         # as many buckets as a shuffle has partitions: what an aggregation gives is dealt out already
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,25 +129,27 @@ class SuffixIndex:
         path = new_path(self.spark)
         name = path.rpartition("/")[2].replace("-", "_")
         rows.write.bucketBy(self.buckets, *START).sortBy(*START).option("path", path).saveAsTable(name)
-        return rank, name, path
+        self.live.append((rank, name, path))
+        return self.live[-1]
 
     def _gone(self, level: tuple[int, str, str]) -> None:
         self.spark.sql(f"DROP TABLE {level[1]}")
         delete(self.spark, level[2])
+        self.live.remove(level)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """batch: runs. Stores its array, scans it against all levels, adds it and merges levels of equal rank.
 
-        Gives the matches: head, gram, lo (the only context, unless there are several), several.
+        Gives the matches: head, gram, lo (the only context, unless there are several), several, n (in this batch).
         """
         array = batch.groupBy(*START).agg(F.min("ctx").alias("lo"), F.max("ctx").alias("top"), F.count(F.lit(1)).alias("n"))
         new = self._stored(0, array.select(*START, "lo", F.nullif("top", "lo").alias("hi"), "n"))
         rows = self.spark.table(new[1])
-        found = [rows.filter("n > 1").select(*START, "lo", F.col("hi").isNotNull().alias("several"))]
+        found = [rows.filter("n > 1").select(*START, "lo", F.col("hi").isNotNull().alias("several"), "n")]
         for _, name, _ in self.levels:
             old = self.spark.table(name).select(*START, F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))
             same = (F.col("lo") == F.col("old_lo")) & F.col("hi").isNull() & F.col("old_hi").isNull()
-            found.append(rows.join(old, START).select(*START, "lo", (~same).alias("several")))
+            found.append(rows.join(old, START).select(*START, "lo", (~same).alias("several"), "n"))
         matches = written(reduce(DataFrame.unionByName, found))
         self.levels.append(new)
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
@@ -166,20 +168,26 @@ class SuffixIndex:
         return x.join(y, START, "full").select(*START, lo.alias("lo"), F.nullif(top, lo).alias("hi"), n.alias("n"))
 
     def close(self) -> None:
-        while self.levels:
-            self._gone(self.levels.pop())
+        """Drops all tables, those of a batch that failed, too."""
+        while self.live:
+            self._gone(self.live[-1])
+        self.levels.clear()
 
 
 def matched_runs(texts: DataFrame, size: int, batches: int, width: int, gram: int) -> DataFrame:
     """The runs whose start occurs again, with `several`; those in one context only if it is theirs."""
     index, found = SuffixIndex(texts.sparkSession), []
-    for k in range(batches):
-        batch = texts.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k)
-        found.append(index.add(runs(batch, width, gram)))
-    index.close()
-    starts = reduce(DataFrame.unionByName, found).groupBy(*START).agg(F.min("lo").alias("only"), F.max("several").alias("several"))
-    both = runs(texts, width, gram).drop("head").join(starts.drop("head"), "gram")
-    return written(both.filter((F.col("ctx") == F.col("only")) | F.col("several")).drop("only"))
+    try:
+        for k in range(batches):
+            batch = texts.filter(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == k)
+            found.append(index.add(runs(batch, width, gram)))
+    finally:
+        index.close()
+    starts = reduce(DataFrame.unionByName, found).groupBy(*START).agg(F.min("lo").alias("only"), F.max("several").alias("several"), F.sum("n").alias("n"))
+    starts = written(starts)
+    rows = runs(texts, width, gram).withColumn("__by", F.xxhash64("k1", "k2", "lo"))
+    both = spread_join(rows, starts.drop("n"), START, "__by", hot_keys(starts, START, count="n"))
+    return written(both.filter((F.col("ctx") == F.col("only")) | F.col("several")).drop("only", "head", "__by"))
 
 
 CONTEXT = "key long, gram long, ctx long, n long, mid int, shift int, body binary"
@@ -345,7 +353,9 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = contexts(texts, picked, parts, width)
     intervals = repeated_strings(rows, too_many(picked, "gram"), parts, width)
     within = intervals.select("gram", "ctx", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    some = matched.filter("several").join(within, ["gram", "ctx"]).select("k1", "k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+    hot = hot_keys(picked, ["gram", "ctx"], count="n")
+    rows = matched.filter("several").withColumn("__by", F.xxhash64("k1", "k2", "lo"))
+    some = spread_join(rows, within, ["gram", "ctx"], "__by", hot).select("k1", "k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
     spans = matched.filter("not several").select("k1", "k2", "lo", "hi").unionByName(some).withColumn("grp", group_of(groups))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
