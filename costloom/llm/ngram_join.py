@@ -45,6 +45,7 @@ SHINGLE = 3
 SHARE = (90, 100)
 BUCKET_BITS = 18
 MAP_BITS = 10
+KEPT = 2_000_000  # elements of sets that a task keeps for further comparisons
 MOST_PAIRS = 1_000_000  # below that, pairs cost no more than the longer lists
 LEAST = 4  # elements of sets that share two if they link, at any share of one half or more
 
@@ -187,17 +188,19 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     both = spread_join(left, texts.select(F.col("id").alias("a"), F.col("z").alias("za")), ["a"], "b", hot_keys(pairs, ["a"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, known = zstandard.ZstdDecompressor(), OrderedDict()
+        z, known, held = zstandard.ZstdDecompressor(), OrderedDict(), 0
 
         def sets(names: list[bytes]) -> list[np.ndarray]:
+            nonlocal held
             new = list(dict.fromkeys(x for x in names if x not in known))
             known.update(zip(new, shingle_sets([z.decompress(x) for x in new], width)))
+            held += sum(len(known[x]) for x in new)
             out = [known[x] for x in names]
-            while len(known) > 300:
-                known.popitem(last=False)
+            while held > KEPT:
+                held -= len(known.popitem(last=False)[1])
             return out
 
-        for b in slices(batches, 3, 300_000):
+        for b in unpacked_slices(batches, (2, 3)):
             za, zb = sets(b.column(2).to_pylist()), sets(b.column(3).to_pylist())
             hit = []
             for x, y in zip(za, zb):
@@ -208,6 +211,20 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     return both.select("a", "b", "za", "zb").mapInArrow(compare, "a long, b long")
 
 
+def unpacked_slices(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of batches whose compressed texts have about `size` bytes as texts: repeated lines may pack 500 to 1."""
+    for b in batches:
+        held, at = 0, 0
+        for row, packed in enumerate(zip(*(b.column(c).to_pylist() for c in columns))):
+            n = sum(map(zstandard.frame_content_size, packed))
+            if row > at and held + n > size:
+                yield b.slice(at, row - at)
+                held, at = 0, row
+            held += n
+        if b.num_rows:
+            yield b.slice(at)
+
+
 def compressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)

@@ -24,4 +24,4 @@ def test_without_settings_and_package_on_executors(tmp_path, sf_dir):
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "PYSPARK_SUBMIT_ARGS", "SPARK_ENV_LOADED")}
     done = subprocess.run([sys.executable, "-c", CODE.format(root=ROOT, data=sf_dir)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stdout + done.stderr[-3000:]
-    assert len(done.stdout.split()) == 12
+    assert len(done.stdout.split()) == 15

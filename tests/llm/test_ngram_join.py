@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from costloom.llm import components, ngram_join
 
@@ -116,3 +118,19 @@ def test_sets_equal_words(docs):
     got = [len(s) for s in ngram_join.shingle_sets([t.encode() for _, t in rows], 3)]
     assert got == [len(s) for s in sets(rows)]
     assert all((np.diff(s.astype(object)) > 0).all() for s in ngram_join.shingle_sets([b"a b c a b c"], 3))
+
+
+def test_slices_follow_the_texts_not_what_they_pack_to():
+    z = zstandard.ZstdCompressor()
+    texts = [b"the same line\n" * k for k in (1, 5000, 5000, 1, 60_000, 2, 2)]
+    packed = pa.array([z.compress(t) for t in texts])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), packed, packed], ["a", "x", "y"])
+    got = [b.column(0).to_pylist() for b in ngram_join.unpacked_slices([batch, batch.slice(0, 0)], (1, 2), 200_000)]
+    assert got == [[0, 1], [2, 3], [4], [5, 6]]
+
+
+def test_texts_that_pack_very_well(docs):
+    """Long texts of few lines, more of them than fit into a slice as texts."""
+    rows = [(i, " ".join(f"line {k % (40 + i % 2)} of text {i % 4}" for k in range(20_000)) + f" end {i}") for i in range(12)]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_copies(docs(rows)).collect()}
+    assert got == {i: i % 4 for i in range(12)}
