@@ -319,6 +319,20 @@ def repeated_strings(rows: DataFrame, hot: DataFrame, parts: int, width: int) ->
     return reduce(DataFrame.unionByName, out)
 
 
+def merged_intervals(intervals: DataFrame) -> DataFrame:
+    """gram, ctx, spans: of each context its intervals, those that touch as one. There are fewer than twice `width` of them."""
+    kind = "array<struct<lo:int,hi:int>>"
+
+    def put(done, x):
+        last = F.element_at(done, -1)
+        touches = (F.size(done) > 0) & (x["lo"] <= F.get(done, F.size(done) - 1)["hi"] + 1)
+        longer = F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi")))
+        return F.when(touches, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(x))).cast(kind)
+
+    rows = intervals.groupBy("gram", "ctx").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    return rows.withColumn("spans", F.aggregate("spans", F.array().cast(kind), put))
+
+
 def too_many(rows: DataFrame, key: str) -> DataFrame:
     return written(rows.groupBy(F.col(key).alias("key")).count().filter(F.col("count") > HOT).select("key"))
 
@@ -352,10 +366,11 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = sealed(keyed_texts.filter(F.octet_length("text") >= width), groups, parts)
     rows = contexts(texts, picked, parts, width)
     intervals = repeated_strings(rows, too_many(picked, "gram"), parts, width)
-    within = intervals.select("gram", "ctx", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    within = merged_intervals(intervals)
     hot = hot_keys(picked, ["gram", "ctx"], count="n")
     rows = matched.filter("several").withColumn("__by", F.xxhash64("k1", "k2", "lo"))
-    some = spread_join(rows, within, ["gram", "ctx"], "__by", hot).select("k1", "k2", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+    some = spread_join(rows, within, ["gram", "ctx"], "__by", hot).select("k1", "k2", "lo", F.explode("spans").alias("s"))
+    some = some.select("k1", "k2", (F.col("lo") + F.col("s.lo")).alias("lo"), (F.col("lo") + F.col("s.hi")).alias("hi"))
     spans = matched.filter("not several").select("k1", "k2", "lo", "hi").unionByName(some).withColumn("grp", group_of(groups))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:

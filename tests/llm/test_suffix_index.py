@@ -120,3 +120,10 @@ def test_near_variants_under_one_id_and_under_none(docs):
     for rows in ([(None, one), (None, other)], [(7, one), (7, other)], [(7, one), (7, other), (8, base), (8, base), (None, base[:1400]), (None, one[500:])]):
         got = suffix_index.drop_repeated_bytes(docs(rows)).collect()
         assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_intervals_that_touch_become_one(spark):
+    rows = [(1, 5, 3, 3), (1, 5, 4, 9), (1, 5, 12, 12), (1, 5, 5, 6), (1, 6, 0, 0), (2, 5, 1, 2), (2, 5, 1, 2), (2, 5, 3, 3)]
+    df = spark.createDataFrame(rows, "gram long, ctx long, lo int, hi int")
+    got = {(r.gram, r.ctx): [tuple(s) for s in r.spans] for r in suffix_index.merged_intervals(df).collect()}
+    assert got == {(1, 5): [(3, 9), (12, 12)], (1, 6): [(0, 0)], (2, 5): [(1, 3)]}
