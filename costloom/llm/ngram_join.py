@@ -12,14 +12,14 @@ through the join on prefix elements. Each element's list names a hub, the group
 groups pair with hubs, pairs that size or place rule out go, and the rest expand to members, whose whole sets
 are compared. A parity map of each set, of a bit or two for each element, rules out most pairs before
 that (maps never differ in more bits than sets do in elements). What that links are components; a list whose nodes are all in one component holds no further
-news. In the other lists every pair of nodes of different components is compared, unless size or place
-rules it out. Where that could be over MOST_PAIRS pairs of a list (texts that share a rare element and little
+news. In the other lists every pair of nodes of different components is compared, unless size, place or
+a short map (the parity map folded to 256 bits, tested inside the join, so that no such pair is written) rules it out. Where that could be over MOST_PAIRS pairs of a list (texts that share a rare element and little
 else), lists of two elements take its place, again with hubs first. So all components are exact, while a
 group of a million near copies costs about one comparison each, not one for each pair. Only texts that share two
 elements of their prefixes, stay below the share and are no part of one component are compared pair by pair.
 
-Skew. Lists are never collected: hubs are minima with map-side combining, and joins on a hub, a set or a component's
-root deal hot keys over parts (see common.spread_join). Comparisons carry compressed texts, not sets, which are several times larger.
+Skew. Lists are never collected: hubs are minima with map-side combining, and joins on an element, a group, a hub, a set or
+a component's root deal hot keys over parts (see common.spread_join). Comparisons carry compressed texts, not sets, which are several times larger.
 
 Defined cases: no words or no text: an empty set that links with nothing; one or two words: the whole
 sequence is the one element; a null id takes no part and has a null component; rows that repeat an id
@@ -45,6 +45,7 @@ SHINGLE = 3
 SHARE = (90, 100)
 BUCKET_BITS = 18
 MAP_BITS = 10
+BRIEF = 4  # longs of a short map
 KEPT = 2_000_000  # elements of sets that a task keeps for further comparisons
 MOST_PAIRS = 1_000_000  # below that, pairs cost no more than the longer lists
 LEAST = 4  # elements of sets that share two if they link, at any share of one half or more
@@ -118,7 +119,7 @@ def ordered_sets(texts: list[bytes], width: int, tables: tuple[np.ndarray, np.nd
 
 
 def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
-    """id, n, h1, h2 (hashes of the set), g (of prefix and size), prefix, map (parities of hash ranges), more (the element after the prefix)."""
+    """id, n, h1, h2 (hashes of the set), g (of prefix and size), prefix, map (parities of hash ranges), brief (map folded), more (the element after the prefix)."""
     tables = frequencies(docs, text_col, width)
     total = int(-tables[0].min())  # a word that occurs once: its share is one over all
     shared = shipped(docs.sparkSession, (tables, total))
@@ -126,7 +127,7 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = opened(shared)
         for b in slices(batches, 1):
-            n, h1, h2, g, lengths, prefixes, maps, more = [], [], [], [], [], [], [], []
+            n, h1, h2, g, lengths, prefixes, maps, brief, more = [], [], [], [], [], [], [], [], []
             for s, order in ordered_sets([t or b"" for t in b.column(1).to_pylist()], width, *known):
                 k = len(s)
                 length = k + -(-share[0] * k // share[1]) * -1 + 1 if k else 0
@@ -141,15 +142,18 @@ def prefix_table(docs: DataFrame, id_col: str, text_col: str, width: int, share:
                 bits = 1 << max(MAP_BITS, int(k - 1).bit_length() if k else 0)
                 odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
                 maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                brief.append(np.bitwise_xor.reduce(maps[-1].reshape(-1, BRIEF)))
             tokens = np.concatenate(prefixes).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), pa.array(tokens))
             longs = [pa.array(np.array(x, U).view(np.int64)) for x in (h1, h2, g)]
             kept = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, maps)]).astype(np.int32)), pa.array(np.concatenate(maps)))
             next_one = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, more)]).astype(np.int32)), pa.array(np.concatenate(more).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *longs, lists, kept, next_one], ["id", "n", "h1", "h2", "g", "prefix", "map", "more"])
+            folded = pa.ListArray.from_arrays(pa.array(np.arange(0, BRIEF * len(brief) + 1, BRIEF, np.int32)), pa.array(np.concatenate(brief)))
+            names = ["id", "n", "h1", "h2", "g", "prefix", "map", "brief", "more"]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *longs, lists, kept, folded, next_one], names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(
-        run, "id long, n long, h1 long, h2 long, g long, prefix array<long>, map array<long>, more array<long>"
+        run, "id long, n long, h1 long, h2 long, g long, prefix array<long>, map array<long>, brief array<long>, more array<long>"
     )
 
 
@@ -161,6 +165,11 @@ def may_link(n1: str, pos1: str, n2: str, pos2: str, share: tuple[int, int]) ->
     return (most >= need) & (F.least(n1, n2) * b >= F.greatest(n1, n2) * a)
 
 
+def most_apart(size: Column, share: tuple[int, int]) -> Column:
+    """In how many elements two sets that link may differ at most. size: that of both together."""
+    return size - 2 * F.ceil(size * share[0] / (share[0] + share[1]) - 1e-9)
+
+
 def plausible(pairs: DataFrame, maps: DataFrame, share: tuple[int, int]) -> DataFrame:
     """pairs: a, b -> those whose parity maps (maps: node, n, map) differ in no more bits than the sets of a link may.
 
@@ -168,8 +177,6 @@ def plausible(pairs: DataFrame, maps: DataFrame, share: tuple[int, int]) -> Data
     """
     x, y = (maps.select(*[F.col(c).alias(k + c) for c in ("node", "n", "map")]) for k in "ab")
     both = spread_join(pairs, x.withColumnRenamed("anode", "a"), ["a"], "b", hot_keys(pairs, ["a"])).join(y.withColumnRenamed("bnode", "b"), "b")
-    size = F.col("an") + F.col("bn")
-    most = size - 2 * F.ceil(size * share[0] / (share[0] + share[1]) - 1e-9)
     half = lambda m: (F.size(m) / 2).cast("int")
     folded = lambda m: F.zip_with(F.slice(m, F.lit(1), half(m)), F.slice(m, half(m) + 1, half(m)), lambda u, v: u.bitwiseXOR(v))
     # sets that may link differ in size by less than 2, so their maps by one halving at most
@@ -177,7 +184,7 @@ def plausible(pairs: DataFrame, maps: DataFrame, share: tuple[int, int]) -> Data
     right = F.when(F.size("bmap") > F.size("amap"), folded(F.col("bmap"))).otherwise(F.col("bmap"))
     both = both.filter(F.least("an", "bn") * share[1] >= F.greatest("an", "bn") * share[0])
     apart = F.aggregate(F.zip_with(left, right, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, k: t + k)
-    return both.filter(apart <= most).select("a", "b").distinct()
+    return both.filter(apart <= most_apart(F.col("an") + F.col("bn"), share)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
@@ -252,20 +259,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = sets.filter("n > 0 and id is not null")
     # distinct sets; one group for those of equal prefix and size, named by its least id
     nodes = written(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.first("g").alias("g")))
-    heads = nodes.groupBy("g").agg(F.min("node").alias("gid"), (F.count(F.lit(1)) > 1).alias("many"), F.first("n").alias("n"))
+    heads = written(nodes.groupBy("g").agg(F.min("node").alias("gid"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n")))
+    hot_groups = hot_keys(heads, ["g"], count="k")
     others = written(full.select("id", "g").join(heads.select(F.col("gid").alias("id"), "g"), ["id", "g"], "left_anti").distinct())
     groups = full.select("id", "g", "n", "prefix").join(small(others), ["id", "g"], "left_anti")
     postings = groups.select(F.col("id").alias("gid"), "g", "n", F.posexplode("prefix").alias("pos", "token"))
     # an element that only one group has says nothing; counting first keeps the rest of the row out of one shuffle
-    shared = postings.groupBy("token").count().filter("count > 1").select("token")
-    inside = heads.filter("many").select(F.col("g").alias("token"), "gid", "g", "n", F.lit(0).alias("pos"))
-    lists = written(postings.join(shared, "token").select("token", "gid", "g", "n", "pos").unionByName(inside))
+    shared = written(postings.groupBy("token").count().filter("count > 1"))
+    hot_tokens = hot_keys(shared, ["token"], count="count")
+    inside = heads.filter("k > 1").select(F.col("g").alias("token"), "gid", "g", "n", F.lit(0).alias("pos"))
+    elements = spread_join(postings, shared.select("token"), ["token"], "gid", hot_tokens)
+    lists = written(elements.select("token", "gid", "g", "n", "pos").unionByName(inside))
     hubs = lists.groupBy("token").agg(F.min_by("gid", "pos").alias("hub"), F.min("pos").alias("hub_pos"), F.min_by("n", "pos").alias("hub_n"))
-    members = nodes.join(lists.select("g").distinct(), "g", "left_semi").select("node", "g", "n")
-    maps = written(full.select(F.col("id").alias("node"), "n", "map").join(members.select("node"), "node", "left_semi"))
-    ahead = lists.join(hubs, "token").filter(may_link("n", "pos", "hub_n", "hub_pos", share)).select("hub", "g").distinct()
-    pairs = ahead.join(members, "g").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = pairs.unionByName(heads.join(members, "g").select(F.col("gid").alias("a"), F.col("node").alias("b"))).filter("a != b").distinct()
+    members = written(spread_join(nodes, lists.select("g").distinct(), ["g"], "node", hot_groups).select("node", "g", "n"))
+    maps = written(full.select(F.col("id").alias("node"), "n", "map", "brief").join(members.select("node"), "node", "left_semi"))
+    ahead = spread_join(lists, hubs, ["token"], "gid", hot_tokens).filter(may_link("n", "pos", "hub_n", "hub_pos", share)).select("hub", "g")
+    ahead = ahead.unionByName(heads.filter("k > 1").select(F.col("gid").alias("hub"), "g")).distinct()
+    pairs = spread_join(members, ahead, ["g"], "node", hot_groups).select(F.col("hub").alias("a"), F.col("node").alias("b")).filter("a != b").distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         return written(verified(written(plausible(written(pairs), maps, share)), docs, id_col, text_col, width, share))
@@ -273,16 +283,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = linked(pairs)
     joined = components(links)
     found = _with_component(members, joined)
-    entries = open_lists(lists.select("token", "g", "pos").join(found, "g").select("token", "node", "n", "pos", "component"))
-    rest = across(entries.filter(F.col("weight") <= MOST_PAIRS), share)
+    placed = spread_join(found, lists.select("token", "g", "pos"), ["g"], "node", hot_groups)
+    entries = open_lists(placed.select("token", "node", "n", "pos", "component"))
+    rest = across(entries.filter(F.col("weight") <= MOST_PAIRS), maps, share)
     crowded = entries.filter(F.col("weight") > MOST_PAIRS)
     if not crowded.isEmpty():
-        tiny = across(crowded.filter(F.col("n") < 2 * LEAST), share, F.least("n1", "n2") < LEAST)
+        tiny = across(crowded.filter(F.col("n") < 2 * LEAST), maps, share, F.least("n1", "n2") < LEAST)
         finer = two_elements(crowded.filter(F.col("n") >= LEAST), full)
         links = links.unionByName(linked(hub_pairs(finer, share)))
         joined = components(links)
         now = _with_component(finer.drop("component", "main", "weight"), joined)
-        rest = rest.unionByName(tiny).unionByName(across(open_lists(now), share)).distinct()
+        rest = rest.unionByName(tiny).unionByName(across(open_lists(now), maps, share)).distinct()
     new = linked(rest)
     if not new.isEmpty():
         joined = components(links.unionByName(new))
@@ -300,11 +311,16 @@ def open_lists(entries: DataFrame) -> DataFrame:
     return written(entries.join(lists.filter("parts > 1").drop("parts"), "token"))
 
 
-def across(entries: DataFrame, share: tuple[int, int], more: Column | None = None) -> DataFrame:
-    """a, b: every pair of nodes of different components in an open list that sizes and places don't rule out."""
-    x, y = (entries.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "pos", "component", "main")]) for s in "12")
+def across(entries: DataFrame, maps: DataFrame, share: tuple[int, int], more: Column | None = None) -> DataFrame:
+    """a, b: every pair of nodes of different components in an open list that sizes, places and short maps don't rule out."""
+    brief = [f"m{k}" for k in range(BRIEF)]
+    known = maps.select("node", "n", *[F.col("brief")[k].alias(m) for k, m in enumerate(brief)])
+    wide = entries.join(known, ["node", "n"])
+    x, y = (wide.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "pos", "component", "main", *brief)]) for s in "12")
+    apart = sum((F.bit_count(F.col(m + "1").bitwiseXOR(F.col(m + "2"))) for m in brief), F.lit(0))
     # every pair of different components has a side outside the largest one
     at = (F.col("component1") != F.col("component2")) & may_link("n1", "pos1", "n2", "pos2", share) & (x["token"] == y["token"])
+    at &= apart <= most_apart(F.col("n1") + F.col("n2"), share)
     both = x.filter("component1 != main1").join(y, at if more is None else at & more)
     return both.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
 

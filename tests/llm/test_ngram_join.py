@@ -77,6 +77,16 @@ def test_chains_and_hubs_are_exact(docs, monkeypatch, most):
     assert sorted(map(tuple, ngram_join.near_copies(docs(rows)).collect()), key=repr) == brute(rows)
 
 
+def test_texts_of_one_template_write_few_pairs(docs, monkeypatch):
+    """Below the share, in one another's lists: short maps rule them out inside the join."""
+    rng, written_pairs, across = random.Random(3), [], ngram_join.across
+    monkeypatch.setattr(ngram_join, "across", lambda *a: written_pairs.append(across(*a)) or written_pairs[-1])
+    base = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(edit(rng, base, rng.randrange(6, 14)))) for i in range(600)]
+    assert sorted(map(tuple, ngram_join.near_copies(docs(rows)).collect()), key=repr) == brute(rows)
+    assert written_pairs and sum(p.count() for p in written_pairs) < 300
+
+
 def test_equals_brute_force_on_a_table(sample):
     rows = [(r.doc_id, r.text) for r in sample.collect()]
     assert sorted(map(tuple, ngram_join.near_copies(sample).collect()), key=repr) == brute(rows)
