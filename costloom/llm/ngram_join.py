@@ -37,7 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from costloom.llm.common import hot_keys, opened, shipped, slices, small, spread_join, text_batches, written
+from costloom.llm.common import hot_keys, opened, shipped, shuffles_cleared, slices, small, spread_join, text_batches, written
 from costloom.llm.components import components
 from costloom.llm.hashing import U, mix, prefix_sums, spans_hash, window_starts, windows_hash, word_windows, words_of
 
@@ -252,9 +252,14 @@ def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
     """id, n_shingles, component_id of each row."""
-    text_batches(docs.sparkSession)
     if 2 * share[0] < share[1]:
         raise ValueError("a share of one half at least is needed")
+    text_batches(docs.sparkSession)
+    with shuffles_cleared(docs.sparkSession):
+        return _near_copies(docs, id_col, text_col, width, share)
+
+
+def _near_copies(docs: DataFrame, id_col: str, text_col: str, width: int, share: tuple[int, int]) -> DataFrame:
     sets = written(prefix_table(docs, id_col, text_col, width, share))
     full = sets.filter("n > 0 and id is not null")
     # distinct sets; one group for those of equal prefix and size, named by its least id

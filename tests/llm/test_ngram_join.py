@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -144,3 +145,18 @@ def test_texts_that_pack_very_well(docs):
     rows = [(i, " ".join(f"line {k % (40 + i % 2)} of text {i % 4}" for k in range(20_000)) + f" end {i}") for i in range(12)]
     got = {r.doc_id: r.component_id for r in ngram_join.near_copies(docs(rows)).collect()}
     assert got == {i: i % 4 for i in range(12)}
+
+
+def test_shuffle_files_go_with_their_job(spark, docs):
+    """Each of the many joins would leave its files until the driver collects its garbage."""
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    there, setting = files(), spark.conf.get(key)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(edit(rng, base, i % 6))) for i in range(60)]
+    found = ngram_join.near_copies(docs(rows))
+    assert files() <= there
+    assert spark.conf.get(key) == setting
+    assert sorted(map(tuple, found.collect()), key=repr) == brute(rows)
