@@ -4,7 +4,7 @@ A document's set: its distinct word 3-grams (as 64-bit hashes). Two link if 100
 
 Order. Elements go by how often they should occur, in steps, then by hash; the order only has to be the same
 everywhere. The estimate is the larger of two: the words' frequencies multiplied, and the count of the element's
-own hash bucket where that stands out. Both come from tables of a fixed 2**18 counts over all documents. In any
+own hash buckets where both stand out. They come from tables of a fixed 2**18 counts over all documents. In any
 order two linked sets share an element of their prefixes (the first n - ceil(0.9 n) + 1).
 
 Grouping. Equal sets are one node. Nodes of equal prefix and size are one group, and only groups go
@@ -13,7 +13,9 @@ groups pair with hubs, pairs that size or place rule out go, and the rest expand
 are compared. A parity map of each set, of a bit or two for each element, rules out most pairs before
 that (maps never differ in more bits than sets do in elements). What that links are components; a list whose nodes are all in one component holds no further
 news. In the other lists every pair of nodes of different components is compared, unless size, place or
-a short map (the parity map folded to 256 bits, tested inside the join, so that no such pair is written) rules it out. Where that could be over MOST_PAIRS pairs of a list (texts that share a rare element and little
+a short map (the parity map folded to 256 bits, tested inside the join, so that no such pair is written) rules it out.
+Longer lists are first split by size: a set goes to the band of its size and the next, as sizes of a link differ by one band at
+most. Where that could still be over MOST_PAIRS pairs of a band (texts that share a rare element and little
 else), lists of two elements take its place, again with hubs first. So all components are exact, while a
 group of a million near copies costs about one comparison each, not one for each pair. Only texts that share two
 elements of their prefixes, stay below the share and are no part of one component are compared pair by pair.
@@ -29,6 +31,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -48,12 +51,14 @@ MAP_BITS = 10
 BRIEF = 4  # longs of a short map
 KEPT = 2_000_000  # elements of sets that a task keeps for further comparisons
 MOST_PAIRS = 1_000_000  # below that, pairs cost no more than the longer lists
+PAIRS_A_ROW = 16  # about so many pairs cost what a row of a longer list does
+PLAIN_PAIRS = 1_000  # lists of more are split by size
 LEAST = 4  # elements of sets that share two if they link, at any share of one half or more
 
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's shingles."""
-    hashes, counts = words_of([t.lower() for t in texts])  # bytes: A-Z only
+def shingle_sets(texts: list[bytes], width: int, words: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles. words: the hashes and numbers of the texts' words, where known."""
+    hashes, counts = words_of([t.lower() for t in texts]) if words is None else words  # bytes: A-Z only
     windows, n = word_windows(hashes, counts, width)
     sums, out, at, start = None, [], 0, 0
     for c, k in zip(counts.tolist(), n.tolist()):
@@ -69,34 +74,46 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def frequencies(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """By hash bucket, in eighths: log2 of a word's share of all words; log2 of an element's count where it is over twice the usual."""
+    """By hash bucket, in eighths: log2 of a word's share of all words; log2 of an element's count where it stands out, for two ways to deal elements."""
     size = 1 << BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(2 * size, np.int64)
+        n = np.zeros(3 * size, np.int64)
         for b in slices(batches, 0):
             texts = [t or b"" for t in b.column(0).to_pylist()]
-            words, _ = words_of([t.lower() for t in texts])
-            n[:size] += np.bincount(_bucket(words), minlength=size)
-            n[size:] += np.bincount(_bucket(np.concatenate(shingle_sets(texts, width))), minlength=size)
+            words = words_of([t.lower() for t in texts])
+            elements = np.concatenate(shingle_sets(texts, width, words))
+            for k, found in enumerate((_bucket(words[0]), _bucket(elements), _bucket(elements, 1))):
+                n[k * size : (k + 1) * size] += np.bincount(found, minlength=size)
         at = np.flatnonzero(n)
         for s in range(0, len(at), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[s : s + 20_000].astype(np.int32)), pa.array(n[at[s : s + 20_000]])], ["bucket", "n"])
 
     rows = docs.select(F.col(text_col).cast("binary")).mapInArrow(count, "bucket int, n long")
-    counted = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**19 rows at most
-    n = np.zeros(2 * size)
+    counted = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 3 * 2**18 rows at most
+    n = np.zeros(3 * size)
     n[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    words, elements = n[:size], n[size:]
-    usual = max(1.0, float(np.median(elements)))
+    words, elements = n[:size], n[size:].reshape(2, size)
     share = np.log2(np.maximum(words, 1) / max(1.0, words.sum()))
-    stands_out = np.where(elements > 2 * usual, np.log2(np.maximum(elements, 1)), 0)
+    stands_out = np.array([standing_out(x) for x in elements])
     # whole eighths, so that sums are exact and an element gets one place in the order wherever it stands
     return np.round(8 * share).astype(np.int32), np.round(8 * stands_out).astype(np.int32)
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(64 - BUCKET_BITS)).astype(np.int64)
+def standing_out(counts: np.ndarray) -> np.ndarray:
+    """log2 of what a bucket's count is over the usual, 0 where that is likely chance.
+
+    Buckets fill as the table grows, but what chance adds grows with the root of that only. An element has two
+    buckets, and chance seldom lifts both.
+    """
+    usual = max(1.0, float(np.median(counts)))
+    spread = max(np.sqrt(usual), usual - float(np.quantile(counts, 0.16)))
+    over = counts - usual
+    return np.where(over > min(usual, 2.5 * spread), np.log2(np.maximum(over, 1)), 0)
+
+
+def _bucket(hashes: np.ndarray, way: int = 0) -> np.ndarray:
+    return (hashes << U(way * BUCKET_BITS) >> U(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def ordered_sets(texts: list[bytes], width: int, tables: tuple[np.ndarray, np.ndarray], total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,7 +130,8 @@ def ordered_sets(texts: list[bytes], width: int, tables: tuple[np.ndarray, np.nd
             yield short[i], np.arange(len(short[i]))
             continue
         s, first = np.unique(windows[at : at + k], return_index=True)
-        step = np.clip(np.maximum(expected[at : at + k][first], counts_of[_bucket(s)]), 0, 1000) // 4
+        counted = np.minimum(counts_of[0][_bucket(s)], counts_of[1][_bucket(s, 1)])
+        step = np.clip(np.maximum(expected[at : at + k][first], counted), 0, 1000) // 4
         yield s, np.argsort(step.astype(np.uint8), kind="stable")
         at += k
 
@@ -289,16 +307,18 @@ def _near_copies(docs: DataFrame, id_col: str, text_col: str, width: int, share:
     joined = components(links)
     found = _with_component(members, joined)
     placed = spread_join(found, lists.select("token", "g", "pos"), ["g"], "node", hot_groups)
-    entries = open_lists(placed.select("token", "node", "n", "pos", "component"))
-    rest = across(entries.filter(F.col("weight") <= MOST_PAIRS), maps, share)
-    crowded = entries.filter(F.col("weight") > MOST_PAIRS)
+    entries = open_lists(placed.select("token", "node", "n", "pos", "component"), share)
+    plain = min(PLAIN_PAIRS, MOST_PAIRS)
+    bands = open_lists(size_bands(entries.filter(F.col("weight") > plain), share), share)
+    rest = across(entries.filter(F.col("weight") <= plain).unionByName(bands.filter(F.col("weight") <= MOST_PAIRS)), maps, share)
+    crowded = bands.filter(F.col("weight") > MOST_PAIRS)
     if not crowded.isEmpty():
         tiny = across(crowded.filter(F.col("n") < 2 * LEAST), maps, share, F.least("n1", "n2") < LEAST)
-        finer = two_elements(crowded.filter(F.col("n") >= LEAST), full)
+        finer = two_elements(crowded.filter(F.col("n") >= LEAST), full, share)
         links = links.unionByName(linked(hub_pairs(finer, share)))
         joined = components(links)
         now = _with_component(finer.drop("component", "main", "weight"), joined)
-        rest = rest.unionByName(tiny).unionByName(across(open_lists(now), maps, share)).distinct()
+        rest = rest.unionByName(tiny).unionByName(across(open_lists(now, share), maps, share)).distinct()
     new = linked(rest)
     if not new.isEmpty():
         joined = components(links.unionByName(new))
@@ -308,14 +328,25 @@ def _near_copies(docs: DataFrame, id_col: str, text_col: str, width: int, share:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def open_lists(entries: DataFrame) -> DataFrame:
-    """Entries (token, node, n, pos, component) of lists that hold several components, with the largest one and a bound of the pairs."""
-    parts = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-    k = F.sum("k")
-    lists = parts.groupBy("token").agg(F.max_by("component", "k").alias("main"), F.count(F.lit(1)).alias("parts"), ((k - F.max("k")) * k).alias("weight"))
+def open_lists(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Entries (token, node, n, pos, component) of lists that hold several components, with the largest one and a weight.
+
+    That is a bound of the pairs, less in proportion where lists of two elements would have more rows than pairs are worth.
+    """
+    parts = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    k, rows = F.sum("k"), F.sum("n") * (1 - share[0] / share[1])
+    weight = (k - F.max("k")) * k / F.greatest(F.lit(1.0), rows * PAIRS_A_ROW / 1e6)
+    lists = parts.groupBy("token").agg(F.max_by("component", "k").alias("main"), F.count(F.lit(1)).alias("parts"), F.ceil(weight).alias("weight"))
     return written(entries.join(lists.filter("parts > 1").drop("parts"), "token"))
 
 
+def size_bands(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Entries of the lists split by size: sizes of sets that link are in one band or in two that touch, and each set goes to its own and the next."""
+    band = F.floor(F.log("n") / math.log(share[1] / share[0] + 1e-9)) if share[0] < share[1] else F.col("n")
+    both = entries.drop("main", "weight").withColumn("band", F.explode(F.array(band, band + 1)))
+    return both.withColumn("token", F.xxhash64("token", "band")).drop("band")
+
+
 def across(entries: DataFrame, maps: DataFrame, share: tuple[int, int], more: Column | None = None) -> DataFrame:
     """a, b: every pair of nodes of different components in an open list that sizes, places and short maps don't rule out."""
     brief = [f"m{k}" for k in range(BRIEF)]
@@ -330,7 +361,7 @@ def across(entries: DataFrame, maps: DataFrame, share: tuple[int, int], more: Co
     return both.select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
 
 
-def two_elements(entries: DataFrame, full: DataFrame) -> DataFrame:
+def two_elements(entries: DataFrame, full: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Open lists of two elements in place of crowded lists of one.
 
     Linked sets of LEAST elements or more have two elements or more in common among one more than their prefixes, so a
@@ -338,7 +369,7 @@ def two_elements(entries: DataFrame, full: DataFrame) -> DataFrame:
     """
     wide = full.select(F.col("id").alias("node"), "n", F.array_union("prefix", "more").alias("wide"))
     both = entries.drop("main", "weight").join(wide, ["node", "n"]).select("*", F.explode("wide").alias("other")).filter("other != token").drop("wide")
-    return open_lists(both.withColumn("token", F.xxhash64("token", "other")).drop("other").distinct())
+    return open_lists(both.withColumn("token", F.xxhash64("token", "other")).drop("other").distinct(), share)
 
 
 def hub_pairs(entries: DataFrame, share: tuple[int, int]) -> DataFrame:

@@ -160,3 +160,45 @@ def test_shuffle_files_go_with_their_job(spark, docs):
     assert files() <= there
     assert spark.conf.get(key) == setting
     assert sorted(map(tuple, found.collect()), key=repr) == brute(rows)
+
+
+def test_frequent_elements_stand_out_of_full_buckets():
+    """Common lines must not open the prefixes of large tables, where every bucket has thousands of other elements."""
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(5000, 1 << ngram_join.BUCKET_BITS)
+    counts[7] += 600
+    out = ngram_join.standing_out(counts)
+    assert out[7] > 8 and (out > 0).mean() < 0.02
+    few = ngram_join.standing_out(np.array([0, 1, 1, 0, 9, 1, 2, 0]))
+    assert few.tolist() == [0, 0, 0, 0, 3, 0, 0, 0]
+
+
+def test_order_needs_both_buckets():
+    text = " ".join(f"w{i}" for i in range(40)).encode()
+    s, size = ngram_join.shingle_sets([text], 3)[0], 1 << ngram_join.BUCKET_BITS
+    ways = np.zeros((2, size), np.int32)
+    hot, once = s[5], s[9]
+    for way in (0, 1):
+        ways[way][ngram_join._bucket(np.array([hot]), way)] = 80
+    ways[0][ngram_join._bucket(np.array([once]))] = 80
+    ((got, order),) = ngram_join.ordered_sets([text], 3, (np.zeros(size, np.int32), ways), -1000)
+    assert (got == s).all() and order.tolist() == [i for i in range(len(s)) if i != 5] + [5]
+
+
+@pytest.mark.parametrize("share", [(90, 100), (80, 100), (100, 100)])
+def test_lists_split_by_size_lose_no_link(docs, monkeypatch, share):
+    """Sizes whose ratio is just the share, or just below, all in the same lists."""
+    monkeypatch.setattr(ngram_join, "PLAIN_PAIRS", 0)
+    rows = [(i, " ".join(f"w{k}" for k in range(n + 2))) for i, n in enumerate([1, 2, 4, 5, 8, 9, 10, 16, 20, 24, 30, 72, 80, 81, 90, 100, 110, 120, 150])]
+    rows += [(100 + i, " ".join([*(f"w{k}" for k in range(12)), *(f"x{i}y{k}" for k in range(i))])) for i in range(0, 60, 3)]
+    got = sorted(map(tuple, ngram_join.near_copies(docs(rows), share=share).collect()), key=repr)
+    assert got == brute(rows, share[0])
+
+
+def test_bands_hold_every_pair_that_may_link_and_few_others(spark):
+    entries = spark.range(1, 3000).selectExpr("7L AS token", "id AS node", "id AS n", "0 AS pos", "id AS component", "0L AS main", "1L AS weight")
+    bands = ngram_join.size_bands(entries, (90, 100)).select("token", "n").toPandas()
+    sizes = bands.groupby("token")["n"].agg(["min", "max", "size"])
+    held = set(zip(sizes["min"], sizes["max"]))
+    assert all(any(a <= n and -(-n * 10 // 9) - (n * 10 % 9 > 0) <= b for a, b in held) for n in range(1, 2700))
+    assert (sizes["size"] ** 2).sum() < 2999**2 / 4
